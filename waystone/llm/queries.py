@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waystone.llm import counts, packing, replay, wavelet
+from waystone.llm import counts, packing, replay, secret_scan, spotsigs, topk, wavelet
 from waystone.llm.shared import shared_dir, table
 
 
@@ -31,9 +31,38 @@ def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_report(table(spark, sf_dir, "documents"))
+
+
 def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_token_ids, op6_merge_replay_bpe, op8_histogram_packing, op10_pretoken_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_wavelet_token_ids, op4_segment_top_k, op5_randomness_secrets, op9_spotsigs, op6_merge_replay_bpe, op8_histogram_packing, op10_pretoken_counts)}
+SQL: dict[str, str] = {
+    "op4_segment_top_k": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id
+    where q.vec_id % 20 = 0
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+    from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+}
