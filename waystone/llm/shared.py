@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -39,6 +40,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """df's schema and further columns, for a function over its batches."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def either_case(word: str) -> str:
     """A pattern for word with its ASCII letters in either case, alike in every regex engine."""
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isascii() and c.isalpha() else c for c in word)
