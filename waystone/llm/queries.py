@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waystone.llm import counts, language, packing, quality, replay, secret_scan, spotsigs, topk, wavelet
+from waystone.llm import counts, language, order_minhash, packing, quality, replay, secret_scan, spotsigs, topk, wavelet
 from waystone.llm.shared import shared_dir, table
 
 
@@ -35,6 +35,10 @@ def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_token_ids, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets, op6_merge_replay_bpe, op7_lsa_quality_votes, op9_spotsigs, op8_histogram_packing, op10_pretoken_counts)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_token_ids, op2_order_minhash, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets, op6_merge_replay_bpe, op7_lsa_quality_votes, op9_spotsigs, op8_histogram_packing, op10_pretoken_counts)}
 SQL: dict[str, str] = {
     "op4_segment_top_k": """
 with v as (
