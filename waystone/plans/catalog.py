@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from waystone.plans import q_rules  # noqa: F401
+from waystone.plans.registry import QUERIES, SQL  # noqa: F401
