@@ -77,8 +77,8 @@ def array_length(points: Column) -> Column:
 
 def page_mm(lon, lat, lon0, lat0, scale) -> tuple[Column, Column]:
     """Page millimetres from the page centre (x right, y down) at a scale denominator."""
-    x, y = local_metres(lon, lat, lon0, lat0)
-    return x * 1000.0 / _c(scale), -y * 1000.0 / _c(scale)
+    x, _ = local_metres(lon, lat, lon0, lat0)
+    return x * 1000.0 / _c(scale), F.radians(_c(lat0) - _c(lat)) * EARTH_M * 1000.0 / _c(scale)
 
 
 def mercator(lon, lat) -> tuple[Column, Column]:

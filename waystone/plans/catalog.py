@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from waystone.plans import q_rules  # noqa: F401
+from waystone.plans import q_rules, q_tracks  # noqa: F401
 from waystone.plans.registry import QUERIES, SQL  # noqa: F401
