@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from waystone.plans import q_joins, q_rules, q_tracks  # noqa: F401
+from waystone.plans import q_graph, q_joins, q_rules, q_select, q_tracks  # noqa: F401
 from waystone.plans.registry import QUERIES, SQL  # noqa: F401

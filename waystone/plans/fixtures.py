@@ -104,4 +104,5 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     own = sql.strip()
-    return f"with {', '.join(used)}, {own[5:]}" if own.lower().startswith("with ") else f"with {', '.join(used)} {own}"
+    start, recursive = ("with recursive ", "recursive ") if own.lower().startswith("with recursive ") else ("with ", "")
+    return f"with {recursive}{', '.join(used)}, {own[len(start):]}" if own.lower().startswith("with ") else f"with {', '.join(used)} {own}"
