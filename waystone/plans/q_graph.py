@@ -77,14 +77,14 @@ def directed_cycles(t):
 
 @query("o8_14_two_core")
 def two_core(t):
-    e = edges(t).where("way_id % 120 = 0").select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
+    e = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
     return graph.two_core(e).select("edge_id")
 
 
 @query("o8_13_lap_ways")
 def lap_ways(t):
     """Ways that are left when leaves are pruned, by connected lap: the last tier of lap assembly."""
-    e = edges(t).where("way_id % 120 = 0").select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
+    e = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
     core = graph.two_core(e)
     comp = graph.components(core.select("a", "b"))
     return core.join(comp, F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("ways"), F.countDistinct("a").alias("starts"))
