@@ -13,7 +13,9 @@ SCALE, K = 64.0, 20
 #: Segments of a vector, coarse to fine.
 LEVELS = (4, 8, 16)
 #: Rows of a block of candidates and of queries, about; queries bounded at a time.
-CANDIDATES, QUERIES, CHUNK = 8192, 4096, 256
+CANDIDATES, QUERIES, CHUNK = 8192, 2048, 128
+#: Shares of pairs above which a block product is cheaper than single pairs, and above which finer bounds don't pay.
+DENSE, HOPELESS = 0.02, 0.5
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -50,27 +52,35 @@ def search_block(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndar
 
     for a in range(0, len(q), CHUNK):
         b = min(len(q), a + CHUNK)
-        own = q_row[a:b, None] == c_row[None, :]
-        live = ~own
+        live = q_row[a:b, None] != c_row[None, :]
         need = np.full(b - a, -np.inf)
         for level, (sq, sc) in enumerate(sides):
-            if live.mean() > 0.2:
+            if live.mean() > DENSE:
                 bound = sq[a:b] @ sc.T
+                bound[~live] = -np.inf
             else:  # few pairs are left: only they are bounded
                 rows, cols = np.nonzero(live)
                 bound = np.full(live.shape, -np.inf)
                 for i in range(0, len(rows), 262144):
                     r, s = rows[i : i + 262144], cols[i : i + 262144]
                     bound[r, s] = np.einsum("ij,ij->i", sq[a + r], sc[s])
-            bound[~live] = -np.inf
             if level == 0 and len(c) > 2 * k:  # the likeliest candidates give the score that others must reach
                 seeds = np.argpartition(bound, len(c) - 2 * k, axis=1)[:, -2 * k :]
                 rows = np.repeat(np.arange(b - a), seeds.shape[1])
                 got = np.where(live[rows, seeds.ravel()], scores(a + rows, seeds.ravel()).astype(np.float64), -np.inf).reshape(seeds.shape)
                 need = np.partition(got, got.shape[1] - k, axis=1)[:, -k]
             live &= bound >= (need - slack[a:b])[:, None]
-        rows, cols = np.nonzero(live)
-        score = scores(a + rows, cols)
+            if live.mean() > HOPELESS:  # finer bounds would cost what the scores of the survivors do
+                break
+        if exact and live.mean() > DENSE and len(c) > k:  # one block product gives all survivors' scores
+            product = qf[a:b] @ cf.T
+            product[~live] = -np.inf
+            live &= product >= np.partition(product, len(c) - k, axis=1)[:, len(c) - k, None]
+            rows, cols = np.nonzero(live)
+            score = np.rint(product[rows, cols]).astype(np.int64)
+        else:
+            rows, cols = np.nonzero(live)
+            score = scores(a + rows, cols)
         order = np.lexsort((c_row[cols], c_id[cols], -score, rows))
         rows, cols, score = rows[order], cols[order], score[order]
         first = np.searchsorted(rows, np.arange(b - a))
