@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waystone.operators import joins, tracks
-from waystone.plans.q_tracks import BY, CHAIN, LEGS, chained, hav, legs
+from waystone.plans.q_tracks import CHAIN, LEGS, by_pos, chained, hav, legs
 from waystone.plans.registry import query
 
 
@@ -42,7 +42,7 @@ RING = "ring as (select track_id as ring_id, track_id % 12 as rel, pos, lon as x
 
 
 def rings(t):
-    return t("fx_track_pt").select(F.col("track_id").alias("ring_id"), (F.col("track_id") % 12).alias("rel"), "pos", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.coalesce(F.lead("lon").over(BY), F.first("lon").over(BY)).alias("x1"), F.coalesce(F.lead("lat").over(BY), F.first("lat").over(BY)).alias("y1"))
+    return t("fx_track_pt").select(F.col("track_id").alias("ring_id"), (F.col("track_id") % 12).alias("rel"), "pos", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.coalesce(F.lead("lon").over(by_pos()), F.first("lon").over(by_pos())).alias("x1"), F.coalesce(F.lead("lat").over(by_pos()), F.first("lat").over(by_pos())).alias("y1"))
 
 
 @query("o4_4_inner_ring_container", f"""with {RING}, area as (select rel, ring_id, abs(sum((x0 * y1 - x1 * y0) / 2)) as area from ring group by 1, 2),

@@ -9,7 +9,12 @@ from waystone.functions import geo, text
 from waystone.operators import tracks
 from waystone.plans.registry import query
 
-BY = Window.partitionBy("track_id").orderBy("pos")
+
+
+def by_pos():
+    return Window.partitionBy("track_id").orderBy("pos")
+
+
 #: The legs of fx_track_pt in SQL: both ends, haversine length.
 HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin(radians({d} - {c}) / 2), 2))))"
 
@@ -26,7 +31,7 @@ cum as (select *, sum(leg_m) over (partition by track_id order by pos rows unbou
 
 
 def legs(t):
-    return t("fx_track_pt").withColumns({"lon0": F.lag("lon").over(BY), "lat0": F.lag("lat").over(BY)}).where("lon0 is not null")
+    return t("fx_track_pt").withColumns({"lon0": F.lag("lon").over(by_pos()), "lat0": F.lag("lat").over(by_pos())}).where("lon0 is not null")
 
 
 def chained(t):
@@ -107,7 +112,7 @@ RING = "ring as (select *, coalesce(lead(lon) over (partition by track_id order
 @query("o3_9_ring_area_and_inside", f"with {RING} select track_id, round(abs(sum(((lon - cx) * (lat1 - cy) - (lon1 - cx) * (lat - cy)) / 2)), 9) as area, cast(sum(case when (lat1 > cy) <> (lat > cy) and cx < (lon1 - lon) * (cy - lat) / nullif(lat1 - lat, 0) + lon then 1 else 0 end) as bigint) % 2 = 1 as inside from ring group by 1")
 def ring_area_and_inside(t):
     every = Window.partitionBy("track_id")
-    ring = t("fx_track_pt").withColumns({"lon1": F.coalesce(F.lead("lon").over(BY), F.first("lon").over(BY)), "lat1": F.coalesce(F.lead("lat").over(BY), F.first("lat").over(BY)), "cx": F.avg("lon").over(every), "cy": F.avg("lat").over(every)})
+    ring = t("fx_track_pt").withColumns({"lon1": F.coalesce(F.lead("lon").over(by_pos()), F.first("lon").over(by_pos())), "lat1": F.coalesce(F.lead("lat").over(by_pos()), F.first("lat").over(by_pos())), "cx": F.avg("lon").over(every), "cy": F.avg("lat").over(every)})
     area = F.sum(geo.shoelace_term(F.col("lon") - F.col("cx"), F.col("lat") - F.col("cy"), F.col("lon1") - F.col("cx"), F.col("lat1") - F.col("cy")))
     return ring.groupBy("track_id").agg(F.round(F.abs(area), 9).alias("area"), (F.count_if(geo.crosses_ray("cx", "cy", "lon", "lat", "lon1", "lat1")) % 2 == 1).alias("inside"))
 
@@ -117,7 +122,7 @@ TURN = f"with {LEGS}, n as (select *, lead(lon) over (partition by track_id orde
 
 @query("o3_10_turn_angle", f"{TURN} select track_id, pos, round(case when s > 0 then degrees(acos(least(1.0, greatest(-1.0, dot / s)))) end, 4) as degrees from d")
 def turn_angle(t):
-    p = legs(t).withColumns({"lon1": F.lead("lon").over(BY), "lat1": F.lead("lat").over(BY)}).where("lon1 is not null")
+    p = legs(t).withColumns({"lon1": F.lead("lon").over(by_pos()), "lat1": F.lead("lat").over(by_pos())}).where("lon1 is not null")
     return p.select("track_id", "pos", F.round(geo.turn_degrees("lon0", "lat0", "lon", "lat", "lon1", "lat1"), 4).alias("degrees"))
 
 
