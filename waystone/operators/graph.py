@@ -3,7 +3,7 @@ shared folder; loops end when nothing changes, or raise when `rounds` don't suff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import planar_distance
@@ -173,3 +173,32 @@ def generalized(points: DataFrame, tolerance: float, track: str = "track_id", ro
         kept = settled(kept.unionByName(split.select(track, F.col("k").alias("pos"))))
         spans = settled(split.select(track, "i", F.col("k").alias("j")).unionByName(split.select(track, F.col("k").alias("i"), "j")))
     raise RuntimeError("generalized: not settled")
+
+
+def oriented(members: DataFrame, snaps: DataFrame, limit: float) -> DataFrame:
+    """Direction of each way of an ordered relation (relation, pos, way, a, b, xa, ya, xb, yb): forward where it starts at the
+    node where the one before ended, reverse where it ends there. Where they share no node, an allowlisted pair (before, way)
+    whose ends are within the limit is snapped; anything else is a break, after which the way goes forward, or as its
+    follower wants. relation, pos, way, direction, join: start, node, snap or break.
+
+    A direction depends on the one before: a relation's members are folded in order as one array."""
+    by = F.struct("pos", "way", "a", "b", "xa", "ya", "xb", "yb", "allowed", "na", "nb")
+    order = Window.partitionBy("relation").orderBy("pos")
+    paired = members.withColumns({"before": F.lag("way").over(order), "na": F.lead("a").over(order), "nb": F.lead("b").over(order)})
+    paired = paired.join(snaps.select("before", "way", F.lit(True).alias("allowed")), ["before", "way"], "left")
+    packed = paired.groupBy("relation").agg(F.array_sort(F.collect_list(by)).alias("m"))
+    row = "struct<pos:bigint,way:bigint,direction:string,join:string>"
+    start = F.struct(F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def step(acc, w):
+        da, db = F.hypot(acc["x"] - w["xa"], acc["y"] - w["ya"]), F.hypot(acc["x"] - w["xb"], acc["y"] - w["yb"])
+        first = acc["end"].isNull()
+        wants_back = ~F.coalesce(w["b"].isin(w["na"], w["nb"]), F.lit(False)) & F.coalesce(w["a"].isin(w["na"], w["nb"]), F.lit(False))
+        snapped = F.coalesce(w["allowed"], F.lit(False)) & (F.least(da, db) <= limit)
+        how = F.when(first, "start").when((acc["end"] == w["a"]) | (acc["end"] == w["b"]), "node").when(snapped, "snap").otherwise("break")
+        back = F.when(how == "node", acc["end"] != w["a"]).when(how == "snap", db < da).otherwise(wants_back)
+        cell = F.struct(w["pos"].cast("bigint").alias("pos"), w["way"].cast("bigint").alias("way"), F.when(back, "reverse").otherwise("forward").alias("direction"), how.alias("join"))
+        return F.struct(F.when(back, w["a"]).otherwise(w["b"]).cast("bigint").alias("end"), F.when(back, w["xa"]).otherwise(w["xb"]).alias("x"), F.when(back, w["ya"]).otherwise(w["yb"]).alias("y"), F.concat(acc["out"], F.array(cell)).alias("out"))
+
+    done = packed.select("relation", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
+    return done.select("relation", "o.pos", "o.way", "o.direction", "o.join")

@@ -71,3 +71,29 @@ def spaced(df: DataFrame, partition: list[str], at: str, strength: str, apart: f
     near = lambda kept, x: F.exists(kept, lambda y: F.abs(y - x["at"]) < apart)
     step = lambda kept, x: F.when((F.size(kept) < most) & ~near(kept, x), F.concat(kept, F.array(x["at"].cast("double")))).otherwise(kept)
     return packed.select(*partition, F.explode(F.aggregate("items", start, step)).alias(at))
+
+
+def filled(df: DataFrame, partition: list[str], key: str, order: Column, size: str, used: str, capacity: float) -> DataFrame:
+    """Rows in order (a sortable column that tells them apart) that fit into what is left of a capacity; what doesn't fit is
+    skipped. `used` holds what each group has spent already. One group's rows are folded as one array."""
+    item = F.struct(order.alias("o"), F.col(size).cast("double").alias("n"), F.col(key).alias("k"))
+    packed = df.groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(used).cast("double").alias("used"))
+    kind = df.schema[key].dataType.simpleString()
+    start = F.struct(F.col("used").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+
+    def step(acc, x):
+        fits = acc["used"] + x["n"] <= capacity
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return packed.select(*partition, F.explode(F.aggregate("items", start, step, lambda a: a["kept"])).alias(key))
+
+
+def ink_selection(groups: DataFrame, plate: str, layer: str, key: str, rank: str, ink: str, capacity: float, reserve: float) -> DataFrame:
+    """Which groups a plate's ink buys: each layer's reserve (a share of the capacity) is seeded with its largest groups
+    first, then all other groups fill the rest by rank, then size, then key. Adds phase: reserve or fill."""
+    seeded = within_budget(groups, [plate, layer], key, ink, capacity * reserve, 0.0)
+    first = groups.join(seeded, [plate, layer, key], "left_semi")
+    spent = first.groupBy(plate).agg(F.sum(ink).alias("_used"))
+    rest = groups.join(seeded, [plate, layer, key], "left_anti").join(spent, plate, "left").withColumn("_used", F.coalesce("_used", F.lit(0.0)))
+    more = filled(rest, [plate], key, F.struct((-F.col(rank)).alias("r"), (-F.col(ink)).alias("i"), F.col(key).alias("k")), ink, "_used", capacity)
+    return first.select(plate, key, F.lit("reserve").alias("phase")).unionByName(more.select(plate, key, F.lit("fill").alias("phase")))
