@@ -147,6 +147,18 @@ def thresholds(scan: DataFrame) -> dict[int, int]:
     return out
 
 
+def with_spans(scan: DataFrame, limits: dict[int, int]) -> DataFrame:
+    """scan with spans instead of tokens: the base spans, and tokens that reach their stratum's bin and meet no base span."""
+    if limits:
+        least = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+        passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] >= F.element_at(least, t["stratum"]), F.lit(False)))
+    else:
+        passed = F.filter("tokens", lambda t: F.lit(False))
+    alone = F.filter(passed, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    added = F.transform(alone, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return scan.withColumn("spans", F.array_sort(F.concat("base", added))).drop("tokens")
+
+
 def find_secrets(docs: DataFrame, name: str = "scan") -> DataFrame:
     """Per row of docs, its columns without text, and base and spans: arrays of (start, kind, end) in code points.
 
@@ -157,15 +169,7 @@ def find_secrets(docs: DataFrame, name: str = "scan") -> DataFrame:
     in the shared folder: no key is ever gathered.
     """
     scan = written(scanned(docs.drop("base", "tokens", "spans")).drop("text"), name)
-    limits = thresholds(scan)
-    if limits:
-        least = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-        passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] >= F.element_at(least, t["stratum"]), F.lit(False)))
-    else:
-        passed = F.filter("tokens", lambda t: F.lit(False))
-    alone = F.filter(passed, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    added = F.transform(alone, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scan.withColumn("spans", F.array_sort(F.concat("base", added))).drop("tokens")
+    return with_spans(scan, thresholds(scan))
 
 
 def digest(spans: str) -> Column:
@@ -183,18 +187,20 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mark (spans that meet become one), n_chars counted anew if present.
 
-    The scan keeps a row number that the text table is written with, so equal ids and rows stay apart.
-    """
+    Texts are read twice, for the thresholds and for the spans, instead of being kept on disk in between; no row is joined,
+    so equal ids and rows stay as they are."""
     columns = docs.columns
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    found = find_secrets(keyed.select("_row", "text")).where(F.size("spans") > 0).select("_row", "spans")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col("text"))
+    scan = scanned(row)
+    found = with_spans(scan, thresholds(scan))
     # a fold over spans by start: text up to the span, then the mark, unless the span meets the last one
     step = lambda acc, s: F.struct(
         F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"),
     )
     clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = keyed.join(found, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    marked = found.withColumn("_clean", F.when(F.size("spans") > 0, clean))
+    changed = {"text": F.coalesce("_clean", "text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        changed["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return marked.select(*[changed.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])
