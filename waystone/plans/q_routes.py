@@ -10,7 +10,6 @@ from waystone.functions.geo import crosses_ray
 from waystone.operators import graph, select, tracks
 from waystone.plans.q_aggregates import parallel_share
 from waystone.plans.q_joins import RING, rings
-from waystone.plans.q_rules import tag_map
 from waystone.plans.registry import query
 
 
@@ -63,8 +62,11 @@ def features_in_boundary(t):
 r as (select *, row_number() over (partition by class order by distance, area_mm2 desc, way_id) as place from c where class is not null and area_mm2 >= 0.8 and distance <= 2)
 select class, way_id, cast(place as integer) as place from r where place <= 20""")
 def landcover_selection(t):
-    c = t("fx_tagged").select("way_id", tags.landcover_class(tag_map()).alias("class"), "area_mm2", F.abs(F.col("length_mm") - 3).alias("distance")).where("class is not null and area_mm2 >= 0.8 and distance <= 2")
-    return select.top_of_each(c, ["class"], ["distance", F.desc("area_mm2"), "way_id"], 20).select("class", "way_id", "place")
+    few = F.create_map(F.lit("natural"), F.col("nature"), F.lit("landuse"), F.col("landuse"), F.lit("leisure"), F.col("leisure"))
+    near = t("fx_tagged").select("way_id", few.alias("tags"), "area_mm2", F.abs(F.col("length_mm") - 3).alias("distance")).where("area_mm2 >= 0.8 and distance <= 2")
+    c = near.select("way_id", F.coalesce(tags.landcover_class(F.col("tags")), F.lit("-")).alias("class"), "area_mm2", "distance")
+    top = select.top_of_each(c, ["class"], ["distance", F.desc("area_mm2"), "way_id"], 20)
+    return top.where("class <> '-'").select("class", "way_id", "place")
 
 
 @query("o7_4_ink_selection")
