@@ -9,6 +9,7 @@ from waystone.functions import tags
 from waystone.functions.geo import crosses_ray
 from waystone.operators import graph, select, tracks
 from waystone.plans.q_aggregates import parallel_share
+from waystone.plans.q_graph import edges
 from waystone.plans.q_joins import RING, rings
 from waystone.plans.registry import query
 
@@ -89,13 +90,12 @@ def oriented_ways(t):
 @query("o8_21_corridor_legs")
 def corridor_legs(t):
     """Shortest path of each ordered leg between anchors and its detour against the straight line; legs over 1.8 fail."""
-    by = Window.partitionBy("way_id").orderBy("pos")
-    e = t("fx_way_node").select("way_id", "pos", F.col("node_id").alias("a"), F.lead("node_id").over(by).alias("b")).where("b is not null and a <> b")
+    e = edges(t)
     n = t("fx_node")
     end = lambda c: n.select(F.col("node_id").alias(c), F.col("lon").alias(f"x{c}"), F.col("lat").alias(f"y{c}"))
-    edges = e.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("m"))
-    legs = e.where("way_id % 600 = 0").groupBy(F.col("way_id").alias("query")).agg(F.min_by("a", "pos").alias("source"), F.max_by("b", "pos").alias("target"))
-    found = graph.shortest_paths(edges, legs).join(legs, "query")
+    measured = e.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("m"))
+    legs = e.groupBy(F.col("way_id").alias("query")).agg(F.min_by("a", "pos").alias("source"), F.max_by("b", "pos").alias("target"))
+    found = graph.shortest_paths(measured, legs).join(legs, "query")
     straight = found.join(end("source"), "source").join(end("target"), "target")
     direct = F.hypot(F.col("xsource") - F.col("xtarget"), F.col("ysource") - F.col("ytarget"))
     return straight.select("query", F.round("m", 6).alias("m"), "paths", (F.try_divide("m", direct) <= 1.8).alias("accepted"))
