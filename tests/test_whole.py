@@ -2,12 +2,14 @@
 
 import heapq
 import math
+import random
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from waystone.plans import catalog
+from waystone.plans import catalog, q_routes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,3 +60,18 @@ def test_corridor_legs_of_every_way(spark):
                 for o, m in near[n]:
                     heapq.heappush(heap, (d + m, o))
         assert math.isclose(got[w], far[target], abs_tol=2e-6)
+
+
+def test_contours_of_every_tile(spark, tmp_path):
+    rng = random.Random(2)
+    table = pa.table({"vec_id": pa.array([5, 300, 4711], pa.int64()), "embedding": pa.array([[rng.uniform(-1, 1) for _ in range(64)] for _ in range(3)], pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    assert {r["tile"] for r in catalog.QUERIES["o8_18_contours"](spark, str(tmp_path)).collect()} == {5, 300, 4711}
+
+
+def test_host_roads_of_every_track_and_leg(spark):
+    """Track 3 runs along track 53 all the way, track 10 along track 60 from its 20th point on, track 11 far from 61."""
+    rows = [(track, pos, pos / 1000, 51.0 + (5.0 if track == 61 or track == 60 and pos < 20 else 0.0)) for track in (3, 53, 10, 60, 11, 61) for pos in range(60)]
+    points = spark.createDataFrame(rows, "track_id long, pos int, lon double, lat double")
+    got = {r["line_id"]: r["dropped"] for r in q_routes.host_roads(lambda name: points).collect()}
+    assert got == {3: True, 10: True, 11: False}

@@ -158,9 +158,13 @@ def snapshot_audit(t):
 d as (select c.line_id, c.pos, c.x, c.y, min(case when (l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0) > 0 then sqrt(power(c.x - l.x0 - least(1.0, greatest(0.0, ((c.x - l.x0) * (l.x1 - l.x0) + (c.y - l.y0) * (l.y1 - l.y0)) / ((l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0)))) * (l.x1 - l.x0), 2) + power(c.y - l.y0 - least(1.0, greatest(0.0, ((c.x - l.x0) * (l.x1 - l.x0) + (c.y - l.y0) * (l.y1 - l.y0)) / ((l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0)))) * (l.y1 - l.y0), 2)) else sqrt(power(c.x - l.x0, 2) + power(c.y - l.y0, 2)) end) as m from c join line l on l.line_id = c.other group by 1, 2, 3, 4)
 select line_id, count(*) as samples, round(avg(case when m <= 0.8 then 1.0 else 0.0 end), 6) as share from d group by 1""")
 def parallel_share(t):
+    return shares(plane(t))
+
+
+def shares(p):
+    """Of each line the samples, and the share of them that lie along its reference, the line 50 further."""
     from waystone.functions.geo import planar_distance
 
-    p = plane(t)
     k = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / 4.0
     samples = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("line_id", "pos", k("x0", "x1").alias("x"), k("y0", "y1").alias("y"))
     refs = p.select((F.col("line_id") - 50).alias("line_id"), "x0", "y0", "x1", "y1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waystone.operators import graph
-from waystone.plans.q_joins import dem
+from waystone.plans.q_joins import tiles
 from waystone.plans.registry import query
 
 EDGE = "edge as (select way_id, pos, node_id as a, lead(node_id) over (partition by way_id order by pos) as b from fx_way_node)"
@@ -129,7 +129,7 @@ def generalized_lines(t):
 def contours(t):
     from waystone.operators.terrain import contour_segments, level_plan
 
-    return contour_segments(dem(t), level_plan(dem(t)))
+    return contour_segments(tiles(t), level_plan(tiles(t)))
 
 
 @query("o8_19_route_discovery", """with recursive m as (select distinct relation_id as a, way_id % 900 as b from fx_rel_member), w as (select 0 as id, 0 as depth union select b, depth + 1 from w join m on m.a = w.id where depth < 40)

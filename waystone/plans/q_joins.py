@@ -178,7 +178,12 @@ def seg_dist(px, py, a, b, c, d):
 
 
 def plane(t):
-    return legs(t).where("track_id % 10 = 0 and pos < 20").select(F.col("track_id").alias("line_id"), "pos", ((F.col("lon0") + 3) * 1000).alias("x0"), ((F.col("lat0") - 51) * 1000).alias("y0"), ((F.col("lon") + 3) * 1000).alias("x1"), ((F.col("lat") - 51) * 1000).alias("y1"))
+    return lines(t).where("line_id % 10 = 0 and pos < 20")
+
+
+def lines(t):
+    """The legs of all tracks in the plane."""
+    return legs(t).select(F.col("track_id").alias("line_id"), "pos", ((F.col("lon0") + 3) * 1000).alias("x0"), ((F.col("lat0") - 51) * 1000).alias("y0"), ((F.col("lon") + 3) * 1000).alias("x1"), ((F.col("lat") - 51) * 1000).alias("y1"))
 
 
 @query("o4_17_close_pairs", f"""with {PLANE}, g as (select a.line_id as a, b.line_id as b, least({seg_dist('a.x0', 'a.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('b.x0', 'b.y0', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}, {seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) as gap from line a join line b on a.line_id < b.line_id)
@@ -210,7 +215,12 @@ DEM = "dem as (select vec_id as tile, cast(i // 8 as integer) as r, cast(i % 8 a
 
 
 def dem(t):
-    cells = t("embeddings").where("vec_id < 300").select(F.col("vec_id").alias("tile"), F.posexplode("embedding").alias("i", "v"))
+    return tiles(t).where("tile < 300")
+
+
+def tiles(t):
+    """The cells of all elevation tiles."""
+    cells = t("embeddings").select(F.col("vec_id").alias("tile"), F.posexplode("embedding").alias("i", "v"))
     return cells.select("tile", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).cast("int").alias("col"), (F.col("v").cast("double") * 100).alias("z"))
 
 

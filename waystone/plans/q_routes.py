@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from waystone.functions import tags
 from waystone.functions.geo import crosses_ray
 from waystone.operators import graph, select, tracks
-from waystone.plans.q_aggregates import parallel_share
+from waystone.plans.q_aggregates import shares
 from waystone.plans.q_graph import edges
-from waystone.plans.q_joins import RING, rings
+from waystone.plans.q_joins import RING, lines, rings
 from waystone.plans.registry import query
 
 
@@ -46,8 +46,8 @@ def uncovered_runs(t):
 
 @query("o4_24_host_roads")
 def host_roads(t):
-    """Lines most of which lie along their reference are dropped; o4_18_parallel_share states the shares in SQL."""
-    return parallel_share(t).select("line_id", (F.col("share") >= 0.5).alias("dropped"))
+    """Lines most of which lie along their reference are dropped; o4_18_parallel_share states the shares of some in SQL."""
+    return shares(lines(t)).select("line_id", (F.col("share") >= 0.5).alias("dropped"))
 
 
 @query("o4_26_features_in_boundary", f"""with {RING}, pt as (select track_id, pos, lon as x, lat as y, track_id + 50 as venue from fx_track_pt where track_id < 100),
