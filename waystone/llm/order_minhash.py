@@ -30,7 +30,7 @@ _STEP, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9
 
 def words_of(texts: list[str]) -> list[np.ndarray]:
     """The words (lower case, split at white space) of each text as 64-bit hashes."""
-    cut = pieces.Cut([t.lower() for t in texts], "space")
+    cut = pieces.Cut([t.lower() for t in texts], "white")
     return np.split(cut.hash, np.searchsorted(cut.owner, np.arange(1, len(texts)))) if texts else []
 
 

@@ -52,6 +52,8 @@ class Cut:
         self.firsts = np.concatenate(([0], np.cumsum(lengths)))
         n = len(cp)
         g = class_table()[cp]
+        if style == "white":
+            g = np.where(g == SPACE, g, OTHER)  # words are what white space leaves whole
         doc = np.zeros(n + 1, bool)
         doc[self.firsts] = True
         cut = np.ones(n + 1, bool)
@@ -64,7 +66,7 @@ class Cut:
             at = at[(g[at] != SPACE) & (g[at - 1] == SPACE) & ~doc[at]]
             cut[at - 1] = True
             cut[at[cp[at - 1] == 32]] = False
-        if style != "space":
+        if style not in ("space", "white"):
             self._contractions(cp, g, cut, doc, n)
         bounds = np.flatnonzero(cut)
         self.starts, self.ends = bounds[:-1], bounds[1:]
