@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from waystone.llm import order_minhash
 
 
@@ -34,3 +36,31 @@ def test_one_word_of_dates_counts_as_one(spark):
     assert likeness(*texts[:2]) < 0.8 <= likeness(*texts[2:])
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(frame(spark, texts)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_short_near_texts_share_a_sketch():
+    """Of each length up to 80 words, a text and a prefix of it of similarity 0.8 at least."""
+    lost = []
+    for n in range(5, 81):
+        for k in range(40):
+            base = [f"w{n}x{k}x{i}" for i in range(n)]
+            other = base[: 4 + -(-4 * (n - 4) // 5)]
+            a, b = (set(order_minhash.sketch(order_minhash.shingles(w))[0].tolist()) for w in order_minhash.words_of([" ".join(base), " ".join(other)]))
+            lost += [(n, k)] * (not a & b)
+    assert len(lost) <= 3  # 0.0004 of the pairs above FEW shingles, none below
+    assert all(n > 36 for n, _ in lost)
+
+
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """All texts meet in one bucket above BUCKET and in no other."""
+    rng = random.Random(6)
+    texts = []
+    for g in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base[:50] + [f"x{g}"] + base[51:])]
+    monkeypatch.setattr(order_minhash, "BUCKET", 8)
+    monkeypatch.setattr(order_minhash, "PIVOTS", 2)
+    real = order_minhash.sketched
+    monkeypatch.setattr(order_minhash, "sketched", lambda docs: real(docs).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}

@@ -16,9 +16,12 @@ from waystone.llm.shared import classes, partitions, union_all, written
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a text, and the minimum shingles that each keeps in text order.
 SKETCHES, MINIMA = 16, 4
+#: Texts of at most FEW shingles keep FEWER minima instead, as one shingle is a large share of theirs; texts that can be near
+#: both to such a text and to a longer one have sketches of both kinds.
+FEW, FEWER = 32, 2
 #: Plain minima kept as bytes, and how many of them near-duplicates share (five deviations below what 0.8 gives).
 BYTES, LEAST_BYTES = 128, 80
-#: Nodes of a bucket that are screened, and texts that are compared, in one place; what is larger is divided, never cut.
+#: Nodes of a bucket that are screened, and texts that are compared, in one place; what is larger is compared in blocks, never cut.
 BUCKET, GROUP = 2048, 256
 PIVOTS = 16
 
@@ -61,8 +64,17 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def _keys(h: np.ndarray, place: np.ndarray, first: int) -> np.ndarray:
+    """One key per row of places: its shingles in text order. first: tells kinds of sketches apart."""
+    key = np.arange(first, first + SKETCHES, dtype=np.uint64) * _STEP
+    for column in h[np.sort(place, axis=1)].T:
+        key = _mixed(key * _STEP + column)
+    return key
+
+
 def sketch(h: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The keys of the order-MinHash sketches, and the low byte of the plain minima, of labelled shingles."""
+    """The keys of the order-MinHash sketches (of FEWER minima, of MINIMA or of both), and the low byte of the plain minima, of
+    labelled shingles."""
     k = min(MINIMA, len(h))
     best_value, best_place = np.zeros((SKETCHES, 0), np.uint64), np.zeros((SKETCHES, 0), np.int64)
     low = np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
@@ -76,10 +88,13 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, bytes]:
             keep = np.argpartition(best_value, k - 1, axis=1)[:, :k]
             best_value, best_place = np.take_along_axis(best_value, keep, 1), np.take_along_axis(best_place, keep, 1)
         np.minimum(low, (part[None, :] * _BYTE_FACTORS[:, None]).min(axis=1), out=low)
-    key = np.arange(1, SKETCHES + 1, dtype=np.uint64) * _STEP
-    for column in h[np.sort(best_place, axis=1)].T:
-        key = _mixed(key * _STEP + column)
-    return key.view(np.int64), (_mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+    keys = []
+    if len(h) >= SIMILAR * FEW:
+        keys.append(_keys(h, best_place, 1))
+    if len(h) <= FEW:
+        least = np.argsort(best_value, axis=1)[:, :FEWER]
+        keys.append(_keys(h, np.take_along_axis(best_place, least, 1), 1 + SKETCHES))
+    return np.concatenate(keys).view(np.int64), (_mixed(low) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def aligned_runs(a: list[int], b: list[int], band: int) -> list[int] | None:
@@ -205,7 +220,7 @@ def _crowded(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _screened(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets of at most BUCKET nodes: links (a, b) that join the members which could be near-duplicates by their bytes."""
+    """Buckets, or blocks of them, of about BUCKET nodes at most: links (a, b) that join the members which could be near-duplicates by their bytes."""
     members = hits.join(nodes.select("node", "low"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "low")).alias("m")).select("m")
 
     def run(batches):
@@ -231,6 +246,44 @@ def _screened(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _gid(*columns: str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", *[F.hex(x) for x in columns]).cast("binary")))
+
+
+def _dealt(n: str, size: int) -> Column:
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / size).cast("long"))
+
+
+def _every_block(n: str, size: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / size).cast("long") - 1))
+
+
+def _blocks(rest: DataFrame, key: str, most: int) -> DataFrame:
+    """Sets (key, node, n) dealt to blocks of about `most` nodes that share pivots: gid, node."""
+    size = max(most - PIVOTS, 1)
+    blocks = rest.select(key, "node", _dealt("n", size).alias("block"))
+    pivots = rest.groupBy(key, F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p")).agg(F.min("node").alias("node"), F.max("n").alias("n")).select(key, "node", _every_block("n", size).alias("block"))
+    return blocks.unionByName(pivots).distinct().select(_gid(key, "block").alias("gid"), "node")
+
+
+def _crossed(state: DataFrame, key: str, most: int) -> DataFrame | None:
+    """After _blocks: what is outside its set's main class (state: key, node, class_id) with every node of the set, as groups
+    (gid, node, side) of about `most` nodes; side 0: outside. None if nothing is outside."""
+    main = state.groupBy(key, "class_id").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("class_id", F.struct("c", "class_id")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).withColumn("odd", F.col("n") - F.col("most")).where("odd > 0")
+    left = state.join(main, key).where("class_id <> main")
+    if left.isEmpty():
+        return None
+    half = most // 2
+    odd = left.select(key, "node", _dealt("odd", half).alias("i"), _every_block("n", half).alias("j"), F.lit(0).alias("side"))
+    every = state.join(main, key).select(key, "node", _every_block("odd", half).alias("i"), _dealt("n", half).alias("j"), F.lit(1).alias("side"))
+    return odd.unionByName(every).groupBy(key, "i", "j", "node").agg(F.min("side").alias("side")).select(_gid(key, "i", "j").alias("gid"), "node", "side")
+
+
+def _labelled(sets: DataFrame, links: DataFrame, key: str, name: str) -> DataFrame:
+    """sets (key, node) with the class_id that the links give each node."""
+    return written(sets.join(classes(links).withColumnRenamed("id", "node"), "node", "left").select(key, "node", F.coalesce("class_id", "node").alias("class_id")), name)
+
+
 def _compared(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) within groups (gid, node, side; side 0: compared with all others of the group, 1: only with side 0).
 
@@ -267,7 +320,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Equal texts (null: empty) are one node. Nodes that agree in one of SKETCHES order-MinHash sketches meet in a bucket: a
     sketch is the MINIMA least occurrence-labelled shingles in text order, so that a pair of similarity 0.8 agrees in one
-    with probability above 0.999. Buckets of more than BUCKET nodes are divided by each further sketch. Members that share
+    with probability above 0.999 (texts of few shingles keep fewer minima for that). Buckets of more than BUCKET nodes are
+    screened in blocks that share pivots, and what is outside a bucket's main class with every other member. Members that share
     enough bytes of plain minima form clusters (over all buckets), and a cluster's texts are brought together once: in one
     group of at most GROUP, or else in blocks that share pivots, after which every node outside the cluster's main class
     meets every other. Links are verified by banded alignment; classes are their connected components. Within a cluster no
@@ -278,38 +332,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low")), "nodes")
     reps = nodes.select("node", "rep")
     hits = _crowded(nodes.select(F.explode("keys").alias("key"), "node"), "hits")
-    linked = [_screened(hits.where(F.col("n") <= BUCKET), nodes)]
+    linked = [written(_screened(hits.where(F.col("n") <= BUCKET), nodes), "screened")]
     large = hits.where(F.col("n") > BUCKET)
     if not large.isEmpty():
-        parts = large.select("node", F.col("key").alias("first")).join(nodes.select("node", "keys"), "node").select("node", "first", F.explode("keys").alias("second")).where("first <> second")
-        finer = _crowded(parts.select(F.xxhash64("first", "second").alias("key"), "node"), "finer")
-        linked.append(_screened(finer.where(F.col("n") <= BUCKET), nodes))
-        rest = finer.where(F.col("n") > BUCKET)
-        linked.append(rest.join(rest.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b")).distinct())
+        linked.append(written(_screened(_blocks(large, "key", BUCKET).withColumnRenamed("gid", "key"), nodes), "screened"))
+        crossed = _crossed(_labelled(large, union_all(linked), "key", "met"), "key", BUCKET)
+        if crossed is not None:
+            linked.append(_screened(crossed.withColumnRenamed("gid", "key"), nodes))
     clusters = classes(union_all(linked)).select(F.col("id").alias("node"), F.col("class_id").alias("cluster"))
     placed = written(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "clusters")
     groups = placed.where(F.col("n") <= GROUP).select(F.col("cluster").alias("gid"), "node", F.lit(0).alias("side"))
     rest = placed.where(F.col("n") > GROUP)
     wide = not rest.isEmpty()
-    gid = lambda *c: F.unhex(F.md5(F.concat_ws(":", *[F.hex(x) for x in c]).cast("binary")))
-    dealt = lambda c, size: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / size).cast("long"))
-    every_block = lambda c, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / size).cast("long") - 1))
     if wide:
-        size = GROUP - PIVOTS
-        blocks = rest.select("cluster", "node", dealt("n", size).alias("block"))
-        pivots = rest.groupBy("cluster", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p")).agg(F.min("node").alias("node"), F.max("n").alias("n")).select("cluster", "node", every_block("n", size).alias("block"))
-        groups = groups.unionByName(blocks.unionByName(pivots).distinct().select(gid("cluster", "block").alias("gid"), "node", F.lit(0).alias("side")))
+        groups = groups.unionByName(_blocks(rest, "cluster", GROUP).select("gid", "node", F.lit(0).alias("side")))
     links = written(_compared(groups, reps, docs), "links")
     labels = classes(links)
     if wide:
         state = written(rest.join(labels.withColumnRenamed("id", "node"), "node", "left").select("cluster", "node", F.coalesce("class_id", "node").alias("class_id")), "placed")
-        main = state.groupBy("cluster", "class_id").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("class_id", F.struct("c", "class_id")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).withColumn("odd", F.col("n") - F.col("most")).where("odd > 0")
-        left = state.join(main, "cluster").where("class_id <> main")
-        if not left.isEmpty():
-            half = GROUP // 2
-            odd = left.select("cluster", "node", dealt("odd", half).alias("i"), every_block("n", half).alias("j"), F.lit(0).alias("side"))
-            every = state.join(main, "cluster").select("cluster", "node", every_block("odd", half).alias("i"), dealt("n", half).alias("j"), F.lit(1).alias("side"))
-            crossed = odd.unionByName(every).groupBy("cluster", "i", "j", "node").agg(F.min("side").alias("side")).select(gid("cluster", "i", "j").alias("gid"), "node", "side")
+        crossed = _crossed(state, "cluster", GROUP)
+        if crossed is not None:
             labels = classes(links.unionByName(written(_compared(crossed, reps, docs), "links")))
     named = table.select("doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("node"))
     return named.join(named.groupBy("node").agg(F.min("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
