@@ -64,3 +64,13 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "sketched", lambda docs: real(docs).withColumn("keys", F.array(F.lit(7).cast("long"))))
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(frame(spark, texts)).collect()}
     assert got == {i: i - i % 2 for i in range(60)}
+
+
+def test_rows_of_one_id_and_different_texts_all_stay(spark):
+    """Repeated and null ids: each class keeps one row, and a copy goes even where its id is also a kept row's."""
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join(base[:50] + ["x"] + base[51:])
+    rows = [(1, " ".join(base)), (2, near), (2, "another text"), (2, "another text"), (3, "one"), (3, "two"), (None, "three"), (None, "four"), (None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, order_minhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([rows[i] for i in (0, 2, 4, 5, 6, 7)], key=str)

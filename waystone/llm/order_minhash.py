@@ -316,7 +316,13 @@ def _compared(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id and class_id, the least doc_id of its class of exact and near copies.
+    """Per row of docs: doc_id and class_id, the least doc_id of its class of exact and near copies."""
+    named = _named(docs).select("doc_id", "label")
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, node and label, which rows of one class of exact and near copies share.
 
     Equal texts (null: empty) are one node. Nodes that agree in one of SKETCHES order-MinHash sketches meet in a bucket: a
     sketch is the MINIMA least occurrence-labelled shingles in text order, so that a pair of similarity 0.8 agrees in one
@@ -353,13 +359,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         crossed = _crossed(state, "cluster", GROUP)
         if crossed is not None:
             labels = classes(links.unionByName(written(_compared(crossed, reps, docs), "links")))
-    named = table.select("doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("node"))
-    return named.join(named.groupBy("node").agg(F.min("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
+    return table.select("doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("class_id", "node").alias("label"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the least doc_id (null last; of rows with that id any one)."""
-    found = written(near_classes(docs), "classes")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = docs.alias("d").join(kept.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select("d.*")
-    return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+    """docs with one row of each class: the one with the least doc_id (null last; of its rows with that id the one with the
+    least node). Rows of other classes that share the id don't matter."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "n")).alias("k")
+    kept = written(_named(docs).groupBy("label", "doc_id", "node").agg(F.count("*").alias("n")).groupBy("label").agg(least).select("k.doc_id", "k.node", "k.n"), "kept")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (node(F.col("d.text")) == F.col("k.node"))
+    rows = docs.alias("d").join(kept.hint("merge").alias("k"), same, "left_semi").select("d.*")
+    return rows if kept.where("n > 1").isEmpty() else rows.withColumn("_node", node(F.col("text"))).dropDuplicates(["doc_id", "_node"]).drop("_node")
