@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waystone.llm import order_minhash
+from waystone.llm import language, order_minhash
 
 
 def frame(spark, texts):
@@ -74,3 +74,10 @@ def test_rows_of_one_id_and_different_texts_all_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, order_minhash.one_of_each(docs).collect()), key=str)
     assert got == sorted([rows[i] for i in (0, 2, 4, 5, 6, 7)], key=str)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 70}") for i in range(2100)], "doc_id long, text string, lang string")
+    assert set(language.labelled_sample(docs)[1]) == {f"l{i}" for i in range(70)}
+    monkeypatch.setattr(language, "MAX_SAMPLE", 100)
+    assert sorted(language.labelled_sample(docs)[1]) == sorted(f"l{i}" for i in range(70))

@@ -8,7 +8,9 @@ from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from waystone.operators import joins
 from waystone.plans import catalog, q_routes
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +77,10 @@ def test_host_roads_of_every_track_and_leg(spark):
     points = spark.createDataFrame(rows, "track_id long, pos int, lon double, lat double")
     got = {r["line_id"]: r["dropped"] for r in q_routes.host_roads(lambda name: points).collect()}
     assert got == {3: True, 10: True, 11: False}
+
+
+def test_nesting_deeper_than_the_rounds_raises(spark):
+    nest = spark.createDataFrame([(i, i + 1, False, i == 5) for i in range(6)], "parent long, child long, inner boolean, leaf boolean")
+    assert (0, 6, False, 6) in {tuple(r) for r in joins.nested_members(nest).collect()}
+    with pytest.raises(RuntimeError):
+        joins.nested_members(nest, rounds=3)

@@ -15,8 +15,8 @@ from waystone.llm.shared import extended
 
 #: Bytes of a window, filter widths and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: What is learned from, at most: documents of a language, languages (the most frequent), windows of a document.
-MAX_DOCUMENTS, MAX_LANGUAGES, MAX_WINDOWS = 400, 64, 6
+#: What is learned from, at most: documents of a language, of all (but one of each language), windows of a document.
+MAX_DOCUMENTS, MAX_SAMPLE, MAX_WINDOWS = 400, 25_600, 6
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Windows computed at a time.
 CHUNK = 256
@@ -136,14 +136,15 @@ def fit(texts: list[str], languages: list[str], seed: int = 0) -> Model | None:
 
 
 def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: the MAX_LANGUAGES most frequent languages, MAX_DOCUMENTS of each by id hash.
+    """Texts and languages to learn from: of every language MAX_DOCUMENTS by id hash, or fewer (one at least) where many
+    languages share MAX_SAMPLE.
 
     Ids are ranked with a limit per language, which every task applies before the exchange; only chosen texts travel.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).select("doc_id", "lang")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    each = min(MAX_DOCUMENTS, max(1, MAX_SAMPLE // max(1, known.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.join(F.broadcast(top), "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_DOCUMENTS).groupBy("doc_id").agg(F.min("lang").alias("_lang"))
+    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).groupBy("doc_id").agg(F.min("lang").alias("_lang"))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_lang").alias("_lang")).collect()  # a bounded number
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["_lang"] for r in rows]

@@ -157,4 +157,6 @@ def nested_members(relations: DataFrame, rounds: int = 32) -> DataFrame:
         if nxt.isEmpty():
             break
         done, open_ = done.unionByName(nxt.where("leaf")), nxt.where(~F.col("leaf"))
+    else:
+        raise RuntimeError("nested_members: not settled")
     return done.select("root", F.col("child").alias("leaf"), "inner", "depth")
