@@ -12,6 +12,7 @@ import pytest
 
 from waystone.operators import joins
 from waystone.plans import catalog, q_routes
+from waystone.plans.fixtures import VIEWS, Inputs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,3 +85,12 @@ def test_nesting_deeper_than_the_rounds_raises(spark):
     assert (0, 6, False, 6) in {tuple(r) for r in joins.nested_members(nest).collect()}
     with pytest.raises(RuntimeError):
         joins.nested_members(nest, rounds=3)
+
+
+def test_strokes_are_the_views_without_one_task(spark):
+    t = Inputs(spark, SMALL)
+    t("lineitem").createOrReplaceTempView("lineitem")
+    view, got = spark.sql(VIEWS["fx_stroke"]), t("fx_stroke")
+    assert got.dtypes == view.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, view.collect()))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert not [x for x in plan.splitlines() if "Window [" in x and "l_linenumber" in x and "_range" not in x]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waystone.operators.ranks import global_position
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -92,11 +95,20 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "fx_stroke":
+            return self.strokes()
         for table in TABLES:
             if table in VIEWS[name].replace(",", " ").split() or f"{table};" in VIEWS[name]:
                 self(table).createOrReplaceTempView(table)
         return self.spark.sql(VIEWS[name])
 
+    def strokes(self) -> DataFrame:
+        """The rows of the view fx_stroke, numbered without its window over all rows in one task."""
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+        lines = self("lineitem").where("l_orderkey % 10 = 0").select(*order, "l_returnflag", "l_linestatus")
+        placed = global_position(lines, order, "stroke_id")
+        return placed.select("stroke_id", F.col("l_returnflag").alias("layer"), F.col("l_linestatus").alias("pen"), F.col("l_quantity").alias("length_mm"), F.col("l_orderkey").alias("source_ref"))
+
 
 def with_views(sql: str) -> str:
     """sql with the stand-ins that it names put before it."""
