@@ -30,8 +30,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     """
 
     def count(batches):
-        _, special = pieces.library(tokenizer)
-        memory = pieces.library_memory(tokenizer)
+        _, special = pieces.library(tokenizer, "word")
+        memory = pieces.library_memory(tokenizer, "word")
         for batch in batches:
             texts = pieces.text_list(batch.column("text"))
             out = np.zeros(len(texts), np.int64)

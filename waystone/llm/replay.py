@@ -21,7 +21,7 @@ class Replay:
     updates only the pairs with its left and right neighbours."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
+        with open(pieces.resolved(path), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
