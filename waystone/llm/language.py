@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waystone.llm import pieces
 from waystone.llm.quality import remainder
-from waystone.llm.shared import extended
+from waystone.llm.shared import appended
 
 #: Bytes of a window, filter widths and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -77,20 +78,22 @@ class Model:
         return [self.languages[i] for i in best.tolist()], p[np.arange(len(texts)), best]
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 0) -> Model | None:
-    """Trains by Adam on up to MAX_WINDOWS random windows of each text; None if there is no text with a letter."""
+def some_windows(text: str) -> np.ndarray | None:
+    """Up to MAX_WINDOWS windows of a text, chosen by the text alone; none of a text without a letter."""
+    if not any(map(str.isalpha, text)):
+        return None
+    w = windows(text)
+    return w[np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).permutation(len(w))[:MAX_WINDOWS])]
+
+
+def fit(sample: list[np.ndarray], languages: list[str], seed: int = 0) -> Model | None:
+    """Trains by Adam on the windows of some texts and their languages; None if there are none."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
-    x, y = [], []
-    for t, name in zip(texts, languages, strict=True):
-        if any(map(str.isalpha, t)):
-            w = windows(t)
-            w = w[rng.permutation(len(w))[:MAX_WINDOWS]]
-            x.append(w)
-            y += [names.index(name)] * len(w)
-    if not x:
+    if not sample:
         return None
-    x, y = np.concatenate(x), np.array(y)
+    place = {name: i for i, name in enumerate(names)}
+    x, y = np.concatenate(sample), np.repeat([place[name] for name in languages], [len(w) for w in sample])
     n, total = len(names), FILTERS * len(WIDTHS)
     filters = [rng.standard_normal((w, 256, FILTERS)).astype(np.float32) * 0.1 for w in WIDTHS]
     bias, out, out_bias = np.zeros(total, np.float32), (rng.standard_normal((total, n)) * 0.1).astype(np.float32), np.zeros(n, np.float32)
@@ -135,39 +138,62 @@ def fit(texts: list[str], languages: list[str], seed: int = 0) -> Model | None:
     return Model(names, filters, bias, out, out_bias)
 
 
-def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: of every language MAX_DOCUMENTS by id hash, or fewer (one at least) where many
-    languages share MAX_SAMPLE.
+def labelled_sample(docs: DataFrame) -> tuple[list[np.ndarray], list[str]]:
+    """Windows and languages of texts to learn from: of every language MAX_DOCUMENTS by id hash, or fewer (one at least) where
+    many languages share MAX_SAMPLE.
 
-    Ids are ranked with a limit per language, which every task applies before the exchange; only chosen texts travel.
+    Ids are counted per language first. A hash below twice the wanted share lets about twice the wanted number of a language
+    through, however many it has, and only those are ranked: no task meets a language's rows whole. Of the chosen texts the
+    workers cut the windows, so that the driver gets MAX_WINDOWS * WINDOW bytes of each at most, never a text.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).select("doc_id", "lang")
-    each = min(MAX_DOCUMENTS, max(1, MAX_SAMPLE // max(1, known.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).groupBy("doc_id").agg(F.min("lang").alias("_lang"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_lang").alias("_lang")).collect()  # a bounded number
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
+    known = known.groupBy("doc_id").agg(F.min("lang").alias("_lang"))
+    counts = known.groupBy("_lang").agg(F.count("*").alias("_n"))
+    each = min(MAX_DOCUMENTS, max(1, MAX_SAMPLE // max(1, counts.count())))
+    at = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    few = known.join(F.broadcast(counts), "_lang").where((F.col("_n") <= 4 * each) | (at * F.col("_n") < 2 * each + 40))  # a row per language, as the model has
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("doc_id", "_lang")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most MAX_SAMPLE ids
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_lang").alias("_lang"))
+
+    def cut(batches):
+        for batch in batches:
+            found = [some_windows(t) for t in batch.column("text").to_pylist()]
+            data = pa.array([None if w is None else w.tobytes() for w in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_lang"), data], ["doc_id", "_lang", "windows"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(cut, f"doc_id {kind}, _lang string, windows binary").where("windows is not null").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [r["_lang"] for r in rows]
+    return [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows], [r["_lang"] for r in rows]
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and lang_score; other columns pass as they are, unless they have these names."""
-    docs = docs.drop("lang_pred", "lang_score")
+    """docs' columns by position (c0, c1, ..) with lang_pred and lang_score after them, whatever docs' own are called.
+
+    A null or empty text, one without a letter, or no model: UNKNOWN and 0. Equal texts get equal results; a very long text
+    is read in all its windows, CHUNK at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            usable = [i for i, t in enumerate(texts) if t and shared.value and any(map(str.isalpha, t))]
-            known = [texts[i] for i in usable]
-            for a, b in pieces.blocks(known):
-                found, p = shared.value.predict(known[a:b])
-                for i, name, s in zip(usable[a:b], found, p.tolist(), strict=True):
-                    names[i], scores[i] = name, s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "lang_score"])
+    def predict(column):
+        texts = column.to_pylist()
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        usable = [i for i, t in enumerate(texts) if t and shared.value and any(map(str.isalpha, t))]
+        known = [texts[i] for i in usable]
+        for a, b in pieces.blocks(known):
+            found, p = shared.value.predict(known[a:b])
+            for i, name, s in zip(usable[a:b], found, p.tolist(), strict=True):
+                names[i], scores[i] = name, s
+        return pa.array(names, pa.string()), pa.array(scores)
+
+    return appended(docs, predict, lang_pred="string", lang_score="double")
+
 
-    return docs.mapInArrow(predict, extended(docs, lang_pred="string", lang_score="double"))
+def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, as they are, whose language is told with a score of at least `least`."""
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)
+    return identified(docs, model).where(sure).drop("lang_pred", "lang_score").toDF(*docs.columns)
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -176,5 +202,5 @@ def languages(docs: DataFrame) -> DataFrame:
     Only text enters a prediction. The network (a fixed size) is broadcast and every document is read in all its windows
     where it lies: no exchange, no hot key; a worker holds CHUNK windows at a time.
     """
-    out = identified(docs.select("doc_id", "text"), fit(*labelled_sample(docs)))
+    out = identified(docs.select("doc_id", "text"), fit(*labelled_sample(docs))).withColumnRenamed("c0", "doc_id")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -45,8 +45,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best-fit decreasing over counts. Rows (length, first, last, sequence, each, used): pieces of that length with ranks
-    first..last fill sequences from `sequence` on, `each` to a sequence, from offset `used` in it. The work depends on how
-    many lengths there are, not on how many documents."""
+    first..last fill sequences from `sequence` on, `each` to a sequence, from offset `used` in it.
+
+    The work depends on how many lengths there are, not on how many documents. A length ends with at most three new runs of
+    sequences; a run that a length fills up keeps less than half of its room, so it comes up again log2(capacity) times at
+    most: there are no more than 3 * lengths * (log2(capacity) + 2) rows, whatever the corpus."""
     rows, opened = [], 0
     room: dict[int, list[tuple[int, int]]] = {}  # free ids -> runs (sequence, how many) of sequences with that room
     for length in sorted(histogram, reverse=True):
@@ -94,7 +97,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = cut.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own"))
-    slots = spark.createDataFrame(plan(histogram, capacity), PLAN)  # grows with the lengths' number only
+    slots = spark.createDataFrame(plan(histogram, capacity), PLAN)  # bounded by the number of lengths: see plan()
     met = ranked.join(F.broadcast(slots.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & F.col("rank").between(F.col("first"), F.col("last")))
     at = F.col("rank") - F.col("first")
     return met.withColumns({"sequence_id": F.col("sequence") + F.floor(at / F.col("each")), "offset": F.col("used") + at % F.col("each") * F.col("length")}).drop("bucket", "before", "own", "rank", "l", "first", "last", "sequence", "each", "used")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waystone.llm import pieces
-from waystone.llm.shared import extended
+from waystone.llm.shared import appended
 
 #: Character-pair terms (hashed), latent dimensions, neighbours and the power of the similarity that weights a vote.
 TERMS, DIMENSIONS, NEIGHBOURS, POWER = 4096, 64, 31, 8
@@ -68,10 +68,15 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return unit(np.log1p(counts / total * 1000) * idf)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
-    """Latent semantic analysis of the labelled texts by randomised subspace iteration; equal inputs give equal models."""
+def counted(texts: list[str]) -> np.ndarray:
+    """term_counts of any number of texts, in blocks."""
     blocks = [term_counts(texts[a:b]) for x, y in pieces.blocks(texts) for a, b in ((i, min(y, i + ROWS)) for i in range(x, y, ROWS))]
-    counts = np.concatenate(blocks) if blocks else np.zeros((0, TERMS + 1), np.float32)
+    return np.concatenate(blocks) if blocks else np.zeros((0, TERMS + 1), np.float32)
+
+
+def fit(counts: np.ndarray, labels: list[int], seed: int = 0) -> Model:
+    """Latent semantic analysis of the labelled texts' term counts by randomised subspace iteration; equal inputs give equal
+    models."""
     idf = (np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.2).astype(np.float32)
     idf[TERMS] *= REPEAT_WEIGHT
     if not len(counts):
@@ -89,36 +94,59 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], list[int]]:
-    """At most `limit` labelled texts outside the held-out part, least id hash first; the label is the row's quality.
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, list[int]]:
+    """Term counts of at most `limit` labelled texts outside the held-out part, least id hash first, and the rows' quality.
 
-    Ids are chosen first, so that only the chosen rows' texts travel. Labels other than 0 and 1 are left out; of several
-    labels or rows of one id the least is taken.
+    Ids are chosen first, so that only the chosen rows' texts travel, and workers count their terms: the driver gets at most
+    6 bytes a term of each, never a text. Labels other than 0 and 1 are left out; of several labels or rows of one id the
+    least is taken.
     """
-    ids = docs.select("doc_id").join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality")), "doc_id", "left_semi")
+    good = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    ids = docs.select("doc_id").join(good, "doc_id", "left_semi")
     ids = ids.where(remainder(F.col("doc_id"), 5) != 0).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    chosen = ids.join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("_quality")), "doc_id").groupBy("doc_id").agg(F.min("_quality").alias("_quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("_quality").alias("_quality")).collect()  # at most limit rows
+    chosen = F.broadcast(ids.join(good, "doc_id"))  # at most limit ids
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("_quality").alias("_quality"))
+
+    def count(batches):
+        for batch in batches:
+            terms, numbers = [], []
+            for row in counted(batch.column("text").to_pylist()):
+                there = np.flatnonzero(row)
+                terms.append(there.astype("<u2").tobytes())
+                numbers.append(row[there].astype("<f4").tobytes())
+            columns = [batch.column("doc_id"), batch.column("_quality"), pa.array(terms, pa.binary()), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_quality", "terms", "numbers"])
+
+    kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("doc_id", "_quality")]
+    rows = texts.mapInArrow(count, ", ".join([*kinds, "terms binary", "numbers binary"])).collect()  # at most limit rows
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [int(r["_quality"]) for r in rows]
+    out = np.zeros((len(rows), TERMS + 1), np.float32)
+    for i, r in enumerate(rows):
+        out[i, np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["numbers"], "<f4")
+    return out, [int(r["_quality"]) for r in rows]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (0 to 1; null and empty texts too); every other column passes as it is, unless called score."""
-    docs = docs.drop("score")
+    """docs' columns by position (c0, c1, ..) with score (0 to 1) after them, whatever docs' own are called.
+
+    Null and empty texts are scored too; equal texts get equal scores; a very long text is a block of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def vote(batches):
-        for batch in batches:
-            texts = pieces.text_list(batch.column("text"))
-            out = np.zeros(len(texts))
-            for x, y in pieces.blocks(texts):
-                for a in range(x, y, ROWS):
-                    b = min(y, a + ROWS)
-                    out[a:b] = shared.value.score(term_counts(texts[a:b]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
+    def vote(column):
+        texts = pieces.text_list(column)
+        out = np.zeros(len(texts))
+        for x, y in pieces.blocks(texts):
+            for a in range(x, y, ROWS):
+                b = min(y, a + ROWS)
+                out[a:b] = shared.value.score(term_counts(texts[a:b]))
+        return (pa.array(out),)
+
+    return appended(docs, vote, score="double")
+
 
-    return docs.mapInArrow(vote, extended(docs, score="double"))
+def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
+    """The rows of docs, as they are, whose score is at least `least`."""
+    return scored(docs, model).where(F.col("score") >= least).drop("score").toDF(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,5 +156,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     broadcast (at most MAX_LABELLED vectors), and every document is scored where it is read: no exchange, no hot key.
     """
     model = fit(*labelled_sample(docs, labels))
-    out = scored(docs.select("doc_id", "text"), model)
+    out = scored(docs.select("doc_id", "text"), model).withColumnRenamed("c0", "doc_id")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -10,20 +10,18 @@ from waystone.llm import counts, language, order_minhash, packing, quality, repl
 from waystone.llm.shared import shared_dir, table
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Vocabulary files by name: each worker finds them in its own place of the public files.
+BYTE_BPE, MULTI_BPE, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op1_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
-    wavelet.write_shards(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, BYTE_BPE)
     return wavelet.read_documents(spark, path)
 
 
 def op6_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return replay.encode_documents(table(spark, sf_dir, "documents"), MULTI_BPE)
 
 
 def op7_lsa_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +29,7 @@ def op7_lsa_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -56,10 +54,14 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_token_ids, op2_order_minhash, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets, op6_merge_replay_bpe, op7_lsa_quality_votes, op9_spotsigs, op8_histogram_packing, op10_pretoken_counts)}
+OPERATORS = (
+    op1_wavelet_token_ids, op2_order_minhash, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets,
+    op6_merge_replay_bpe, op7_lsa_quality_votes, op8_histogram_packing, op9_spotsigs, op10_pretoken_counts,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
     "op4_segment_top_k": """
 with v as (

@@ -159,17 +159,22 @@ def with_spans(scan: DataFrame, limits: dict[int, int]) -> DataFrame:
     return scan.withColumn("spans", F.array_sort(F.concat("base", added))).drop("tokens")
 
 
+def _rows(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs' rows as one struct beside their text, so that no name of theirs can clash."""
+    kept = [F.col(f"`{c}`") for c in columns]
+    return docs.select((F.struct(*kept) if kept else F.lit(None).cast("struct<>")).alias("_doc"), F.col("text"))
+
+
 def find_secrets(docs: DataFrame, name: str = "scan") -> DataFrame:
-    """Per row of docs, its columns without text, and base and spans: arrays of (start, kind, end) in code points.
+    """Per row of docs: doc (a struct of its columns but text), base and spans: arrays of (start, kind, end) in code points.
 
     Base kinds are leftmost, non-overlapping matches per kind. A token that an encoding could have made, is random by the
     battery under its stratum's threshold, and meets no base span is a span of kind 3 (random). Null texts count as empty
-    (no spans); equal rows get equal spans; other columns pass through, whatever they are called, unless they are called
-    base, tokens or spans, or _m0 to _m3 and _t. Every row is scanned once by itself and the scan, without texts, is a table
-    in the shared folder: no key is ever gathered.
+    (no spans); equal rows get equal spans; other columns pass through, whatever they are called. Every row is scanned once
+    by itself and the scan, without texts, is a table in the shared folder: no key is ever gathered.
     """
-    scan = written(scanned(docs.drop("base", "tokens", "spans")).drop("text"), name)
-    return with_spans(scan, thresholds(scan))
+    scan = written(scanned(_rows(docs, [c for c in docs.columns if c != "text"])).drop("text"), name)
+    return with_spans(scan, thresholds(scan)).withColumnRenamed("_doc", "doc")
 
 
 def digest(spans: str) -> Column:
@@ -181,7 +186,7 @@ def digest(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     found = find_secrets(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+    return found.select("doc.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -190,8 +195,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts are read twice, for the thresholds and for the spans, instead of being kept on disk in between; no row is joined,
     so equal ids and rows stay as they are."""
     columns = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col("text"))
-    scan = scanned(row)
+    scan = scanned(_rows(docs, columns))
     found = with_spans(scan, thresholds(scan))
     # a fold over spans by start: text up to the span, then the mark, unless the span meets the last one
     step = lambda acc, s: F.struct(
