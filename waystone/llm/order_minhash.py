@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waystone.llm import pieces
-from waystone.llm.shared import classes, partitions, union_all, written
+from waystone.llm.shared import classes, key_filter, maybe_in, partitions, spent, union_all, written
 
 #: Words of a shingle and the similarity of near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -24,6 +24,8 @@ BYTES, LEAST_BYTES = 128, 80
 #: Nodes of a bucket that are screened, and texts that are compared, in one place; what is larger is compared in blocks, never cut.
 BUCKET, GROUP = 2048, 256
 PIVOTS = 16
+#: Characters for which a text counts once among the GROUP: a longer one counts more, so that a place holds a bounded amount.
+UNIT = 1 << 16
 
 _RNG = np.random.default_rng(11)
 _SKETCH_FACTORS = _RNG.integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,7 +36,7 @@ _STEP, _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9
 def words_of(texts: list[str]) -> list[np.ndarray]:
     """The words (lower case, split at white space) of each text as 64-bit hashes."""
     cut = pieces.Cut([t.lower() for t in texts], "white")
-    return np.split(cut.hash, np.searchsorted(cut.owner, np.arange(1, len(texts)))) if texts else []
+    return np.split(_mixed(cut.hash), np.searchsorted(cut.owner, np.arange(1, len(texts)))) if texts else []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -196,7 +198,8 @@ def node(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, node, keys (empty for a text without words) and low, the bytes of the plain minima."""
+    """Per row: doc_id, node, weight (in UNITs of text), keys (empty for a text without words) and low, the bytes of the
+    plain minima."""
 
     def run(batches):
         for batch in batches:
@@ -207,10 +210,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                     k, s = sketch(shingles(w)) if len(w) else ([], b"")
                     keys.append(k)
                     low.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "node", "keys", "low"])
+            weight = pa.array([len(t) // UNIT + 1 for t in texts], pa.int64())
+            columns = [batch.column("doc_id"), pa.array(names, pa.binary()), weight, pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "weight", "keys", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, keys array<long>, low binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, weight long, keys array<long>, low binary")
 
 
 def _crowded(rows: DataFrame, name: str) -> DataFrame:
@@ -259,17 +264,20 @@ def _every_block(n: str, size: int) -> Column:
 
 
 def _blocks(rest: DataFrame, key: str, most: int) -> DataFrame:
-    """Sets (key, node, n) dealt to blocks of about `most` nodes that share pivots: gid, node."""
+    """Sets (key, node, n: their weight) dealt to blocks of a weight of about `most` that share pivots: gid, node."""
     size = max(most - PIVOTS, 1)
     blocks = rest.select(key, "node", _dealt("n", size).alias("block"))
-    pivots = rest.groupBy(key, F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p")).agg(F.min("node").alias("node"), F.max("n").alias("n")).select(key, "node", _every_block("n", size).alias("block"))
+    places = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("p")
+    pivots = rest.groupBy(key, places).agg(F.min("node").alias("node"), F.max("n").alias("n")).select(key, "node", _every_block("n", size).alias("block"))
     return blocks.unionByName(pivots).distinct().select(_gid(key, "block").alias("gid"), "node")
 
 
 def _crossed(state: DataFrame, key: str, most: int) -> DataFrame | None:
-    """After _blocks: what is outside its set's main class (state: key, node, class_id) with every node of the set, as groups
-    (gid, node, side) of about `most` nodes; side 0: outside. None if nothing is outside."""
-    main = state.groupBy(key, "class_id").agg(F.count("*").alias("c")).groupBy(key).agg(F.max_by("class_id", F.struct("c", "class_id")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).withColumn("odd", F.col("n") - F.col("most")).where("odd > 0")
+    """After _blocks: what is outside its set's main class (state: key, node, weight, class_id) with every node of the set, as
+    groups (gid, node, side) of a weight of about `most`; side 0: outside. None if nothing is outside."""
+    sizes = state.groupBy(key, "class_id").agg(F.sum("weight").alias("c"))
+    main = sizes.groupBy(key).agg(F.max_by("class_id", F.struct("c", "class_id")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    main = main.withColumn("odd", F.col("n") - F.col("most")).where("odd > 0")
     left = state.join(main, key).where("class_id <> main")
     if left.isEmpty():
         return None
@@ -280,18 +288,28 @@ def _crossed(state: DataFrame, key: str, most: int) -> DataFrame | None:
 
 
 def _labelled(sets: DataFrame, links: DataFrame, key: str, name: str) -> DataFrame:
-    """sets (key, node) with the class_id that the links give each node."""
-    return written(sets.join(classes(links).withColumnRenamed("id", "node"), "node", "left").select(key, "node", F.coalesce("class_id", "node").alias("class_id")), name)
+    """sets (key, node, weight) with the class_id that the links give each node."""
+    labels = classes(links).withColumnRenamed("id", "node")
+    return written(sets.join(labels, "node", "left").select(key, "node", "weight", F.coalesce("class_id", "node").alias("class_id")), name)
 
 
-def _compared(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _wanted(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the nodes (node, rep) alone, as a table that every comparison reads.
+
+    A filter of the wanted (rep, node) passes the rows to bring together before any text moves: other rows' texts, those of
+    further copies too, are exchanged only where the filter errs."""
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node(F.col("text")))
+    near = maybe_in(keyed, [F.col("doc_id"), F.col("node")], key_filter(nodes.select("rep", "node")), "maybe").where("maybe")
+    once = near.groupBy("node").agg(F.first("text").alias("text"))
+    return written(once.join(nodes.select("node").hint("merge"), "node", "left_semi"), "texts")
+
+
+def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) within groups (gid, node, side; side 0: compared with all others of the group, 1: only with side 0).
 
-    Texts come by joining each node's least doc_id; a group, at most 2 GROUP texts, is compared in one place."""
-    kind = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = groups.join(reps, "node").hint("merge")  # it grows with the corpus: never broadcast
-    texts = kind.join(asked, kind["doc_id"].eqNullSafe(asked["rep"])).where(node(F.col("text")) == F.col("node")).select("gid", "node", "side", "text")
-    dealt = texts.repartition(partitions(docs.sparkSession), "gid").sortWithinPartitions("gid", "side", "node")
+    texts: node, text. A group, at most 2 GROUP texts and 2 GROUP UNITs of text or about, is compared in one place."""
+    met = texts.join(groups.hint("merge"), "node").select("gid", "node", "side", "text")  # both grow with the corpus: never broadcast
+    dealt = met.repartition(partitions(texts.sparkSession), "gid").sortWithinPartitions("gid", "side", "node")
 
     def run(batches):
         held, rows = None, {}
@@ -308,7 +326,7 @@ def _compared(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                     if rows:
                         yield done()
                     held, rows = gid, {}
-                rows.setdefault(name, (side, text))  # repeated rows of one node count once
+                rows.setdefault(name, (side, text))
         if rows:
             yield done()
 
@@ -331,13 +349,14 @@ def _named(docs: DataFrame) -> DataFrame:
     enough bytes of plain minima form clusters (over all buckets), and a cluster's texts are brought together once: in one
     group of at most GROUP, or else in blocks that share pivots, after which every node outside the cluster's main class
     meets every other. Links are verified by banded alignment; classes are their connected components. Within a cluster no
-    link between two texts is lost, and no pair is written out unless it is a link that joins two classes. Texts without words only match equal ones; an empty table gives no rows;
-    equal doc_ids with different texts are told apart; other columns are not read.
+    link between two texts is lost, and no pair is written out unless it is a link that joins two classes. Texts without
+    words only match equal ones; an empty table gives no rows; equal doc_ids with different texts are told apart; very long
+    texts weigh more, so fewer share a group; other columns are not read.
     """
     table = written(sketched(docs), "sketches")
-    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low")), "nodes")
-    reps = nodes.select("node", "rep")
-    hits = _crowded(nodes.select(F.explode("keys").alias("key"), "node"), "hits")
+    first = [F.first(c).alias(c) for c in ("weight", "keys", "low")]
+    nodes = written(table.groupBy("node").agg(F.min("doc_id").alias("rep"), *first), "nodes")
+    hits = _crowded(nodes.select(F.explode("keys").alias("key"), "node", F.lit(1).cast("long").alias("weight")), "hits")
     linked = [written(_screened(hits.where(F.col("n") <= BUCKET), nodes), "screened")]
     large = hits.where(F.col("n") > BUCKET)
     if not large.isEmpty():
@@ -346,27 +365,45 @@ def _named(docs: DataFrame) -> DataFrame:
         if crossed is not None:
             linked.append(_screened(crossed.withColumnRenamed("gid", "key"), nodes))
     clusters = classes(union_all(linked)).select(F.col("id").alias("node"), F.col("class_id").alias("cluster"))
-    placed = written(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "clusters")
+    clusters = clusters.join(nodes.select("node", "rep", "weight"), "node")
+    placed = written(clusters.join(clusters.groupBy("cluster").agg(F.sum("weight").alias("n")), "cluster"), "clusters")
+    texts = _wanted(docs, placed.select("node", "rep"))
     groups = placed.where(F.col("n") <= GROUP).select(F.col("cluster").alias("gid"), "node", F.lit(0).alias("side"))
     rest = placed.where(F.col("n") > GROUP)
     wide = not rest.isEmpty()
     if wide:
         groups = groups.unionByName(_blocks(rest, "cluster", GROUP).select("gid", "node", F.lit(0).alias("side")))
-    links = written(_compared(groups, reps, docs), "links")
+    links = written(_compared(groups, texts), "links")
     labels = classes(links)
     if wide:
-        state = written(rest.join(labels.withColumnRenamed("id", "node"), "node", "left").select("cluster", "node", F.coalesce("class_id", "node").alias("class_id")), "placed")
+        state = rest.join(labels.withColumnRenamed("id", "node"), "node", "left")
+        state = written(state.select("cluster", "node", "weight", F.coalesce("class_id", "node").alias("class_id")), "placed")
         crossed = _crossed(state, "cluster", GROUP)
         if crossed is not None:
-            labels = classes(links.unionByName(written(_compared(crossed, reps, docs), "links")))
+            labels = classes(links.unionByName(written(_compared(crossed, texts), "links")))
+    spent(hits, placed, texts, links)
     return table.select("doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "node", F.coalesce("class_id", "node").alias("label"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one with the least doc_id (null last; of its rows with that id the one with the
-    least node). Rows of other classes that share the id don't matter."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "n")).alias("k")
-    kept = written(_named(docs).groupBy("label", "doc_id", "node").agg(F.count("*").alias("n")).groupBy("label").agg(least).select("k.doc_id", "k.node", "k.n"), "kept")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (node(F.col("d.text")) == F.col("k.node"))
-    rows = docs.alias("d").join(kept.hint("merge").alias("k"), same, "left_semi").select("d.*")
-    return rows if kept.where("n > 1").isEmpty() else rows.withColumn("_node", node(F.col("text"))).dropDuplicates(["doc_id", "_node"]).drop("_node")
+    least node). Rows of other classes that share the id don't matter.
+
+    Which rows go is known by (doc_id, node). A filter of those tells most rows that stay where they lie; only the rows that
+    it may mean are exchanged and told apart exactly."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = written(_named(docs).groupBy("label", "doc_id", "node").agg(F.count("*").alias("n")), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    best = named.groupBy("label").agg(F.min(order).alias("best"))
+    whole = named.join(best, "label").withColumn("keep", order == F.col("best"))
+    odd = written(whole.where("not keep or n > 1").select("doc_id", "node", "keep"), "odd")
+    if odd.isEmpty():
+        return docs
+    rows = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id"), node(F.col("text")).alias("node"))
+    rows = maybe_in(rows, [F.col("doc_id"), F.col("node")], key_filter(odd.select("doc_id", "node")), "maybe")
+    near = rows.where("maybe").alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r.node") == F.col("o.node"))
+    met = near.join(odd.hint("merge").alias("o"), same, "left").select("r.doc", "r.doc_id", "r.node", "o.keep")
+    again = met.where("keep").groupBy("doc_id", "node").agg(F.first("doc").alias("doc"))  # a kept row that is there more than once
+    out = union_all([rows.where("not maybe").select("doc"), met.where("keep is null").select("doc"), again.select("doc")])
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
