@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +90,18 @@ def with_next(docs: DataFrame, make) -> DataFrame:
     first, equal ids by text hash), after the last row the first.
 
     Rows are dealt to ranges of doc_id, whose bounds are ids that exist; the first row of each range is dealt once more, to
-    the range before, so a window over one range finds every successor and texts are shuffled once.
+    the range before, so a window over one range finds every successor and texts are shuffled once. The bounds, a few for
+    each partition, are one array value in the plan, not an expression each.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"))
     count = 4 * partitions(spark)
-    bounds = sorted(set(keyed.agg(F.percentile_approx("k", [i / count for i in range(count)], 100_000)).head()[0] or [0]))
-    step = math.isqrt(len(bounds)) + 1
-    every = F.array(*map(F.lit, bounds)).cast("array<bigint>")
-    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[step::step])).cast("array<bigint>"), lambda b: b <= F.col("k"))) if len(bounds) > step else F.lit(0)
-    fine = keyed.withColumn("coarse", coarse).withColumn("bucket", F.col("coarse") * step + F.size(F.filter(F.slice(every, F.col("coarse") * step + 1, step), lambda b: b <= F.col("k"))) - 1)
+    step = math.isqrt(count) + 1
+    shares = F.percentile_approx("k", F.lit(np.arange(count) / count), 100_000)
+    bounds = np.unique(np.array(keyed.agg(shares).head()[0] or [0], np.int64))
+    every, rough = F.lit(bounds), F.lit(bounds[step::step])
+    fine = keyed.withColumn("coarse", F.size(F.filter(rough, lambda b: b <= F.col("k"))))
+    fine = fine.withColumn("bucket", F.col("coarse") * step + F.size(F.filter(F.slice(every, F.col("coarse") * step + 1, step), lambda b: b <= F.col("k"))) - 1)
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy"))
     before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(bounds))).alias("bucket"), F.lit(True).alias("copy"))
     dealt = fine.withColumn("at", F.explode(F.when(F.element_at(every, F.col("bucket") + 1) == F.col("k"), F.array(own, before)).otherwise(F.array(own))))
