@@ -19,7 +19,7 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     """Great-circle distance in metres; null if a coordinate is."""
     lon1, lat1, lon2, lat2 = map(_c, (lon1, lat1, lon2, lat2))
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h.isNotNull(), F.least(F.lit(1.0), h))))  # least() alone would pass a null over
 
 
 def along_great_circle(lon1, lat1, lon2, lat2, fraction) -> Column:
@@ -153,3 +153,13 @@ def axis_position(x, low, high, log: bool = False) -> Column:
     if log:
         return F.when((x > 0) & (low > 0) & (high > low), (F.log10(x) - F.log10(low)) / (F.log10(high) - F.log10(low)))
     return F.when(high > low, (x - low) / (high - low))
+
+
+def drawable(length: Column, nib: Column, area: Column, is_area: Column, least: float = 0.5, widths: float = 3.0) -> Column:
+    """Whether a stroke can be drawn with a pen: at least some of its widths long, and an area at least two widths square."""
+    return (length >= F.greatest(F.lit(least), widths * nib)) & (~is_area | (area >= F.pow(2 * nib, F.lit(2.0))))
+
+
+def canonical_line(a: Column, b: Column) -> Column:
+    """A leg's two ends (structs that can be ordered) as an array that is alike for both directions."""
+    return F.when(a <= b, F.array(a, b)).otherwise(F.array(b, a))

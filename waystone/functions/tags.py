@@ -13,12 +13,19 @@ ROADS = {
     "roads_other": ("busway", "bus_guideway", "escape", "raceway"),
     "paths": ("path", "footway", "cycleway", "bridleway", "steps", "pedestrian", "track", "corridor", "elevator", "ladder", "via_ferrata"),
 }
+#: Lifecycle words of roads, and objects on roads that are no way to go.
 INACTIVE_ROADS = ("abandoned", "demolished", "destroyed", "dismantled", "disused", "planned", "proposed", "razed", "removed")
-NO_ROUTE = ("bus_stop", "crossing", "cyclist_waiting_aid", "emergency_access_point", "emergency_bay", "give_way", "hitchhiking", "milestone", "mini_roundabout", "motorway_junction", "passing_place", "platform", "rest_area", "services", "speed_camera", "speed_display", "stop", "street_lamp", "toll_gantry", "traffic_calming", "traffic_island", "traffic_mirror", "traffic_signals", "trailhead", "turning_circle", "turning_loop")
+NO_ROUTE = (
+    "bus_stop", "crossing", "cyclist_waiting_aid", "emergency_access_point", "emergency_bay", "give_way", "hitchhiking", "milestone", "mini_roundabout",
+    "motorway_junction", "passing_place", "platform", "rest_area", "services", "speed_camera", "speed_display", "stop", "street_lamp", "toll_gantry",
+    "traffic_calming", "traffic_island", "traffic_mirror", "traffic_signals", "trailhead", "turning_circle", "turning_loop",
+)
 PLACEHOLDERS = ("no", "yes")
+#: Kinds of railway, and lifecycle words of railways and buildings.
 RAILWAYS = ("rail", "light_rail", "tram", "subway", "narrow_gauge", "monorail", "funicular", "preserved", "miniature", "disused")
 INACTIVE_RAILWAYS = ("abandoned", "construction", "demolished", "destroyed", "dismantled", "planned", "proposed", "razed", "removed")
 INACTIVE_BUILDINGS = ("abandoned", "construction", "demolished", "destroyed", "disused", "proposed", "razed", "removed")
+#: What stands for no, and waterways that are lines.
 FALSE = ("", "0", "false", "no", "none")
 LINEAR_WATER = ("river", "stream", "canal", "drain", "ditch", "tidal_channel")
 #: Ranks of roads.
@@ -194,3 +201,14 @@ def water_class(tags: Column) -> Column:
 def landcover_class(tags: Column) -> Column:
     t = lambda key: value(tags, key)
     return F.when((t("natural") == "wood") | (t("landuse") == "forest"), "wood").when(t("natural").isin("scrub", "heath"), t("natural")).when(t("landuse").isin("meadow", "grass"), "grass").when(t("leisure").isin("park", "golf_course"), "park")
+
+
+def pit_member(role: Column, name: Column, words: tuple[str, ...] = ("pit", "pitlane", "lane")) -> Column:
+    """Whether a member of a lap is a pit lane, by a word of its role or name."""
+    every = F.split(F.lower(F.regexp_replace(F.concat_ws(" ", role, name), "[^A-Za-z]+", " ")), " ")
+    return F.arrays_overlap(every, F.array(*map(F.lit, words)))
+
+
+def elevation_claim(native: Column, trusted: Column) -> Column:
+    """explicit where a feature has its own elevation of a trusted source, inferred where it has none of either, else open."""
+    return F.when(native.isNotNull() & trusted, "explicit").when(native.isNull() & ~trusted, "inferred").otherwise("open")

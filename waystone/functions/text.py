@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 #: Rail abbreviations and what they stand for.
-ABBREVIATIONS = {"jn": "junction", "jcn": "junction", "rd": "road", "st": "street", "stn": "station", "sdg": "siding", "lp": "loop"}
+ABBREVIATIONS = {"jcn": "junction", "jn": "junction", "nth": "north", "sth": "south", "stn": "station"}
+#: The generic end of a station's public name, and qualifiers that a weaker key leaves out.
+STATION_SUFFIX = r"\b(?:railway\s+station|rail\s+station|train\s+station|station|stn)\z"
+QUALIFIER = r"\b(?:for|via)\b.*\z"
+
+
+@lru_cache(1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of characters in ASCII: single characters as two strings for translate(), and
+    those that become several."""
+    one, plain, many = [], [], {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        left = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(left) == 1:
+            one.append(c)
+            plain.append(left)
+        elif left:
+            many[c] = left
+    return "".join(one), "".join(plain), many
+
+
+def ascii_fold(text: Column) -> Column:
+    """Text by compatibility decomposition (NFKD) in ASCII; what has no ASCII part is left out. JVM functions only."""
+    one, plain, many = _folds()
+    single = F.translate(text, one, plain)
+    parts = F.regexp_extract_all(single, F.lit("(?s)(.)"), 1)
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    several = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.regexp_replace(F.when(single.rlike("[" + "".join(many) + "]"), several).otherwise(single), "[^\\x00-\\x7F]+", "")
+
+
+def name_key(name: Column) -> Column:
+    """The exact key of a timing location: folded to ASCII and lower case, & as and, other signs as spaces, rail abbreviations
+    written out, one generic station suffix removed. Nothing geographic goes."""
+    words = F.regexp_extract_all(F.replace(F.lower(ascii_fold(name)), F.lit("&"), F.lit(" and ")), F.lit("([a-z0-9]+)"), 1)
+
+    def written_out(word: Column) -> Column:
+        out = word
+        for short, long in ABBREVIATIONS.items():
+            out = F.when(word == short, long).otherwise(out)
+        return out
+
+    return F.trim(F.regexp_replace(F.array_join(F.transform(words, written_out), " "), STATION_SUFFIX, ""))
 
 
-def name_key(name: Column, drop: tuple[str, ...] = ("railway", "rail", "station")) -> Column:
-    """Accents and case folded, & as and, other signs as spaces, abbreviations written out, generic last words removed."""
-    plain = F.translate(F.lower(name), ACCENTED, PLAIN)
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "&", " and "), "[^a-z0-9]+", " "), " +", " "))
-    for short, long in ABBREVIATIONS.items():
-        words = F.regexp_replace(words, rf"\b{short}\b", long)
-    return F.trim(F.regexp_replace(words, "( (" + "|".join(drop) + "))+$", ""))
+def relaxed_name_key(name: Column) -> Column:
+    """The weaker key, whose finds need a review: without what stands in parentheses, or from `for` or `via` on."""
+    return F.trim(F.regexp_replace(name_key(F.regexp_replace(name, r"\s*\([^)]*\)\s*", " ")), QUALIFIER, ""))
 
 
-def relaxed_name_key(name: Column) -> Column:
-    """The weaker key: without what stands in parentheses or after a comma."""
-    return name_key(F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), ",.*$", ""))
+def station_key(name: Column) -> Column:
+    """The key of a station's name: lower case, & as and, without the word station (and railway or rail before it)."""
+    plain = F.replace(F.lower(name), F.lit("&"), F.lit(" and "))
+    bare = F.regexp_replace(F.regexp_replace(plain, r"\b(?:railway|rail)\s+station\b", " "), r"\bstation\b", " ")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def level_key(level: Column) -> Column:
@@ -39,8 +82,10 @@ def level_key(level: Column) -> Column:
 
 
 def rank_number(display: Column) -> Column:
-    """The number of a rank as displayed: `4=` and `=4` are 4."""
-    return F.try_to_number(F.regexp_replace(display, "[^0-9]", ""), F.lit("999999999")).cast("int")
+    """The number of a rank as displayed: `4=` and `=4` are 4; anything but digits beside the signs, and 0, is none."""
+    digits = F.replace(display, F.lit("="), F.lit(""))
+    n = F.when(digits.rlike("^[0-9]+$"), digits.try_cast("int"))
+    return F.when(n >= 1, n)
 
 
 def is_tied(display: Column) -> Column:
@@ -53,10 +98,17 @@ def lap_ms(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]+:[0-5][0-9]\.[0-9]{3}$"), part(1).try_cast("int") * 60000 + part(2).try_cast("int") * 1000 + part(3).try_cast("int"))
 
 
-def hole_number(text: Column) -> Column:
-    """The hole, 1 to 18, that a text names by its only or last number; else null."""
-    n = F.regexp_extract(text, r"([0-9]+)[^0-9]*$", 1).try_cast("int")
-    return F.when(n.between(1, 18), n)
+def hole_number(value: Column, suffix: str | None = None, course_token: str | None = None) -> Column:
+    """The hole, 1 to 18, that a reference is: one or two digits and the suffix letter of its course, if that has one. With a
+    course token the reference is `N - token`. Anything else is null."""
+    if course_token is not None:
+        quoted = re.sub(r"([^A-Za-z0-9 ])", r"\\\1", course_token)
+        pattern, fits = rf"^\s*([0-9]{{1,2}})\s*-\s*{quoted}\s*$", F.lit(True)
+    else:
+        pattern = r"^\s*([0-9]{1,2})([A-Za-z]?)\s*$"
+        fits = F.upper(F.regexp_extract(value, pattern, 2)) == (suffix or "").upper()
+    n = F.regexp_extract(value, pattern, 1).try_cast("int")
+    return F.when(n.between(1, 18) & fits, n)
 
 
 def two_digit_year(yy: Column) -> Column:
@@ -101,11 +153,6 @@ def record_digest(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]), 256)
 
 
-def set_digest(digest: Column) -> Column:
-    """SHA-256 of a group's digests, sorted: alike for any order of rows."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256)
-
-
 def finite(text: Column) -> Column:
     """A number, or null where there is none or it isn't finite."""
     x = text.try_cast("double")

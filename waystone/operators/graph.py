@@ -1,4 +1,4 @@
-"""Graph jobs as loops of joins: components, chains, cycles, cores and shortest paths. Every round is checkpointed in the
+"""Graph jobs as loops of joins: components, chains, cycles, cores and shortest paths. Every round is a table in the
 shared folder; loops end when nothing changes, or raise when `rounds` don't suffice."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import planar_distance
-from waystone.operators.storage import settled
+from waystone.operators.storage import settled, union_all
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,17 @@ def grouped_by_reference(items: DataFrame) -> DataFrame:
     return found.where("id.kind = 0").select(F.col("id.id").alias("item"), F.concat_ws(":", "component.kind", "component.id").alias("component"))
 
 
+def reunited(parts: DataFrame) -> DataFrame:
+    """Parts of rivers (id, a, b, name, wikidata) that share an end or a name are one: component (the least id), parts, and
+    conflict, where they name several entries."""
+    node = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    refs = parts.select(F.col("id").alias("item"), F.explode(F.array_compact(F.array(node("a"), node("b"), F.concat(F.lit("="), F.col("name"))))).alias("ref"))
+    found = grouped_by_reference(refs).withColumn("id", F.col("item").cast("long"))
+    low = found.groupBy("component").agg(F.min("id").alias("least"))
+    met = found.join(low, "component").join(parts.select("id", "wikidata"), "id")
+    return met.groupBy(F.col("least").alias("component")).agg(F.count("*").alias("parts"), (F.countDistinct("wikidata") > 1).alias("conflict"))
+
+
 def two_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """Edges (edge_id, a, b) that are left when edges with an end of degree one go, again and again. Each round looks at the
     ends that lost an edge in the round before."""
@@ -76,17 +87,56 @@ def directed_cycles(links: DataFrame, rounds: int = 64) -> tuple[DataFrame, Data
     raise RuntimeError("directed_cycles: not settled")
 
 
-def chains(ends: DataFrame, rounds: int = 64) -> DataFrame:
-    """Ways (way, a, b) stitched where exactly two ends meet: (way, run, pos), run the least way of it, pos from 0 along it.
+def degree_two_links(ends: DataFrame) -> DataFrame:
+    """Which end of a way goes on in which end of another, where exactly two ends of ways (way, a, b) meet: way, side, w2, s2."""
+    sides = _sides(ends)
+    two = sides.groupBy("at").agg(F.count("*").alias("n")).where("n = 2").select("at")
+    meet = sides.join(two, "at", "left_semi")
+    other = meet.select("at", F.col("way").alias("w2"), F.col("side").alias("s2"))
+    return meet.join(other, "at").where("way <> w2").select("way", "side", "w2", "s2")
+
+
+def _sides(ends: DataFrame) -> DataFrame:
+    return ends.select("way", F.lit(0).alias("side"), F.col("a").alias("at")).unionByName(ends.select("way", F.lit(1).alias("side"), F.col("b").alias("at")))
+
+
+def compatible_links(spans: DataFrame, rounds: int = 64) -> DataFrame:
+    """Which end of a span goes on in which end of another: spans (way, line, semantic, grade, a, b and the outward unit vectors
+    ax, ay, bx, by of both ends) meet at a node if their semantic and grade agree. Ends of one line are paired first, then
+    the straightest, each end once: way, side, w2, s2.
+
+    A pair that is the first choice of both its ends is taken, then the rest choose anew, which is what taking pairs in order
+    gives. Pairs are of one node: the number of ends at a node bounds them."""
+    end = lambda side, c: spans.select("way", F.lit(side).alias("side"), "line", "semantic", "grade", F.col(c).alias("at"), F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
+    ends = end(0, "a").unionByName(end(1, "b"))
+    other = ends.select("at", "semantic", "grade", *[F.col(c).alias(f"{c}2") for c in ("way", "side", "line", "x", "y")])
+    met = ends.join(other, ["at", "semantic", "grade"]).where("way < way2")
+    key = F.struct((F.col("line") != F.col("line2")).cast("int").alias("o"), (F.col("x") * F.col("x2") + F.col("y") * F.col("y2")).alias("bend"), "way", "side", "way2", "side2")
+    left = settled(met.select("way", "side", F.col("way2").alias("w2"), F.col("side2").alias("s2"), key.alias("key")))
+    taken = left.where(F.lit(False))
+    for _ in range(rounds):
+        if left.isEmpty():
+            one = taken.select("way", "side", "w2", "s2")
+            return one.unionByName(one.select(F.col("w2").alias("way"), F.col("s2").alias("side"), F.col("way").alias("w2"), F.col("side").alias("s2")))
+        each = left.select("way", "side", "key").unionByName(left.select(F.col("w2").alias("way"), F.col("s2").alias("side"), "key"))
+        first = each.groupBy("way", "side").agg(F.min("key").alias("best"))
+        again = first.select(F.col("way").alias("w2"), F.col("side").alias("s2"), F.col("best").alias("best2"))
+        now = settled(left.join(first, ["way", "side"]).join(again, ["w2", "s2"]).where((F.col("key") == F.col("best")) & (F.col("key") == F.col("best2"))).select("way", "side", "w2", "s2", "key"))
+        taken = taken.unionByName(now)
+        used = now.select("way", "side").unionByName(now.select(F.col("w2").alias("way"), F.col("s2").alias("side")))
+        left = settled(left.join(used, ["way", "side"], "left_anti").join(used.select(F.col("way").alias("w2"), F.col("side").alias("s2")), ["w2", "s2"], "left_anti").select("way", "side", "w2", "s2", "key"))
+    raise RuntimeError("compatible_links: not settled")
+
+
+def chains(ends: DataFrame, rounds: int = 64, links: DataFrame | None = None) -> DataFrame:
+    """Ways (way, a, b) stitched where exactly two ends meet, or as links (way, side, w2, s2, both directions) say: (way, run,
+    pos), run the least way of it, pos from 0 along it.
 
     Ends are states (way, side). Leaving a way at an end that meets exactly one other continues in that one; pointer
     jumping gives every state its distance to the run's far end. A run is read from the end whose way is less; a ring is cut
     at its least way."""
-    sides = ends.select("way", F.lit(0).alias("side"), F.col("a").alias("at")).unionByName(ends.select("way", F.lit(1).alias("side"), F.col("b").alias("at")))
-    two = sides.groupBy("at").agg(F.count("*").alias("n")).where("n = 2").select("at")
-    meet = sides.join(two, "at", "left_semi")
-    other = meet.select("at", F.col("way").alias("w2"), F.col("side").alias("s2"))
-    glued = meet.join(other, "at").where((F.col("way") != F.col("w2")) | (F.col("side") != F.col("s2"))).where("way <> w2").select("way", "side", "w2", "s2")
+    sides = _sides(ends)
+    glued = settled(degree_two_links(ends) if links is None else links)
     runs = components(glued.select(F.col("way").alias("a"), F.col("w2").alias("b")).unionByName(ends.select(F.col("way").alias("a"), F.col("way").alias("b"))))
     runs = settled(runs.select(F.col("id").alias("way"), F.col("component").alias("run")))
     # state (way, side): the walk leaves `way` by `side`; it goes on in w2 and leaves that by the other side
@@ -123,6 +173,30 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
     raise RuntimeError("reachable: not settled")
 
 
+def reachable_from_itself(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Nodes (id) on a cycle of directed edges (a, b): what is left when nodes that nothing leads to, or that lead to nothing, go
+    again and again, and that a walk from brings back."""
+    left = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    for _ in range(rounds):
+        ends = left.select(F.col("a").alias("id")).intersect(left.select(F.col("b").alias("id")))
+        after = settled(left.join(ends, F.col("a") == F.col("id"), "left_semi").join(ends, F.col("b") == F.col("id"), "left_semi"))
+        if after.count() == left.count():
+            break
+        left = after
+    else:
+        raise RuntimeError("reachable_from_itself: not settled")
+    walk = left.select(F.col("a").alias("root"), F.col("b").alias("at"))
+    seen = settled(walk.distinct())
+    front = seen
+    for _ in range(rounds):
+        step = front.join(left, F.col("at") == F.col("a")).select("root", F.col("b").alias("at")).distinct()
+        front = settled(step.join(seen, ["root", "at"], "left_anti"))
+        if front.isEmpty():
+            return seen.where(F.col("root") == F.col("at")).select(F.col("root").alias("id"))
+        seen = settled(seen.unionByName(front))
+    raise RuntimeError("reachable_from_itself: not settled")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, tolerance: float = 1e-6, rounds: int = 10_000) -> DataFrame:
     """Least length between pairs (query, source, target) over undirected edges (a, b, m), all pairs at once: query, m (null:
     not connected) and paths, how many paths have that length within the tolerance.
@@ -144,14 +218,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, tolerance: float = 1e-6,
         raise RuntimeError("shortest_paths: not settled")
     # count paths backwards from the target over edges that lie on some shortest path
     at = pairs.select("query", F.col("target").alias("node"), F.lit(1).cast("long").alias("n")).join(best, ["query", "node"])
-    total = at.where(F.lit(False)).select("query", "n")
+    homes = []
     for _ in range(rounds):
-        home = at.join(pairs.select("query", F.col("source").alias("node")), ["query", "node"], "left_semi").select("query", "n")
-        total = settled(total.unionByName(home).groupBy("query").agg(F.sum("n").alias("n")))
+        homes.append(at.join(pairs.select("query", F.col("source").alias("node")), ["query", "node"], "left_semi").select("query", "n"))
         prior = at.join(both, at["node"] == both["b"]).select("query", F.col("a").alias("node"), (F.col("d") - F.col("m")).alias("want"), "n")
         at = settled(prior.join(best, ["query", "node"]).where(F.abs(F.col("d") - F.col("want")) <= tolerance).groupBy("query", "node").agg(F.sum("n").alias("n"), F.first("d").alias("d")))
         if at.isEmpty():
             break
+    else:
+        raise RuntimeError("shortest_paths: paths not counted")
+    total = union_all(homes).groupBy("query").agg(F.sum("n").alias("n"))
     ends = best.join(pairs.select("query", F.col("target").alias("node")), ["query", "node"]).select("query", F.col("d").alias("m"))
     return pairs.select("query").join(ends, "query", "left").join(total.withColumnRenamed("n", "paths"), "query", "left").select("query", "m", F.coalesce("paths", F.lit(0).cast("long")).alias("paths"))
 
@@ -159,19 +235,24 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, tolerance: float = 1e-6,
 def generalized(points: DataFrame, tolerance: float, track: str = "track_id", rounds: int = 64) -> DataFrame:
     """Line generalisation: of each open span the farthest inner vertex is kept if it is farther than the tolerance from the
     span's chord, and splits it. All tracks' spans are split at once, one level of the recursion a round. points: track, pos,
-    x, y; the kept (track, pos)."""
-    pts = settled(points.select(track, "pos", "x", "y"))
-    spans = settled(pts.groupBy(track).agg(F.min("pos").alias("i"), F.max("pos").alias("j")))
-    kept = spans.select(track, F.explode(F.array("i", "j")).alias("pos"))
+    x, y; the kept (track, pos).
+
+    An inner vertex carries its span's ends, and a split reaches it by (track, start): no vertex meets another span."""
+    by = Window.partitionBy(track)
+    ends = lambda f: f(F.struct("pos", "x", "y"), "pos").over(by)
+    whole = settled(points.select(track, "pos", "x", "y").withColumns({"i": ends(F.min_by), "j": ends(F.max_by)}))
+    kept = whole.where((F.col("pos") == F.col("i.pos")) | (F.col("pos") == F.col("j.pos"))).select(track, "pos")
+    inner = whole.where((F.col("pos") > F.col("i.pos")) & (F.col("pos") < F.col("j.pos")))
     for _ in range(rounds):
-        end = lambda c: pts.select(track, F.col("pos").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
-        ranged = spans.join(end("i"), [track, "i"]).join(end("j"), [track, "j"])
-        far = pts.join(ranged, track).where("pos > i and pos < j").withColumn("d", planar_distance("x", "y", "xi", "yi", "xj", "yj"))
-        split = settled(far.groupBy(track, "i", "j").agg(F.max(F.struct("d", (-F.col("pos")).alias("p"))).alias("m")).where(F.col("m.d") > tolerance).select(track, "i", "j", (-F.col("m.p")).alias("k")))
+        d = planar_distance("x", "y", F.col("i.x"), F.col("i.y"), F.col("j.x"), F.col("j.y"))
+        far = inner.groupBy(track, F.col("i.pos").alias("_i")).agg(F.max(F.struct(d.alias("d"), (-F.col("pos")).alias("p"), F.struct("pos", "x", "y").alias("k"))).alias("m"))
+        split = settled(far.where(F.col("m.d") > tolerance).select(track, "_i", "m.k"))
         if split.isEmpty():
             return kept.distinct()
-        kept = settled(kept.unionByName(split.select(track, F.col("k").alias("pos"))))
-        spans = settled(split.select(track, "i", F.col("k").alias("j")).unionByName(split.select(track, F.col("k").alias("i"), "j")))
+        kept = settled(kept.unionByName(split.select(track, F.col("k.pos").alias("pos"))))
+        met = inner.withColumn("_i", F.col("i.pos")).join(split, [track, "_i"])
+        left = F.col("pos") < F.col("k.pos")
+        inner = settled(met.where(F.col("pos") != F.col("k.pos")).select(track, "pos", "x", "y", F.when(left, F.col("i")).otherwise(F.col("k")).alias("i"), F.when(left, F.col("k")).otherwise(F.col("j")).alias("j")))
     raise RuntimeError("generalized: not settled")
 
 
@@ -202,3 +283,125 @@ def oriented(members: DataFrame, snaps: DataFrame, limit: float) -> DataFrame:
 
     done = packed.select("relation", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
     return done.select("relation", "o.pos", "o.way", "o.direction", "o.join")
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """Lines (line, points: an array of struct(x, y)) merged at equal ends where exactly two meet: run, lines, points in order.
+
+    Lines that are equal in either direction, or have no length, count once or not at all. A merged line's points are one
+    array, as each input line's are."""
+    key = lambda q: F.concat_ws(" ", q["x"], q["y"])
+    back = F.reverse("points")
+    one = lines.where(F.size(F.array_distinct("points")) > 1).select("line", F.when(F.col("points") <= back, F.col("points")).otherwise(back).alias("points"))
+    one = settled(one.groupBy("points").agg(F.min("line").alias("way")))
+    ends = one.select("way", key(F.element_at("points", 1)).alias("a"), key(F.element_at("points", -1)).alias("b"))
+    placed = chains(ends).join(one, "way").join(ends, "way")
+    by = Window.partitionBy("run").orderBy("pos")
+    after, before = F.lead(F.array("a", "b")).over(by), F.lag(F.array("a", "b")).over(by)
+    both = F.array_contains(before, F.col("a")) & F.array_contains(before, F.col("b"))  # a ring of two
+    last = F.when(both, F.lag("b").over(by) != F.col("a")).otherwise(~F.array_contains(before, F.col("a")))
+    turned = F.when(after.isNotNull(), ~F.array_contains(after, F.col("b"))).when(before.isNotNull(), last).otherwise(False)
+    rows = placed.withColumn("g", F.when(turned, F.reverse("points")).otherwise(F.col("points")))
+    packed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("p"), F.count("*").alias("lines"))
+    join = lambda acc, x: F.concat(acc, F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == F.element_at(x["g"], 1)), F.slice(x["g"], 2, F.size(x["g"]))).otherwise(x["g"]))
+    kind = lines.schema["points"].dataType.simpleString()
+    return packed.select("run", "lines", F.aggregate("p", F.array().cast(kind), join).alias("points"))
+
+
+def _walk(ways: list[tuple], by_ends: bool, roles: bool) -> list[int] | None:
+    """Order of all ways (way, a, b, role), each beginning where the one before ended: in the given order, or led by their ends,
+    of which exactly two meet everywhere. roles: forward and backward ways are walked that way only."""
+    allowed = lambda role: [False] if roles and role == "forward" else [True] if roles and role == "backward" else [False, True]
+    meet: dict = {}
+    for i, (_, a, b, _) in enumerate(ways):
+        meet.setdefault(a, []).append(i)
+        meet.setdefault(b, []).append(i)
+    if by_ends and any(len(x) != 2 for x in meet.values()):
+        return None
+    for back in allowed(ways[0][3]):
+        order, start, at = [0], *((ways[0][2], ways[0][1]) if back else (ways[0][1], ways[0][2]))
+        while len(order) < len(ways):
+            seen = set(order)
+            ahead = [i for i in dict.fromkeys(meet.get(at, [])) if i not in seen] if by_ends else [len(order)]
+            if len(ahead) != 1:
+                break
+            _, a, b, role = ways[ahead[0]]
+            turn = next((t for t in allowed(role) if (b if t else a) == at), None)
+            if turn is None:
+                break
+            order.append(ahead[0])
+            at = a if turn else b
+        if len(order) == len(ways):
+            return [*order, -1 if start == at else -2]
+    return None
+
+
+def _lap(ways: list[tuple]) -> tuple[list, bool, str, list[str]]:
+    """Ways in walking order, whether they close, the method and what was found on the way."""
+    conflict = "roles conflict with ends"
+    for roles in (True, False):
+        for by_ends, method in ((False, "order"), (True, "cycle")):
+            found = _walk(ways, by_ends, roles)
+            if found:
+                return [ways[i][0] for i in found[:-1]], found[-1] == -1, method + ("" if roles else "-role-relaxed"), [] if roles else [conflict]
+    left = ways
+    while True:
+        ends = [e for _, a, b, _ in left for e in (a, b)]
+        kept = [w for w in left if ends.count(w[1]) > 1 and ends.count(w[2]) > 1]
+        if len(kept) == len(left):
+            break
+        left = kept
+    if left and len(left) < len(ways):
+        for roles in (True, False):
+            for by_ends, method in ((False, "order"), (True, "cycle")):
+                found = _walk(left, by_ends, roles)
+                if found and found[-1] == -1:
+                    gone = "pruned " + ",".join(sorted(str(w[0]) for w in ways if w not in left))
+                    return [left[i][0] for i in found[:-1]], True, f"pruned-{method}" + ("" if roles else "-role-relaxed"), [gone] + ([] if roles else [conflict])
+    return [ways[0][0]], False, "unresolved", ["ways form no single closed walk"]
+
+
+def laps(members: DataFrame) -> DataFrame:
+    """Laps of ordered member ways (relation, pos, way, a, b, role): relation, ways in walking order, closed, method, findings.
+
+    Tried in turn: the given order, ways led by their ends where exactly two meet, both without regard to roles, and all four
+    on what is left when ways with a loose end are pruned again and again. Else the first way stands alone, unresolved. A
+    relation's members are one small group of a task; relations are dealt out by Spark. Ways without ends are left out."""
+    import pyarrow as pa
+
+    way = members.schema["way"].dataType.simpleString()
+    relation = members.schema["relation"].dataType.simpleString()
+
+    def assemble(key, table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("pos", "way", "a", "b", "role")), strict=True))
+        order, closed, method, findings = _lap([r[1:] for r in rows])
+        kinds = [table.schema.field("relation").type, pa.list_(table.schema.field("way").type), pa.bool_(), pa.string(), pa.list_(pa.string())]
+        row = [key[0].as_py(), order, closed, method, findings]
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["relation", "ways", "closed", "method", "findings"])
+
+    whole = members.where("a is not null and b is not null").select("relation", "pos", "way", "a", "b", F.coalesce("role", F.lit("")).alias("role"))
+    return whole.groupBy("relation").applyInArrow(assemble, f"relation {relation}, ways array<{way}>, closed boolean, method string, findings array<string>")
+
+
+def corridor_legs(edges: DataFrame, nodes: DataFrame, legs: DataFrame, detour: float, snap: float) -> DataFrame:
+    """Legs (query, sx, sy, tx, ty) between anchors over edges (a, b, m) of nodes (id, x, y): each anchor goes to the nearest node
+    within `snap` (ties: least id); m is the shortest way between them, paths how many are as short, and status: accepted,
+    no-anchor, no-path, ambiguous (several shortest) or detour (m above `detour` times the straight line)."""
+    cell = lambda c: F.floor(F.col(c) / snap)
+    held = nodes.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+
+    def anchored(x: str, y: str, name: str) -> DataFrame:
+        around = F.array(*[F.struct((cell(x) + i).alias("cx"), (cell(y) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        spread = legs.select("query", F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(around).alias("c")).select("query", "ax", "ay", "c.cx", "c.cy")
+        d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
+        return spread.join(held, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= snap).groupBy("query").agg(F.min(F.struct("d", "id"))["id"].alias(name))
+
+    placed = settled(legs.join(anchored("sx", "sy", "source"), "query", "left").join(anchored("tx", "ty", "target"), "query", "left"))
+    found = shortest_paths(edges, placed.where("source is not null and target is not null").select("query", "source", "target"))
+    straight = F.hypot(F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty"))
+    met = placed.join(found, "query", "left")
+    status = (
+        F.when(F.col("source").isNull() | F.col("target").isNull(), "no-anchor").when(F.col("m").isNull(), "no-path").when(F.col("paths") > 1, "ambiguous")
+        .when(F.col("m") > detour * straight, "detour").otherwise("accepted")
+    )
+    return met.select("query", "source", "target", "m", F.coalesce("paths", F.lit(0)).alias("paths"), status.alias("status"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import EARTH_M, crosses_ray, haversine_m, planar_distance, segment_projection
-from waystone.operators.storage import settled
+from waystone.operators.storage import settled, union_all
 
 #: Latitude within which cells of a radius join are wide enough.
 MAX_LATITUDE = 75.0
@@ -36,15 +36,18 @@ def around(lon: Column, lat: Column, metres: float) -> Column:
     return F.array(*step)
 
 
-def radius_join(points: DataFrame, nodes: DataFrame, metres: float, k: int | None = None) -> DataFrame:
-    """Nodes within a radius of points (point_id, lon, lat; node_id, lon, lat), the nearest k of each, ties by node_id.
+def radius_join(points: DataFrame, nodes: DataFrame, metres: float, k: int | None = None, within: list[str] | None = None) -> DataFrame:
+    """Nodes within a radius of points (point_id, lon, lat; node_id, lon, lat), the nearest k of each, ties by node_id. within:
+    columns that both have and that must agree as well, such as a track.
 
     Points are dealt to the cells around them and meet nodes in one cell each; dense cells are split by adaptive execution,
     as the join is a plain equi join. Latitudes beyond MAX_LATITUDE need a smaller radius."""
     dx, dy = cell_degrees(metres)
-    left = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(around(F.col("lon"), F.col("lat"), metres)).alias("c")).select("point_id", "plon", "plat", "c.cx", "c.cy")
-    right = nodes.select("node_id", "lon", "lat", F.floor(F.col("lon") / dx).alias("cx"), F.floor(F.col("lat") / dy).alias("cy"))
-    met = left.join(right, ["cx", "cy"]).withColumn("m", haversine_m("plon", "plat", "lon", "lat")).where(F.col("m") <= metres).select("point_id", "node_id", "m")
+    same = within or []
+    left = points.select("point_id", *same, F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(around(F.col("lon"), F.col("lat"), metres)).alias("c"))
+    left = left.select("point_id", *same, "plon", "plat", "c.cx", "c.cy")
+    right = nodes.select("node_id", *same, "lon", "lat", F.floor(F.col("lon") / dx).alias("cx"), F.floor(F.col("lat") / dy).alias("cy"))
+    met = left.join(right, [*same, "cx", "cy"]).withColumn("m", haversine_m("plon", "plat", "lon", "lat")).where(F.col("m") <= metres).select("point_id", "node_id", "m")
     if k is None:
         return met
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("m", "node_id"))).where(F.col("rank") <= k)
@@ -88,13 +91,30 @@ def candidates_by_keys(names: DataFrame, records: DataFrame, cap: int) -> DataFr
     return found.withColumn("r", F.row_number().over(Window.partitionBy("id", "source").orderBy("strength", "code"))).where(F.col("r") <= cap).drop("r")
 
 
-def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_id") -> DataFrame:
+def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_id", reach_m: float = 2000.0, rounds: int = 4) -> DataFrame:
     """Each landmark (landmark_id, track, lon, lat) on the nearest leg of its own track (pos, lon0.., d0, d1): chainage and
-    offset in metres, ties by chainage."""
-    met = landmarks.join(legs, track).withColumn("p", segment_projection("lon", "lat", "lon0", "lat0", "lon1", "lat1"))
+    offset in metres, ties by chainage.
+
+    A landmark meets the legs of its track in the cells around it. Where none is within reach, the reach grows fourfold, for
+    those landmarks alone; what is left after the rounds, far from everything, meets its whole track."""
     along = F.col("d0") + F.col("p.fraction") * (F.col("d1") - F.col("d0"))
-    best = met.groupBy(track, "landmark_id").agg(F.min(F.struct(F.round("p.distance_m", 6).alias("offset_m"), along.alias("along_m"))).alias("b"))
-    return best.select(track, "landmark_id", "b.along_m", "b.offset_m")
+    nearest = F.min(F.struct(F.round("p.distance_m", 6).alias("offset_m"), along.alias("along_m"))).alias("b")
+    ends = ("lon0", "lat0", "lon1", "lat1", "d0", "d1")
+    open_, found, reach = landmarks.select(track, "landmark_id", "lon", "lat"), [], reach_m
+    projected = segment_projection("lon", "lat", "lon0", "lat0", "lon1", "lat1")
+    for _ in range(rounds):
+        left = open_.withColumn("c", F.explode(around(F.col("lon"), F.col("lat"), reach))).select(track, "landmark_id", "lon", "lat", "c.cx", "c.cy")
+        right = legs.withColumn("c", F.explode(segment_cells(F.col("lon0"), F.col("lat0"), F.col("lon1"), F.col("lat1"), reach))).select(track, *ends, "c.cx", "c.cy")
+        near = left.join(right, [track, "cx", "cy"]).withColumn("p", projected).where(F.col("p.distance_m") <= reach)
+        best = settled(near.groupBy(track, "landmark_id").agg(nearest))
+        found.append(best)
+        open_ = settled(open_.join(best.select(track, "landmark_id"), [track, "landmark_id"], "left_anti"))
+        if open_.isEmpty():
+            break
+        reach *= 4
+    else:
+        found.append(open_.join(legs.select(track, *ends), track).withColumn("p", projected).groupBy(track, "landmark_id").agg(nearest))
+    return union_all(found).select(track, "landmark_id", "b.along_m", "b.offset_m")
 
 
 def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:
@@ -125,13 +145,18 @@ def crossings(segments: DataFrame, track: str, cell: float) -> DataFrame:
     return a.join(b, [track, "c"]).where((F.col("j") - F.col("i") > 1) & proper).select(track, "i", "j").distinct()
 
 
-def smallest_container(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
+def smallest_container(points: DataFrame, rings: DataFrame, key: str, cell: float) -> DataFrame:
     """Each point (point_id, key, x, y) with the ring (ring_id, key, pos, x0, y0, x1, y1) of least area that it is inside of,
-    among rings of its own key. point_id, ring_id."""
+    among rings of its own key. point_id, ring_id. Points meet the boxes of rings in cells of a size that the boxes set."""
     areas = rings.groupBy(key, "ring_id").agg(F.abs(F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2)).alias("area"), F.min("x0").alias("w"), F.max("x0").alias("e"), F.min("y0").alias("s"), F.max("y0").alias("n"))
-    possible = points.join(areas, key).where((F.col("x") >= F.col("w")) & (F.col("x") <= F.col("e")) & (F.col("y") >= F.col("s")) & (F.col("y") <= F.col("n")))
-    met = possible.join(rings, [key, "ring_id"]).groupBy("point_id", "ring_id", "area").agg((F.count_if(crosses_ray("x", "y", "x0", "y0", "x1", "y1")) % 2).alias("odd")).where("odd = 1")
-    return met.groupBy("point_id").agg(F.min_by("ring_id", F.struct("area", "ring_id")).alias("ring_id"))
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    cells = F.flatten(F.transform(span("w", "e"), lambda x: F.transform(span("s", "n"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    boxes = areas.withColumn("c", F.explode(cells)).select(key, "ring_id", "area", "w", "e", "s", "n", "c.cx", "c.cy")
+    placed = points.select("point_id", key, "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    possible = placed.join(boxes, [key, "cx", "cy"]).where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n")))
+    met = possible.join(rings.select(key, "ring_id", "x0", "y0", "x1", "y1"), [key, "ring_id"]).groupBy("point_id", "ring_id", "area")
+    inside = met.agg((F.count_if(crosses_ray("x", "y", "x0", "y0", "x1", "y1")) % 2).alias("odd")).where("odd = 1")
+    return inside.groupBy("point_id").agg(F.min_by("ring_id", F.struct("area", "ring_id")).alias("ring_id"))
 
 
 def bilinear(samples: DataFrame, grid: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waystone.operators.storage import settled
+from waystone.operators.storage import pinned
 
 
 def global_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -15,8 +15,20 @@ def global_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     range meets in one task.
     """
     spark = df.sparkSession
-    ranged = settled(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)).withColumn("_range", F.spark_partition_id())
+    ranged = pinned(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)).withColumn("_range", F.spark_partition_id())
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_own", own).join(before, "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_range", "_own", "_before")
+
+
+def running_count(df: DataFrame, group: str, line: str, count: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with the sum of `count` over all rows of a group up to each, in the order of an integer column `line`.
+
+    Two steps: blocks of consecutive lines are summed, and a block's rows add up from what the blocks before it hold. So a
+    group of any size is dealt to many tasks, and one row per block meets in one."""
+    blocked = df.withColumn("_block", F.floor(F.col(line) / block))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(group, "_block").agg(F.sum(count).alias("_sum")).select(group, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(group, "_block").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.withColumn("_own", F.sum(count).over(own)).join(sums, [group, "_block"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_block", "_own", "_before")

@@ -30,24 +30,49 @@ def round_robin(df: DataFrame, rank: str, tile: str, order: list) -> DataFrame:
     return df.withColumn("round", F.row_number().over(Window.partitionBy(rank, tile).orderBy(*order)) - 1)
 
 
-def within_budget(df: DataFrame, partition: list[str], key: str, size: str, budget: float, least: float) -> DataFrame:
-    """Longest first, what doesn't fit is skipped and the next one tried; the first one is always kept. Returns the groups'
-    keys of kept rows.
-
-    What fits depends on all that was kept before, so a group is folded as one sorted array of (size, key): a group is one
-    sheet's or layer's candidates and must fit in a task."""
-    item = F.struct((-F.col(size)).alias("n"), F.col(key).alias("k"))
-    packed = df.where(F.col(size) >= least).groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def within_budget(df: DataFrame, partition: list[str], key: str, size: str, budget: float | str, least: float, score: str | None = None) -> DataFrame:
+    """Highest score (or longest) first, what doesn't fit is skipped and the next one tried; the first one is always kept.
+    Returns the groups' keys of kept rows. budget: a number, or a column of df that each group has one value of.
+
+    What is spent is always the size, whatever the score; equal scores go by the lesser key. What fits depends on all that
+    was kept before, so a group is folded as one sorted array: a group is one sheet's or layer's candidates and must fit in a
+    task."""
+    item = F.struct((-F.col(score or size)).alias("o"), F.col(key).alias("k"), F.col(size).cast("double").alias("n"))
+    limit = F.max(budget) if isinstance(budget, str) else F.lit(budget)
+    packed = df.where(F.col(size) >= least).groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(limit).alias("limit") if not isinstance(budget, str) else limit.alias("limit"))
     kind = df.schema[key].dataType.simpleString()
     start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
 
     def step(acc, x):
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] - x["n"] <= budget)
-        return F.struct(F.when(fits, acc["used"] - x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
+        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["n"] <= F.col("limit"))
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
 
     return packed.select(*partition, F.explode(F.aggregate("items", start, step, lambda a: a["kept"])).alias(key))
 
 
+#: Page millimetres that a square millimetre of map may hold of each kind of detail, and the least length drawn.
+DETAIL_DENSITY = {"local": 0.0715, "service": 0.0163, "path": 0.0358}
+DETAIL_LEAST = {"local": 0.8, "service": 1.0, "path": 1.0}
+
+
+def detail_score(category: Column, length: Column, distance: Column, half_diagonal: Column, named: Column, highway: Column, bridge: Column) -> Column:
+    """How much a road detail is worth drawing: its length, up to a quarter more near the centre of the map, more with a name, for
+    cycleways and pedestrian streets, and ten times on a bridge."""
+    centrality = 1.25 - 0.25 * F.least(distance / F.greatest(half_diagonal, F.lit(1e-6)), F.lit(1.0))
+    kind = F.when((category == "path") & highway.isin("cycleway", "pedestrian"), 1.20).otherwise(1.0)
+    return length * centrality * F.when(named, 1.15).otherwise(1.0) * kind * F.when(bridge, 10.0).otherwise(1.0)
+
+
+def detail_budget(groups: DataFrame, sheet: str, category: str, key: str, length: str, score: str, area_mm2: float) -> DataFrame:
+    """Details kept of each sheet and category (local, service, path): by score, within a length that the map's area sets."""
+    budget, least = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, density in DETAIL_DENSITY.items():
+        budget = F.when(F.col(category) == name, density * area_mm2).otherwise(budget)
+        least = F.when(F.col(category) == name, DETAIL_LEAST[name]).otherwise(least)
+    known = groups.withColumns({"_budget": budget, "_least": least}).where(F.col(length) >= F.col("_least"))
+    return within_budget(known, [sheet, category], key, length, "_budget", 0.0, score)
+
+
 def cut_to_budget(df: DataFrame, partition: list[str], order: list, size: str, budget: float, protected: Column) -> DataFrame:
     """Drops whole rows, in the order given, until a group's sum is within budget; protected rows never go. Adds kept."""
     by = Window.partitionBy(*partition)

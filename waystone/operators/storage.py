@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession
+
+#: Where tables go if spark.checkpoint.dir is unset and there is no other machine to share them with.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a session of one machine gets one of its own, and any other an
+    error, as its machines share no temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return FALLBACK_DIR
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed in the shared folder (spark.checkpoint.dir): its partitions and rows stay as they
-    are, whatever is lost later."""
+    """df, computed once as a Parquet table in the shared folder and read from there: a loop's rounds start from it afresh, and
+    what is lost later is read again. (A checkpoint would carry the optimizer's constraints on, which double every round.)"""
     spark = df.sparkSession
-    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed in the shared folder: its partitions too stay as they are, whatever is lost later."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -37,11 +37,14 @@ def profile_runs(points: DataFrame, track: str = "track_id") -> DataFrame:
     return islands(marked, F.col("_b"), [track], ["pos"], "_run").where("ele is not null").groupBy(track, "_run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("points"), F.min("ele").alias("least_ele"), F.max("ele").alias("most_ele")).drop("_run")
 
 
-def verification(points: DataFrame, official_m: Column, under: float, over: float, least_run: float = 0.80, track: str = "track_id") -> DataFrame:
+def verification(points: DataFrame, official_m: Column, under: float, over: float, least_run: float = 0.80, track: str = "track_id", official: str | None = None) -> DataFrame:
     """Measured length of a course against its official one: signed relative error within -under and +over, largest segment
-    at least least_run of the whole, and the reasons where it isn't accepted. points: with leg_m and seg."""
-    parts = points.groupBy(track, "seg").agg(F.sum("leg_m").alias("m"))
-    course = parts.groupBy(track).agg(F.sum("m").alias("measured_m"), F.max("m").alias("largest_m"), F.count("*").alias("parts")).withColumn("official_m", official_m)
+    at least least_run of the whole, and the reasons where it isn't accepted. points: with leg_m and seg. official: a column
+    of points that holds the official length, instead of official_m."""
+    held = F.max(official) if official else F.lit(None).cast("double")
+    parts = points.groupBy(track, "seg").agg(F.sum("leg_m").alias("m"), held.alias("o"))
+    course = parts.groupBy(track).agg(F.sum("m").alias("measured_m"), F.max("m").alias("largest_m"), F.count("*").alias("parts"), F.max("o").alias("official_m"))
+    course = course if official else course.withColumn("official_m", official_m)
     error = F.try_divide(F.col("measured_m") - F.col("official_m"), F.col("official_m"))
     share = F.try_divide(F.col("largest_m"), F.col("measured_m"))
     reasons = F.array_compact(F.array(F.when(F.col("measured_m") <= 0, "no-length"), F.when(error < -under, "too-short"), F.when(error > over, "too-long"), F.when(share < least_run, "fragmented")))
@@ -92,12 +95,18 @@ def stations(legs: DataFrame, wanted: DataFrame, track: str = "track_id") -> Dat
     """Where requested chainages (track, d) lie: lon, lat, elevation and its status.
 
     A leg holds the stations of (d0, d1], and the first leg its start too, so that a station on a vertex is found once.
-    Elevation is observed on a vertex, interpolated between two known ones, else unavailable."""
-    first = legs.groupBy(track).agg(F.min("d0").alias("_s"))
-    met = wanted.join(legs.join(first, track), track).where(((F.col("d") > F.col("d0")) & (F.col("d") <= F.col("d1"))) | ((F.col("d") == F.col("d0")) & (F.col("d0") == F.col("_s"))))
-    f = (F.col("d") - F.col("d0")) / (F.col("d1") - F.col("d0"))
-    mix = lambda c: F.col(f"{c}0") + f * (F.col(f"{c}1") - F.col(f"{c}0"))
-    ele = F.when(f == 1, F.col("ele1")).when(f == 0, F.col("ele0")).otherwise(mix("ele"))
+    Elevation is observed on a vertex, interpolated between two known ones, else unavailable. Legs and stations of a track
+    are sorted together, and a station takes the last leg that began before it: no station meets another leg."""
+    leg = F.struct("lon0", "lat0", "ele0", "d0", "lon1", "lat1", "ele1", "d1")
+    marks = legs.select(track, F.col("d0").alias("d"), F.lit(1).alias("_o"), leg.alias("leg"))
+    asked = wanted.select(track, F.col("d").cast("double").alias("d"), F.lit(0).alias("_o"), F.lit(None).cast(marks.schema["leg"].dataType).alias("leg"))
+    by = Window.partitionBy(track).orderBy("d", "_o")
+    before = F.last("leg", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("leg", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    met = marks.unionByName(asked).withColumn("_l", F.coalesce(before, first)).where("_o = 0").where((F.col("d") >= F.col("_l.d0")) & (F.col("d") <= F.col("_l.d1")))
+    f = (F.col("d") - F.col("_l.d0")) / (F.col("_l.d1") - F.col("_l.d0"))
+    mix = lambda c: F.col(f"_l.{c}0") + f * (F.col(f"_l.{c}1") - F.col(f"_l.{c}0"))
+    ele = F.when(f == 1, F.col("_l.ele1")).when(f == 0, F.col("_l.ele0")).otherwise(mix("ele"))
     status = F.when(ele.isNull(), "unavailable").when((f == 0) | (f == 1), "observed").otherwise("interpolated")
     return met.select(track, "d", mix("lon").alias("lon"), mix("lat").alias("lat"), ele.alias("ele"), status.alias("status"))
 
@@ -108,6 +117,108 @@ def every_metres(legs: DataFrame, step_m: float, track: str = "track_id") -> Dat
     return legs.where(n1 >= n0).select(track, F.explode(F.transform(F.sequence(n0, n1), lambda i: i * step_m)).alias("d"))
 
 
+def resampled(legs: DataFrame, step_m: float, track: str = "track_id") -> DataFrame:
+    """Points (track, d, lon, lat) at a fixed step along each track: a leg interpolates those it holds, nothing is joined."""
+    n0, n1 = F.floor(F.col("d0") / step_m) + 1, F.floor(F.col("d1") / step_m)
+    at = legs.where(n1 >= n0).select("*", F.explode(F.transform(F.sequence(n0, n1), lambda i: i * step_m)).alias("d"))
+    f = (F.col("d") - F.col("d0")) / (F.col("d1") - F.col("d0"))
+    mix = lambda c: (F.col(f"{c}0") + f * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c)
+    return at.select(track, "d", mix("lon"), mix("lat"))
+
+
+def turn_stations(laps: DataFrame, step_m: float = 20.0, window_m: float = 60.0, least_degrees: float = 14.0, apart_m: float = 95.0, most: int = 30) -> DataFrame:
+    """Stations of strong curvature on closed laps (lap, pos, x, y in metres; the last point joins the first): lap, d, turn.
+
+    A lap is sampled at equal steps of about step_m (16 at least), and the heading change over window_m to both sides is
+    taken round the lap. Of changes of least_degrees the strongest are kept first, none nearer than apart_m round the lap
+    to a kept one, `most` at most. Laps under 300 m have none. One lap's candidates are folded as one array."""
+    by = Window.partitionBy("lap").orderBy("pos")
+    whole = Window.partitionBy("lap")
+    first = F.first(F.struct("x", "y")).over(by)
+    legs = laps.select("lap", "pos", F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce(F.lead("x").over(by), first["x"]).alias("x1"), F.coalesce(F.lead("y").over(by), first["y"]).alias("y1"))
+    legs = legs.withColumn("m", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("m > 0")
+    legs = legs.withColumns({"d1": F.sum("m").over(by.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("m").over(whole)}).withColumn("d0", F.col("d1") - F.col("m"))
+    legs = legs.where("length >= 300").withColumn("count", F.greatest(F.lit(16), F.ceil(F.col("length") / step_m))).withColumn("step", F.col("length") / F.col("count"))
+    n0, n1 = F.ceil(F.col("d0") / F.col("step") - 1e-9), F.least(F.ceil(F.col("d1") / F.col("step") - 1e-9) - 1, F.col("count") - 1)
+    at = legs.where(n1 >= n0).select("*", F.explode(F.sequence(n0, n1)).alias("i"))
+    f = (F.col("i") * F.col("step") - F.col("d0")) / F.col("m")
+    points = at.select("lap", "i", "count", "step", "length", (F.col("x0") + f * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + f * (F.col("y1") - F.col("y0"))).alias("y"))
+    offset = F.greatest(F.lit(2), F.round(window_m / F.col("step")).cast("int"))
+    near = lambda sign, name: points.select("lap", F.pmod(F.col("i") + sign * offset, F.col("count")).alias("i"), F.struct("x", "y").alias(name))
+    met = points.join(near(1, "p"), ["lap", "i"]).join(near(-1, "q"), ["lap", "i"])
+    turn = F.atan2(F.col("q.y") - F.col("y"), F.col("q.x") - F.col("x")) - F.atan2(F.col("y") - F.col("p.y"), F.col("x") - F.col("p.x"))
+    bent = met.select("lap", "length", (F.col("i") * F.col("step")).alias("d"), F.degrees(F.abs(F.atan2(F.sin(turn), F.cos(turn)))).alias("turn")).where(F.col("turn") >= least_degrees)
+    packed = bent.groupBy("lap", "length").agg(F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("n"), "d"))).alias("items"))
+
+    def apart(a, b):
+        direct = F.abs(a["d"] - b["d"])
+        return F.least(direct, F.greatest(F.lit(0.0), F.col("length") - direct))
+
+    keep = lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda y: apart(x, y) < apart_m), F.concat(kept, F.array(x))).otherwise(kept)
+    kept = packed.select("lap", F.explode(F.aggregate("items", F.array().cast("array<struct<n:double,d:double>>"), keep)).alias("s"))
+    return kept.select("lap", "s.d", (-F.col("s.n")).alias("turn"))
+
+
+def collapsed_stops(calls: DataFrame, trip: str, order: list[str], stop: str) -> DataFrame:
+    """Calls without those at the same stop as the call before."""
+    before = F.lag(stop).over(Window.partitionBy(trip).orderBy(*order))
+    return calls.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(stop))).drop("_b")
+
+
+def transitions(calls: DataFrame, trip: str, order: list[str], stop: str, example: str) -> DataFrame:
+    """How often a stop is followed by another within a trip: origin, destination, n and the least example."""
+    before = F.lag(stop).over(Window.partitionBy(trip).orderBy(*order))
+    pairs = calls.select(before.alias("origin"), F.col(stop).alias("destination"), F.col(example).alias("example")).where("origin is not null")
+    return pairs.groupBy("origin", "destination").agg(F.count("*").alias("n"), F.min("example").alias("example"))
+
+
+def discontinuities(members: DataFrame, group: str, ends: Column) -> DataFrame:
+    """Members of an ordered group (group, pos) none of whose ends (an array) is one of the next member's: the breaks."""
+    following = F.lead("_e").over(Window.partitionBy(group).orderBy("pos"))
+    return members.withColumn("_e", ends).withColumn("_n", following).where(F.col("_n").isNotNull() & ~F.arrays_overlap("_e", "_n")).drop("_e", "_n")
+
+
+def broken_positions(rows: DataFrame, group: str, position: str) -> DataFrame:
+    """Per group n and whether its positions aren't 1 to n, each once."""
+    n = F.count("*")
+    return rows.groupBy(group).agg(n.alias("n"), ((F.max(position) != n) | (F.countDistinct(position) != n) | (F.min(position) != 1)).alias("broken"))
+
+
+def sections(parts: DataFrame, course: str, order: list[str], length: str) -> DataFrame:
+    """Adds pos (from 1), start_m and end_m: lengths of a course's sections added up in order."""
+    by = Window.partitionBy(course).orderBy(*order)
+    placed = parts.withColumns({"pos": F.row_number().over(by).cast("long"), "end_m": F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    return placed.withColumn("start_m", F.col("end_m") - F.col(length))
+
+
+def merged_intervals(intervals: DataFrame, group: str, join_gap: float, least: float) -> DataFrame:
+    """Intervals (group, a, b) merged where they overlap or lie within join_gap of each other, and kept if `least` long."""
+    by = Window.partitionBy(group).orderBy("a", "b")
+    reach = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = islands(intervals.withColumn("_new", reach.isNull() | (F.col("a") > reach + join_gap)), F.col("_new"), [group], ["a", "b"], "_run")
+    return runs.groupBy(group, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).where(F.col("b") - F.col("a") >= least).drop("_run")
+
+
+def cut_edges(legs: DataFrame, cuts: DataFrame, snap_m: float, track: str = "track_id") -> DataFrame:
+    """Tracks cut where points (track, cut_id, lon, lat) project on them: track, from_m, to_m, vertices between, and the ids of
+    the cuts at both ends (null at the track's own ends). A point farther than snap_m from its track cuts nothing."""
+    from waystone.operators.joins import linear_reference
+
+    placed = linear_reference(cuts.withColumnRenamed("cut_id", "landmark_id"), legs, track).where(F.col("offset_m") <= snap_m)
+    ends = legs.groupBy(track).agg(F.min("d0").alias("a"), F.max("d1").alias("b"))
+    at = placed.select(track, F.col("along_m").alias("d"), F.col("landmark_id").alias("cut_id"))
+    ends = ends.select(track, F.explode(F.array("a", "b")).alias("d"), F.lit(None).cast(at.schema["cut_id"].dataType).alias("cut_id"))
+    one = at.unionByName(ends).groupBy(track, "d").agg(F.min("cut_id").alias("cut_id"))
+    by = Window.partitionBy(track).orderBy("d")
+    edges = one.select(track, F.col("d").alias("from_m"), F.col("cut_id").alias("from_cut"), F.lead("d").over(by).alias("to_m"), F.lead("cut_id").over(by).alias("to_cut")).where("to_m is not null")
+    marks = legs.select(track, F.col("d0").alias("at"), F.lit(1).alias("vertex")).unionByName(edges.select(track, F.col("from_m").alias("at"), F.lit(0).alias("vertex")))
+    order, own = Window.partitionBy(track).orderBy("at", "vertex"), F.when(F.col("vertex") == 0, F.col("at"))
+    owner = marks.withColumns({"from_m": F.max(own).over(order.rowsBetween(Window.unboundedPreceding, 0)), "to_m": F.min(own).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    owner = owner.where("vertex = 1 and at > from_m + 0.001 and (to_m is null or at < to_m - 0.001)")  # a vertex within a millimetre of a cut is that cut
+    inner = owner.groupBy(track, "from_m").agg(F.count("*").alias("vertices"))
+    return edges.join(inner, [track, "from_m"], "left").withColumn("vertices", F.coalesce("vertices", F.lit(0)))
+
+
 def extrema_buckets(points: DataFrame, value: str, buckets: int, track: str = "track_id") -> DataFrame:
     """Down-sampling that keeps each equal-count bucket's least and greatest value and both ends. track, pos, value."""
     by = Window.partitionBy(track)

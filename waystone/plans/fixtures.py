@@ -23,7 +23,11 @@ from part""",
     "fx_way_node": """select l_orderkey as way_id,
        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
        l_partkey as node_id
-from lineitem where l_orderkey % 60 = 0""",
+from lineitem""",
+    "fx_net_node": """select l_orderkey as way_id,
+       row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
+       cast(floor(l_orderkey / 10) as bigint) * 20 + l_partkey % 20 as node_id
+from lineitem""",
     "fx_way": """select o_orderkey as way_id,
        case o_orderpriority when '1-URGENT' then 'primary' when '2-HIGH' then 'residential'
             when '3-MEDIUM' then 'construction' when '4-NOT SPECIFIED' then 'footway' else 'proposed' end as highway,
@@ -51,7 +55,7 @@ from part where p_partkey % 3 = 1""",
 from part""",
     "fx_stroke": """select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as stroke_id,
        l_returnflag as layer, l_linestatus as pen, l_quantity as length_mm, l_orderkey as source_ref
-from lineitem where l_orderkey % 10 = 0""",
+from lineitem""",
     "fx_elevation": """select d.doc_id as feature_id, cast(d.n_chars as double) as global_ele,
        case when l.quality = 1 then cast(d.n_chars as double) + 10.0e0 else null end as native_ele, d.source as source_id
 from documents d left join labels l on d.doc_id = l.doc_id""",
@@ -105,7 +109,7 @@ class Inputs:
     def strokes(self) -> DataFrame:
         """The rows of the view fx_stroke, numbered without its window over all rows in one task."""
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-        lines = self("lineitem").where("l_orderkey % 10 = 0").select(*order, "l_returnflag", "l_linestatus")
+        lines = self("lineitem").select(*order, "l_returnflag", "l_linestatus")
         placed = global_position(lines, order, "stroke_id")
         return placed.select("stroke_id", F.col("l_returnflag").alias("layer"), F.col("l_linestatus").alias("pen"), F.col("l_quantity").alias("length_mm"), F.col("l_orderkey").alias("source_ref"))
 

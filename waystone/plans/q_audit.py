@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waystone.operators import audit, select
-from waystone.plans.q_tracks import LEGS, hav, legs
+from waystone.operators import audit, coverage, reconcile, rollups, select
 from waystone.plans.registry import query
 
 
@@ -14,25 +14,45 @@ def raw_integrity(t):
     return audit.findings(t("fx_track_pt"), ["track_id", "pos"], {"missing-elevation": F.col("ele").isNull(), "outside": F.col("lat") > 53.8, "bad-id": F.col("event_id") % 11 == 0})
 
 
-@query("o9_2_partition_parity", "select cast(0 as bigint) as lost, cast(0 as bigint) as added, cast(0 as bigint) as overlap, round(sum(length_mm), 6) as whole_sum, round(sum(length_mm), 6) as parts_sum, true as holds from fx_stroke")
+KEPT, DROPPED = "length_mm >= 20 and stroke_id % 101 <> 0", "length_mm < 20 or stroke_id % 103 = 0"
+
+
+@query("o9_2_partition_parity", f"""with parts as (select stroke_id, length_mm from fx_stroke where {KEPT} union all select stroke_id, length_mm from fx_stroke where {DROPPED} union all select -stroke_id, length_mm from fx_stroke where stroke_id % 107 = 0),
+lost as (select stroke_id from fx_stroke except all select stroke_id from parts), added as (select stroke_id from parts except all select stroke_id from fx_stroke),
+twice as (select stroke_id from fx_stroke where {KEPT} intersect (select stroke_id from fx_stroke where {DROPPED} union all select -stroke_id from fx_stroke where stroke_id % 107 = 0))
+select (select count(*) from lost) as lost, (select count(*) from added) as added, (select count(*) from twice) as overlap, (select round(sum(length_mm), 6) from fx_stroke) as whole_sum, (select round(sum(length_mm), 6) from parts) as parts_sum,
+ (select count(*) from lost) = 0 and (select count(*) from added) = 0 and (select count(*) from twice) = 0 and (select round(sum(length_mm), 6) from fx_stroke) = (select round(sum(length_mm), 6) from parts) as holds""")
 def partition_parity(t):
-    s = t("fx_stroke")
-    return audit.partition_parity(s, s.where("length_mm >= 20"), s.where("length_mm < 20"), "stroke_id", "length_mm")
+    """A split that loses strokes, puts some in both parts and adds some."""
+    s = t("fx_stroke").select("stroke_id", "length_mm")
+    extra = s.where("stroke_id % 107 = 0").withColumn("stroke_id", -F.col("stroke_id"))
+    return audit.partition_parity(s, s.where(KEPT), s.where(DROPPED).unionByName(extra), "stroke_id", "length_mm")
 
 
 @query("o9_3_minimum_evidence", "select stroke_id, length_mm, case pen when 'O' then 2.0 else 4.0 end * 3 as gate from fx_stroke where length_mm < case pen when 'O' then 2.0 else 4.0 end * 3")
 def minimum_evidence(t):
     gate = F.when(F.col("pen") == "O", 2.0).otherwise(4.0) * 3
-    return t("fx_stroke").where(F.col("length_mm") < gate).select("stroke_id", "length_mm", gate.alias("gate"))
-
-
-@query("o9_4_generalisation_check", f"with {LEGS}, f as (select track_id, sum(case when lon0 is null then 0 else {hav()} end) as m from legs group by 1), e as (select track_id, arg_min(lon, pos) as a, arg_max(lon, pos) as b from fx_track_pt group by 1) select track_id, round(m, 2) as before_m, a <> b as open_line, m > 0 as valid from f join e using (track_id)")
+    return reconcile.below_gate(t("fx_stroke"), "length_mm", gate).select("stroke_id", "length_mm", "gate")
+
+
+@query("o9_4_generalisation_check", """with b as (select track_id as line_id, pos, lon * 1000 as x, lat * 1000 as y, max(pos) over (partition by track_id) as last from fx_track_pt),
+a as (select line_id, pos, x + case when line_id % 20 = 7 and pos = 0 then 1.0 else 0.0 end as x, y from b where line_id % 9 <> 4 and (pos % 2 = 0 or pos = last)),
+m0 as (select line_id, count(*) as n, sum(d) as m from (select line_id, coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 0) as d from b window w as (partition by line_id order by pos)) q group by 1),
+m1 as (select line_id, count(*) as n, sum(d) as m from (select line_id, coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 0) as d from a window w as (partition by line_id order by pos)) q group by 1),
+p as (select b.line_id, b.x, b.y, l.x as x0, l.y as y0, h.x as x1, h.y as y1 from b join a l on l.line_id = b.line_id and l.pos = b.pos - case when b.pos % 2 = 0 or b.pos = b.last then 0 else 1 end join a h on h.line_id = b.line_id and h.pos = b.pos + case when b.pos % 2 = 0 or b.pos = b.last then 0 else 1 end),
+f as (select *, case when (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 0 then least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) else 0.0 end as f from p),
+e as (select line_id, max(sqrt(power(x - x0 - f * (x1 - x0), 2) + power(y - y0 - f * (y1 - y0), 2))) as most from f group by 1)
+select m0.line_id, m0.n as before, m1.n as after, round(m1.m / m0.m, 6) as length_ratio, round(most, 6) as error,
+ concat_ws(';', case when m1.n is null then 'line-missing' end, case when m1.n is not null and m0.line_id % 20 = 7 then 'anchor-moved' end, case when m1.n is not null and most > 5.0 then 'error-bound-exceeded' end) as reasons
+from m0 left join m1 on m1.line_id = m0.line_id left join e on e.line_id = m0.line_id""")
 def generalisation_check(t):
-    from waystone.functions.geo import haversine_m
-
-    m = legs(t).groupBy("track_id").agg(F.sum(haversine_m("lon0", "lat0", "lon", "lat")).alias("m"))
-    ends = t("fx_track_pt").groupBy("track_id").agg(F.min_by("lon", "pos").alias("a"), F.max_by("lon", "pos").alias("b"))
-    return m.join(ends, "track_id").select("track_id", F.round("m", 2).alias("before_m"), (F.col("a") != F.col("b")).alias("open_line"), (F.col("m") > 0).alias("valid"))
+    """Every other vertex, with moved starts and lost lines."""
+    every = Window.partitionBy("track_id")
+    b = t("fx_track_pt").withColumn("last", F.max("pos").over(every)).select(F.col("track_id").alias("line_id"), "pos", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), "last")
+    moved = F.when((F.col("line_id") % 20 == 7) & (F.col("pos") == 0), 1.0).otherwise(0.0)
+    a = b.where("line_id % 9 <> 4 and (pos % 2 = 0 or pos = last)").withColumn("x", F.col("x") + moved)
+    c = coverage.generalisation_check(b, a, 5.0)
+    return c.select("line_id", "before", "after", F.round("length_ratio", 6).alias("length_ratio"), F.round("error", 6).alias("error"), F.array_join("reasons", ";").alias("reasons"))
 
 
 @query("o9_5_source_agreement", """select feature_id, case when not (native_ele is not null and n_ele is not null and native_ele <> n_ele) then coalesce(native_ele, n_ele) end as value,
@@ -44,26 +64,28 @@ def source_agreement(t):
 
 @query("o9_6_distance_gate", "select o_custkey as course, round(sum(o_totalprice), 2) as measured, abs(sum(o_totalprice) - 1500000) / 1500000 <= 0.25 and count(distinct o_orderpriority) >= 3 as passed from orders group by 1")
 def distance_gate(t):
-    total = F.sum("o_totalprice")
-    return t("orders").groupBy(F.col("o_custkey").alias("course")).agg(F.round(total, 2).alias("measured"), ((F.abs(total - 1500000) / 1500000 <= 0.25) & (F.countDistinct("o_orderpriority") >= 3)).alias("passed"))
+    found = reconcile.distance_gate(t("orders").withColumnRenamed("o_custkey", "course"), "course", "o_totalprice", "o_orderpriority", 1500000.0, 0.25, 3)
+    return found.withColumn("measured", F.round("measured", 2))
 
 
 @query("o9_7_catalog_contract", """select 'duplicate-id' as rule, count(*) as broken from (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(*) > 1) a
 union all select 'unknown-country', count(*) from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey <> 2) union all select 'wrong-size', case when (select count(*) from nation) = 25 then 0 else 1 end""")
 def catalog_contract(t):
-    rule = lambda name, n: n.select(F.lit(name).alias("rule"), F.col("broken"))
-    dup = t("lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1").agg(F.count("*").alias("broken"))
-    lost = t("customer").join(t("nation").where("n_regionkey <> 2"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti").agg(F.count("*").alias("broken"))
-    size = t("nation").agg(F.when(F.count("*") == 25, 0).otherwise(1).cast("long").alias("broken"))
-    return rule("duplicate-id", dup).unionByName(rule("unknown-country", lost)).unionByName(rule("wrong-size", size))
+    size = t("nation").agg(F.count("*").alias("n")).where("n <> 25")
+    return reconcile.broken_references({
+        "duplicate-id": reconcile.repeated_keys(t("lineitem"), ["l_orderkey", "l_linenumber"]),
+        "unknown-country": reconcile.missing_references(t("customer"), "c_nationkey", t("nation").where("n_regionkey <> 2"), "n_nationkey"),
+        "wrong-size": size,
+    })
 
 
 @query("o9_8_cohort_binding", """select page_id, case when length(html) <> want then 'size' when page_id % 20 = 0 then 'digest' else 'bound' end as status from (select page_id, html, length(html) + case when page_id % 15 = 0 then 1 else 0 end as want from pages) x""")
 def cohort_binding(t):
-    p = t("pages")
-    pinned = p.select("page_id", (F.length("html") + F.when(F.col("page_id") % 15 == 0, 1).otherwise(0)).alias("size"), F.sha2(F.concat("html", F.when(F.col("page_id") % 20 == 0, "!").otherwise("")), 256).alias("sha"))
-    met = p.join(pinned, "page_id")
-    return met.select("page_id", F.when(F.length("html") != F.col("size"), "size").when(F.sha2("html", 256) != F.col("sha"), "digest").otherwise("bound").alias("status"))
+    k = F.col("page_id")
+    facts = t("pages").select("page_id", F.length("html").alias("size"), F.sha2("html", 256).alias("sha"))
+    other = F.when(k % 20 == 0, F.reverse("sha")).otherwise(F.col("sha"))
+    pinned = facts.select("page_id", (F.col("size") + F.when(k % 15 == 0, 1).otherwise(0)).alias("size"), other.alias("sha"))
+    return reconcile.bound_content(facts, pinned, "page_id")
 
 
 @query("o9_9_route_identity", "select track_id, pos, side from (select track_id, pos, unnest(['gone', 'new']) as side from fx_track_pt where event_id % 500 = 0) x")
@@ -76,24 +98,20 @@ def route_identity(t):
 @query("o9_10_reference_closure", "select r as ref, count(*) as uses from (select unnest([o_custkey % 900, o_orderkey % 1700]) as r from orders) x where r not in (select c_custkey from customer where c_custkey % 3 <> 0) group by 1")
 def reference_closure(t):
     refs = t("orders").select(F.explode(F.array(F.col("o_custkey") % 900, F.col("o_orderkey") % 1700)).alias("ref"))
-    known = t("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("ref"))
-    return refs.groupBy("ref").agg(F.count("*").alias("uses")).join(known, "ref", "left_anti")
+    return reconcile.reference_closure(refs, t("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("ref")))
 
 
-@query("o9_11_crew_check", """with s as (select o_custkey as crew, o_orderkey % 5 + 1 as seat, o_orderkey % 40 as person from orders where o_custkey % 3 = 0), n as (select crew, count(distinct seat) as seats, count(*) as people, count(distinct person) as persons from s group by 1)
+@query("o9_11_crew_check", """with s as (select o_custkey as crew, o_orderkey % 5 + 1 as seat, o_orderkey % 40 as person from orders), n as (select crew, count(distinct seat) as seats, count(*) as people, count(distinct person) as persons from s group by 1)
 select crew, seats = 5 as complete, persons < people as repeated from n""")
 def crew_check(t):
-    s = t("orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("crew"), (F.col("o_orderkey") % 5 + 1).alias("seat"), (F.col("o_orderkey") % 40).alias("person"))
-    return s.groupBy("crew").agg((F.countDistinct("seat") == 5).alias("complete"), (F.countDistinct("person") < F.count("*")).alias("repeated"))
+    s = t("orders").select(F.col("o_custkey").alias("crew"), (F.col("o_orderkey") % 5 + 1).alias("seat"), (F.col("o_orderkey") % 40).alias("person"))
+    return reconcile.crews(s, "crew", "seat", "person", 5)
 
 
 @query("o11_1_width_callback", "select stroke_id, round(length_mm * (case layer when 'A' then 0.3 else 0.7 end), 6) as ink from fx_stroke")
 def width_callback(t):
     """The width is a column that the caller supplies."""
-    def ink(df, width):
-        return df.select("stroke_id", F.round(F.col("length_mm") * width, 6).alias("ink"))
-
-    return ink(t("fx_stroke"), F.when(F.col("layer") == "A", 0.3).otherwise(0.7))
+    return rollups.inked(t("fx_stroke"), "stroke_id", "length_mm", F.when(F.col("layer") == "A", 0.3).otherwise(0.7)).withColumn("ink", F.round("ink", 6))
 
 
 @query("o11_2_score_callback", "with c as (select *, row_number() over (partition by kind order by distance_m desc, id) as place from fx_candidate) select kind, id, cast(place as integer) as place from c where place <= 4")
@@ -104,10 +122,39 @@ def score_callback(t):
 
 @query("o11_3_bucket_callback", "select length_mm >= 25 as bucket, count(*) as strokes, sum(length_mm) as mm from fx_stroke group by 1")
 def bucket_callback(t):
-    bucket = F.col("length_mm") >= 25
-    return t("fx_stroke").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("strokes"), F.sum("length_mm").alias("mm"))
+    """The bucket is a column that the caller supplies."""
+    return rollups.bucketed(t("fx_stroke"), F.col("length_mm") >= 25, "length_mm")
 
 
 @query("o11_4_row_generator", "select p_partkey as id, unnest(range(0, p_size, 10)) as at from part")
 def row_generator(t):
-    return t("part").select(F.col("p_partkey").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long") - 1, F.lit(10).cast("long"))).alias("at"))
+    return rollups.generated(t("part"), F.col("p_partkey").alias("id"), F.col("p_size"), 10)
+
+
+@query("o9_1_raw_geometry")
+def raw_geometry(t):
+    """Elements made of the net's ways and its nodes, with faults of each kind among them; tests hold it against plain Python."""
+    return audit.raw_geometry(faulty_elements(t))
+
+
+def faulty_elements(t):
+    """Ways with geometry, their nodes, and relations of ten ways each; ids, vertices, roles and references are broken on a
+    pattern."""
+    n, w = F.col("node_id"), F.col("way_id")
+    lon, lat = -3.0 + ((n * 7919) % 10000) / 10000.0, 51.0 + ((n * 104729) % 10000) / 10000.0
+    rows = t("fx_net_node").withColumns({"lon": F.when(w % 41 == 0, 200.0).otherwise(lon), "lat": F.when((w % 43 == 0) & (F.col("pos") == 0), None).otherwise(lat)})
+    vertex = F.struct("pos", F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon")).alias("p"), n.alias("n"))
+    packed = rows.groupBy("way_id").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
+    ways = packed.select(
+        F.when(w % 47 == 0, "area").otherwise("way").alias("type"), F.when(w % 53 == 0, None).otherwise(w).alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+        F.transform("v", lambda x: x["n"]).alias("nodes"), F.transform(F.when(w % 59 == 0, F.slice("v", 1, 1)).otherwise(F.col("v")), lambda x: x["p"]).alias("geometry"), F.lit(None).cast("array<struct<type:string,ref:bigint,role:string>>").alias("members"),
+    )
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in ways.schema.fields}
+    nodes = t("fx_net_node").where("node_id % 97 <> 0").select(n.alias("id"), lon.alias("lon"), lat.alias("lat")).distinct()
+    nodes = nodes.select(*[(none | {"type": F.lit("node").alias("type"), "id": F.col("id"), "lat": F.col("lat"), "lon": F.col("lon")})[c] for c in ways.columns])
+    r = F.floor(w / 10)
+    member = F.struct(F.when(w % 61 == 0, "thing").otherwise("way").alias("type"), w.alias("ref"), F.when(w % 67 == 0, None).otherwise("").alias("role"))
+    nested = F.array(F.struct(F.lit("relation").alias("type"), F.when(F.col("r") % 5 == 4, F.col("r") - 4).otherwise(F.col("r") + 1).alias("ref"), F.lit("").alias("role")))
+    relations = packed.select(r.alias("r"), w.alias("way_id")).groupBy("r").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    relations = relations.select(*[(none | {"type": F.lit("relation").alias("type"), "id": F.col("r").alias("id"), "members": F.when(F.col("r") % 7 < 5, F.concat("m", nested)).otherwise(F.col("m")).alias("members")})[c] for c in ways.columns])
+    return ways.unionByName(nodes).unionByName(relations)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waystone.operators import graph
+from waystone.operators import graph, reconcile
+from waystone.operators.ranks import global_position
+from waystone.operators.terrain import contour_segments, level_plan
 from waystone.plans.q_joins import tiles
 from waystone.plans.registry import query
 
@@ -26,43 +28,49 @@ def whole_edges(t):
     return ranked.where("b is not null and a <> b")
 
 
-#: The sparse part of the way graph, where the SQL's closure stays small.
-SPARSE = "link as (select distinct a, b from edge where b is not null and a <> b and way_id % 240 = 0 union select distinct b, a from edge where b is not null and a <> b and way_id % 240 = 0), reach as (select a as id, a as r from link union select reach.id, link.b from reach join link on link.a = reach.r), comp as (select id, min(r) as component from reach group by 1)"
+#: The net: ways of ten orders share twenty nodes of their own, so that components stay small however many there are.
+NET = "edge as (select way_id, pos, node_id as a, lead(node_id) over (partition by way_id order by pos) as b from fx_net_node)"
+SPARSE = "link as (select distinct a, b from edge where b is not null and a <> b union select distinct b, a from edge where b is not null and a <> b), reach as (select a as id, a as r from link union select reach.id, link.b from reach join link on link.a = reach.r), comp as (select id, min(r) as component from reach group by 1)"
 
 
-@query("o8_7_components", f"with recursive {EDGE}, {SPARSE} select id, component from comp")
+def net_edges(t):
+    by = Window.partitionBy("way_id").orderBy("pos")
+    return t("fx_net_node").select("way_id", "pos", F.col("node_id").alias("a"), F.lead("node_id").over(by).alias("b")).where("b is not null and a <> b")
+
+
+@query("o8_7_components", f"with recursive {NET}, {SPARSE} select id, component from comp")
 def components(t):
-    return graph.components(edges(t).where("way_id % 240 = 0"))
+    return graph.components(net_edges(t))
 
 
-@query("o5_15_component_sizes", f"with recursive {EDGE}, {SPARSE} select component, count(*) as nodes, (select count(*) from link l join comp c on c.id = l.a where c.component = comp.component and l.a < l.b) as edges from comp group by 1")
+@query("o5_15_component_sizes", f"with recursive {NET}, {SPARSE}, n as (select component, count(*) as nodes from comp group by 1), e as (select component, count(*) as edges from link join comp on id = a where a < b group by 1) select component, nodes, edges from n join e using (component)")
 def component_sizes(t):
-    e = edges(t).where("way_id % 240 = 0")
+    e = net_edges(t)
     comp = graph.components(e)
     ends = e.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other")).distinct().join(comp, "id").groupBy("component").agg(F.count("*").alias("edges"))
     return comp.groupBy("component").agg(F.count("*").alias("nodes")).join(ends, "component")
 
 
-@query("o8_8_groups_by_reference", """with recursive i as (select distinct l_partkey as item, l_orderkey as ref from lineitem where l_orderkey % 150 = 0), l as (select distinct x.item as a, y.item as b from i x join i y using (ref)),
+@query("o8_8_groups_by_reference", """with recursive i as (select distinct l_orderkey // 10 * 20 + l_partkey % 20 as item, l_orderkey as ref from lineitem), l as (select distinct x.item as a, y.item as b from i x join i y using (ref)),
 reach as (select a as id, b as r from l union select reach.id, l.b from reach join l on l.a = reach.r)
 select cast(id as varchar) as item, cast(min(r) as varchar) as group_key from reach group by 1""")
 def groups_by_reference(t):
-    items = t("lineitem").where("l_orderkey % 150 = 0").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("ref"))
+    items = t("fx_net_node").select(F.col("node_id").alias("item"), F.col("way_id").alias("ref"))
     g = graph.grouped_by_reference(items)
     low = g.groupBy("component").agg(F.min(F.col("item").cast("long")).cast("string").alias("group_key"))
     return g.join(low, "component").select("item", "group_key")
 
 
-@query("o8_9_river_reunion", """with recursive r as (select o_orderkey as id, o_custkey % 700 as a, o_orderkey % 900 as b, case when o_orderkey % 3 = 0 then 'river' || (o_orderkey % 11) end as name, case when o_orderkey % 5 = 0 then o_orderkey % 7 end as wikidata from orders where o_orderkey % 40 = 0),
-l as (select x.id as a, y.id as b from r x join r y on x.a in (y.a, y.b) or x.b in (y.a, y.b) or x.name = y.name), reach as (select a as id, b as r from l union select reach.id, l.b from reach join l on l.a = reach.r), c as (select id, min(r) as component from reach group by 1)
+@query("o8_9_river_reunion", """with recursive r as (select o_orderkey as id, o_orderkey // 30 * 100 + o_custkey % 40 as a, o_orderkey // 30 * 100 + o_orderkey * 7 % 50 as b, case when o_orderkey % 3 = 0 then 'river' || (o_orderkey // 90) || '-' || (o_orderkey % 11) end as name, case when o_orderkey % 5 = 0 then o_orderkey % 7 end as wikidata from orders),
+l as (select x.id as a, y.id as b from r x join r y on x.a = y.a union select x.id, y.id from r x join r y on x.a = y.b union select y.id, x.id from r x join r y on x.a = y.b union select x.id, y.id from r x join r y on x.b = y.b union select x.id, y.id from r x join r y on x.name = y.name),
+reach as (select a as id, b as r from l union select reach.id, l.b from reach join l on l.a = reach.r), c as (select id, min(r) as component from reach group by 1)
 select component, count(*) as parts, count(distinct wikidata) > 1 as conflict from c join r using (id) group by 1""")
 def river_reunion(t):
     k = F.col("o_orderkey")
-    r = t("orders").where(k % 40 == 0).select(k.alias("id"), (F.col("o_custkey") % 700).alias("a"), (k % 900).alias("b"), F.when(k % 3 == 0, F.concat(F.lit("river"), (k % 11).cast("string"))).alias("name"), F.when(k % 5 == 0, k % 7).alias("wikidata"))
-    refs = r.select(F.col("id").alias("item"), F.explode(F.array_compact(F.array(F.concat(F.lit("n"), F.col("a").cast("string")), F.concat(F.lit("n"), F.col("b").cast("string")), F.col("name")))).alias("ref"))
-    found = graph.grouped_by_reference(refs).withColumn("id", F.col("item").cast("long"))
-    low = found.groupBy("component").agg(F.min("id").alias("least"))
-    return found.join(low, "component").join(r.select("id", "wikidata"), "id").groupBy(F.col("least").alias("component")).agg(F.count("*").alias("parts"), (F.countDistinct("wikidata") > 1).alias("conflict"))
+    block = F.floor(k / 30) * 100
+    name = F.when(k % 3 == 0, F.concat(F.lit("river"), F.floor(k / 90).cast("string"), F.lit("-"), (k % 11).cast("string")))
+    r = t("orders").select(k.alias("id"), (block + F.col("o_custkey") % 40).alias("a"), (block + (k * 7) % 50).alias("b"), name.alias("name"), F.when(k % 5 == 0, k % 7).alias("wikidata"))
+    return graph.reunited(r)
 
 
 @query("o8_10_stitched_runs")
@@ -98,26 +106,24 @@ def lap_ways(t):
     return core.join(comp, F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("ways"), F.countDistinct("a").alias("starts"))
 
 
-@query("o8_15_shortest_paths", f"""with recursive {EDGE}, n as (select a, b, cast(1 + (a + b) % 7 as double) as m from edge where b is not null and a <> b and way_id % 120 = 0), l as (select a, b, min(m) as m from (select a, b, m from n union all select b, a, m from n) x group by 1, 2),
-q as (select row_number() over (order by a, b) as query, a as source, b as near from (select distinct a, b from n where a % 50 = 0) y), t as (select q.query, q.source, min(l.b) as target from q join l on l.a = q.near group by 1, 2),
-walk as (select query, source as node, 0.0e0 as d, target, 0 as hops from t union select w.query, l.b, w.d + l.m, w.target, w.hops + 1 from walk w join l on l.a = w.node where w.hops < 5)
-select query, min(d) as m from walk where node = target group by 1""")
+@query("o8_15_shortest_paths", f"""with recursive {NET}, n as (select a, b, cast(1 + (a + b) % 7 as double) as m from edge where b is not null and a <> b), l as (select a, b, min(m) as m from (select a, b, m from n union all select b, a, m from n) x group by 1, 2),
+q as (select distinct a as source, a // 20 * 20 + (a * 7 + 3) % 20 as target from n where a % 4 = 0), t as (select source, target from q where source <> target),
+walk as (select source, target, source as node, 0.0e0 as d from t union select w.source, w.target, l.b, w.d + l.m from walk w join l on l.a = w.node where w.d + l.m <= 20)
+select t.source, t.target, min(d) as m from t left join walk on walk.source = t.source and walk.target = t.target and node = walk.target group by 1, 2""")
 def shortest_paths(t):
-    e = edges(t).where("way_id % 120 = 0").select("a", "b", (1.0 + (F.col("a") + F.col("b")) % 7).alias("m"))
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    q = e.where("a % 50 = 0").select("a", "b").distinct().join(both.select(F.col("a").alias("b"), F.col("b").alias("far")), "b").groupBy("a", "b").agg(F.min("far").alias("target"))
-    from waystone.operators.ranks import global_position
-
-    pairs = global_position(q, ["a", "b"], "query").select(F.col("query").cast("long").alias("query"), F.col("a").alias("source"), "target")
-    return graph.shortest_paths(e, pairs).select("query", "m")
+    """Shortest ways of a length of up to 20."""
+    e = net_edges(t).select("a", "b", (1.0 + (F.col("a") + F.col("b")) % 7).alias("m"))
+    q = e.where("a % 4 = 0").select(F.col("a").alias("source"), (F.floor(F.col("a") / 20) * 20 + (F.col("a") * 7 + 3) % 20).alias("target")).distinct().where("source <> target")
+    pairs = global_position(q, ["source", "target"], "query").select(F.col("query").cast("long").alias("query"), "source", "target")
+    found = graph.shortest_paths(e, pairs).join(pairs, "query")
+    return found.select("source", "target", F.when(F.col("m") <= 20, F.col("m")).alias("m"))
 
 
 @query("o8_16_path_walk", f"with {EDGE} select way_id, count(*) as edges, coalesce(sum(case when next is not null and next <> b then 1 else 0 end), 0) = 0 as contiguous from (select *, lead(a) over (partition by way_id order by pos + case when way_id % 7 = 0 and pos = 1 then 5 else 0 end) as next from edge where b is not null) x group by 1")
 def path_walk(t):
     by = Window.partitionBy("way_id").orderBy("pos")
     e = t("fx_way_node").select("way_id", "pos", F.col("node_id").alias("a"), F.lead("node_id").over(by).alias("b")).where("b is not null")
-    moved = Window.partitionBy("way_id").orderBy(F.col("pos") + F.when((F.col("way_id") % 7 == 0) & (F.col("pos") == 1), 5).otherwise(0))
-    return e.withColumn("next", F.lead("a").over(moved)).groupBy("way_id").agg(F.count("*").alias("edges"), (F.count_if(F.col("next") != F.col("b")) == 0).alias("contiguous"))
+    return reconcile.contiguous_walks(e, "way_id", F.col("pos") + F.when((F.col("way_id") % 7 == 0) & (F.col("pos") == 1), 5).otherwise(0))
 
 
 @query("o8_17_generalized_lines")
@@ -127,8 +133,6 @@ def generalized_lines(t):
 
 @query("o8_18_contours")
 def contours(t):
-    from waystone.operators.terrain import contour_segments, level_plan
-
     return contour_segments(tiles(t), level_plan(tiles(t)))
 
 
@@ -142,53 +146,84 @@ def route_discovery(t):
 @query("o8_1_manifest_merge", """with s as (select o_custkey as id, case when o_custkey % 5 = 0 then o_orderstatus else 'same' end as body, o_orderkey % 9 = 0 as failed from orders), ok as (select id, count(*) as copies, count(distinct body) as bodies, min(body) as body from s where not failed group by 1)
 select id, copies, case when bodies > 1 then 'conflict' else 'merged' end as status from ok union all select distinct id, 0, 'failed' from s where failed and id not in (select id from ok)""")
 def manifest_merge(t):
-    s = t("orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderstatus")).otherwise("same").alias("body"), (F.col("o_orderkey") % 9 == 0).alias("failed"))
-    ok = s.where("not failed").groupBy("id").agg(F.count("*").alias("copies"), F.when(F.countDistinct("body") > 1, "conflict").otherwise("merged").alias("status"))
-    lost = s.where("failed").select("id").distinct().join(ok, "id", "left_anti").select("id", F.lit(0).cast("long").alias("copies"), F.lit("failed").alias("status"))
-    return ok.unionByName(lost)
+    body = F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderstatus")).otherwise("same")
+    return reconcile.merged_manifests(t("orders").select(F.col("o_custkey").alias("id"), body.alias("body"), (F.col("o_orderkey") % 9 == 0).alias("failed")))
 
 
 @query("o8_2_inventory_difference", "select 'missing' as side, p_partkey as k from part where p_partkey not in (select l_partkey from lineitem where l_quantity < 10) union all select 'extra', l_partkey from (select distinct l_partkey from lineitem where l_quantity < 10) x where l_partkey not in (select p_partkey from part where p_partkey % 3 <> 0)")
 def inventory_difference(t):
     want, have = t("part").select(F.col("p_partkey").alias("k")), t("lineitem").where("l_quantity < 10").select(F.col("l_partkey").alias("k")).distinct()
-    extra = have.subtract(want.where("k % 3 <> 0"))
-    return want.subtract(have).select(F.lit("missing").alias("side"), "k").unionByName(extra.select(F.lit("extra").alias("side"), "k"))
+    return reconcile.inventory_difference(want, have, want.where("k % 3 <> 0"))
 
 
-@query("o8_3_feature_dedup", """with f as (select l_orderkey * 10 + l_linenumber as pos, l_returnflag as layer, l_partkey as a, l_suppkey as b from lineitem where l_partkey < 400)
+@query("o8_3_feature_dedup", """with f as (select l_orderkey * 10 + l_linenumber as pos, l_returnflag as layer, l_partkey as a, l_suppkey as b from lineitem)
 select layer, least(a, b) as p, greatest(a, b) as q, min(pos) as first_pos, count(*) as copies from f group by 1, 2, 3""")
 def feature_dedup(t):
-    f = t("lineitem").where("l_partkey < 400").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("layer"), F.least("l_partkey", "l_suppkey").alias("p"), F.greatest("l_partkey", "l_suppkey").alias("q"))
-    return f.groupBy("layer", "p", "q").agg(F.min("pos").alias("first_pos"), F.count("*").alias("copies"))
+    rows = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("layer"), "l_partkey", "l_suppkey")
+    return reconcile.same_features(rows, ["layer"], "l_partkey", "l_suppkey", "pos")
 
 
 @query("o8_4_observation_dedup", "select l_orderkey as k, l_linenumber as n, count(*) as seen, string_agg(cast(l_suppkey as varchar), ',' order by l_suppkey) as provenance, count(distinct l_returnflag) > 1 as disagree from lineitem group by 1, 2")
 def observation_dedup(t):
-    return t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.count("*").alias("seen"), F.array_join(F.array_sort(F.collect_list("l_suppkey")), ",").alias("provenance"), (F.countDistinct("l_returnflag") > 1).alias("disagree"))
+    return reconcile.observations(t("lineitem"), ["l_orderkey", "l_linenumber"], "l_suppkey", "l_returnflag").withColumnsRenamed({"l_orderkey": "k", "l_linenumber": "n"})
 
 
-@query("o8_5_complementary_pairs", "select o_custkey as uid, count(*) as parts, count(distinct o_orderstatus) as kinds, count(*) = 2 and count(distinct o_orderstatus) = 2 as complete from orders where o_orderkey % 5 = 0 group by 1")
+@query("o8_5_complementary_pairs", "select o_custkey as uid, count(*) as parts, count(distinct o_orderstatus) as kinds, count(*) = 2 and count(distinct o_orderstatus) = 2 as complete from orders group by 1")
 def complementary_pairs(t):
-    return t("orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("uid")).agg(F.count("*").alias("parts"), F.countDistinct("o_orderstatus").alias("kinds"), ((F.count("*") == 2) & (F.countDistinct("o_orderstatus") == 2)).alias("complete"))
+    return reconcile.complementary(t("orders").withColumnRenamed("o_custkey", "uid"), "uid", "o_orderstatus")
 
 
 @query("o8_6_release_diff", "select page_id, sha256(html) as before_sha, sha256(regexp_replace(html, '<a [^>]*>[^<]*</a>', '', 'g')) as after_sha, cast(len(regexp_extract_all(html, '<a [^>]*>[^<]*</a>')) as integer) as removed from pages")
 def release_diff(t):
-    link = "<a [^>]*>[^<]*</a>"
-    return t("pages").select("page_id", F.sha2("html", 256).alias("before_sha"), F.sha2(F.regexp_replace("html", link, ""), 256).alias("after_sha"), F.size(F.regexp_extract_all("html", F.lit(link), 0)).alias("removed"))
+    return reconcile.externalised(t("pages"), "page_id", "html", "<a [^>]*>[^<]*</a>")
 
 
-@query("o8_22_endpoint_merge", f"with recursive {EDGE}, {SPARSE} select component, count(*) as lines from comp join (select distinct least(a, b) as a, greatest(a, b) as b from link) l on l.a = comp.id group by 1")
+@query("o8_22_endpoint_merge", f"with recursive {NET}, {SPARSE} select component, count(*) as lines from comp join (select distinct least(a, b) as a, greatest(a, b) as b from link) l on l.a = comp.id group by 1")
 def endpoint_merge(t):
-    e = edges(t).where("way_id % 240 = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = net_edges(t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return e.join(graph.components(e), F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("lines"))
 
 
-@query("o8_11_chain_pairs", f"""with {EDGE}, s as (select a as n, b as o, way_id, pos from edge where b is not null and a <> b and way_id % 120 = 0 union all select b, a, way_id, pos from edge where b is not null and a <> b and way_id % 120 = 0),
+@query("o8_11_chain_pairs", f"""with {NET}, s as (select a as n, b as o, way_id, pos from edge where b is not null and a <> b union all select b, a, way_id, pos from edge where b is not null and a <> b),
 d as (select n, count(*) as k from s group by 1), g as (select s.n, min(way_id * 10000 + pos) as first, max(way_id * 10000 + pos) as second from s join d on d.n = s.n and d.k = 2 group by 1)
 select n as node, first, second from g where first // 10000 % 2 = second // 10000 % 2""")
 def chain_pairs(t):
-    e = edges(t).where("way_id % 120 = 0").withColumn("e", F.col("way_id") * 10000 + F.col("pos"))
+    e = net_edges(t).withColumn("e", F.col("way_id") * 10000 + F.col("pos"))
     s = e.select(F.col("a").alias("n"), "e", (F.col("way_id") % 2).alias("grade")).unionByName(e.select(F.col("b").alias("n"), "e", (F.col("way_id") % 2).alias("grade")))
     two = s.groupBy("n").agg(F.count("*").alias("k"), F.min("e").alias("first"), F.max("e").alias("second"), F.countDistinct("grade").alias("grades")).where("k = 2 and grades = 1")
     return two.select(F.col("n").alias("node"), "first", "second")
+
+
+def net_spans(t):
+    """The net's edges as spans: ids, line, signatures, ends and their outward directions."""
+    at = lambda c: (((F.col(c) * 7919) % 10000) / 10000.0, ((F.col(c) * 104729) % 10000) / 10000.0)
+    (xa, ya), (xb, yb) = at("a"), at("b")
+    m = F.hypot(xb - xa, yb - ya)
+    x, y = F.try_divide(xb - xa, m), F.try_divide(yb - ya, m)
+    w = F.col("way_id")
+    return net_edges(t).select((w * 10000 + F.col("pos")).alias("way"), w.alias("line"), (w % 2).alias("semantic"), (w % 3).alias("grade"), "a", "b", x.alias("ax"), y.alias("ay"), (-x).alias("bx"), (-y).alias("by"))
+
+
+@query("o8_11_compatible_chains")
+def compatible_chains(t):
+    """Chains of compatible spans, the straightest paired first; tests hold the pairs against plain Python."""
+    spans = net_spans(t)
+    return graph.chains(spans.select("way", "a", "b"), links=graph.compatible_links(spans))
+
+
+@query("o8_13_lap_assembly")
+def lap_assembly(t):
+    """Laps of five edges each of the net's ways, in order, with roles; tests hold it against plain Python."""
+    e = net_edges(t)
+    role = F.when(F.col("way_id") % 3 == 0, "forward").otherwise("")
+    m = e.select("way_id", (F.col("way_id") * 10000 + F.col("pos")).alias("way"), "pos", "a", "b", role.alias("role"))
+    return graph.laps(m.withColumnRenamed("way_id", "relation")).select("relation", F.array_join("ways", ",").alias("ways"), "closed", "method", F.array_join("findings", ";").alias("findings"))
+
+
+@query("o8_22_merged_lines")
+def merged_lines(t):
+    """The net's edges as lines of three points, merged at ends where two meet; tests hold it against plain Python."""
+    p = lambda c: F.struct(F.col(c).cast("double").alias("x"), (F.col(c) % 20).cast("double").alias("y"))
+    mid = F.struct(((F.col("a") + F.col("b")) / 2).alias("x"), F.lit(-1.0).alias("y"))
+    found = graph.merged_lines(net_edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("line"), F.array(p("a"), mid, p("b")).alias("points")))
+    return found.select("run", "lines", F.size("points").alias("vertices"), F.element_at("points", 1)["x"].alias("start_x"), F.element_at("points", -1)["x"].alias("end_x"))

@@ -5,11 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waystone.operators import joins, tracks
+from waystone.operators import coverage, joins, reconcile, tracks
 from waystone.plans.q_tracks import CHAIN, LEGS, by_pos, chained, hav, legs
 from waystone.plans.registry import query
 
 
+#: Every track as a line of its own in a plane: ten of them overlap in a row, the next ten lie far away. ox: the line's place.
+PLANE = """pl as (select track_id as line_id, pos, floor(track_id / 10) * 200.0e0 + (track_id % 10) * 4.0e0 as ox, (lon + 3 - (track_id % 50) * 0.1e0) * 1000 as px, (lat - 51 - (track_id % 30) * 0.1e0) * 1000 as y1 from fx_track_pt),
+line as (select * from (select line_id, pos, ox, lag(px + ox) over w as x0, lag(y1) over w as y0, px + ox as x1, y1 from pl window w as (partition by line_id order by pos)) q where x0 is not null)"""
+#: The same lines closed to rings.
+RING = f"""{PLANE}, ring as (select line_id as ring_id, floor(line_id / 10) as rel, pos, px + ox as x0, y1 as y0, coalesce(lead(px + ox) over w, first_value(px + ox) over w) as x1, coalesce(lead(y1) over w, first_value(y1) over w) as y1 from pl window w as (partition by line_id order by pos))"""
+
+
+def placed(t):
+    k = F.col("track_id")
+    ox = F.floor(k / 10) * 200.0 + (k % 10) * 4.0
+    return t("fx_track_pt").select(k.alias("line_id"), "pos", ox.alias("ox"), ((F.col("lon") + 3 - (k % 50) * 0.1) * 1000).alias("px"), ((F.col("lat") - 51 - (k % 30) * 0.1) * 1000).alias("y1"))
+
+
+def plane(t):
+    by = Window.partitionBy("line_id").orderBy("pos")
+    x = F.col("px") + F.col("ox")
+    return placed(t).select("line_id", "pos", "ox", F.lag(x).over(by).alias("x0"), F.lag("y1").over(by).alias("y0"), x.alias("x1"), "y1").where("x0 is not null")
+
+
+def rings(t):
+    by = Window.partitionBy("line_id").orderBy("pos")
+    x = F.col("px") + F.col("ox")
+    after = lambda c: F.coalesce(F.lead(c).over(by), F.first(c).over(by))
+    return placed(t).select(F.col("line_id").alias("ring_id"), F.floor(F.col("line_id") / 10).alias("rel"), "pos", x.alias("x0"), F.col("y1").alias("y0"), after(x).alias("x1"), after(F.col("y1")).alias("y1"))
+
+
+def seg_dist(px, py, a, b, c, d):
+    f = f"case when ({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b}) > 0 then least(1.0, greatest(0.0, (({px} - {a}) * ({c} - {a}) + ({py} - {b}) * ({d} - {b})) / (({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b})))) else 0.0 end"
+    return f"sqrt(power({px} - {a} - ({f}) * ({c} - {a}), 2) + power({py} - {b} - ({f}) * ({d} - {b}), 2))"
+
+
+def lines(t):
+    """The legs of all tracks in the plane."""
+    return legs(t).select(F.col("track_id").alias("line_id"), "pos", ((F.col("lon0") + 3) * 1000).alias("x0"), ((F.col("lat0") - 51) * 1000).alias("y0"), ((F.col("lon") + 3) * 1000).alias("x1"), ((F.col("lat") - 51) * 1000).alias("y1"))
+
+
 @query("o4_1_way_node_edges", f"""with p as (select way_id, pos, node_id as a, lead(node_id) over (partition by way_id order by pos) as b from fx_way_node),
 e as (select way_id, pos, a, b, x.lon as lon0, x.lat as lat0, y.lon, y.lat from p left join fx_node x on x.node_id = a left join fx_node y on y.node_id = b where b is not null)
 select way_id, pos, a, b, round({hav()}, 3) as m from e""")
@@ -20,13 +56,10 @@ def way_node_edges(t):
 @query("o4_2_relation_members", """select m.relation_id, case when w.way_id is null then 'missing' when m.role = 'platform' then 'support' else 'resolved' end as resolution, count(*) as n
 from fx_rel_member m left join (select distinct way_id from fx_way where way_id % 7 <> 0) w on w.way_id = m.way_id group by 1, 2""")
 def relation_members(t):
-    ways = t("fx_way").where("way_id % 7 <> 0").select("way_id", F.lit(True).alias("there")).distinct()
-    met = t("fx_rel_member").join(ways, "way_id", "left")
-    state = F.when(F.col("there").isNull(), "missing").when(F.col("role") == "platform", "support").otherwise("resolved")
-    return met.groupBy("relation_id", state.alias("resolution")).agg(F.count("*").alias("n"))
+    return reconcile.member_resolution(t("fx_rel_member"), t("fx_way").where("way_id % 7 <> 0"), F.col("role") == "platform")
 
 
-NEST = "nest as (select p_partkey as parent, case when p_partkey % 5 = 0 then p_partkey * 2 + 1 else (p_partkey * 3) % 400 end as child, p_size % 2 = 1 as inside, p_partkey % 3 <> 0 as leaf from part where p_partkey < 400)"
+NEST = "nest as (select p_partkey as parent, case when p_partkey % 5 = 0 then p_partkey * 2 + 1 else (p_partkey * 3) % 400 + p_partkey // 400 * 400 end as child, p_size % 2 = 1 as inside, p_partkey % 3 <> 0 as leaf from part)"
 
 
 @query("o4_3_nested_relations", f"""with recursive {NEST}, walk as (select parent as root, child, inside, leaf, [parent] as path, 1 as depth from nest union all
@@ -34,48 +67,42 @@ select w.root, n.child, w.inside <> n.inside, n.leaf, list_append(w.path, w.chil
 select root, child as leaf, inside as inner_role, depth from walk where leaf""")
 def nested_relations(t):
     p = F.col("p_partkey")
-    nest = t("part").where("p_partkey < 400").select(p.alias("parent"), F.when(p % 5 == 0, p * 2 + 1).otherwise((p * 3) % 400).alias("child"), (F.col("p_size") % 2 == 1).alias("inner"), (p % 3 != 0).alias("leaf"))
+    block = F.floor(p / 400) * 400
+    nest = t("part").select(p.alias("parent"), F.when(p % 5 == 0, p * 2 + 1).otherwise((p * 3) % 400 + block).alias("child"), (F.col("p_size") % 2 == 1).alias("inner"), (p % 3 != 0).alias("leaf"))
     return joins.nested_members(nest).withColumnRenamed("inner", "inner_role")
 
 
-RING = "ring as (select track_id as ring_id, track_id % 12 as rel, pos, lon as x0, lat as y0, coalesce(lead(lon) over (partition by track_id order by pos), first_value(lon) over (partition by track_id order by pos)) as x1, coalesce(lead(lat) over (partition by track_id order by pos), first_value(lat) over (partition by track_id order by pos)) as y1 from fx_track_pt)"
-
-
-def rings(t):
-    return t("fx_track_pt").select(F.col("track_id").alias("ring_id"), (F.col("track_id") % 12).alias("rel"), "pos", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.coalesce(F.lead("lon").over(by_pos()), F.first("lon").over(by_pos())).alias("x1"), F.coalesce(F.lead("lat").over(by_pos()), F.first("lat").over(by_pos())).alias("y1"))
-
-
 @query("o4_4_inner_ring_container", f"""with {RING}, area as (select rel, ring_id, abs(sum((x0 * y1 - x1 * y0) / 2)) as area from ring group by 1, 2),
-pt as (select track_id * 1000 + pos as point_id, (track_id + 1) % 12 as rel, lon as x, lat as y from fx_track_pt where pos < 10),
+pt as (select line_id * 1000 + pos as point_id, floor(line_id / 10) as rel, px + ox + 1.3e0 as x, y1 + 0.7e0 as y from pl),
 met as (select point_id, r.ring_id, sum(case when (y1 > y) <> (y0 > y) and x < (x1 - x0) * (y - y0) / nullif(y1 - y0, 0) + x0 then 1 else 0 end) as n from pt join ring r on r.rel = pt.rel group by 1, 2)
 select point_id, arg_min(m.ring_id, (a.area, m.ring_id)) as ring_id from met m join area a on a.ring_id = m.ring_id where n % 2 = 1 group by 1""")
 def inner_ring_container(t):
-    points = t("fx_track_pt").where("pos < 10").select((F.col("track_id") * 1000 + F.col("pos")).alias("point_id"), ((F.col("track_id") + 1) % 12).alias("rel"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return joins.smallest_container(points, rings(t), "rel")
+    points = placed(t).select((F.col("line_id") * 1000 + F.col("pos")).alias("point_id"), F.floor(F.col("line_id") / 10).alias("rel"), (F.col("px") + F.col("ox") + 1.3).alias("x"), (F.col("y1") + 0.7).alias("y"))
+    return joins.smallest_container(points, rings(t), "rel", 10.0)
 
 
-NEAR = f"near as (select event_id as point_id, node_id, {hav('p.lon', 'p.lat', 'n.lon', 'n.lat')} as m from fx_track_pt p join fx_node n on n.lat between p.lat - 0.02 and p.lat + 0.02 where p.track_id % 5 = 0)"
+NEAR = f"near as (select event_id as point_id, node_id, {hav('p.lon', 'p.lat', 'n.lon', 'n.lat')} as m from fx_track_pt p join fx_node n on n.lat between p.lat - 0.02 and p.lat + 0.02 and n.lon between p.lon - 0.04 and p.lon + 0.04)"
 
 
 @query("o4_5_nodes_in_radius", f"with {NEAR} select point_id, node_id, round(m, 3) as m from near where m <= 1200")
 def nodes_in_radius(t):
-    points = t("fx_track_pt").where("track_id % 5 = 0").select(F.col("event_id").alias("point_id"), "lon", "lat")
+    points = t("fx_track_pt").select(F.col("event_id").alias("point_id"), "lon", "lat")
     return joins.radius_join(points, t("fx_node"), 1200.0).select("point_id", "node_id", F.round("m", 3).alias("m"))
 
 
 @query("o7_1_nearest_nodes", f"with {NEAR}, r as (select *, row_number() over (partition by point_id order by m, node_id) as rank from near where m <= 1200) select point_id, node_id, round(m, 3) as m, cast(rank as integer) as rank from r where rank <= 3")
 def nearest_nodes(t):
-    points = t("fx_track_pt").where("track_id % 5 = 0").select(F.col("event_id").alias("point_id"), "lon", "lat")
+    points = t("fx_track_pt").select(F.col("event_id").alias("point_id"), "lon", "lat")
     return joins.radius_join(points, t("fx_node"), 1200.0, 3).select("point_id", "node_id", F.round("m", 3).alias("m"), "rank")
 
 
-@query("o4_6_segments_in_radius", f"""with {LEGS}, s as (select track_id * 1000 + pos as segment_id, lon0, lat0, lon, lat from legs where lon0 is not null and track_id % 3 = 0 and track_id % 50 < 20),
+@query("o4_6_segments_in_radius", f"""with {LEGS}, s as (select track_id * 1000 + pos as segment_id, lon0, lat0, lon, lat from legs where lon0 is not null),
 q as (select node_id as point_id, lon as plon, lat as plat from fx_node),
 l as (select point_id, segment_id, radians(lon0 - plon) * 6371008.8 * cos(radians(plat)) as ax, radians(lat0 - plat) * 6371008.8 as ay, radians(lon - plon) * 6371008.8 * cos(radians(plat)) as bx, radians(lat - plat) * 6371008.8 as byy from q join s on plat between least(lat0, lat) - 0.01 and greatest(lat0, lat) + 0.01 and plon between least(lon0, lon) - 0.02 and greatest(lon0, lon) + 0.02),
 f as (select *, case when (bx - ax) * (bx - ax) + (byy - ay) * (byy - ay) > 0 then least(1.0, greatest(0.0, (-ax * (bx - ax) - ay * (byy - ay)) / ((bx - ax) * (bx - ax) + (byy - ay) * (byy - ay)))) else 0.0 end as f from l)
 select point_id, segment_id, round(sqrt(power(ax + f * (bx - ax), 2) + power(ay + f * (byy - ay), 2)), 2) as distance_m from f where sqrt(power(ax + f * (bx - ax), 2) + power(ay + f * (byy - ay), 2)) <= 500""")
 def segments_in_radius(t):
-    segments = legs(t).where("track_id % 3 = 0 and track_id % 50 < 20").select((F.col("track_id") * 1000 + F.col("pos")).alias("segment_id"), F.col("lon0").alias("lon_a"), F.col("lat0").alias("lat_a"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    segments = legs(t).select((F.col("track_id") * 1000 + F.col("pos")).alias("segment_id"), F.col("lon0").alias("lon_a"), F.col("lat0").alias("lat_a"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     points = t("fx_node").select(F.col("node_id").alias("point_id"), "lon", "lat")
     return joins.segment_radius_join(points, segments, 500.0).select("point_id", "segment_id", F.round("distance_m", 2).alias("distance_m"))
 
@@ -104,17 +131,18 @@ def candidate_records(t):
 @query("o4_9_active_trips", """with routes as (select c_custkey from customer where c_mktsegment = 'BUILDING'), trips as (select o_orderkey, o_custkey from orders where o_orderstatus <> 'P' and o_custkey in (select c_custkey from routes))
 select l_orderkey as trip, count(*) as stop_times from lineitem where l_orderkey in (select o_orderkey from trips) group by 1""")
 def active_trips(t):
-    routes = t("customer").where("c_mktsegment = 'BUILDING'")
-    trips = t("orders").where("o_orderstatus <> 'P'").join(routes, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return t("lineitem").join(trips, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy(F.col("l_orderkey").alias("trip")).agg(F.count("*").alias("stop_times"))
+    trips = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("route_id"))
+    routes = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("route_id"))
+    found = reconcile.active_stop_times(t("lineitem").select(F.col("l_orderkey").alias("trip_id")), trips, routes)
+    return found.groupBy(F.col("trip_id").alias("trip")).agg(F.count("*").alias("stop_times"))
 
 
 @query("o4_10_missing_references", """select 'stop' as kind, count(*) as missing from (select distinct l_partkey from lineitem) x where l_partkey not in (select p_partkey from part where p_partkey % 50 <> 0)
 union all select 'route', count(*) from (select distinct o_custkey from orders) y where o_custkey not in (select c_custkey from customer where c_custkey % 40 <> 0)""")
 def missing_references(t):
-    stops = t("lineitem").select("l_partkey").distinct().join(t("part").where("p_partkey % 50 <> 0"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
-    routes = t("orders").select("o_custkey").distinct().join(t("customer").where("c_custkey % 40 <> 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
-    return stops.agg(F.lit("stop").alias("kind"), F.count("*").alias("missing")).unionByName(routes.agg(F.lit("route").alias("kind"), F.count("*").alias("missing")))
+    stops = reconcile.missing_references(t("lineitem").select("l_partkey").distinct(), "l_partkey", t("part").where("p_partkey % 50 <> 0"), "p_partkey")
+    routes = reconcile.missing_references(t("orders").select("o_custkey").distinct(), "o_custkey", t("customer").where("c_custkey % 40 <> 0"), "c_custkey")
+    return reconcile.broken_references({"stop": stops, "route": routes}).withColumnsRenamed({"rule": "kind", "broken": "missing"})
 
 
 LEG = f"{CHAIN}, lg as (select track_id, pos, lon as x0, lat as y0, cum_m as d0, lead(lon) over w as x1, lead(lat) over w as y1, lead(cum_m) over w as d1, seg as s0, lead(seg) over w as s1 from cum window w as (partition by track_id order by pos)), leg as (select * from lg where s0 = s1 and d1 > d0)"
@@ -133,27 +161,26 @@ def landmark_reference(t):
 @query("o4_13_ranking_join", """with r as (select o_orderkey, o_custkey, row_number() over (order by o_totalprice desc, o_orderkey) as rank from orders where o_totalprice > 400000)
 select o_orderkey as row_id, coalesce(s.s_name, c.c_name) as subject, case when s.s_suppkey is not null then 'seed' else 'base' end as origin from r left join supplier s on s.s_suppkey = r.o_custkey left join customer c on c.c_custkey = r.o_custkey""")
 def ranking_join(t):
-    r = t("orders").where("o_totalprice > 400000").select("o_orderkey", "o_custkey")
-    met = r.join(t("supplier"), F.col("s_suppkey") == F.col("o_custkey"), "left").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return met.select(F.col("o_orderkey").alias("row_id"), F.coalesce("s_name", "c_name").alias("subject"), F.when(F.col("s_suppkey").isNotNull(), "seed").otherwise("base").alias("origin"))
+    r = t("orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("subject_id"))
+    seeds = t("supplier").select(F.col("s_suppkey").alias("subject_id"), F.col("s_name").alias("name"))
+    base = t("customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("name"))
+    return reconcile.ranked_subjects(r, seeds, base).withColumn("origin", F.coalesce("origin", F.lit("base")))
 
 
 @query("o4_14_triplets", """with a as (select o_orderkey as stem from orders where o_orderkey % 4 <> 0), b as (select o_orderkey as stem from orders where o_orderkey % 5 <> 0)
 select coalesce(a.stem, b.stem) as stem, case when a.stem is null then 'missing-drawing' when b.stem is null then 'missing-manifest' end as finding from a full outer join b on a.stem = b.stem where a.stem is null or b.stem is null""")
 def triplets(t):
-    a, b = t("orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("a")), t("orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("b"))
-    met = a.join(b, F.col("a") == F.col("b"), "full_outer").where("a is null or b is null")
-    return met.select(F.coalesce("a", "b").alias("stem"), F.when(F.col("a").isNull(), "missing-drawing").otherwise("missing-manifest").alias("finding"))
+    stems = lambda rule: t("orders").where(rule).select(F.col("o_orderkey").alias("stem"))
+    return reconcile.incomplete_sets({"drawing": stems("o_orderkey % 4 <> 0"), "manifest": stems("o_orderkey % 5 <> 0")})
 
 
 @query("o4_15_checksum_join", """with listed as (select doc_id as path, sha256(text || case when doc_id % 50 = 0 then 'x' else '' end) as want from documents where doc_id % 30 <> 0), found as (select doc_id as path, sha256(text) as have from documents where doc_id % 40 <> 0)
 select status, count(*) as n from (select case when have is null then 'missing' when want is null then 'unlisted' when want = have then 'pass' else 'mismatch' end as status from listed full outer join found using (path)) x group by 1""")
 def checksum_join(t):
-    d = t("documents").select("doc_id", "text")
-    listed = d.where("doc_id % 30 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 50 == 0, "x").otherwise("")), 256).alias("want"))
-    found = d.where("doc_id % 40 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("have"))
-    status = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("want") == F.col("have"), "pass").otherwise("mismatch")
-    return listed.join(found, "path", "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    d = t("documents").select(F.col("doc_id").alias("path"), "text")
+    listed = d.where("path % 30 <> 0").select("path", F.sha2(F.concat("text", F.when(F.col("path") % 50 == 0, "x").otherwise("")), 256).alias("sha"))
+    found = d.where("path % 40 <> 0").select("path", F.sha2("text", 256).alias("sha"))
+    return reconcile.checked_files(listed, found).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("o4_16_stage_lineage", """with e as (select way_id from fx_way where way_id % 13 <> 0), d as (select way_id from e where way_id % 11 <> 0), p as (select way_id from d where way_id % 7 <> 0)
@@ -161,61 +188,43 @@ select case when p.way_id is not null then 'emitted' when d.way_id is not null t
 from fx_way w left join e on e.way_id = w.way_id left join d on d.way_id = w.way_id left join p on p.way_id = w.way_id group by 1, 2""")
 def stage_lineage(t):
     raw = t("fx_way")
-    stage = {"e": "way_id % 13 <> 0", "d": "way_id % 13 <> 0 and way_id % 11 <> 0", "p": "way_id % 13 <> 0 and way_id % 11 <> 0 and way_id % 7 <> 0"}
-    met = raw
-    for name, rule in stage.items():
-        met = met.join(raw.where(rule).select("way_id", F.lit(True).alias(name)), "way_id", "left")
-    status = F.when(F.col("p"), "emitted").when(F.col("d"), "physical-omitted").when(F.col("e"), "cartographic-omitted").otherwise("not-extracted")
-    return met.groupBy(status.alias("status"), "highway").agg(F.count("*").alias("n"))
-
-
-PLANE = f"{LEGS}, line as (select track_id as line_id, pos, (lon0 + 3) * 1000 as x0, (lat0 - 51) * 1000 as y0, (lon + 3) * 1000 as x1, (lat - 51) * 1000 as y1 from legs where lon0 is not null and track_id % 10 = 0 and pos < 20)"
-
-
-def seg_dist(px, py, a, b, c, d):
-    f = f"case when ({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b}) > 0 then least(1.0, greatest(0.0, (({px} - {a}) * ({c} - {a}) + ({py} - {b}) * ({d} - {b})) / (({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b})))) else 0.0 end"
-    return f"sqrt(power({px} - {a} - ({f}) * ({c} - {a}), 2) + power({py} - {b} - ({f}) * ({d} - {b}), 2))"
-
-
-def plane(t):
-    return lines(t).where("line_id % 10 = 0 and pos < 20")
-
+    rules = ["way_id % 13 <> 0", "way_id % 11 <> 0", "way_id % 7 <> 0"]
+    stages = {name: raw.where(" and ".join(rules[: i + 1])).select("way_id") for i, name in enumerate("edp")}
+    lost = {"e": "not-extracted", "d": "cartographic-omitted", "p": "physical-omitted"}
+    return reconcile.stage_lineage(raw, "way_id", stages, lost).groupBy("status", "highway").agg(F.count("*").alias("n"))
 
-def lines(t):
-    """The legs of all tracks in the plane."""
-    return legs(t).select(F.col("track_id").alias("line_id"), "pos", ((F.col("lon0") + 3) * 1000).alias("x0"), ((F.col("lat0") - 51) * 1000).alias("y0"), ((F.col("lon") + 3) * 1000).alias("x1"), ((F.col("lat") - 51) * 1000).alias("y1"))
 
-
-@query("o4_17_close_pairs", f"""with {PLANE}, g as (select a.line_id as a, b.line_id as b, least({seg_dist('a.x0', 'a.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('b.x0', 'b.y0', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}, {seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) as gap from line a join line b on a.line_id < b.line_id)
+@query("o4_17_close_pairs", f"""with {PLANE}, g as (select a.line_id as a, b.line_id as b, least({seg_dist('a.x0', 'a.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('b.x0', 'b.y0', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}, {seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) as gap from line a join line b on a.line_id < b.line_id and floor(a.line_id / 10) = floor(b.line_id / 10))
 select a, b, round(min(gap), 6) as gap from g where gap <= 0.5 group by 1, 2""")
 def close_pairs(t):
     return joins.close_pairs(plane(t), 0.5, 4.0).select("a", "b", F.round("gap", 6).alias("gap"))
 
 
-@query("o4_19_coincident_segments", """with e as (select l_returnflag as pen, least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_quantity as m from lineitem where l_partkey < 300)
+@query("o4_19_coincident_segments", """with e as (select l_returnflag as pen, least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_quantity as m from lineitem)
 select pen, count(*) as drawn, cast(count(*) - count(distinct a * 1000000 + b) as bigint) as retraced from e group by 1""")
 def coincident_segments(t):
-    e = t("lineitem").where("l_partkey < 300").select(F.col("l_returnflag").alias("pen"), F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"))
-    return e.groupBy("pen", "a", "b").agg(F.count("*").alias("n")).groupBy("pen").agg(F.sum("n").alias("drawn"), (F.sum("n") - F.count("*")).alias("retraced"))
+    e = t("lineitem").select(F.col("l_returnflag").alias("pen"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return coverage.coincident(e, ["pen"])
 
 
 @query("o4_21_elevation_precedence", "select feature_id, coalesce(native_ele, case when source_id <> 'src0' then global_ele end) as ele, case when native_ele is not null then 'native' when source_id <> 'src0' then 'global' else 'removed' end as origin from fx_elevation")
 def elevation_precedence(t):
     usable = F.when(F.col("source_id") != "src0", F.col("global_ele"))
-    return t("fx_elevation").select("feature_id", F.coalesce("native_ele", usable).alias("ele"), F.when(F.col("native_ele").isNotNull(), "native").when(usable.isNotNull(), "global").otherwise("removed").alias("origin"))
+    return reconcile.first_source(t("fx_elevation"), "feature_id", {"native": F.col("native_ele"), "global": usable}, "ele", "removed")
 
 
 @query("o4_22_factual_patch", "select o.o_orderkey as record_id, coalesce(case when p.p_size > 25 then cast(p.p_retailprice as double) end, o.o_totalprice) as value, p.p_partkey is not null as patched from orders o left join part p on p.p_partkey = o.o_orderkey and p.p_partkey % 10 = 0")
 def factual_patch(t):
-    patch = t("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("record_id"), F.when(F.col("p_size") > 25, F.col("p_retailprice").cast("double")).alias("v"), F.lit(True).alias("patched"))
-    return t("orders").withColumnRenamed("o_orderkey", "record_id").join(patch, "record_id", "left").select("record_id", F.coalesce("v", "o_totalprice").alias("value"), F.coalesce("patched", F.lit(False)).alias("patched"))
+    patch = t("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("record_id"), F.when(F.col("p_size") > 25, F.col("p_retailprice").cast("double")).alias("value"))
+    records = t("orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_totalprice").alias("value"))
+    return reconcile.patched(records, patch, "record_id", "value")
 
 
-DEM = "dem as (select vec_id as tile, cast(i // 8 as integer) as r, cast(i % 8 as integer) as c, cast(embedding[i + 1] as double) * 100 as z from embeddings, unnest(range(64)) as u(i) where vec_id < 300)"
+DEM = "dem as (select vec_id as tile, cast(i // 8 as integer) as r, cast(i % 8 as integer) as c, cast(embedding[i + 1] as double) * 100 as z from embeddings, unnest(range(64)) as u(i))"
 
 
 def dem(t):
-    return tiles(t).where("tile < 300")
+    return tiles(t)
 
 
 def tiles(t):
@@ -224,23 +233,23 @@ def tiles(t):
     return cells.select("tile", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).cast("int").alias("col"), (F.col("v").cast("double") * 100).alias("z"))
 
 
-@query("o4_23_dem_sample", f"""with {DEM}, s as (select event_id, user_id % 300 as tile, (event_id % 70) / 10.0 as fr, (event_id % 85) / 10.0 as fc from events where event_id % 3 = 0),
+@query("o4_23_dem_sample", f"""with {DEM}, s as (select event_id, user_id % 300 as tile, (event_id % 70) / 10.0 as fr, (event_id % 85) / 10.0 as fc from events),
 k as (select s.*, z, case when r = floor(fr) then 1 - (fr - floor(fr)) else fr - floor(fr) end * case when c = floor(fc) then 1 - (fc - floor(fc)) else fc - floor(fc) end as w from s left join dem on dem.tile = s.tile and r in (floor(fr), floor(fr) + 1) and c in (floor(fc), floor(fc) + 1))
 select event_id as sample_id, round(case when count(z) = 4 then sum(w * z) end, 6) as z from k group by 1""")
 def dem_sample(t):
-    s = t("events").where("event_id % 3 = 0").select(F.col("event_id").alias("sample_id"), (F.col("user_id") % 300).alias("tile"), ((F.col("event_id") % 70) / 10.0).alias("fr"), ((F.col("event_id") % 85) / 10.0).alias("fc"))
+    s = t("events").select(F.col("event_id").alias("sample_id"), (F.col("user_id") % 300).alias("tile"), ((F.col("event_id") % 70) / 10.0).alias("fr"), ((F.col("event_id") % 85) / 10.0).alias("fc"))
     return joins.bilinear(s, dem(t)).select("sample_id", F.round("z", 6).alias("z"))
 
 
-@query("o4_25_reference_distance", f"""with {PLANE}, d as (select a.line_id, a.pos, min({seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}) as d from line a join line b on b.line_id = a.line_id + 10 group by 1, 2)
-select line_id, round(max(d), 6) as most, round(avg(d), 6) as mean from d group by 1""")
+@query("o4_25_reference_distance", f"""with {PLANE}, d as (select a.line_id, a.pos, min({seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}) as d from line a join line b on b.line_id = a.line_id + 1 group by 1, 2),
+e as (select b.line_id - 1 as line_id, b.pos, min({seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) as d from line b join line a on b.line_id = a.line_id + 1 group by 1, 2),
+m as (select line_id, max(d) as most, avg(d) as mean from d group by 1), n as (select line_id, max(d) as back from e group by 1)
+select line_id, round(most, 6) as most, round(mean, 6) as mean, round(back, 6) as back, round(greatest(most, back), 6) as hausdorff from m join n using (line_id)""")
 def reference_distance(t):
-    from waystone.functions.geo import planar_distance
-
-    a = plane(t).select("line_id", "pos", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    b = plane(t).select((F.col("line_id") - 10).alias("line_id"), "x0", "y0", "x1", "y1")
-    each = a.join(b, "line_id").groupBy("line_id", "pos").agg(F.min(planar_distance("x", "y", "x0", "y0", "x1", "y1")).alias("d"))
-    return each.groupBy("line_id").agg(F.round(F.max("d"), 6).alias("most"), F.round(F.avg("d"), 6).alias("mean"))
+    """Each line against the next one."""
+    p = plane(t)
+    found = coverage.reference_distances(p, p.withColumn("line_id", F.col("line_id") - 1))
+    return found.select("line_id", *[F.round(c, 6).alias(c) for c in ("most", "mean", "back", "hausdorff")])
 
 
 def side(p, q, x, y):
@@ -256,11 +265,13 @@ def self_crossings(t):
 @query("o4_29_lap_proximity", f"""with {CHAIN} select a.track_id, a.pos as i, b.pos as j, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) as m from cum a join cum b on a.track_id = b.track_id and b.cum_m - a.cum_m >= 3000 and {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 60""")
 def lap_proximity(t):
     p = chained(t)
-    pts = p.select((F.col("track_id") * 100000 + F.col("pos")).alias("point_id"), "lon", "lat")
-    near = joins.radius_join(pts, pts.withColumnRenamed("point_id", "node_id"), 60.0).where("point_id < node_id and floor(point_id / 100000) = floor(node_id / 100000)")
-    at = lambda name: p.select((F.col("track_id") * 100000 + F.col("pos")).alias(name), F.col("cum_m").alias(f"{name}_m"))
-    met = near.join(at("point_id"), "point_id").join(at("node_id"), "node_id").where("node_id_m - point_id_m >= 3000")
-    return met.select(F.floor(F.col("point_id") / 100000).alias("track_id"), (F.col("point_id") % 100000).alias("i"), (F.col("node_id") % 100000).alias("j"), F.round("m", 3).alias("m"))
+    pts = p.select("track_id", F.col("pos").alias("point_id"), "lon", "lat")
+    keyed = pts.withColumn("point_id", F.struct("track_id", "point_id"))
+    near = joins.radius_join(keyed, keyed.withColumnRenamed("point_id", "node_id"), 60.0, within=["track_id"])
+    near = near.select("point_id.track_id", F.col("point_id.point_id").alias("i"), F.col("node_id.point_id").alias("j"), "m").where("i < j")
+    at = lambda name: p.select("track_id", F.col("pos").alias(name), F.col("cum_m").alias(f"{name}_m"))
+    met = near.join(at("i"), ["track_id", "i"]).join(at("j"), ["track_id", "j"]).where("j_m - i_m >= 3000")
+    return met.select("track_id", "i", "j", F.round("m", 3).alias("m"))
 
 
 @query("o4_30_alias_identity", """with a as (select p_partkey as identity, lower(p_name) as alias from part where p_partkey % 2 = 0 union select p_partkey, lower(p_brand || ' ' || p_name) from part where p_partkey % 2 = 0),
@@ -268,7 +279,15 @@ r as (select p_partkey as record, lower(p_name) as alias from part where p_partk
 select record, case when count(distinct identity) > 1 then null else min(identity) end as identity, count(distinct identity) > 1 as conflict from r join a using (alias) group by 1""")
 def alias_identity(t):
     some = t("part").where("p_partkey % 2 = 0")
-    aliases = some.select(F.col("p_partkey").alias("identity"), F.explode(F.array(F.lower("p_name"), F.lower(F.concat_ws(" ", "p_brand", "p_name")))).alias("alias")).distinct()
-    met = t("part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("record"), F.lower("p_name").alias("alias")).join(aliases, "alias")
-    n = F.countDistinct("identity")
-    return met.groupBy("record").agg(F.when(n == 1, F.min("identity")).alias("identity"), (n > 1).alias("conflict"))
+    aliases = some.select(F.col("p_partkey").alias("identity"), F.explode(F.array(F.lower("p_name"), F.lower(F.concat_ws(" ", "p_brand", "p_name")))).alias("alias"))
+    records = t("part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("record"), F.lower("p_name").alias("alias"))
+    return reconcile.alias_identity(records, aliases)
+
+
+@query("o4_17_layer_conflicts")
+def layer_conflicts(t):
+    """Conflicts of the plane's lines by pair of layers, outside junctions; tests hold it against plain Python."""
+    k = F.col("line_id")
+    p = plane(t).withColumns({"sheet": F.floor(k / 10), "layer": F.when(k % 3 == 0, "roads").when(k % 3 == 1, "water").otherwise("rail"), "width": F.when(k % 3 == 0, 0.3).otherwise(0.5)})
+    found = coverage.close_conflicts(p, 12.0, 0.1, 0.5)
+    return found.select("layer", "other", "conflicts", F.round("least_gap", 6).alias("least_gap"))

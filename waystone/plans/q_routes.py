@@ -6,19 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waystone.functions import tags
-from waystone.functions.geo import crosses_ray
-from waystone.operators import graph, select, tracks
-from waystone.plans.q_aggregates import shares
-from waystone.plans.q_graph import edges
-from waystone.plans.q_joins import RING, lines, rings
+from waystone.operators import coverage, graph, select, tracks
+from waystone.plans.q_graph import net_edges
+from waystone.plans.q_joins import PLANE, RING, lines, plane, rings, seg_dist, side
 from waystone.plans.registry import query
+from waystone.sources import readers
 
 
-@query("o1_20_ranking_seeds", "select o_orderkey as subject_id, 'r' || (o_orderkey % 5) as ranking, cast(o_orderkey % 90 as integer) as rank, case when o_orderkey % 3 <> 0 then o_totalprice end as score from orders where o_orderkey % 4 = 0")
+@query("o1_20_ranking_seeds", "select o_orderkey as subject_id, 'r' || (o_orderkey % 5) as ranking, cast(o_orderkey % 90 as integer) as rank, case when o_orderkey % 3 <> 0 then o_totalprice end as score from orders where o_orderkey % 90 <> 0 and o_orderkey % 17 <> 0")
 def ranking_seeds(t):
-    line = F.concat_ws(",", "o_orderkey", F.concat(F.lit("r"), (F.col("o_orderkey") % 5).cast("string")), (F.col("o_orderkey") % 90).cast("string"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice").cast("string")).otherwise(""))
-    rows = t("orders").where("o_orderkey % 4 = 0").select(F.from_csv(line, "subject_id long, ranking string, rank int, score double").alias("r"))
-    return rows.select("r.*")
+    k = F.col("o_orderkey")
+    subject = F.when(k % 17 == 0, "nobody").otherwise(k.cast("string"))
+    line = F.concat_ws(",", subject, F.concat(F.lit("r"), (k % 5).cast("string")), (k % 90).cast("string"), F.when(k % 3 != 0, F.col("o_totalprice").cast("string")).otherwise(""))
+    return readers.ranking_rows(t("orders").select(line.alias("value")))[0]
 
 
 @query("o2_23_without_selection_edges", """with p as (select track_id, pos, case when pos % 7 in (2, 3, 4) then -3.0e0 else lon end as x, lat as y from fx_track_pt), s as (select *, lead(x) over (partition by track_id order by pos) as x1 from p),
@@ -33,46 +33,65 @@ def without_selection_edges(t):
     return runs.groupBy("track_id", "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("segments")).drop("run")
 
 
-@query("o4_20_uncovered_runs", f"""with {RING}, pt as (select track_id, pos, lon as x, lat as y, track_id + 50 as cover from fx_track_pt where track_id < 100),
-c as (select track_id, pt.pos, count(ring_id) > 0 and sum(case when (y1 > y) <> (y0 > y) and x < (x1 - x0) * (y - y0) / nullif(y1 - y0, 0) + x0 then 1 else 0 end) % 2 = 1 as covered from pt left join ring r on r.ring_id = pt.cover group by 1, 2),
-r as (select *, sum(case when covered then 1 else 0 end) over (partition by track_id order by pos rows unbounded preceding) as run from c)
-select track_id, min(pos) as first_pos, count(*) as points from r where not covered group by track_id, run having count(*) >= 2""")
+SAMPLES = "sm as (select line_id, pos * 4 + k as step, x0 + (x1 - x0) * k / 4.0 as x, y0 + (y1 - y0) * k / 4.0 as y from line, (select unnest(range(0, 4)) as k) q)"
+
+
+@query("o4_20_uncovered_runs", f"""with {RING}, {SAMPLES},
+c as (select s.line_id, step, coalesce(sum(case when (r.y1 > y) <> (r.y0 > y) and x < (r.x1 - r.x0) * (y - r.y0) / nullif(r.y1 - r.y0, 0) + r.x0 then 1 else 0 end), 0) % 2 = 1 or coalesce(min({seg_dist('x', 'y', 'r.x0', 'r.y0', 'r.x1', 'r.y1')}) <= 0.2, false) as covered from sm s left join ring r on r.ring_id = s.line_id + 1 group by 1, 2),
+r as (select *, sum(case when covered then 1 else 0 end) over (partition by line_id order by step rows unbounded preceding) as run from c)
+select line_id, min(step) as first, max(step) as last, count(*) as points from r where not covered group by line_id, run having count(*) >= 2""")
 def uncovered_runs(t):
-    points = t("fx_track_pt").where("track_id < 100").select("track_id", F.col("pos").alias("at"), F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("track_id") + 50).alias("ring_id"))
-    met = points.join(rings(t), "ring_id", "left").groupBy("track_id", "at").agg((F.coalesce(F.count_if(crosses_ray("x", "y", "x0", "y0", "x1", "y1")), F.lit(0)) % 2 == 1).alias("covered"))
-    runs = tracks.islands(met, F.col("covered"), ["track_id"], ["at"], "run").where("not covered")
-    return runs.groupBy("track_id", "run").agg(F.min("at").alias("first_pos"), F.count("*").alias("points")).where("points >= 2").drop("run")
+    """What of each line lies outside the next line's ring, sampled four times a leg, with a buffer."""
+    samples = coverage.sampled(plane(t)).where("k < 4").select("line_id", (F.col("pos") * 4 + F.col("k")).alias("at"), "x", "y", (F.col("line_id") + 1).alias("ring_id"))
+    covered = coverage.inside_rings(samples, rings(t), ["line_id", "at"], 0.2).withColumnRenamed("inside", "covered")
+    return coverage.uncovered_runs(covered)
 
 
 @query("o4_24_host_roads")
 def host_roads(t):
-    """Lines most of which lie along their reference are dropped; o4_18_parallel_share states the shares of some in SQL."""
-    return shares(lines(t)).select("line_id", (F.col("share") >= 0.5).alias("dropped"))
-
-
-@query("o4_26_features_in_boundary", f"""with {RING}, pt as (select track_id, pos, lon as x, lat as y, track_id + 50 as venue from fx_track_pt where track_id < 100),
-c as (select track_id, pt.pos, sum(case when (y1 > y) <> (y0 > y) and x < (x1 - x0) * (y - y0) / nullif(y1 - y0, 0) + x0 then 1 else 0 end) % 2 = 1 as inside from pt join ring r on r.ring_id = pt.venue group by 1, 2)
-select track_id, cast(sum(case when inside then 1 else 0 end) as bigint) as vertices_inside from c group by 1 having sum(case when inside then 1 else 0 end) > 0""")
+    """Lines most of which lie along their reference are dropped: the line 50 further."""
+    p = lines(t)
+    shares = coverage.parallel_share(p, p.withColumn("line_id", F.col("line_id") - 50), 0.8, 4.0)
+    return coverage.redundant(shares, 0.5)
+
+
+@query("o4_26_features_in_boundary", f"""with {RING}, ft as (select * from line where line_id % 10 <> 9 and line_id % 7 <> 3 union all select line_id, pos, ox, x0 + 500, y0, x1 + 500, y1 from line where line_id % 7 = 3),
+vx as (select line_id, pos, x0 as x, y0 as y from ft union all select line_id, max(pos) + 1, arg_max(x1, pos), arg_max(y1, pos) from ft group by 1),
+i as (select v.line_id, v.pos, coalesce(sum(case when (r.y1 > y) <> (r.y0 > y) and x < (r.x1 - r.x0) * (y - r.y0) / nullif(r.y1 - r.y0, 0) + r.x0 then 1 else 0 end), 0) % 2 = 1 or coalesce(min({seg_dist('x', 'y', 'r.x0', 'r.y0', 'r.x1', 'r.y1')}) <= 0.3, false) as inside from vx v left join ring r on r.ring_id = v.line_id + 1 group by 1, 2),
+a as (select line_id, cast(sum(case when inside then 1 else 0 end) as bigint) as n from i group by 1),
+x as (select a.line_id, cast(sum(case when {side('a', 'b', 'x0', 'y0')} * {side('a', 'b', 'x1', 'y1')} < 0 and {side('b', 'a', 'x0', 'y0')} * {side('b', 'a', 'x1', 'y1')} < 0 then 1 else 0 end) as bigint) as n from ft a join ring b on b.ring_id = a.line_id + 1 group by 1)
+select a.line_id, a.n as vertices_inside, coalesce(x.n, 0) as crossings from a left join x on x.line_id = a.line_id where a.n > 0 or x.n > 0""")
 def features_in_boundary(t):
-    points = t("fx_track_pt").where("track_id < 100").select("track_id", F.col("pos").alias("at"), F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("track_id") + 50).alias("ring_id"))
-    inside = points.join(rings(t), "ring_id").groupBy("track_id", "at").agg((F.count_if(crosses_ray("x", "y", "x0", "y0", "x1", "y1")) % 2 == 1).alias("inside"))
-    return inside.groupBy("track_id").agg(F.count_if("inside").alias("vertices_inside")).where("vertices_inside > 0")
-
-
-@query("o4_27_landcover_selection", """with c as (select way_id, case when nature = 'wood' or landuse = 'forest' then 'wood' when leisure = 'park' then 'park' end as class, area_mm2, abs(length_mm - 3) as distance from fx_tagged),
-r as (select *, row_number() over (partition by class order by distance, area_mm2 desc, way_id) as place from c where class is not null and area_mm2 >= 0.8 and distance <= 2)
-select class, way_id, cast(place as integer) as place from r where place <= 20""")
+    """Each line against the next line's ring, every seventh moved away."""
+    p = plane(t).where("line_id % 10 <> 9 or line_id % 7 = 3")
+    far = F.when(F.col("line_id") % 7 == 3, 500.0).otherwise(0.0)
+    legs = p.select("line_id", "pos", (F.col("x0") + far).alias("x0"), "y0", (F.col("x1") + far).alias("x1"), "y1", (F.col("line_id") + 1).alias("ring_id"))
+    return coverage.features_in_boundary(legs, rings(t), 0.3)
+
+
+@query("o4_27_landcover_selection", f"""with {PLANE}, o as (select way_id, case when nature = 'wood' or landuse = 'forest' then 'wood' when leisure = 'park' then 'park' when waterway = 'river' then 'river' when nature = 'coastline' and coalesce(waterway, '') <> 'riverbank' and coalesce(landuse, '') <> 'reservoir' then 'coast' end as class, abs(length_mm - 3) as distance from fx_tagged),
+d as (select line_id, x0, y0, x1, y1, x1 - x0 as dx, y1 - y0 as dy, ox from line),
+q as (select *, greatest(0.0, case when dx > 0 then (ox + 1 - x0) / dx end, case when dx < 0 then (ox + 9 - x0) / dx end, case when dy > 0 then (1 - y0) / dy end, case when dy < 0 then (9 - y0) / dy end) as t0,
+ least(1.0, case when dx > 0 then (ox + 9 - x0) / dx end, case when dx < 0 then (ox + 1 - x0) / dx end, case when dy > 0 then (9 - y0) / dy end, case when dy < 0 then (1 - y0) / dy end) as t1,
+ (dx = 0 and (x0 < ox + 1 or x0 > ox + 9)) or (dy = 0 and (y0 < 1 or y0 > 9)) as off from d),
+l as (select line_id, sum(sqrt(dx * dx + dy * dy) * (t1 - t0)) as length from q where not off and t0 <= t1 group by 1 having sum(sqrt(dx * dx + dy * dy) * (t1 - t0)) > 0),
+m as (select class, line_id, length, row_number() over (partition by class order by distance, length desc, line_id) as place from l join o on o.way_id = l.line_id where length >= case class when 'wood' then 150 when 'park' then 100 when 'coast' then 10 when 'river' then 50 end and distance <= 2.5)
+select class, line_id, round(length, 5) as length, cast(place as integer) as place from m where place <= 20""")
 def landcover_selection(t):
-    few = F.create_map(F.lit("natural"), F.col("nature"), F.lit("landuse"), F.col("landuse"), F.lit("leisure"), F.col("leisure"))
-    near = t("fx_tagged").select("way_id", few.alias("tags"), "area_mm2", F.abs(F.col("length_mm") - 3).alias("distance")).where("area_mm2 >= 0.8 and distance <= 2")
-    c = near.select("way_id", F.coalesce(tags.landcover_class(F.col("tags")), F.lit("-")).alias("class"), "area_mm2", "distance")
-    top = select.top_of_each(c, ["class"], ["distance", F.desc("area_mm2"), "way_id"], 20)
-    return top.where("class <> '-'").select("class", "way_id", "place")
+    """Wood, parks, coasts and rivers: the plane's lines clipped to a frame, by class, length and distance."""
+    few = F.create_map(F.lit("natural"), F.col("nature"), F.lit("landuse"), F.col("landuse"), F.lit("leisure"), F.col("leisure"), F.lit("waterway"), F.col("waterway"))
+    x = t("fx_tagged").select("way_id", few.alias("tags"), F.abs(F.col("length_mm") - 3).alias("distance"))
+    water = tags.water_class(F.col("tags"))
+    kind = F.coalesce(tags.landcover_class(F.col("tags")), F.when(water == "coast", "coast"), F.when(water == "river", "river"))
+    objects = x.select(F.col("way_id").alias("line_id"), kind.alias("class"), "distance").where("class is not null")
+    own = plane(t).withColumns({"x0": F.col("x0") - F.col("ox"), "x1": F.col("x1") - F.col("ox")})
+    found = coverage.route_context(objects, own, (1.0, 1.0, 9.0, 9.0), {"wood": 150.0, "park": 100.0, "coast": 10.0, "river": 50.0}, 2.5, 20)
+    return found.withColumn("length", F.round("length", 5))
 
 
 @query("o7_4_ink_selection")
 def ink_selection(t):
-    g = t("fx_stroke").groupBy((F.col("source_ref") % 40).alias("plate"), "layer", F.col("source_ref").alias("group_id")).agg(F.sum("length_mm").alias("ink"), F.count("*").alias("rank"))
+    g = t("fx_stroke").groupBy(F.floor(F.col("source_ref") / 40).alias("plate"), "layer", F.col("source_ref").alias("group_id")).agg(F.sum("length_mm").alias("ink"), F.count("*").alias("rank"))
     one = g.withColumn("group_key", F.concat_ws("/", "layer", F.col("group_id").cast("string")))
     return select.ink_selection(one, "plate", "layer", "group_key", "rank", "ink", 500.0, 0.2)
 
@@ -89,13 +108,16 @@ def oriented_ways(t):
 
 @query("o8_21_corridor_legs")
 def corridor_legs(t):
-    """Shortest path of each ordered leg between anchors and its detour against the straight line; legs over 1.8 fail."""
-    e = edges(t)
-    n = t("fx_node")
-    end = lambda c: n.select(F.col("node_id").alias(c), F.col("lon").alias(f"x{c}"), F.col("lat").alias(f"y{c}"))
-    measured = e.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("m"))
-    legs = e.groupBy(F.col("way_id").alias("query")).agg(F.min_by("a", "pos").alias("source"), F.max_by("b", "pos").alias("target"))
-    found = graph.shortest_paths(measured, legs).join(legs, "query")
-    straight = found.join(end("source"), "source").join(end("target"), "target")
-    direct = F.hypot(F.col("xsource") - F.col("xtarget"), F.col("ysource") - F.col("ytarget"))
-    return straight.select("query", F.round("m", 6).alias("m"), "paths", (F.try_divide("m", direct) <= 1.8).alias("accepted"))
+    """Each way's way over the net between its ends, which lie a little beside their nodes; tests hold it against plain Python."""
+    e = net_edges(t)
+    at = lambda c: (((F.col(c) * 7919) % 10000) / 10000.0, ((F.col(c) * 104729) % 10000) / 10000.0)
+    (xa, ya), (xb, yb) = at("a"), at("b")
+    measured = e.select("a", "b", F.hypot(xa - xb, ya - yb).alias("m"))
+    x, y = at("id")
+    nodes = measured.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", x.alias("x"), y.alias("y"))
+    legs = e.groupBy(F.col("way_id").alias("query")).agg(F.min_by("a", "pos").alias("s"), F.max_by("b", "pos").alias("t"))
+    (sx, sy), (tx, ty) = at("s"), at("t")
+    off = F.when(F.col("query") % 50 == 0, 9.0).otherwise(1e-7)
+    legs = legs.select("query", (sx + off).alias("sx"), sy.alias("sy"), tx.alias("tx"), (ty - 1e-7).alias("ty"))
+    found = graph.corridor_legs(measured, nodes, legs, 1.8, 1e-6)
+    return found.select("query", F.round("m", 6).alias("m"), "paths", "status")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waystone.functions import rail, tags, text
+from waystone.functions import extent, geo, rail, tags, text
+from waystone.operators import rollups
+from waystone.operators.ranks import global_position
 from waystone.plans.registry import query
 
 KEYS = {"highway": "highway", "construction": "construction", "railway": "railway", "abandoned": "abandoned", "razed_railway": "razed:railway", "nature": "natural", "waterway": "waterway", "landuse": "landuse", "leisure": "leisure", "building": "building", "historic": "historic", "amenity": "amenity", "name": "name", "boundary": "boundary", "lanes": "lanes", "width": "width", "bridge": "bridge", "tunnel": "tunnel", "covered": "covered", "location": "location", "access": "access", "service": "service", "level": "level"}
@@ -154,10 +156,10 @@ def water_and_landcover(t):
     return t("fx_tagged").select("way_id", tags.water_class(tag_map()).alias("water"), tags.landcover_class(tag_map()).alias("landcover"))
 
 
-@query("o2_15_pit_members", "select relation_id, pos, lower(role || ' lane') in ('platform lane') or way_id % 9 = 0 as pit from fx_rel_member")
+@query("o2_15_pit_members", "select relation_id, pos, lower(role) = 'pit' or way_id % 9 = 0 as pit from fx_rel_member")
 def pit_members(t):
-    words = F.array_intersect(F.split(F.lower(F.concat_ws(" ", "role", F.when(F.col("way_id") % 9 == 0, "Pit").otherwise("main"))), " "), F.array(F.lit("platform"), F.lit("pit")))
-    return t("fx_rel_member").select("relation_id", "pos", (F.size(words) > 0).alias("pit"))
+    name = F.when(F.col("way_id") % 9 == 0, "Old Pit-Lane").when(F.col("way_id") % 9 == 1, "Pitt Street").otherwise("main")
+    return t("fx_rel_member").select("relation_id", "pos", tags.pit_member(F.col("role"), name).alias("pit"))
 
 
 @query("o2_16_underground_water", """select way_id, concat_ws(';', case when tunnel in ('yes', 'culvert') then 'tunnel=' || tunnel end, case when covered = 'yes' then 'covered=yes' end, case when location = 'underground' then 'location=underground' end) as reasons from fx_tagged where waterway is not null""")
@@ -167,47 +169,56 @@ def underground_water(t):
 
 @query("o2_17_explicit_elevation", "select feature_id, native_ele is not null and source_id <> 'src0' as explicit, native_ele is null and source_id = 'src0' as inferred from fx_elevation")
 def explicit_elevation(t):
-    return t("fx_elevation").select("feature_id", (F.col("native_ele").isNotNull() & (F.col("source_id") != "src0")).alias("explicit"), (F.col("native_ele").isNull() & (F.col("source_id") == "src0")).alias("inferred"))
+    claim = tags.elevation_claim(F.col("native_ele"), F.col("source_id") != "src0")
+    return t("fx_elevation").select("feature_id", (claim == "explicit").alias("explicit"), (claim == "inferred").alias("inferred"))
 
 
 @query("o2_18_bbox_overlap", """select track_id, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from fx_track_pt group by track_id
 having max(lon) >= -2.5 and min(lon) <= -1.0 and max(lat) >= 51.4 and min(lat) <= 52.6""")
 def bbox_overlap(t):
-    box = t("fx_track_pt").groupBy("track_id").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
-    return box.where("east >= -2.5 and west <= -1.0 and north >= 51.4 and south <= 52.6")
+    frame = extent.box(F.lit(-2.5), F.lit(51.4), F.lit(-1.0), F.lit(52.6))
+    found = t("fx_track_pt").groupBy("track_id").agg(extent.bounds("lon", "lat").alias("e"))
+    return found.where(extent.overlaps(F.col("e"), frame)).select("track_id", "e.west", "e.south", "e.east", "e.north")
 
 
-@query("o2_19_bbox_algebra", """with b as (select track_id, min(lon) as w, min(lat) as s, max(lon) as e, max(lat) as n from fx_track_pt group by track_id)
-select track_id, round(w - (e - w) * 0.1, 9) as west, round(e + (e - w) * 0.1, 9) as east, round(s - (n - s) * 0.1, 9) as south, round(n + (n - s) * 0.1, 9) as north,
- round((e - w) * 1.2 * (n - s) * 1.2, 9) as area, round(greatest((e - w) * 1.2, (n - s) * 1.2 * 1.5), 9) as wide from b""")
+@query("o2_19_bbox_algebra", """with b as (select track_id, min(lon) as w, min(lat) as s, max(lon) as e, max(lat) as n from fx_track_pt group by track_id),
+m as (select *, (w + e) / 2 as cx, (s + n) / 2 as cy, 6371008.8 * radians(e - w) * cos(radians((s + n) / 2)) as wm, 6371008.8 * radians(n - s) as hm from b),
+x as (select *, 20000 / 6371008.8 * 180 / pi() as dy, (e - w) * case when wm / hm < 1.5 then 1.5 / (wm / hm) else 1 end as ex, (n - s) * case when wm / hm < 1.5 then 1 else wm / hm / 1.5 end as ey, (e - w) * case when wm / hm < 1.5 then 1 else 1.5 / (wm / hm) end as kx, (n - s) * case when wm / hm < 1.5 then wm / hm / 1.5 else 1 end as ky from m)
+select track_id, round(cx - (e - w) * 0.6, 9) as pad_west, round(cy + (n - s) * 0.6, 9) as pad_north, round(cx - ex / 2, 9) as expand_west, round(cy + ey / 2, 9) as expand_north, round(cx + kx / 2, 9) as crop_east, round(cy - ky / 2, 9) as crop_south,
+ round(w - dy / cos(radians(s)), 9) as around_west, round(greatest(n, s + dy), 9) as union_north, round(wm * hm / 1e6, 6) as area from x""")
 def bbox_algebra(t):
-    b = t("fx_track_pt").groupBy("track_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
-    dx, dy = F.col("e") - F.col("w"), F.col("n") - F.col("s")
+    b = t("fx_track_pt").groupBy("track_id").agg(extent.bounds("lon", "lat").alias("e"))
+    e = F.col("e")
+    pad, wide, narrow, around = extent.padded(e, 0.1), extent.expanded_to(e, 1.5), extent.cropped_to(e, 1.5), extent.around(e["west"], e["south"], 20.0)
     r = lambda c: F.round(c, 9)
-    return b.select("track_id", r(F.col("w") - dx * 0.1).alias("west"), r(F.col("e") + dx * 0.1).alias("east"), r(F.col("s") - dy * 0.1).alias("south"), r(F.col("n") + dy * 0.1).alias("north"), r(dx * 1.2 * dy * 1.2).alias("area"), r(F.greatest(dx * 1.2, dy * 1.2 * 1.5)).alias("wide"))
+    return b.select(
+        "track_id", r(pad["west"]).alias("pad_west"), r(pad["north"]).alias("pad_north"), r(wide["west"]).alias("expand_west"), r(wide["north"]).alias("expand_north"),
+        r(narrow["east"]).alias("crop_east"), r(narrow["south"]).alias("crop_south"), r(around["west"]).alias("around_west"), r(extent.union(e, around)["north"]).alias("union_north"),
+        F.round(extent.area_km2(e), 6).alias("area"),
+    )
 
 
 @query("o2_20_subject_selection", """select n_name as name, c_custkey as subject_id, c_mktsegment as kind, cast(row_number() over (order by c_mktsegment, c_name, c_custkey) as integer) as position
 from customer join nation on c_nationkey = n_nationkey where n_regionkey = 3 and c_mktsegment in ('BUILDING', 'MACHINERY')""")
 def subject_selection(t):
-    chosen = t("customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(F.broadcast(t("nation").where("n_regionkey = 3")), F.col("c_nationkey") == F.col("n_nationkey"))
-    from waystone.operators.ranks import global_position
-
-    return global_position(chosen.select(F.col("n_name").alias("name"), F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("kind"), "c_name"), ["kind", "c_name", "subject_id"], "position").drop("c_name")
+    chosen = t("customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(t("nation").where("n_regionkey = 3"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = chosen.select(F.col("n_name").alias("name"), F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("kind"), "c_name")
+    return global_position(named, ["kind", "c_name", "subject_id"], "position").drop("c_name")
 
 
 @query("o2_21_season_partition", """select o_orderkey as event_id, o_orderstatus <> 'P' and o_totalprice > 50000 as renderable,
  concat_ws(';', case when o_orderstatus = 'P' then 'not-confirmed' end, case when o_totalprice <= 50000 then 'no-geometry' end) as hold from orders where year(o_orderdate) = 1995""")
 def season_partition(t):
-    hold = F.array_compact(F.array(F.when(F.col("o_orderstatus") == "P", "not-confirmed"), F.when(F.col("o_totalprice") <= 50000, "no-geometry")))
-    return t("orders").where(F.year("o_orderdate") == 1995).select(F.col("o_orderkey").alias("event_id"), (F.size(hold) == 0).alias("renderable"), F.array_join(hold, ";").alias("hold"))
+    season = t("orders").where(F.year("o_orderdate") == 1995).withColumnRenamed("o_orderkey", "event_id")
+    held = rollups.held_events(season, {"not-confirmed": F.col("o_orderstatus") == "P", "no-geometry": F.col("o_totalprice") <= 50000})
+    return held.select("event_id", "renderable", "hold")
 
 
 @query("o2_22_drawable_gate", "select stroke_id, layer, length_mm >= greatest(0.5, 3 * case pen when 'O' then 0.3 else 4.0 end) and (layer <> 'A' or length_mm >= power(2 * case pen when 'O' then 0.3 else 4.0 end, 2)) as drawable from fx_stroke")
 def drawable_gate(t):
     nib = F.when(F.col("pen") == "O", 0.3).otherwise(4.0)
-    long = F.col("length_mm") >= F.greatest(F.lit(0.5), 3 * nib)
-    return t("fx_stroke").select("stroke_id", "layer", (long & ((F.col("layer") != "A") | (F.col("length_mm") >= F.pow(2 * nib, F.lit(2.0))))).alias("drawable"))
+    fits = geo.drawable(F.col("length_mm"), nib, F.col("length_mm"), F.col("layer") == "A")
+    return t("fx_stroke").select("stroke_id", "layer", fits.alias("drawable"))
 
 
 @query("o3_13_level_and_grade", """select way_id, l as level, '0/' || l || '/' || case when bridge = 'yes' then 'yes' else 'no' end || '/' || case when tunnel in ('yes', 'culvert') then tunnel else 'no' end || '/' || case when covered = 'yes' then 'yes' else 'no' end || '/no' as grade

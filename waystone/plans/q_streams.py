@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from waystone.operators.storage import FALLBACK_DIR
+from waystone.operators import reconcile
+from waystone.operators.storage import shared_dir
+from waystone.plans.q_tracks import hav
 from waystone.plans.registry import query
 from waystone.streaming import streams
 
 
 def scratch(t) -> str:
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(t, name: str):
@@ -49,16 +51,19 @@ def resume(t):
     """Planned items that no completed result with the same input covers; every tenth result was made of another input."""
     plan = t("orders").select(F.col("o_orderkey").alias("item"), F.sha2(F.concat_ws("|", "o_orderkey", "o_totalprice"), 256).alias("input"))
     done = t("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("item"), F.sha2(F.concat_ws("|", "o_orderkey", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 30 == 0, 1.0).otherwise(0.0)), 256).alias("input"))
-    return plan.join(done, ["item", "input"], "left_anti").select("item")
+    return reconcile.to_resume(plan, done, ["item", "input"]).select("item")
 
 
-@query("o10_3_cleaned_track_stream", "select count(distinct user_id) as tracks, true as some from events")
+@query("o10_3_cleaned_track_stream", f"""with recursive p as (select track_id, epoch(ts) as s, strftime(ts, '%Y-%m-%d %H:%M:%S') as seen, lon, lat, row_number() over (partition by track_id order by ts) as r from fx_track_pt),
+walk as (select track_id, r, seen, s as s1, lon as lon1, lat as lat1, true as kept from p where r = 1 union all
+select p.track_id, p.r, p.seen, case when keep then p.s else s1 end, case when keep then p.lon else lon1 end, case when keep then p.lat else lat1 end, keep from (select p.*, w.s1, w.lon1, w.lat1, not (p.s - w.s1 <= 86400.0 and {hav('w.lon1', 'w.lat1', 'p.lon', 'p.lat')} <= 300.0) as keep from walk w join p on p.track_id = w.track_id and p.r = w.r + 1) p)
+select track_id, seen, round(lon1, 9) as lon, round(lat1, 9) as lat from walk where kept""")
 def cleaned_track_stream(t):
     e = stream_of(t, "events")
     u = F.col("user_id")
     points = e.select(u.alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (-3.0 + (u % 50) * 0.1 + ((F.col("event_id") * 131) % 1000) / 100000.0).alias("lon"), (51.0 + (u % 30) * 0.1 + ((F.col("event_id") * 197) % 1000) / 100000.0).alias("lat"))
     out = streams.run_once(streams.cleaned_stream(points, 300.0, 86400.0), scratch(t))
-    return out.agg(F.countDistinct("track_id").alias("tracks"), (F.count("*") > 0).alias("some"))
+    return out.select("track_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen"), F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
 @query("o10_4_tumbling_counts", "select user_id, count(*) as events, round(sum(value), 4) as value, strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d') as day from events group by 1, 4")

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waystone.functions import geo, text
-from waystone.operators import tracks
+from waystone.functions import extent, geo, text
+from waystone.operators import coverage, reconcile, rollups, tracks
 from waystone.plans.registry import query
 
 
-
 def by_pos():
     return Window.partitionBy("track_id").orderBy("pos")
 
 
 #: The legs of fx_track_pt in SQL: both ends, haversine length.
-HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin(radians({d} - {c}) / 2), 2))))"
+HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin(radians({d} - {c}) / 2), 2)) + 0 * ({b} - {a} + {d} - {c})))"
 
 
 def hav(lon0="lon0", lat0="lat0", lon1="lon", lat1="lat") -> str:
@@ -126,29 +125,39 @@ def turn_angle(t):
     return p.select("track_id", "pos", F.round(geo.turn_degrees("lon0", "lat0", "lon", "lat", "lon1", "lat1"), 4).alias("degrees"))
 
 
-@query("o3_11_oriented_span", """with a as (select unnest(range(0, 180, 5)) as deg), r as (select track_id, deg, max(lon * cos(radians(deg)) + lat * sin(radians(deg))) - min(lon * cos(radians(deg)) + lat * sin(radians(deg))) as u, max(lat * cos(radians(deg)) - lon * sin(radians(deg))) - min(lat * cos(radians(deg)) - lon * sin(radians(deg))) as v from fx_track_pt cross join a group by 1, 2)
-select track_id, round(min(u * v), 7) as area, round(arg_min(least(u, v), u * v), 7) as short_side from r group by 1""")
+@query("o3_11_oriented_span", """with a as (select unnest(range(0, 90)) as deg), r as (select track_id, deg, max(lon * cos(radians(deg)) + lat * sin(radians(deg))) - min(lon * cos(radians(deg)) + lat * sin(radians(deg))) as u, max(lat * cos(radians(deg)) - lon * sin(radians(deg))) - min(lat * cos(radians(deg)) - lon * sin(radians(deg))) as v from fx_track_pt cross join a group by 1, 2),
+b as (select track_id, arg_min({'u': u, 'v': v, 'deg': deg}, (u * v, deg)) as b from r group by 1)
+select track_id, round(b.u * b.v, 7) as area, round(least(b.u, b.v), 7) as short_side, cast(case when b.u >= b.v then b.deg else b.deg + 90 end as integer) as bearing from b""")
 def oriented_span(t):
-    turned = t("fx_track_pt").select("track_id", "lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(175), F.lit(5))).alias("deg"))
-    c, s = F.cos(F.radians("deg")), F.sin(F.radians("deg"))
-    u, v = F.col("lon") * c + F.col("lat") * s, F.col("lat") * c - F.col("lon") * s
-    spans = turned.groupBy("track_id", "deg").agg((F.max(u) - F.min(u)).alias("u"), (F.max(v) - F.min(v)).alias("v"))
-    return spans.groupBy("track_id").agg(F.round(F.min(F.col("u") * F.col("v")), 7).alias("area"), F.round(F.min_by(F.least("u", "v"), F.col("u") * F.col("v")), 7).alias("short_side"))
+    found = coverage.oriented_span(t("fx_track_pt").select("track_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "track_id")
+    return found.select("track_id", F.round("area", 7).alias("area"), F.round("short_side", 7).alias("short_side"), "bearing")
+
 
+#: Names with marks, abbreviations, suffixes and qualifiers, and the rule of their keys in SQL.
+RAW = """case p_partkey % 6 when 0 then p_name || ' Nth Jn (Goods)' when 1 then 'Łow ' || p_name || ' & Sth Jcn' when 2 then 'St. ' || p_name || '  Railway Station' when 3 then p_name || ' Stn via Łódź' when 4 then 'Ñew ' || p_name || ' Tráin Station' else p_name || ' for Bìg ﬁelds' end"""
 
-KEY = "trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(translate({x}, 'É', 'é')), '&', ' and '), '[^a-z0-9é]+', ' ', 'g'), ' +', ' ', 'g')), '\\bjn\\b', 'junction', 'g'), '\\bst\\b', 'street', 'g'), '( (railway|rail|station))+$', '', 'g'))"
 
+def sql_key(x: str) -> str:
+    ascii_ = f"lower(regexp_replace(strip_accents(replace({x}, 'ﬁ', 'fi')), '[^\\x00-\\x7F]', '', 'g'))"
+    words = f"trim(regexp_replace(replace({ascii_}, '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    for short, long in text.ABBREVIATIONS.items():
+        words = f"regexp_replace({words}, '\\b{short}\\b', '{long}', 'g')"
+    return f"trim(regexp_replace({words}, '\\b(?:railway\\s+station|rail\\s+station|train\\s+station|station|stn)$', ''))"
 
-@query("o3_12_name_keys", "select code, replace(lower(replace(replace(name, ' Railway Station', ''), '#', ' ')), '-', ' ') as key, replace(lower(replace(replace(name, ' Railway Station', ''), '#', ' ')), '-', ' ') as relaxed from fx_authority")
+
+@query("o3_12_name_keys", f"""with n as (select p_partkey as code, {RAW} as raw from part)
+select code, {sql_key('raw')} as key, trim(regexp_replace({sql_key("regexp_replace(raw, '[ ]*[(][^)]*[)][ ]*', ' ', 'g')")}, '\\b(?:for|via)\\b.*$', '')) as relaxed,
+ trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(raw), '&', ' and '), '\\b(?:railway|rail)[ ]+station\\b', ' ', 'g'), '\\bstation\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as station from n""")
 def name_keys(t):
-    n = F.concat(F.regexp_replace("name", " Railway Station$", " (Central), Railway & Station"))
-    return t("fx_authority").select("code", text.name_key(F.col("name")).alias("key"), text.relaxed_name_key(n).alias("relaxed"))
+    n = t("part").select(F.col("p_partkey").alias("code"), F.expr(RAW).alias("raw"))
+    return n.select("code", text.name_key(F.col("raw")).alias("key"), text.relaxed_name_key(F.col("raw")).alias("relaxed"), text.station_key(F.col("raw")).alias("station"))
 
 
-@query("o3_14_rank_notation", "select o_orderkey as k, cast(o_orderkey % 50 as integer) as rank, o_orderkey % 3 = 0 as tied from orders")
+@query("o3_14_rank_notation", "select o_orderkey as k, case when o_orderkey % 7 <> 6 and o_orderkey % 50 <> 0 then cast(o_orderkey % 50 as integer) end as rank, o_orderkey % 3 = 0 as tied from orders")
 def rank_notation(t):
-    shown = F.concat((F.col("o_orderkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "=").otherwise(""))
-    return t("orders").select(F.col("o_orderkey").alias("k"), text.rank_number(shown).alias("rank"), text.is_tied(shown).alias("tied"))
+    k = F.col("o_orderkey")
+    shown = F.concat((k % 50).cast("string"), F.when(k % 7 == 6, "-6").otherwise(""), F.when(k % 3 == 0, "=").otherwise(""))
+    return t("orders").select(k.alias("k"), text.rank_number(shown).alias("rank"), text.is_tied(shown).alias("tied"))
 
 
 @query("o3_15_lap_time", "select o_orderkey as k, case when o_orderkey % 4 <> 0 then cast(60000 + (o_orderkey % 60) * 1000 + o_orderkey % 1000 as integer) end as ms from orders")
@@ -158,9 +167,13 @@ def lap_time(t):
     return t("orders").select(k.alias("k"), text.lap_ms(shown).alias("ms"))
 
 
-@query("o3_16_hole_number", "select o_orderkey as k, case when o_orderkey % 25 between 1 and 18 then cast(o_orderkey % 25 as integer) end as hole from orders")
+@query("o3_16_hole_number", """select o_orderkey as k, case when o_orderkey % 25 between 1 and 18 and o_orderkey % 6 in (0, 1) then cast(o_orderkey % 25 as integer) end as plain,
+ case when o_orderkey % 25 between 1 and 18 and o_orderkey % 6 = 2 then cast(o_orderkey % 25 as integer) end as suffixed, case when o_orderkey % 25 between 1 and 18 and o_orderkey % 6 = 3 then cast(o_orderkey % 25 as integer) end as of_course from orders""")
 def hole_number(t):
-    return t("orders").select(F.col("o_orderkey").alias("k"), text.hole_number(F.concat(F.lit("Old course hole "), (F.col("o_orderkey") % 25).cast("string"), F.lit(" (par)"))).alias("hole"))
+    k = F.col("o_orderkey")
+    n = (k % 25).cast("string")
+    ref = F.when(k % 6 == 0, n).when(k % 6 == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(k % 6 == 2, F.concat(n, F.lit("b"))).when(k % 6 == 3, F.concat(n, F.lit(" - Old"))).when(k % 6 == 4, F.concat(F.lit("hole "), n)).otherwise(F.concat(n, F.lit(" (par)")))
+    return t("orders").select(k.alias("k"), text.hole_number(ref).alias("plain"), text.hole_number(ref, suffix="B").alias("suffixed"), text.hole_number(ref, course_token="Old").alias("of_course"))
 
 
 @query("o3_17_rail_times", """select o_orderkey as k, cast(cast(o_orderdate as date) as varchar) as by_ymd, cast(cast(o_orderdate as date) as varchar) as by_dmy, case when o_orderkey % 10 < 8 then cast((o_orderkey % 24) * 120 + (o_orderkey % 60) * 2 + case when o_orderkey % 2 = 0 then 1 else 0 end as integer) end as half,
@@ -172,19 +185,19 @@ def rail_times(t):
     return t("orders").select(k.alias("k"), text.yymmdd(F.date_format(d, "yyMMdd")).cast("string").alias("by_ymd"), text.ddmmyy(F.date_format(d, "ddMMyy")).cast("string").alias("by_dmy"), text.half_minutes(working).alias("half"), text.public_time(hhmm).alias("public"), F.array_join(text.activity_codes(F.lit("TB  -U")), ",").alias("codes"))
 
 
-@query("o3_18_content_hash", "with h as (select l_returnflag, sha256(concat_ws('|', cast(stroke_id as varchar), layer, coalesce(pen, '~'), cast(source_ref as varchar))) as d from (select *, layer as l_returnflag from fx_stroke) x) select l_returnflag as layer, sha256(string_agg(d, chr(10) order by d)) as digest from h group by 1")
+@query("o3_18_content_hash", """with h as (select layer, sha256(concat_ws('|', cast(stroke_id as varchar), layer, coalesce(pen, '~'), cast(source_ref as varchar))) as d from fx_stroke),
+b as (select layer, substr(d, 1, 3) as b, sha256(string_agg(d, chr(10) order by d)) as s from h group by 1, 2) select layer, sha256(string_agg(s, chr(10) order by b)) as digest from b group by 1""")
 def content_hash(t):
     d = text.record_digest(F.col("stroke_id"), F.col("layer"), F.col("pen"), F.col("source_ref"))
-    return t("fx_stroke").groupBy("layer").agg(text.set_digest(d).alias("digest"))
+    return reconcile.digest_of_set(t("fx_stroke"), ["layer"], d)
 
 
 @query("o3_19_line_direction", f"with {LEGS} select count(*) as legs, count(distinct case when (round(lon0, 7), round(lat0, 7)) <= (round(lon, 7), round(lat, 7)) then concat_ws(' ', round(lon0, 7), round(lat0, 7), round(lon, 7), round(lat, 7)) else concat_ws(' ', round(lon, 7), round(lat, 7), round(lon0, 7), round(lat0, 7)) end) as lines from legs where lon0 is not null")
 def line_direction(t):
     point = lambda a, b: F.struct(F.round(a, 7).alias("x"), F.round(b, 7).alias("y"))
     a, b = point("lon0", "lat0"), point("lon", "lat")
-    both = legs(t).select(a.alias("a"), b.alias("b")).unionByName(legs(t).select(b.alias("a"), a.alias("b")))
-    one = both.select(F.when(F.col("a") <= F.col("b"), F.array("a", "b")).otherwise(F.array("b", "a")).alias("line"))
-    return one.agg((F.count("*") / 2).cast("bigint").alias("legs"), F.countDistinct("line").alias("lines"))
+    both = legs(t).select(geo.canonical_line(a, b).alias("line")).unionByName(legs(t).select(geo.canonical_line(b, a).alias("line")))
+    return both.agg((F.count("*") / 2).cast("bigint").alias("legs"), F.countDistinct("line").alias("lines"))
 
 
 @query("o3_20_source_refs", "select way_id, 'way/' || way_id || case when way_id % 2 = 0 then ';relation/' || (way_id % 10) else '' end as roots from fx_way")
@@ -256,34 +269,28 @@ def invalid_vertex_split(t):
 CALLS = "calls as (select user_id as trip, ts, event_id, event_type as stop, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)"
 
 
-def calls(t):
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select(F.col("user_id").alias("trip"), "ts", "event_id", F.col("event_type").alias("stop"), F.lag("event_type").over(by).alias("before"))
-
-
 @query("o6_6_stop_collapse", f"with {CALLS} select trip, event_id, stop from calls where before is null or before <> stop")
 def stop_collapse(t):
-    return calls(t).where("before is null or before <> stop").select("trip", "event_id", "stop")
+    calls = t("events").select(F.col("user_id").alias("trip"), "ts", "event_id", F.col("event_type").alias("stop"))
+    return tracks.collapsed_stops(calls, "trip", ["ts", "event_id"], "stop").select("trip", "event_id", "stop")
 
 
 @query("o6_7_transitions", f"with {CALLS} select before as origin, stop as destination, count(*) as n, min(event_id) as example from calls where before is not null group by 1, 2")
 def transitions(t):
-    return calls(t).where("before is not null").groupBy(F.col("before").alias("origin"), F.col("stop").alias("destination")).agg(F.count("*").alias("n"), F.min("event_id").alias("example"))
+    return tracks.transitions(t("events"), "user_id", ["ts", "event_id"], "event_type", "event_id")
 
 
-@query("o6_8_member_discontinuity", "select relation_id, pos, way_id from (select *, lead(way_id) over (partition by relation_id order by pos) as next from fx_rel_member) x where next is not null and next - way_id > 1")
+@query("o6_8_member_discontinuity", "select relation_id, pos, way_id from (select *, way_id % 5 as a, (way_id + pos) % 5 as b, lead(way_id % 5) over w as na, lead((way_id + pos) % 5) over w as nb from fx_rel_member window w as (partition by relation_id order by pos)) x where na is not null and a <> na and a <> nb and b <> na and b <> nb")
 def member_discontinuity(t):
-    by = Window.partitionBy("relation_id").orderBy("pos")
-    ends = F.array(F.col("way_id"), F.col("way_id") + 1)
-    m = t("fx_rel_member").withColumn("next", F.lead(ends).over(by))
-    return m.where(F.col("next").isNotNull() & ~F.arrays_overlap(ends, "next")).select("relation_id", "pos", "way_id")
+    ends = F.array(F.col("way_id") % 5, (F.col("way_id") + F.col("pos")) % 5)
+    return tracks.discontinuities(t("fx_rel_member"), "relation_id", ends).select("relation_id", "pos", "way_id")
 
 
-@query("o6_10_contiguous_positions", "select o_custkey as list, count(*) as n, max(line) <> count(*) or count(distinct line) <> count(*) as broken from (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) + case when o_orderkey % 97 = 0 then 1 else 0 end as line from orders) x group by 1")
+@query("o6_10_contiguous_positions", "select o_custkey as list, count(*) as n, max(line) <> count(*) or count(distinct line) <> count(*) or min(line) <> 1 as broken from (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) + case when o_orderkey % 97 = 0 then 1 else 0 end as line from orders) x group by 1")
 def contiguous_positions(t):
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     p = t("orders").select(F.col("o_custkey").alias("list"), (F.row_number().over(by) + F.when(F.col("o_orderkey") % 97 == 0, 1).otherwise(0)).alias("line"))
-    return p.groupBy("list").agg(F.count("*").alias("n"), ((F.max("line") != F.count("*")) | (F.countDistinct("line") != F.count("*"))).alias("broken"))
+    return tracks.broken_positions(p, "list", "line")
 
 
 @query("o6_13_extrema_buckets", """with n as (select track_id, pos, ele, row_number() over (partition by track_id order by pos) - 1 as i, count(*) over (partition by track_id) as n from fx_track_pt where ele is not null),
@@ -305,8 +312,7 @@ STEP = f"with {CHAIN}, l as (select track_id, pos, lon as x0, lat as y0, ele as
 
 @query("o6_16_equal_steps", f"{STEP} select track_id, d * 1.0 as d, round(x0 + (d - d0) / (d1 - d0) * (x1 - x0), 7) as lon, round(y0 + (d - d0) / (d1 - d0) * (y1 - y0), 7) as lat from g join (select unnest(range(500, 200000, 500)) as d) s on d > d0 and d <= d1")
 def equal_steps(t):
-    leg = tracks.legs_of(chained(t))
-    found = tracks.stations(leg, tracks.every_metres(leg, 500.0))
+    found = tracks.resampled(tracks.legs_of(chained(t)), 500.0)
     return found.select("track_id", "d", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
@@ -317,11 +323,18 @@ def station_at_distance(t):
     return s.select("track_id", "d", F.round("lon", 7).alias("lon"), F.round("ele", 5).alias("ele"), "status")
 
 
-@query("o5_3_course_extent", "select track_id, min(lon) as west, max(lon) as east, min(lat) as south, max(lat) as north, max(ele) is null as flat from fx_track_pt group by 1")
+@query("o5_3_course_extent", """with b as (select track_id, min(lon) as w, max(lon) as e, min(la) as s, max(la) as n from (select *, case when track_id % 10 = 0 then 52.5e0 else lat end as la from fx_track_pt) q group by 1),
+c as (select track_id, case when e - w < 1 / 111320.0e0 then (w + e) / 2 - 0.5 / 111320.0e0 else w end as w, case when e - w < 1 / 111320.0e0 then (w + e) / 2 + 0.5 / 111320.0e0 else e end as e, case when n - s < 1 / 111320.0e0 then (s + n) / 2 - 0.5 / 111320.0e0 else s end as s, case when n - s < 1 / 111320.0e0 then (s + n) / 2 + 0.5 / 111320.0e0 else n end as n from b),
+m as (select *, 0.08 * greatest(e - w, n - s) as p from c)
+select track_id, round(w, 9) as west, round(s, 9) as south, round(e, 9) as east, round(n, 9) as north, round(w - p, 9) as framed_west, round(n + p, 9) as framed_north from m""")
 def course_extent(t):
-    return t("fx_track_pt").groupBy("track_id").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.max("ele").isNull().alias("flat"))
+    """Every tenth track runs dead straight from west to east."""
+    p = t("fx_track_pt").withColumn("lat", F.when(F.col("track_id") % 10 == 0, 52.5).otherwise(F.col("lat")))
+    e = p.groupBy("track_id").agg(extent.bounds("lon", "lat").alias("e")).withColumn("e", extent.never_flat(F.col("e"))).withColumn("m", extent.with_margin(F.col("e"), 0.08))
+    r = lambda c, name: F.round(c, 9).alias(name)
+    return e.select("track_id", *[r(f"e.{c}", c) for c in ("west", "south", "east", "north")], r("m.west", "framed_west"), r("m.north", "framed_north"))
 
 
 @query("o5_18_elevation_extent", "select track_id, min(ele) as least_ele, max(ele) as most_ele, count(ele) > 0 as any_ele, count(ele) = count(*) as complete from fx_track_pt group by 1")
 def elevation_extent(t):
-    return t("fx_track_pt").groupBy("track_id").agg(F.min("ele").alias("least_ele"), F.max("ele").alias("most_ele"), F.bool_or(F.col("ele").isNotNull()).alias("any_ele"), F.bool_and(F.col("ele").isNotNull()).alias("complete"))
+    return rollups.elevation_extent(t("fx_track_pt"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waystone.functions import text
+from waystone.functions.geo import haversine_m
+from waystone.operators.ranks import running_count
+from waystone.operators.storage import settled, union_all
+from waystone.operators.tracks import verification
 
 POINT = "struct<lat:double,lon:double>"
 ELEMENT = f"struct<type:string,id:bigint,version:int,timestamp:string,tags:map<string,string>,nodes:array<bigint>,geometry:array<{POINT}>,members:array<struct<type:string,ref:bigint,role:string>>>"
@@ -66,8 +70,11 @@ def gpx_points(documents: DataFrame) -> DataFrame:
 
 
 def kml_points(documents: DataFrame) -> DataFrame:
-    """Vertices of every LineString's coordinates text in KML documents (source, value)."""
-    lines = documents.select("source", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<LineString>.*?<coordinates>(.*?)</coordinates>"), 1)).alias("line", "c"))
+    """Vertices of every LineString's coordinates text in KML documents (source, value); tags may have attributes and a
+    namespace prefix."""
+    tag = lambda name: rf"<(?:[A-Za-z_][\w.-]*:)?{name}(?:\s[^>]*)?>"
+    pattern = rf"(?s){tag('LineString')}.*?{tag('coordinates')}(.*?)</(?:[A-Za-z_][\w.-]*:)?coordinates\s*>"
+    lines = documents.select("source", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), 1)).alias("line", "c"))
     points = lines.select("source", "line", F.posexplode(F.split(F.trim(F.regexp_replace("c", r"\s+", " ")), " ")).alias("pos", "t")).withColumn("p", F.split("t", ","))
     number = lambda i: F.try_element_at("p", F.lit(i)).try_cast("double")
     return points.select("source", "line", "pos", number(1).alias("lon"), number(2).alias("lat"), number(3).alias("ele"))
@@ -80,26 +87,136 @@ def tcx_points(activities: DataFrame) -> DataFrame:
     return tracks.select("source", "lap", "seg", "pos", F.col("p.Position.LatitudeDegrees").alias("lat"), F.col("p.Position.LongitudeDegrees").alias("lon"), F.col("p.AltitudeMeters").alias("ele"), F.col("p.DistanceMeters").alias("distance_m"), F.col("p.HeartRateBpm.Value").alias("heart_rate"), F.col("p.Time").try_cast("timestamp").alias("time"))
 
 
-def geojson_lines(documents: DataFrame, depth: int = 4) -> DataFrame:
+def geojson_lines(documents: DataFrame, rounds: int = 64) -> DataFrame:
     """Lines of GeoJSON (source, value) under any nesting of features and collections: source, path, line, coordinates.
 
-    Nesting is opened level by level, up to depth."""
-    level = documents.select("source", F.col("value").alias("g"), F.lit("").alias("path"))
+    Nesting is opened level by level until nothing is closed; each level is settled, so no level is parsed twice. Raises
+    where rounds don't suffice."""
+    parsed = lambda value: F.from_json(value, "type string, coordinates string, geometry string, features array<string>, geometries array<string>")
+    level = documents.select("source", parsed("value").alias("g"), F.lit("").alias("path"))
     found = []
-    kind = lambda: F.get_json_object("g", "$.type")
-    for _ in range(depth):
-        one = level.where(kind() == "LineString").select("source", "path", F.lit(0).alias("line"), F.from_json(F.get_json_object("g", "$.coordinates"), "array<array<double>>").alias("coordinates"))
-        many = level.where(kind() == "MultiLineString").select("source", "path", F.posexplode(F.from_json(F.get_json_object("g", "$.coordinates"), "array<array<array<double>>>")).alias("line", "coordinates"))
+    for _ in range(rounds):
+        level = settled(level)
+        if level.isEmpty():
+            return union_all(found)
+        one = level.where("g.type = 'LineString'").select("source", "path", F.lit(0).alias("line"), F.from_json("g.coordinates", "array<array<double>>").alias("coordinates"))
+        many = level.where("g.type = 'MultiLineString'").select("source", "path", F.posexplode(F.from_json("g.coordinates", "array<array<array<double>>>")).alias("line", "coordinates"))
         found += [one, many]
-        feature = level.where(kind() == "Feature").select("source", F.get_json_object("g", "$.geometry").alias("g"), F.concat("path", F.lit("/f")).alias("path"))
-        groups = level.where(kind().isin("FeatureCollection", "GeometryCollection"))
-        inside = F.from_json(F.coalesce(F.get_json_object("g", "$.features"), F.get_json_object("g", "$.geometries")), "array<string>")
-        opened = groups.select("source", "path", F.posexplode(inside).alias("i", "g")).select("source", "g", F.concat("path", F.lit("/"), F.col("i").cast("string")).alias("path"))
-        level = feature.unionByName(opened)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        inside = F.when(F.col("g.type") == "Feature", F.array("g.geometry")).when(F.col("g.type").isin("FeatureCollection", "GeometryCollection"), F.coalesce("g.features", "g.geometries"))
+        opened = level.select("source", "path", F.posexplode(inside).alias("i", "v")).where("v is not null")
+        level = opened.select("source", parsed("v").alias("g"), F.concat("path", F.lit("/"), F.col("i").cast("string")).alias("path"))
+    raise RuntimeError("geojson_lines: nested deeper than the rounds")
+
+
+def geojson_features(documents: DataFrame, properties: str) -> DataFrame:
+    """Features of GeoJSON feature collections (source, value): source, pos, kind, the stated properties (a DDL string) and
+    geometry as text; problem where a feature has no geometry of points. A document without features gives one row with a
+    problem."""
+    schema = f"features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
+    parsed = documents.select("source", F.from_json("value", schema).alias("d"))
+    good = parsed.where("d.features is not null").select("source", F.posexplode("d.features").alias("pos", "f"))
+    problem = F.when(F.col("f.geometry.coordinates").isNull() | (F.length("f.geometry.coordinates") < 5), "no-geometry")
+    good = good.select("source", "pos", F.col("f.geometry.type").alias("kind"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"), problem.alias("problem"))
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema.fields} | {"source": F.col("source"), "problem": F.lit("no-features").alias("problem")}
+    return good.unionByName(parsed.where("d.features is null").select(*empty.values()))
+
+
+def verified(documents: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Documents (source, value) whose content has the digest that a manifest (source, sha) pins; others are left out. The
+    digests alone are joined back to the rows that they stand in."""
+    return documents.withColumn("sha", F.sha2("value", 256)).join(pinned.select("source", "sha"), ["source", "sha"], "left_semi").drop("sha")
+
+
+def contour_lines(documents: DataFrame, interval: int) -> tuple[DataFrame, DataFrame]:
+    """Contours of GeoJSON documents: source, pos, level, importance, coordinates; and rejects with their problem: no geometry,
+    a kind that is no line, fewer than two points, or a level that isn't a multiple of the interval."""
+    rows = geojson_features(documents, "level:double,importance:int")
+    points = F.when(F.col("kind") == "LineString", F.from_json("coordinates", "array<array<double>>"))
+    rows = rows.withColumn("points", points)
+    level = F.col("properties.level")
+    problem = F.coalesce(
+        "problem",
+        F.when(F.coalesce(F.col("kind"), F.lit("")) != "LineString", "not-a-line").when(F.coalesce(F.size("points"), F.lit(0)) < 2, "too-few-points")
+        .when(level.isNull() | (level % interval != 0), "level"),
+    )
+    checked = rows.withColumn("problem", problem)
+    good = checked.where("problem is null").select("source", "pos", level.alias("level"), F.col("properties.importance").alias("importance"), F.col("points").alias("coordinates"))
+    return good, checked.where("problem is not null").select("source", "pos", "problem")
+
+
+def hydro_candidates(documents: DataFrame, pinned: DataFrame, west: float, south: float, east: float, north: float, least_rank: int) -> DataFrame:
+    """Rivers and lakes of verified GeoJSON documents that meet an extent and are of a scale rank up to least_rank: source, pos,
+    kind (river, lake), name, rank, points."""
+    rows = geojson_features(verified(documents, pinned), "name:string,scalerank:int,featurecla:string").where("problem is null")
+    line = F.from_json("coordinates", "array<array<double>>")
+    ring = F.try_element_at(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(1))
+    kind = F.when((F.col("kind") == "LineString") & F.lower("properties.featurecla").startswith("river"), "river").when((F.col("kind") == "Polygon") & F.lower("properties.featurecla").startswith("lake"), "lake")
+    found = rows.select("source", "pos", kind.alias("what"), F.col("properties.name").alias("name"), F.col("properties.scalerank").alias("rank"), F.when(kind == "river", line).when(kind == "lake", ring).alias("points"))
+    near = F.exists("points", lambda p: p[0].between(west, east) & p[1].between(south, north))
+    return found.where((F.col("rank") <= least_rank) & near).withColumnRenamed("what", "kind")
+
+
+def nodes_of_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes (node_id, ..) that chosen ways (way_id) refer to in way_nodes (way_id, node_id), once each."""
+    return nodes.join(way_nodes.join(ways.select("way_id"), "way_id", "left_semi").select("node_id"), "node_id", "left_semi")
+
+
+def named_rail_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (node_id, tags) with a railway and a name, of no past or future kind: node_id, name."""
+    gone = F.array(*[F.lit(w) for w in ("abandoned", "disused", "razed", "demolished", "proposed", "construction")])
+    dead = F.exists(F.map_keys("tags"), lambda k: F.array_contains(gone, k) | F.array_contains(gone, F.substring_index(k, ":", 1)))
+    return nodes.where(F.col("tags")["railway"].isNotNull() & F.col("tags")["name"].isNotNull() & ~dead).select("node_id", F.col("tags")["name"].alias("name"))
+
+
+def operator_relations(relations: DataFrame, codes: list[str]) -> DataFrame:
+    """Relations (relation, operator: `;`-joined text) that name operators of a list: the code where it is one, else null and
+    ambiguous. Other tokens don't count."""
+    tokens = relations.select("relation", F.explode(F.transform(F.split("operator", ";"), lambda x: F.trim(x))).alias("token"))
+    one = F.countDistinct("token") == 1
+    return tokens.where(F.col("token").isin(*codes)).groupBy("relation").agg(F.when(one, F.min("token")).alias("code"), (~one).alias("ambiguous"))
+
+
+def coastline_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Vertices (way_id, pos, node_id, lon, lat) of coastline ways (way_id, tags) that have a node inside a bound; a node that
+    isn't there has null coordinates."""
+    coast = way_nodes.join(ways.where(F.col("tags")["natural"] == "coastline").select("way_id"), "way_id", "left_semi")
+    met = coast.join(nodes.select("node_id", "lon", "lat"), "node_id", "left")
+    inside = met.where(F.col("lon").between(west, east) & F.col("lat").between(south, north)).select("way_id").distinct()
+    return met.join(inside, "way_id", "left_semi").select("way_id", "pos", "node_id", "lon", "lat")
+
+
+def ranking_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds of rankings from CSV lines (value): subject_id, ranking, rank, score (may be empty); and rejects."""
+    row = F.from_csv("value", "subject_id long, ranking string, rank int, score double, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    rows = lines.select("value", row.alias("r"))
+    good = F.col("r._bad").isNull() & F.col("r.subject_id").isNotNull() & (F.col("r.rank") >= 1)
+    fine = rows.where(F.coalesce(good, F.lit(False))).select("r.subject_id", "r.ranking", "r.rank", "r.score")
+    return fine, rows.where(~F.coalesce(good, F.lit(False))).select("value")
+
+
+def course_ways(found: DataFrame) -> DataFrame:
+    """Member ways of relations among elements(): relation, pos, way, role, a and b (end points as text keys), m (length), and
+    n, the vertices; a way that isn't there or has no geometry gives nulls."""
+    members = element_members(found.where("type = 'relation'")).where("member_type = 'way'").select(F.col("id").alias("relation"), "pos", F.col("ref").alias("way"), "role")
+    leg = lambda p, q: haversine_m(p["lon"], p["lat"], q["lon"], q["lat"])
+    g, n = F.col("geometry"), F.size("geometry")
+    m = F.aggregate(F.zip_with(F.slice(g, 1, n - 1), F.slice(g, 2, n - 1), leg), F.lit(0.0), lambda s, x: s + x)
+    key = lambda p: F.concat_ws(" ", F.round(p["lon"], 7), F.round(p["lat"], 7))
+    ways = found.where((F.col("type") == "way") & (n >= 2)).groupBy(F.col("id").alias("way")).agg(F.max_by("geometry", F.coalesce("version", F.lit(0))).alias("geometry"))
+    return members.join(ways.select("way", key(F.element_at(g, 1)).alias("a"), key(F.element_at(g, -1)).alias("b"), m.alias("m"), n.alias("n")), "way", "left")
+
+
+def course_relations(found: DataFrame, official: DataFrame, under: float, over: float) -> DataFrame:
+    """Courses of relations among elements(), against official (relation, official_m): parts (members whose ends meet, in
+    order), measured_m, missing ways, and the reasons why a course isn't accepted."""
+    ways = course_ways(found)
+    by = Window.partitionBy("relation").orderBy("pos")
+    met = F.arrays_overlap(F.array("a", "b"), F.lag(F.array("a", "b")).over(by))
+    placed = ways.where("m is not null").withColumn("new", F.when(F.coalesce(met, F.lit(False)), 0).otherwise(1))
+    placed = placed.withColumn("seg", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    lost = ways.groupBy("relation").agg(F.count_if(F.col("m").isNull()).alias("missing"))
+    checked = verification(placed.withColumnRenamed("m", "leg_m").join(official, "relation"), F.lit(None).cast("double"), under, over, track="relation", official="official_m")
+    return checked.join(lost, "relation").select("relation", "parts", "measured_m", "missing", F.concat("reasons", F.array_compact(F.array(F.when(F.col("missing") > 0, "missing-ways")))).alias("reasons"))
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -110,11 +227,11 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
 
 def cif_schedules(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Schedules and their calls of fixed-width timetable lines (file, line, value): a BS record opens a schedule, the L
-    records after it belong to it."""
-    by = Window.partitionBy("file").orderBy("line")
+    records after it belong to it. A file is numbered in blocks of lines, so one large file is read by many tasks."""
     part = lambda a, n: F.trim(F.substring("value", a, n))
     kind = F.substring("value", 1, 2)
-    numbered_ = lines.withColumn("kind", kind).withColumn("schedule", F.sum(F.when(kind == "BS", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = running_count(lines.withColumn("kind", kind).withColumn("opens", (kind == "BS").cast("int")), "file", "line", "opens", "schedule")
+    numbered_ = placed.drop("opens")
     heads = numbered_.where("kind = 'BS'").select(
         "file", "schedule", part(3, 1).alias("transaction"), part(4, 6).alias("uid"), text.yymmdd(F.substring("value", 10, 6)).alias("runs_from"), text.yymmdd(F.substring("value", 16, 6)).alias("runs_to"),
         F.substring("value", 22, 7).alias("days"), part(30, 1).alias("status"), part(31, 2).alias("category"), part(33, 4).alias("train"), F.substring("value", 80, 1).alias("stp"),
@@ -190,14 +307,23 @@ def html_facts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.when(F.size(titles) == 1, F.element_at(titles, 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a [^>]*href"), 0)).alias("n_links"), F.length(F.regexp_replace(visible, r"\s+", " ")).alias("visible_chars"))
 
 
-def ascii_grid(rows: DataFrame) -> DataFrame:
-    """Cells of ASCII grids (tile, line, value; lines 0 to 5 are the header): x and y of the cell's corner, z null where there
-    is no data. Grids of another cell size than the most frequent one are left out."""
+def grid_heads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers of ASCII grids (tile, line, value; lines 0 to 5): one row a tile, and rejects (tile, problem): a header that lacks
+    a number, or another cell size than the most frequent one."""
     head = rows.where("line < 6").select("tile", F.lower(F.regexp_extract("value", r"^(\S+)", 1)).alias("k"), F.regexp_extract("value", r"(\S+)\s*$", 1).try_cast("double").alias("v"))
     meta = head.groupBy("tile").pivot("k", ["ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value"]).agg(F.first("v"))
     common = meta.groupBy("cellsize").agg(F.count("*").alias("n")).agg(F.max_by("cellsize", F.struct("n", "cellsize")).alias("common"))
+    whole = F.col("ncols").isNotNull() & F.col("nrows").isNotNull() & F.col("xllcorner").isNotNull() & F.col("yllcorner").isNotNull() & F.col("cellsize").isNotNull()
+    checked = meta.join(F.broadcast(common), F.lit(True)).withColumn("problem", F.when(~whole, "header").when(F.col("cellsize") != F.col("common"), "cell-size"))  # common is one row
+    return checked.where("problem is null").drop("problem", "common"), checked.where("problem is not null").select("tile", "problem")
+
+
+def ascii_grid(rows: DataFrame) -> DataFrame:
+    """Cells of ASCII grids (tile, line, value; lines 0 to 5 are the header): x and y of the cell's corner, z null where there
+    is no data. What grid_heads() rejects is left out here."""
+    meta = grid_heads(rows)[0]
     body = rows.where("line >= 6").select("tile", (F.col("line") - 6).alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "t"))
-    met = body.join(meta, "tile").join(F.broadcast(common), F.col("cellsize") == F.col("common"))  # one row
+    met = body.join(meta, "tile")
     z = F.col("t").try_cast("double")
     return met.select("tile", "row", "col", (F.col("xllcorner") + F.col("col") * F.col("cellsize")).alias("x"), (F.col("yllcorner") + (F.col("nrows") - 1 - F.col("row")) * F.col("cellsize")).alias("y"), F.when(z != F.coalesce("nodata_value", F.lit(-9999.0)), z).alias("z"))
 
