@@ -134,7 +134,7 @@ def test_laps_by_each_method(spark):
         1: (square, ([1, 2, 3, 4], True, "order")),
         2: ([square[0], square[2], square[1], square[3]], ([1, 2, 3, 4], True, "cycle")),
         3: ([(1, 10, 11, ""), (2, 11, 12, "backward"), (3, 12, 10, "forward")], ([1, 2, 3], True, "order-role-relaxed")),
-        4: ([(1, 10, 11, ""), (3, 12, 10, "forward"), (2, 11, 12, "backward")], ([1, 2, 3], True, "cycle-role-relaxed")),
+        4: ([(1, 10, 11, ""), (3, 12, 13, "forward"), (2, 11, 12, "backward"), (4, 13, 10, "")], ([1, 2, 3, 4], True, "cycle-role-relaxed")),
         5: ([*square, (9, 12, 99, "")], ([1, 2, 3, 4], True, "pruned-order")),
         6: ([(1, 10, 11, ""), (2, 20, 21, "")], ([1], False, "unresolved")),
         7: ([(1, 10, 11, ""), (2, 11, 12, "")], ([1, 2], False, "order")),
