@@ -129,7 +129,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns by position (c0, c1, ..) with score (0 to 1) after them, whatever docs' own are called.
 
-    Null and empty texts are scored too; equal texts get equal scores; a very long text is a block of its own."""
+    Null and empty texts are scored too; equal texts get scores that agree to the rounding of single precision; a very long
+    text is a block of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(column):
