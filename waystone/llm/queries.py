@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waystone.llm import counts, language, order_minhash, packing, quality, replay, secret_scan, spotsigs, topk, wavelet
+from waystone.llm import contextual, counts, language, order_minhash, packing, periodic, quality, replay, secret_scan, spotsigs, topk, wavelet
 from waystone.llm.shared import shared_dir, table
 
 
@@ -57,9 +57,18 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents")).drop("runs")
+
+
+def op13_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual.report(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_wavelet_token_ids, op2_order_minhash, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets,
     op6_merge_replay_bpe, op7_lsa_quality_votes, op8_histogram_packing, op9_spotsigs, op10_pretoken_counts,
+    op11_basic_factors, op13_bootstrapped_pii,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
