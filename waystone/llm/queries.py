@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waystone.llm import contextual, counts, language, order_minhash, packing, periodic, quality, replay, secret_scan, spotsigs, topk, wavelet
+from waystone.llm import alignment, contextual, counts, language, order_minhash, packing, periodic, quality, replay, secret_scan, spotsigs, topk, wavelet
 from waystone.llm.shared import shared_dir, table
 
 
 #: Vocabulary files by name: each worker finds them in its own place of the public files.
-BYTE_BPE, MULTI_BPE, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
+BYTE_BPE, MULTI_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents")).drop("runs")
 
 
+def op12_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contextual.report(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op13_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_wavelet_token_ids, op2_order_minhash, op3_byte_cnn_language, op4_segment_top_k, op5_randomness_secrets,
     op6_merge_replay_bpe, op7_lsa_quality_votes, op8_histogram_packing, op9_spotsigs, op10_pretoken_counts,
-    op11_basic_factors, op13_bootstrapped_pii,
+    op11_basic_factors, op12_fragment_alignment, op13_bootstrapped_pii,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
