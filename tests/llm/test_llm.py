@@ -443,3 +443,18 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_dense_texts_take_near_linear_time(spark):
+    """A megabyte of matches; the spans equal plain Python's, and so does what redaction leaves."""
+    import time
+
+    text = "token=abcdefgh é" * 60_000
+    df = docs_of(spark, [text])
+    began = time.time()
+    row = secret_scan.report(df).first()
+    clean = secret_scan.redact(df).first()
+    assert time.time() - began < 90
+    shown = ",".join(f"assign:{a}:{b}" for a, _, b in base_spans(text))
+    assert row["n_assign"] == 60_000 and row["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+    assert clean["text"] == re.sub("token=abcdefgh", "[SECRET]", text)

@@ -22,25 +22,47 @@ ENCODINGS = (
     ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("base36", r"^(?=.*[0-9])(?=.*[g-z])[0-9a-z]+$", DIGITS + LOWER),
 )
 #: p-values are kept as one of BINS equal bins; a stratum is an encoding and an octave of lengths (at most OCTAVES).
 BINS, OCTAVES = 100, 12
+#: Characters of the chunks that a text is cut into where its spans are replaced.
+CUT = 1024
 #: Accepted share of tokens that aren't random among those reported, and the least p-value of a random token.
 FALSE_SHARE, LEAST_P = 0.05, 0.01
 
 
-def _found(text: Column, matches: Column, rest: Column, keep, make) -> Column:
-    """Folds matches and the pieces between them into an array of make(start, end, match), for matches that keep() keeps."""
-    size = F.size(matches)
-    pairs = F.zip_with(F.slice(rest, 1, size), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"), b.alias("m")))
-    empty = F.filter(F.array(make(F.lit(0), F.lit(0), F.lit(""))), lambda x: F.lit(False))
+def _running(items: Column, zero: Column, add, meet, give) -> Column:
+    """give(x, acc) for each x of items, acc being add() of all before it, from zero on. meet(acc, acc2) adds up two of them.
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(make(start, end, x["m"])))).otherwise(acc["out"]).alias("out"))
+    An array that grows by one in each step of a fold is copied each time. So items are cut into blocks of about the cube
+    root of their number, blocks are added up, and each block starts from what the blocks before it hold: n items take about
+    n^(4/3) copies."""
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def in_blocks(v: Column) -> Column:
+        block = F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(v).cast("double"))).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), block)
+        return F.transform(starts, lambda a: F.slice(v, a, block))
+
+    def appended(of: Column, start: Column, after, one) -> Column:
+        none = F.filter(F.transform(F.slice(of, 1, 1), lambda x: one(x, zero)), lambda x: F.lit(False))
+        first = F.struct(start.alias("acc"), none.alias("out"))
+        step = lambda s, x: F.struct(after(s["acc"], x).alias("acc"), F.concat(s["out"], F.array(one(x, s["acc"]))).alias("out"))
+        return F.aggregate(of, first, step, lambda s: s["out"])
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
+        befores = _let(sums, lambda v: appended(v, zero, meet, lambda x, acc: acc))
+        return F.flatten(F.zip_with(blocks, befores, lambda b, acc: appended(b, acc, add, give)))
+
+    return _let(_let(items, in_blocks), whole)  # bound first: a lambda computes what it names anew in each step
+
+
+def _found(matches: Column, rest: Column, keep, make) -> Column:
+    """make(start, end, match) for each of the matches that keep() keeps; rest: the pieces of the text between them."""
+    sizes = F.zip_with(F.slice(rest, 1, F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"), b.alias("m")))
+    placed = _running(sizes, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"], lambda a, b: a + b, lambda x, acc: F.struct((acc + x["gap"]).alias("start"), (acc + x["gap"] + x["n"]).alias("end"), x["m"].alias("m")))
+    return F.transform(F.filter(placed, lambda x: keep(x["m"])), lambda x: make(x["start"], x["end"], x["m"]))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -107,7 +129,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def place(name: str, pattern: str, keep, make):
         none = F.filter(F.array(make(F.lit(0), F.lit(0), F.lit(""))), lambda x: F.lit(False))
-        return F.when(F.size(name) > 0, _found(text, F.col(name), F.split(text, pattern, -1), keep, make)).otherwise(none)
+        return F.when(F.size(name) > 0, _found(F.col(name), F.split(text, pattern, -1), keep, make)).otherwise(none)
 
     def token(start, end, m):
         kind = F.coalesce(*[F.when(m.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)])
@@ -147,6 +169,18 @@ def thresholds(scan: DataFrame) -> dict[int, int]:
     return out
 
 
+def _alone(tokens: str, base: str) -> Column:
+    """Tokens that meet no base span. Both are sorted by start together: no base span before a token reaches into it, and the
+    next one behind it begins at its end or later."""
+    item = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"))
+    both = F.array_sort(F.concat(F.transform(base, item(False)), F.transform(tokens, item(True))))
+    furthest = lambda acc, x: F.greatest(acc, F.when(x["own"], 0).otherwise(x["end"]))
+    nearest = lambda acc, x: F.least(acc, F.when(x["own"], acc).otherwise(x["start"]))
+    before = _running(both, F.lit(0), furthest, F.greatest, lambda x, acc: F.struct(*[x[c].alias(c) for c in ("start", "end", "own")], acc.alias("before")))
+    after = _running(F.reverse(before), F.lit(2147483647), nearest, F.least, lambda x, acc: F.struct(*[x[c].alias(c) for c in ("start", "end", "own", "before")], acc.alias("after")))
+    return F.filter(F.reverse(after), lambda x: x["own"] & (x["before"] <= x["start"]) & (x["after"] >= x["end"]))
+
+
 def with_spans(scan: DataFrame, limits: dict[int, int]) -> DataFrame:
     """scan with spans instead of tokens: the base spans, and tokens that reach their stratum's bin and meet no base span."""
     if limits:
@@ -154,9 +188,10 @@ def with_spans(scan: DataFrame, limits: dict[int, int]) -> DataFrame:
         passed = F.filter("tokens", lambda t: F.coalesce(t["bin"] >= F.element_at(least, t["stratum"]), F.lit(False)))
     else:
         passed = F.filter("tokens", lambda t: F.lit(False))
-    alone = F.filter(passed, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    added = F.transform(alone, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scan.withColumn("spans", F.array_sort(F.concat("base", added))).drop("tokens")
+    scan = scan.withColumn("_passed", passed)
+    added = F.transform(_alone("_passed", "base"), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    none = F.filter("base", lambda b: F.lit(False))
+    return scan.withColumn("spans", F.when(F.size("_passed") > 0, F.array_sort(F.concat("base", added))).otherwise(F.concat("base", none))).drop("tokens", "_passed")
 
 
 def _rows(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -189,6 +224,24 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of each stretch of spans that meet. Finding a place in a text takes time by the place, so the text
+    is cut into chunks once, and what lies between two spans is cut from the chunks that hold it."""
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CUT).cast("int")
+        held = F.slice(chunks, first + 1, F.floor((b - 1) / CUT).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(held, ""), (a - first * CUT + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def rebuilt(chunks: Column) -> Column:
+        part = lambda s, acc: F.when(s["start"] >= acc, F.concat(between(chunks, acc, s["start"]), F.lit(mark))).otherwise("")
+        parts = _running(spans, F.lit(0), lambda acc, s: F.greatest(acc, s["end"]), F.greatest, part)
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), between(chunks, last, F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), 0), rebuilt)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mark (spans that meet become one), n_chars counted anew if present.
 
@@ -197,13 +250,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     columns = docs.columns
     scan = scanned(_rows(docs, columns))
     found = with_spans(scan, thresholds(scan))
-    # a fold over spans by start: text up to the span, then the mark, unless the span meets the last one
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    marked = found.withColumn("_clean", F.when(F.size("spans") > 0, clean))
+    clean = F.when(F.size("spans") > 0, _marked(F.col("text"), F.col("spans"), mark))
+    marked = found.withColumn("_clean", clean)
     changed = {"text": F.coalesce("_clean", "text")}
     if "n_chars" in columns:
         changed["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
