@@ -27,8 +27,10 @@ CHUNK, BLOCK_CHARS = 1 << 15, 4_000_000
 FAN = 8
 #: Distinct units that a worker remembers; beyond it starts anew.
 MEMORY = 300_000
-#: A place where both tokenizers end a token: before a space that follows what isn't white space.
-BOTH_END = re.compile(r"(?<=\S)(?= )")
+#: Places where both tokenizers end a token: before a space that follows what isn't white space, and between a letter and a mark
+#: that no piece of B holds after a letter (Pair sees to that).
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-/:-=?@\[-`{-~]"
+BOTH_END = re.compile(rf"(?<=\S)(?= )|(?<={LETTER})(?={MARK})")
 SPACE_MARK = "▁"
 #: A pair of ids is one number: A's id times this, plus B's.
 PAIR = 1 << 15
@@ -60,6 +62,10 @@ class Tokens(NamedTuple):
 NONE = Tokens(*[np.zeros(0, np.int64)] * 4)
 
 
+#: Decimal ids.
+NAMES = list(map(str, range(1 << 17)))
+
+
 class Fragment(NamedTuple):
     """prefix: tokens up to the first place where both end; suffix: those after the last one, None where there is no such place."""
 
@@ -90,7 +96,7 @@ def links_of(t: Tokens) -> np.ndarray:
 def closed(t: Tokens, at: int) -> Closed:
     """The groups of tokens that start (at byte `at`) and end together."""
     ends = t.both_end()
-    a, b = list(map(str, t.a.tolist())), list(map(str, t.b.tolist()))
+    a, b = list(map(NAMES.__getitem__, t.a.tolist())), list(map(NAMES.__getitem__, t.b.tolist()))
     i, j = np.searchsorted(t.a_end, ends, "right").tolist(), np.searchsorted(t.b_end, ends, "right").tolist()
     groups = [",".join(a[p:q]) + "|" + ",".join(b[r:s]) for p, q, r, s in zip([0, *i], i, [0, *j], j, strict=False)]
     return Closed(at, ";".join(groups), len(groups), links_of(t))
@@ -152,8 +158,11 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=pieces.resolved(b_path))
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in names) or len(names) > PAIR or self.a.get_vocab_size() * PAIR >= 1 << 31:
-            raise ValueError(f"{b_path}: a piece goes on after a space, or there are too many ids")
+        spoken = [p for i, p in enumerate(names) if not self.b.is_control(i) and not self.b.is_byte(i) and not self.b.is_unknown(i)]
+        if {bytes([i]) for i in range(256)} - {bytes(byte_values()[c] for c in t) for t in self.a.get_vocab(with_added_tokens=False) if len(t) == 1}:
+            raise ValueError(f"{a_path}: a byte has no token")
+        if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}|{LETTER}{MARK}", p) for p in spoken) or len(names) > PAIR or self.a.get_vocab_size() * PAIR >= 1 << 31:
+            raise ValueError(f"{b_path}: a piece goes on after a place in BOTH_END, or there are too many ids")
         byte = re.compile("<0x([0-9A-F]{2})>")
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(SPACE_MARK, " ").encode() for p in names]
         values = byte_values()
@@ -161,13 +170,15 @@ class Pair:
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
         self.a_bytes = [b"" if t in special else bytes(values[c] for c in t) for t in (vocabulary.get(i, "") for i in range(max(vocabulary) + 1))]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.b_space = self.b.piece_to_id(SPACE_MARK)
+        self.b_space, self.b_letter = self.b.piece_to_id(SPACE_MARK), self.b.encode("a")
 
     def encoded(self, a_texts: list[str], b_texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text by A, and by B of texts that each begin with a space (or are empty) where B itself may be cut."""
+        """Ids of each text by A, and by B of texts that begin where both end: B puts a space before a text itself, so a text's own
+        first one is left to it, and one without gets a letter to follow, whose ids are taken off again."""
         a = [e.ids for k in range(0, len(a_texts), 20_000) for e in self.a.encode_batch_fast(a_texts[k : k + 20_000], add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in b_texts], num_threads=1) if b_texts else []
-        return a, [[self.b_space] if t == " " else ids for t, ids in zip(b_texts, b, strict=True)]
+        b = self.b.encode([t[1:] if t[:1] == " " else "a" + t for t in b_texts], num_threads=1) if b_texts else []
+        skip = len(self.b_letter)
+        return a, [ids[skip:] if t[:1] != " " else ids if len(t) > 1 else [self.b_space] for t, ids in zip(b_texts, b, strict=True)]
 
     def same(self, ids: list[int], table: list[bytes], text: str) -> bool:
         return b"".join([table[i] for i in ids]) == text.encode("utf-8", "surrogatepass")
@@ -214,7 +225,8 @@ class Units:
     def _add(self, new: list[str]) -> None:
         pair = self.pair
         a, b = pair.encoded(new, new)
-        ok = np.array([pair.same(x, pair.a_bytes, u) and pair.same(y, pair.b_bytes, u) for u, x, y in zip(new, a, b, strict=True)], bool)
+        # A has a token for every byte and so gives back what it got; B drops nothing but may read a mark as a space
+        ok = np.array([pair.same(y, pair.b_bytes, u) for u, y in zip(new, b, strict=True)], bool)
         a, b = ([x if good else [] for x, good in zip(ids, ok.tolist(), strict=True)] for ids in (a, b))
         flat = [np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids))) for ids in (a, b)]
         t = Tokens(flat[0], np.cumsum(pair.a_size[flat[0]]), flat[1], np.cumsum(pair.b_size[flat[1]]))
