@@ -177,14 +177,13 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(column):
-        texts = column.to_pylist()
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        usable = [i for i, t in enumerate(texts) if t and shared.value and any(map(str.isalpha, t))]
-        known = [texts[i] for i in usable]
-        for a, b in pieces.blocks(known):
-            found, p = shared.value.predict(known[a:b])
-            for i, name, s in zip(usable[a:b], found, p.tolist(), strict=True):
-                names[i], scores[i] = name, s
+        names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+        for a, _, texts in pieces.text_blocks(column):
+            usable = [i for i, t in enumerate(texts) if t and shared.value and any(map(str.isalpha, t))]
+            if usable:
+                found, p = shared.value.predict([texts[i] for i in usable])
+                for i, name, s in zip(usable, found, p.tolist(), strict=True):
+                    names[a + i], scores[a + i] = name, s
         return pa.array(names, pa.string()), pa.array(scores)
 
     return appended(docs, predict, lang_pred="string", lang_score="double")

@@ -161,12 +161,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (na + nb - shared)
 
 
-def group_links(names: list[bytes], texts: list[str], first: int | None = None) -> list[tuple[bytes, bytes]]:
-    """Links that join the near-duplicates of a group into classes: every pair is compared, unless it is joined already.
+def group_links(names: list[bytes], words: list[np.ndarray], first: int | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that join the near-duplicates of a group (the words of their texts) into classes: every pair is compared, unless it
+    is joined already.
 
     first: only pairs of one of the first rows with another one. Before its alignment a pair must share LEAST_BYTES bytes,
     and its multiset Jaccard, which bounds the aligned similarity, must reach SIMILAR."""
-    words = words_of(texts)
     sets = [np.sort(shingles(w)) for w in words]
     low = np.frombuffer(b"".join(sketch(h)[1] if len(h) else bytes(BYTES) for h in sets), np.uint8).reshape(len(sets), BYTES)
     root = list(range(len(names)))
@@ -203,14 +203,15 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = pieces.text_list(batch.column("text"))
-            names, keys, low = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], [], []
-            for a, b in pieces.blocks(texts):
-                for w in words_of(texts[a:b]):
+            names, keys, low, weights = [], [], [], []
+            for _, _, texts in pieces.text_blocks(batch.column("text")):
+                names += [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+                weights += [len(t) // UNIT + 1 for t in texts]
+                for w in words_of(texts):
                     k, s = sketch(shingles(w)) if len(w) else ([], b"")
                     keys.append(k)
                     low.append(s)
-            weight = pa.array([len(t) // UNIT + 1 for t in texts], pa.int64())
+            weight = pa.array(weights, pa.int64())
             columns = [batch.column("doc_id"), pa.array(names, pa.binary()), weight, pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "weight", "keys", "low"])
 
@@ -321,12 +322,14 @@ def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for gid, name, side, text in zip(*(batch.column(c).to_pylist() for c in ("gid", "node", "side", "text")), strict=True):
-                if gid != held:
-                    if rows:
-                        yield done()
-                    held, rows = gid, {}
-                rows.setdefault(name, (side, text))
+            gids, names, sides = (batch.column(c).to_pylist() for c in ("gid", "node", "side"))
+            for a, b, texts in pieces.text_blocks(batch.column("text")):  # a group's texts are held as their words' hashes
+                for gid, name, side, words in zip(gids[a:b], names[a:b], sides[a:b], words_of(texts), strict=True):
+                    if gid != held:
+                        if rows:
+                            yield done()
+                        held, rows = gid, {}
+                    rows.setdefault(name, (side, words.copy()))
         if rows:
             yield done()
 

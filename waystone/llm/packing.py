@@ -25,10 +25,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(batches):
         for batch in batches:
-            texts, keys = pieces.text_list(batch.column("text")), batch.column("doc_id").to_pylist()
+            keys = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for a, b in pieces.blocks(texts):
-                ids, counts = pieces.encode_block(tokenizer, texts[a:b])
+            for a, b, texts in pieces.text_blocks(batch.column("text")):
+                ids, counts = pieces.encode_block(tokenizer, texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)
                 for key, e, n in zip(keys[a:b], ends.tolist(), (counts + 1).tolist(), strict=True):

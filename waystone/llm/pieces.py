@@ -14,10 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters of a block; a longer document is a block of its own.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 #: Distinct pre-tokens that a worker remembers; beyond it starts anew.
 MEMORY = 900_000
 #: Pre-tokens of more characters than this are told apart by their text, not by hash.
@@ -247,6 +248,20 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def text_blocks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of a column of texts of at most `most` (BLOCK_CHARS) bytes, or of one text, with their texts (null: empty). Only one
+    block's texts are Python strings at a time, however many the batch has."""
+    sizes, most = pa.compute.binary_length(column).fill_null(0).to_pylist(), most or BLOCK_CHARS
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and size + n > most:
+            yield at, i, text_list(column.slice(at, i - at))
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes), text_list(column.slice(at, len(sizes) - at))
+
+
 def resolved(name: str) -> str:
     """The path of a vocabulary file: a path as it is, a bare name by the place of the public files on this machine."""
     import os

@@ -134,12 +134,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(column):
-        texts = pieces.text_list(column)
-        out = np.zeros(len(texts))
-        for x, y in pieces.blocks(texts):
+        out = np.zeros(len(column))
+        for x, y, texts in pieces.text_blocks(column):
             for a in range(x, y, ROWS):
                 b = min(y, a + ROWS)
-                out[a:b] = shared.value.score(term_counts(texts[a:b]))
+                out[a:b] = shared.value.score(term_counts(texts[a - x : b - x]))
         return (pa.array(out),)
 
     return appended(docs, vote, score="double")
