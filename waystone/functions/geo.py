@@ -22,6 +22,13 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.when(h.isNotNull(), F.least(F.lit(1.0), h))))  # least() alone would pass a null over
 
 
+def metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """haversine_m() of numbers, for rules that fold over rows in a task."""
+    a, b = math.radians(lat1), math.radians(lat2)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(math.sqrt(min(1.0, h)))
+
+
 def along_great_circle(lon1, lat1, lon2, lat2, fraction) -> Column:
     """struct(lon, lat) at a fraction of the great circle between two points, by first bearing and distance."""
     lon1, lat1, lon2, lat2, fraction = map(_c, (lon1, lat1, lon2, lat2, fraction))

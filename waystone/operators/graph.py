@@ -3,10 +3,13 @@ shared folder; loops end when nothing changes, or raise when `rounds` don't suff
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waystone.functions.geo import planar_distance
+from waystone.functions.geo import line_distance
+from waystone.operators.folds import folded
 from waystone.operators.storage import settled, union_all
 
 
@@ -232,28 +235,46 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, tolerance: float = 1e-6,
     return pairs.select("query").join(ends, "query", "left").join(total.withColumnRenamed("n", "paths"), "query", "left").select("query", "m", F.coalesce("paths", F.lit(0).cast("long")).alias("paths"))
 
 
-def generalized(points: DataFrame, tolerance: float, track: str = "track_id", rounds: int = 64) -> DataFrame:
-    """Line generalisation: of each open span the farthest inner vertex is kept if it is farther than the tolerance from the
-    span's chord, and splits it. All tracks' spans are split at once, one level of the recursion a round. points: track, pos,
-    x, y; the kept (track, pos).
+def generalized(points: DataFrame, tolerance: float, track: str = "track_id", rounds: int = 64, protected: str | None = None) -> DataFrame:
+    """Line generalisation: of each open span the inner vertex farthest from the line through the span's ends is kept if it is
+    farther than the tolerance, and splits the span. All lines' spans are split at once, one level of the recursion a round.
+    points: track, pos, x, y; the kept (track, pos).
 
-    An inner vertex carries its span's ends, and a split reaches it by (track, start): no vertex meets another span."""
+    A closed line (its last vertex is its first one, of more than three) starts as two spans, split at the vertex farthest from
+    its first one; where fewer than three vertices besides the closing one would be left, the ring stays as it is. protected: a
+    column of vertices that are kept and split from the start. A vertex carries its span's ends, and a split reaches it by
+    (track, start): no vertex meets another span. A tolerance of 0 or less keeps all."""
+    if tolerance <= 0:
+        return points.select(track, "pos")
     by = Window.partitionBy(track)
-    ends = lambda f: f(F.struct("pos", "x", "y"), "pos").over(by)
-    whole = settled(points.select(track, "pos", "x", "y").withColumns({"i": ends(F.min_by), "j": ends(F.max_by)}))
-    kept = whole.where((F.col("pos") == F.col("i.pos")) | (F.col("pos") == F.col("j.pos"))).select(track, "pos")
-    inner = whole.where((F.col("pos") > F.col("i.pos")) & (F.col("pos") < F.col("j.pos")))
+    here = F.struct("pos", "x", "y")
+    whole = points.select(track, "pos", "x", "y", (F.coalesce(F.col(protected), F.lit(False)) if protected else F.lit(False)).alias("_p"))
+    whole = whole.withColumns({"i": F.min_by(here, "pos").over(by), "j": F.max_by(here, "pos").over(by), "n": F.count("*").over(by)})
+    ring = (F.col("n") > 3) & (F.col("i.x") == F.col("j.x")) & (F.col("i.y") == F.col("j.y"))
+    edge = (F.col("pos") == F.col("i.pos")) | (F.col("pos") == F.col("j.pos"))
+    out = F.when(ring & ~edge, F.struct(F.hypot(F.col("x") - F.col("i.x"), F.col("y") - F.col("i.y")).alias("d"), (-F.col("pos")).alias("p")))
+    whole = settled(whole.withColumns({"ring": ring, "edge": edge, "far": F.max(out).over(by)}))
+    fixed = F.col("edge") | F.col("_p") | (F.col("ring") & (F.col("pos") == -F.col("far.p")))
+    order = by.orderBy("pos")
+    bounds = {"i": F.last(F.when(fixed, here), True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "j": F.first(F.when(fixed, here), True).over(order.rowsBetween(0, Window.unboundedFollowing))}
+    started = settled(whole.withColumns(bounds).withColumn("fixed", fixed).select(track, "pos", "x", "y", "i", "j", "fixed"))
+    kept = started.where("fixed").select(track, "pos")
+    inner = started.where("not fixed").drop("fixed")
     for _ in range(rounds):
-        d = planar_distance("x", "y", F.col("i.x"), F.col("i.y"), F.col("j.x"), F.col("j.y"))
-        far = inner.groupBy(track, F.col("i.pos").alias("_i")).agg(F.max(F.struct(d.alias("d"), (-F.col("pos")).alias("p"), F.struct("pos", "x", "y").alias("k"))).alias("m"))
+        d = line_distance("x", "y", "i.x", "i.y", "j.x", "j.y")
+        far = inner.groupBy(track, F.col("i.pos").alias("_i")).agg(F.max(F.struct(d.alias("d"), (-F.col("pos")).alias("p"), here.alias("k"))).alias("m"))
         split = settled(far.where(F.col("m.d") > tolerance).select(track, "_i", "m.k"))
         if split.isEmpty():
-            return kept.distinct()
+            break
         kept = settled(kept.unionByName(split.select(track, F.col("k.pos").alias("pos"))))
         met = inner.withColumn("_i", F.col("i.pos")).join(split, [track, "_i"])
         left = F.col("pos") < F.col("k.pos")
         inner = settled(met.where(F.col("pos") != F.col("k.pos")).select(track, "pos", "x", "y", F.when(left, F.col("i")).otherwise(F.col("k")).alias("i"), F.when(left, F.col("k")).otherwise(F.col("j")).alias("j")))
-    raise RuntimeError("generalized: not settled")
+    else:
+        raise RuntimeError("generalized: not settled")
+    kept = kept.distinct()
+    few = kept.groupBy(track).agg(F.count("*").alias("n")).where("n < 4").join(whole.where("ring").select(track).distinct(), track, "left_semi").select(track)
+    return kept.join(few, track, "left_anti").unionByName(whole.join(few, track, "left_semi").select(track, "pos"))
 
 
 def oriented(members: DataFrame, snaps: DataFrame, limit: float) -> DataFrame:
@@ -262,27 +283,30 @@ def oriented(members: DataFrame, snaps: DataFrame, limit: float) -> DataFrame:
     whose ends are within the limit is snapped; anything else is a break, after which the way goes forward, or as its
     follower wants. relation, pos, way, direction, join: start, node, snap or break.
 
-    A direction depends on the one before: a relation's members are folded in order as one array."""
-    by = F.struct("pos", "way", "a", "b", "xa", "ya", "xb", "yb", "allowed", "na", "nb")
+    A direction depends on the one before: a relation's members stream by in order with the end reached so far."""
     order = Window.partitionBy("relation").orderBy("pos")
     paired = members.withColumns({"before": F.lag("way").over(order), "na": F.lead("a").over(order), "nb": F.lead("b").over(order)})
-    paired = paired.join(snaps.select("before", "way", F.lit(True).alias("allowed")), ["before", "way"], "left")
-    packed = paired.groupBy("relation").agg(F.array_sort(F.collect_list(by)).alias("m"))
-    row = "struct<pos:bigint,way:bigint,direction:string,join:string>"
-    start = F.struct(F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc, w):
-        da, db = F.hypot(acc["x"] - w["xa"], acc["y"] - w["ya"]), F.hypot(acc["x"] - w["xb"], acc["y"] - w["yb"])
-        first = acc["end"].isNull()
-        wants_back = ~F.coalesce(w["b"].isin(w["na"], w["nb"]), F.lit(False)) & F.coalesce(w["a"].isin(w["na"], w["nb"]), F.lit(False))
-        snapped = F.coalesce(w["allowed"], F.lit(False)) & (F.least(da, db) <= limit)
-        how = F.when(first, "start").when((acc["end"] == w["a"]) | (acc["end"] == w["b"]), "node").when(snapped, "snap").otherwise("break")
-        back = F.when(how == "node", acc["end"] != w["a"]).when(how == "snap", db < da).otherwise(wants_back)
-        cell = F.struct(w["pos"].cast("bigint").alias("pos"), w["way"].cast("bigint").alias("way"), F.when(back, "reverse").otherwise("forward").alias("direction"), how.alias("join"))
-        return F.struct(F.when(back, w["a"]).otherwise(w["b"]).cast("bigint").alias("end"), F.when(back, w["xa"]).otherwise(w["xb"]).alias("x"), F.when(back, w["ya"]).otherwise(w["yb"]).alias("y"), F.concat(acc["out"], F.array(cell)).alias("out"))
-
-    done = packed.select("relation", F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("o"))
-    return done.select("relation", "o.pos", "o.way", "o.direction", "o.join")
+    paired = paired.join(snaps.select("before", "way", F.lit(True).alias("allowed")).distinct(), ["before", "way"], "left")
+    number = [F.col(c).cast("double").alias(c) for c in ("xa", "ya", "xb", "yb")]
+    rows = paired.select("relation", F.col("pos").cast("bigint").alias("pos"), F.col("way").cast("bigint").alias("way"), "a", "b", *number, "allowed", "na", "nb")
+
+    def step(state, row):
+        relation, pos, way, a, b, xa, ya, xb, yb, allowed, na, nb = row
+        end, x, y, first = state
+        if first:
+            join = "start"
+        elif end in (a, b):
+            join = "node"
+        else:
+            da, db = math.hypot(x - xa, y - ya), math.hypot(x - xb, y - yb)
+            join = "snap" if allowed and min(da, db) <= limit else "break"
+        follows = {n for n in (na, nb) if n is not None}
+        back = end != a if join == "node" else db < da if join == "snap" else b not in follows and a in follows
+        state[:] = [a, xa, ya, False] if back else [b, xb, yb, False]
+        return ((relation, pos, way, "reverse" if back else "forward", join),)
+
+    kind = members.schema["relation"].dataType.simpleString()
+    return folded(rows, ["relation"], ["pos", "way"], lambda row: [None, 0.0, 0.0, True], step, f"relation {kind}, pos bigint, way bigint, direction string, join string")
 
 
 def merged_lines(lines: DataFrame) -> DataFrame:

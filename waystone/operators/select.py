@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waystone.operators.folds import folded
+
 
 def band(axis: Column, bands: int) -> Column:
     """Which of equal bands of [0, 1] a position is in."""
@@ -34,20 +36,25 @@ def within_budget(df: DataFrame, partition: list[str], key: str, size: str, budg
     """Highest score (or longest) first, what doesn't fit is skipped and the next one tried; the first one is always kept.
     Returns the groups' keys of kept rows. budget: a number, or a column of df that each group has one value of.
 
-    What is spent is always the size, whatever the score; equal scores go by the lesser key. What fits depends on all that
-    was kept before, so a group is folded as one sorted array: a group is one sheet's or layer's candidates and must fit in a
-    task."""
-    item = F.struct((-F.col(score or size)).alias("o"), F.col(key).alias("k"), F.col(size).cast("double").alias("n"))
-    limit = F.max(budget) if isinstance(budget, str) else F.lit(budget)
-    packed = df.where(F.col(size) >= least).groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(limit).alias("limit") if not isinstance(budget, str) else limit.alias("limit"))
-    kind = df.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
+    What is spent is always the size, whatever the score; equal scores go by the lesser key. A group's rows stream by in that
+    order with what is spent so far, so a group of any size takes linear time."""
+    limit = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    rows = df.where(F.col(size) >= least).select(*partition, F.col(key), (-F.col(score or size)).alias("_o"), F.col(size).cast("double").alias("_n"), limit.cast("double").alias("_limit"))
+    return _fitting(rows, partition, key, ["_o", key, "_n"], ("_o",), lambda row: [0.0, True])
+
 
-    def step(acc, x):
-        fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["n"] <= F.col("limit"))
-        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
+def _fitting(rows: DataFrame, partition: list[str], key: str, order: list[str], without: tuple[str, ...], start) -> DataFrame:
+    """Keys of rows (partition, key, ... size, limit) that fit in order: state is what is spent and whether the next one is free."""
 
-    return packed.select(*partition, F.explode(F.aggregate("items", start, step, lambda a: a["kept"])).alias(key))
+    def step(state, row):
+        if row[-2] is not None and (state[1] or state[0] + row[-2] <= row[-1]):
+            state[0] += row[-2]
+            state[1] = False
+            return (row[: len(partition) + 1],)
+        return ()
+
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*partition, key))
+    return folded(rows, partition, order, start, step, ddl, without=without)
 
 
 #: Page millimetres that a square millimetre of map may hold of each kind of detail, and the least length drawn.
@@ -87,30 +94,11 @@ def tier_quota(df: DataFrame, partition: list[str], tier: str, quota: int, order
     return top_of_each(inside, partition, [F.desc("_req"), F.desc("_in"), *order], most).drop("_in", "_req")
 
 
-def spaced(df: DataFrame, partition: list[str], at: str, strength: str, apart: float, most: int) -> DataFrame:
-    """Strongest first, none within `apart` of a kept one, at most `most` a group (one track's stations, folded as one array).
-    """
-    item = F.struct((-F.col(strength)).alias("n"), F.col(at).alias("at"))
-    packed = df.groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.array().cast("array<double>")
-    near = lambda kept, x: F.exists(kept, lambda y: F.abs(y - x["at"]) < apart)
-    step = lambda kept, x: F.when((F.size(kept) < most) & ~near(kept, x), F.concat(kept, F.array(x["at"].cast("double")))).otherwise(kept)
-    return packed.select(*partition, F.explode(F.aggregate("items", start, step)).alias(at))
-
-
 def filled(df: DataFrame, partition: list[str], key: str, order: Column, size: str, used: str, capacity: float) -> DataFrame:
     """Rows in order (a sortable column that tells them apart) that fit into what is left of a capacity; what doesn't fit is
-    skipped. `used` holds what each group has spent already. One group's rows are folded as one array."""
-    item = F.struct(order.alias("o"), F.col(size).cast("double").alias("n"), F.col(key).alias("k"))
-    packed = df.groupBy(*partition).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(used).cast("double").alias("used"))
-    kind = df.schema[key].dataType.simpleString()
-    start = F.struct(F.col("used").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["n"] <= capacity
-        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
-
-    return packed.select(*partition, F.explode(F.aggregate("items", start, step, lambda a: a["kept"])).alias(key))
+    skipped. `used` holds what each group has spent already. A group of any size streams by in order."""
+    rows = df.select(*partition, F.col(key), order.alias("_o"), F.col(used).cast("double").alias("_used"), F.col(size).cast("double").alias("_n"), F.lit(float(capacity)).alias("_limit"))
+    return _fitting(rows, partition, key, ["_o"], ("_o",), lambda row: [row[-3], False])
 
 
 def ink_selection(groups: DataFrame, plate: str, layer: str, key: str, rank: str, ink: str, capacity: float, reserve: float) -> DataFrame:

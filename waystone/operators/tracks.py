@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waystone.functions.geo import haversine_m
+from waystone.functions.geo import haversine_m, metres
+from waystone.operators.folds import folded
 
 
 def segmented(points: DataFrame, gap_s: float, track: str = "track_id") -> DataFrame:
@@ -51,36 +52,66 @@ def verification(points: DataFrame, official_m: Column, under: float, over: floa
     return course.withColumns({"relative_error": error, "largest_share": share, "reasons": reasons}).withColumn("accepted", F.size("reasons") == 0)
 
 
-def without_repeats(points: DataFrame, tolerance_m: float, track: str = "track_id") -> DataFrame:
-    """Drops points within a tolerance of the last kept point of their segment.
-
-    What is kept depends on what was kept before, so each segment's points, in order, are folded in one array: a segment
-    must fit in a task (the readers bound it). Returns track, seg, pos, lon, lat of kept points.
-    """
-    point = F.struct("pos", "lon", "lat")
-    row = "struct<pos:bigint,lon:double,lat:double>"
-    start = F.array().cast(f"array<{row}>")
-
-    def keep(kept, p):
-        last = F.element_at(kept, -1)
-        far = haversine_m(last["lon"], last["lat"], p["lon"], p["lat"]) > tolerance_m
-        return F.when((F.size(kept) == 0) | far, F.concat(kept, F.array(p))).otherwise(kept)
-
-    packed = points.select(track, "seg", F.col("pos").cast("bigint").alias("pos"), "lon", "lat").groupBy(track, "seg").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    kept = packed.select(track, "seg", F.explode(F.aggregate("p", start, keep, lambda a: a)).alias("q"))
-    return kept.select(track, "seg", "q.pos", "q.lon", "q.lat")
-
-
-def spikes(points: DataFrame, least_m: float, ratio: float, median_times: float, track: str = "track_id") -> DataFrame:
-    """Inner points of a segment whose two legs are both long (least_m, and median_times the track's median leg) and whose
-    detour is `ratio` times the way past them. Tracks of fewer than four points have none. track, pos, detour."""
+def deduplicated(points: DataFrame, tolerance_m: float, track: str = "track_id", merged: tuple[str, ...] = (), either: tuple[str, ...] = ()) -> DataFrame:
+    """points with separation_m: null for a kept point, else how far it lay from the last kept one of its segment (within the
+    tolerance). A kept point takes over the later values of `merged` columns from those that it stands for, where they have one,
+    and of `either` columns whether any of them says so. track, seg, pos, lon, lat, merged, either, separation_m."""
+    names = [track, "seg", "pos", "lon", "lat", *merged, *either]
+    flat = points.select(track, "seg", F.col("pos").cast("bigint").alias("pos"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), *merged, *either)
+    m = 5 + len(merged)
+
+    def step(state, row):
+        if state[0] is None:
+            state[0] = list(row)
+            return ()
+        kept = state[0]
+        away = metres(kept[3], kept[4], row[3], row[4])
+        if away > tolerance_m + 1e-9:
+            state[0] = list(row)
+            return ((*kept, None),)
+        for c in range(5, m):
+            kept[c] = kept[c] if row[c] is None else row[c]
+        for c in range(m, len(row)):
+            kept[c] = bool(kept[c] or row[c])
+        return ((*row, away),)
+
+    ddl = ", ".join(f"`{n}` {flat.schema[n].dataType.simpleString()}" for n in names)
+    return folded(flat, [track, "seg"], ["pos"], lambda row: [None], step, f"{ddl}, separation_m double", lambda state: [(*state[0], None)])
+
+
+def without_repeats(points: DataFrame, tolerance_m: float, track: str = "track_id", merged: tuple[str, ...] = (), either: tuple[str, ...] = ()) -> DataFrame:
+    """The points that deduplicated() keeps: track, seg, pos, lon, lat, merged, either."""
+    return deduplicated(points, tolerance_m, track, merged, either).where("separation_m is null").drop("separation_m")
+
+
+def spikes(points: DataFrame, least_m: float, ratio: float, median_times: float, track: str = "track_id", speed_m_s: float | None = None, preserved: str | None = None) -> DataFrame:
+    """Isolated outliers: inner points of a segment whose legs from the last kept point and to the next one are both long (least_m,
+    and median_times the segment's median leg) and whose detour is `ratio` times the way past them. track, pos, detour_m.
+
+    What is kept depends on what was kept before. Segments of fewer than four points have none. speed_m_s: where the times of
+    points (ts) give the speed of a leg, one leg must be faster than this as well. preserved: a column of points that stay."""
     by = Window.partitionBy(track, "seg").orderBy("pos")
-    lon0, lat0, lon2, lat2 = (F.lag("lon").over(by), F.lag("lat").over(by), F.lead("lon").over(by), F.lead("lat").over(by))
-    legs = points.select(track, "seg", "pos", haversine_m(lon0, lat0, F.col("lon"), F.col("lat")).alias("a"), haversine_m(F.col("lon"), F.col("lat"), lon2, lat2).alias("b"), haversine_m(lon0, lat0, lon2, lat2).alias("c"))
-    medians = legs.where("a > 0").groupBy(track).agg(F.percentile("a", F.lit(0.5)).alias("median_m"), F.count("*").alias("n")).where("n >= 3")
-    met = legs.where("a is not null and b is not null").join(medians, track)
-    floor = F.greatest(F.lit(least_m), F.col("median_m") * median_times)
-    return met.where((F.col("a") >= floor) & (F.col("b") >= floor) & (F.col("a") + F.col("b") >= ratio * F.col("c"))).select(track, "pos", (F.col("a") + F.col("b")).alias("detour_m"))
+    leg = haversine_m(F.lag("lon").over(by), F.lag("lat").over(by), F.col("lon"), F.col("lat"))
+    stay = F.coalesce(F.col(preserved), F.lit(False)) if preserved else F.lit(False)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 if speed_m_s is not None else F.lit(None).cast("double")
+    held = points.select(track, "seg", "pos", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), at.alias("t"), stay.alias("stay"), leg.alias("leg"))
+    gates = held.groupBy(track, "seg").agg(F.count("*").alias("n"), F.coalesce(F.percentile(F.when(F.col("leg") > 1e-6, F.col("leg")), F.lit(0.5)), F.lit(0.0)).alias("typical")).where("n >= 4")
+    ahead = {f"{c}2": F.lead(c).over(by) for c in ("lon", "lat", "t")}
+    rows = held.withColumns(ahead).join(gates, [track, "seg"]).select(track, "seg", F.col("pos").cast("bigint").alias("pos"), "lon", "lat", "t", "stay", "lon2", "lat2", "t2", F.greatest(F.lit(float(least_m)), F.col("typical") * median_times).alias("gate"))
+
+    def step(state, row):
+        _, _, pos, lon, lat, t, stays, lon2, lat2, t2, gate = row
+        if state[0] is not None and lon2 is not None and not stays:
+            x, y, before = state[0]
+            a, b, past = metres(x, y, lon, lat), metres(lon, lat, lon2, lat2), metres(x, y, lon2, lat2)
+            speeds = [m / (q - p) for m, p, q in ((a, before, t), (b, t, t2)) if p is not None and q is not None and q > p]
+            fast = not speeds or max(speeds) > speed_m_s
+            if a >= gate and b >= gate and (a + b) / max(past, 0.01) >= ratio and fast:
+                return ((row[0], pos, a + b),)
+        state[0] = (lon, lat, t)
+        return ()
+
+    return folded(rows, [track, "seg"], ["pos"], lambda row: [None], step, f"`{track}` {points.schema[track].dataType.simpleString()}, pos bigint, detour_m double")
 
 
 def legs_of(points: DataFrame, track: str = "track_id") -> DataFrame:

@@ -250,15 +250,34 @@ def repeated_points(t):
     return tracks.without_repeats(tracks.segmented(t("fx_track_pt"), 86400), 400.0)
 
 
-@query("o6_4_spikes", f"""with {SEGS}, n as (select track_id, seg, pos, lon, lat, lag(lon) over w as a0, lag(lat) over w as b0, lead(lon) over w as a2, lead(lat) over w as b2 from segs window w as (partition by track_id, seg order by pos)),
-l as (select track_id, pos, {hav('a0', 'b0', 'lon', 'lat')} as a, {hav('lon', 'lat', 'a2', 'b2')} as b, {hav('a0', 'b0', 'a2', 'b2')} as c from n),
-m as (select track_id, median(a) as md, count(*) as n from l where a > 0 group by 1)
-select l.track_id, pos, round(a + b, 3) as detour_m from l join m using (track_id) where m.n >= 3 and a is not null and b is not null and a >= greatest(300.0, md * 0.8) and b >= greatest(300.0, md * 0.8) and a + b >= 3.0 * c""")
+@query("o6_4_spikes", f"""with recursive {SEGS}, n as (select track_id, seg, pos, lon, lat, row_number() over w as rn, lag(lon) over w as a0, lag(lat) over w as b0, lead(lon) over w as a2, lead(lat) over w as b2 from segs window w as (partition by track_id, seg order by pos)),
+l as (select track_id, seg, case when a0 is not null then {hav('a0', 'b0', 'lon', 'lat')} end as m from n), g as (select track_id, seg, greatest(300.0, coalesce(median(case when m > 1e-6 then m end), 0) * 0.8) as gate from l group by 1, 2 having count(*) >= 4),
+d as (select n.*, gate, pos % 11 = 0 as stays from n join g using (track_id, seg)),
+r as (select track_id, seg, rn, pos, lon as klon, lat as klat, cast(null as double) as detour from d where rn = 1
+ union all select track_id, seg, rn, pos, case when spike then klon else lon end, case when spike then klat else lat end, case when spike then a + b end from
+ (select *, not stays and a2 is not null and a >= gate and b >= gate and (a + b) / greatest(c, 0.01) >= 3.0 as spike from
+ (select d.*, klon, klat, {hav('klon', 'klat', 'd.lon', 'd.lat')} as a, {hav('d.lon', 'd.lat', 'd.a2', 'd.b2')} as b, {hav('klon', 'klat', 'd.a2', 'd.b2')} as c from r join d on d.track_id = r.track_id and d.seg = r.seg and d.rn = r.rn + 1) x) y)
+select track_id, pos, round(detour, 3) as detour_m from r where detour is not null""")
 def spikes(t):
-    s = tracks.spikes(tracks.segmented(t("fx_track_pt"), 86400), 300.0, 3.0, 0.8)
+    """Outliers against the last kept point; every eleventh point is preserved."""
+    p = tracks.segmented(t("fx_track_pt"), 86400).withColumn("stays", F.col("pos") % 11 == 0)
+    return tracks.spikes(p, 300.0, 3.0, 0.8, preserved="stays").select("track_id", "pos", F.round("detour_m", 3).alias("detour_m"))
+
+
+@query("o6_4_fast_spikes")
+def fast_spikes(t):
+    """Outliers that take a speed as well; tests hold it against plain Python."""
+    s = tracks.spikes(tracks.segmented(t("fx_track_pt"), 86400), 300.0, 3.0, 0.8, speed_m_s=0.05)
     return s.select("track_id", "pos", F.round("detour_m", 3).alias("detour_m"))
 
 
+@query("o6_3_removed_points")
+def removed_points(t):
+    """Points that repeat the last kept one; a kept point takes over their elevations. Tests hold it against plain Python."""
+    d = tracks.deduplicated(tracks.segmented(t("fx_track_pt"), 86400), 400.0, merged=("ele",))
+    return d.select("track_id", "seg", "pos", "ele", F.round("separation_m", 3).alias("separation_m"))
+
+
 @query("o6_5_invalid_vertex_split", """with r as (select track_id, pos, ele, sum(case when ele is null then 1 else 0 end) over (partition by track_id order by pos rows unbounded preceding) as run from fx_track_pt)
 select track_id, min(pos) as first_pos, count(*) as points from r where ele is not null group by track_id, run having count(*) >= 2""")
 def invalid_vertex_split(t):
