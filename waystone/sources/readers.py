@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waystone.functions import text
-from waystone.functions.geo import haversine_m
+from waystone.functions.geo import clip_parameters, haversine_m
 from waystone.operators.ranks import running_count
 from waystone.operators.storage import settled, union_all
 from waystone.operators.tracks import verification
@@ -63,19 +63,47 @@ def complete_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 def gpx_points(documents: DataFrame) -> DataFrame:
     """Points of GPX documents (source, value): segments in order (routes after tracks), never bridged."""
     d = documents.select("source", F.from_xml("value", GPX).alias("d"))
-    tracks = F.flatten(F.transform(F.coalesce("d.trk", F.array().cast("array<struct<name:string,trkseg:array<struct<trkpt:array<" + TRACK_POINT + ">>>>>")), lambda t: F.transform(t["trkseg"], lambda s: s["trkpt"])))
+    tracks = F.flatten(F.transform(F.coalesce("d.trk", F.array().cast("array<struct<name:string,trkseg:array<struct<trkpt:array<" + TRACK_POINT + ">>>>>")), lambda t: F.transform(F.coalesce(t["trkseg"], F.array().cast("array<struct<trkpt:array<" + TRACK_POINT + ">>>")), lambda s: s["trkpt"])))
     routes = F.transform(F.coalesce("d.rte", F.array().cast("array<struct<rtept:array<" + TRACK_POINT + ">>>")), lambda r: r["rtept"])
     segments = d.select("source", F.posexplode(F.concat(tracks, routes)).alias("seg", "points"))
     return segments.select("source", "seg", F.posexplode("points").alias("pos", "p")).select("source", "seg", "pos", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), "p.ele", F.col("p.time").try_cast("timestamp").alias("time"))
 
 
+def malformed(documents: DataFrame) -> DataFrame:
+    """Documents (source, value) that aren't well-formed XML: source, problem. Readers give no rows of them."""
+    parsed = F.from_xml("value", "_corrupt_record string", {"mode": "PERMISSIVE"})
+    bad = F.col("value").isNull() | ~F.coalesce(F.trim("value").startswith("<"), F.lit(False)) | parsed["_corrupt_record"].isNotNull()
+    return documents.where(bad).select("source", F.lit("malformed").alias("problem"))
+
+
+def malformed_json(documents: DataFrame) -> DataFrame:
+    """Documents (source, value) that aren't JSON objects: source, problem. Readers give no rows of them."""
+    parsed = F.from_json("value", "_corrupt_record string, type string")
+    bad = F.col("value").isNull() | ~F.coalesce(F.trim("value").startswith("{"), F.lit(False)) | parsed["_corrupt_record"].isNotNull()
+    return documents.where(bad).select("source", F.lit("malformed").alias("problem"))
+
+
+def track_rejects(documents: DataFrame, points: DataFrame, line: list[str]) -> DataFrame:
+    """Why documents give no track, of XML documents and the points (source, line, lat, lon) read from them: malformed, bad-point (a
+    point without a usable position) or no-line (no line of two points or more). source, problem."""
+    broken = malformed(documents)
+    rest = documents.select("source").join(broken.select("source"), "source", "left_anti")
+    lines = points.groupBy("source", *line).agg(F.count("*").alias("n"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("bad"))
+    told = lines.groupBy("source").agg(F.max("n").alias("n"), F.sum("bad").alias("bad"))
+    problem = F.when(F.col("bad") > 0, "bad-point").when(F.coalesce("n", F.lit(0)) < 2, "no-line")
+    return rest.join(told, "source", "left").select("source", problem.alias("problem")).where("problem is not null").unionByName(broken)
+
+
 def kml_points(documents: DataFrame) -> DataFrame:
-    """Vertices of every LineString's coordinates text in KML documents (source, value); tags may have attributes and a
-    namespace prefix."""
-    tag = lambda name: rf"<(?:[A-Za-z_][\w.-]*:)?{name}(?:\s[^>]*)?>"
-    pattern = rf"(?s){tag('LineString')}.*?{tag('coordinates')}(.*?)</(?:[A-Za-z_][\w.-]*:)?coordinates\s*>"
-    lines = documents.select("source", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), 1)).alias("line", "c"))
-    points = lines.select("source", "line", F.posexplode(F.split(F.trim(F.regexp_replace("c", r"\s+", " ")), " ")).alias("pos", "t")).withColumn("p", F.split("t", ","))
+    """Vertices of every LineString of two or more in KML documents (source, value); tags may have attributes and a namespace
+    prefix. A LineString without coordinates, or whose text has under two positions, is no line; a position that can't be read
+    has null coordinates."""
+    name = r"(?:[A-Za-z_][\w.-]*:)?"
+    inside = lambda tag: rf"(?s)<{name}{tag}(?:\s[^>]*)?(?<!/)>(.*?)</{name}{tag}\s*>"
+    lines = documents.select("source", F.posexplode(F.regexp_extract_all("value", F.lit(inside("LineString")), 1)).alias("line", "e"))
+    text = F.trim(F.regexp_replace(F.regexp_extract("e", inside("coordinates"), 1), r"\s+", " "))
+    tokens = F.filter(F.split(text, " "), lambda t: F.instr(t, ",") > 0)
+    points = lines.withColumn("t", tokens).where(F.size("t") >= 2).select("source", "line", F.posexplode("t").alias("pos", "t")).withColumn("p", F.split("t", ","))
     number = lambda i: F.try_element_at("p", F.lit(i)).try_cast("double")
     return points.select("source", "line", "pos", number(1).alias("lon"), number(2).alias("lat"), number(3).alias("ele"))
 
@@ -145,15 +173,27 @@ def contour_lines(documents: DataFrame, interval: int) -> tuple[DataFrame, DataF
 
 
 def hydro_candidates(documents: DataFrame, pinned: DataFrame, west: float, south: float, east: float, north: float, least_rank: int) -> DataFrame:
-    """Rivers and lakes of verified GeoJSON documents that meet an extent and are of a scale rank up to least_rank: source, pos,
-    kind (river, lake), name, rank, points."""
+    """Rivers and lakes of verified GeoJSON documents up to a scale rank: source, pos, kind (river, lake), name, rank, parts (arrays
+    of positions: lines, or rings) and inside, the length within the extent in degrees.
+
+    A river, of one line or several, counts where some of its length lies within the extent, whether or not a vertex does; a lake,
+    of one polygon or several, only where all of it does, as a shore cut off by the extent would be no shore."""
     rows = geojson_features(verified(documents, pinned), "name:string,scalerank:int,featurecla:string").where("problem is null")
-    line = F.from_json("coordinates", "array<array<double>>")
-    ring = F.try_element_at(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(1))
-    kind = F.when((F.col("kind") == "LineString") & F.lower("properties.featurecla").startswith("river"), "river").when((F.col("kind") == "Polygon") & F.lower("properties.featurecla").startswith("lake"), "lake")
-    found = rows.select("source", "pos", kind.alias("what"), F.col("properties.name").alias("name"), F.col("properties.scalerank").alias("rank"), F.when(kind == "river", line).when(kind == "lake", ring).alias("points"))
-    near = F.exists("points", lambda p: p[0].between(west, east) & p[1].between(south, north))
-    return found.where((F.col("rank") <= least_rank) & near).withColumnRenamed("what", "kind")
+    one, two, three = (F.from_json("coordinates", "array<" * n + "array<double>" + ">" * n) for n in (1, 2, 3))
+    what, is_river = F.lower("properties.featurecla"), F.col("kind").isin("LineString", "MultiLineString")
+    kind = F.when(is_river & what.startswith("river"), "river").when(F.col("kind").isin("Polygon", "MultiPolygon") & what.startswith("lake"), "lake")
+    parts = F.when(F.col("kind") == "LineString", F.array(one)).when(F.col("kind").isin("MultiLineString", "Polygon"), two).when(F.col("kind") == "MultiPolygon", F.flatten(three))
+    found = rows.select("source", "pos", kind.alias("what"), F.col("properties.name").alias("name"), F.col("properties.scalerank").alias("rank"), parts.alias("parts"))
+
+    def drawn(a, b):
+        t = clip_parameters(a[0], a[1], b[0], b[1], west, south, east, north)
+        return F.coalesce(F.hypot(b[0] - a[0], b[1] - a[1]) * (t["t1"] - t["t0"]), F.lit(0.0))
+
+    legs = lambda part: F.zip_with(F.slice(part, 1, F.size(part) - 1), F.slice(part, 2, F.size(part) - 1), drawn)
+    total = F.aggregate(F.flatten(F.transform(F.filter("parts", lambda p: F.size(p) >= 2), legs)), F.lit(0.0), lambda s, m: s + m)
+    covered = F.forall(F.flatten("parts"), lambda p: p[0].between(west, east) & p[1].between(south, north))
+    known = found.where("what is not null and size(parts) > 0").where(F.col("rank") <= least_rank).withColumn("inside", total)
+    return known.where(F.when(F.col("what") == "river", F.col("inside") > 0).otherwise(covered)).withColumnRenamed("what", "kind")
 
 
 def nodes_of_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
