@@ -90,10 +90,13 @@ def directed_cycles(links: DataFrame, rounds: int = 64) -> tuple[DataFrame, Data
     raise RuntimeError("directed_cycles: not settled")
 
 
-def degree_two_links(ends: DataFrame) -> DataFrame:
-    """Which end of a way goes on in which end of another, where exactly two ends of ways (way, a, b) meet: way, side, w2, s2."""
+def degree_two_links(ends: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Which end of a way goes on in which end of another, where exactly two ends of ways (way, a, b) meet: way, side, w2, s2.
+    held: nodes (id) where none goes on."""
     sides = _sides(ends)
     two = sides.groupBy("at").agg(F.count("*").alias("n")).where("n = 2").select("at")
+    if held is not None:
+        two = two.join(held.select(F.col("id").alias("at")), "at", "left_anti")
     meet = sides.join(two, "at", "left_semi")
     other = meet.select("at", F.col("way").alias("w2"), F.col("side").alias("s2"))
     return meet.join(other, "at").where("way <> w2").select("way", "side", "w2", "s2")
