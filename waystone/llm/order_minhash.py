@@ -202,6 +202,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     plain minima."""
 
     def run(batches):
+        pieces.forget()
         for batch in batches:
             names, keys, low, weights = [], [], [], []
             for _, _, texts in pieces.text_blocks(batch.column("text")):
@@ -230,10 +231,11 @@ def _screened(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     members = hits.join(nodes.select("node", "low"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "low")).alias("m")).select("m")
 
     def run(batches):
+        pieces.forget()
         for batch in batches:
             a, b = [], []
-            for m in batch.column("m").to_pylist():
-                m.sort(key=lambda x: x["node"])
+            for bucket in batch.column("m"):  # one bucket at a time: a batch may hold very many
+                m = sorted(bucket.as_py(), key=lambda x: x["node"])
                 names = [x["node"] for x in m]
                 x = np.frombuffer(b"".join(x["low"] for x in m), np.uint8).reshape(len(m), BYTES)
                 near = np.concatenate([(x[k : k + 32, None, :] == x[None, :, :]).sum(axis=2) >= LEAST_BYTES for k in range(0, len(m), 32)])
@@ -313,6 +315,7 @@ def _compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = met.repartition(partitions(texts.sparkSession), "gid").sortWithinPartitions("gid", "side", "node")
 
     def run(batches):
+        pieces.forget()
         held, rows = None, {}
 
         def done():

@@ -315,6 +315,17 @@ def library_memory(path: str, blocks: str = "byte") -> Memory:
     return Memory(encode)
 
 
+def forget() -> None:
+    """Frees what this worker remembers of pre-tokens, for tasks that have no use for it: workers serve one stage after another.
+    What is free goes back to the system too, where the C library can do that."""
+    import ctypes
+
+    library_memory.cache_clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def split_special(texts: list[str], special: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts cut at special strings: the parts between, the text each is of, and the special id after it (-1: none)."""
     if not any(s in t for s in special for t in texts):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from waystone.llm import pieces
+
 #: Where tables go if spark.checkpoint.dir is unset and there is no other machine to share them with.
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -69,6 +71,7 @@ def appended(docs: DataFrame, make: Callable, **columns: str) -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches):
+        pieces.forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], [*batch.schema.names, *columns])
 
