@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waystone.functions import geo, rail, tags, text
-from waystone.operators import audit, graph, joins, select, terrain, tracks
+from waystone.operators import audit, graph, joins, paths, select, terrain, tracks
 from waystone.sources import readers
 from waystone.streaming import streams
 
@@ -57,12 +57,14 @@ def test_shortest_paths_and_ties(spark):
             for j in range(25):
                 d[i, j] = min(d[i, j], d[i, k] + d[k, j])
     pairs = [(i, i, (i * 7 + 3) % 25) for i in range(12)]
-    found = graph.shortest_paths(spark.createDataFrame(edges, "a long, b long, m double"), spark.createDataFrame(pairs, "query long, source long, target long"))
-    for r in found.collect():
+    rows = [(k, *e) for k, e in enumerate(edges)]
+    frames = lambda e, p: (spark.createDataFrame(e, "edge long, a long, b long, m double"), spark.createDataFrame(p, "query long, source long, target long"))
+    for r in paths.shortest_routes(*frames(rows, pairs))[0].collect():
         want = d[pairs[r["query"]][1:]]
         assert (r["m"] is None and math.isinf(want)) or r["m"] == want
-    square = spark.createDataFrame([(1, 2, 1.0), (2, 4, 1.0), (1, 3, 1.0), (3, 4, 1.0)], "a long, b long, m double")
-    assert graph.shortest_paths(square, spark.createDataFrame([(0, 1, 4), (1, 1, 9)], "query long, source long, target long")).orderBy("query").collect() == [(0, 2.0, 2), (1, None, 0)]
+    square = [(1, 1, 2, 1.0), (2, 2, 4, 1.0), (3, 1, 3, 1.0), (4, 3, 4, 1.0)]
+    found = paths.shortest_routes(*frames(square, [(0, 1, 4), (1, 1, 9)]))[0].orderBy("query").collect()
+    assert found == [(0, 2.0, 2, True), (1, None, 0, True)]
 
 
 def test_generalised_line_keeps_what_recursion_keeps(spark):

@@ -124,6 +124,25 @@ def coincident(segments: DataFrame, group: list[str], a: str = "a", b: str = "b"
     return one.groupBy(*group).agg(F.sum("n").alias("drawn"), (F.sum("n") - F.count("*")).alias("retraced"))
 
 
+def retraced_length(segments: DataFrame, group: list[str], digits: int = 6) -> DataFrame:
+    """Per group the length drawn, the length that differs, and the length drawn again: drawn, distinct, retraced. segments: group and
+    ends. Segments count as one line where they lie on it, wholly or in part, in either direction.
+
+    A line's key is its unit direction, turned to the right half plane, and its distance from the origin, both rounded. Along a line
+    segments are intervals, swept in order; what reaches beyond all before it is new."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    size = F.hypot(dx, dy)
+    turn = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1.0).otherwise(1.0)
+    unit = segments.withColumns({"_u": F.round(turn * dx / size, digits) + 0.0, "_v": F.round(turn * dy / size, digits) + 0.0, "_m": size}).where("_m > 0")
+    u, v = turn * dx / size, turn * dy / size
+    along = lambda e: F.col(f"x{e}") * u + F.col(f"y{e}") * v
+    lines = unit.withColumn("_o", F.round(F.col("x0") * v - F.col("y0") * u, digits) + 0.0).select(*group, "_u", "_v", "_o", "_m", F.least(along(0), along(1)).alias("_a"), F.greatest(along(0), along(1)).alias("_b"))
+    by = Window.partitionBy(*group, "_u", "_v", "_o").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0.0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce(F.max("_b").over(by), F.col("_a"))))
+    out = lines.withColumn("_new", new).groupBy(*group).agg(F.sum("_m").alias("drawn"), F.sum("_new").alias("distinct"))
+    return out.withColumn("retraced", F.col("drawn") - F.col("distinct"))
+
+
 def close_conflicts(segments: DataFrame, cell: float, junction: float, widest: float = 2.0) -> DataFrame:
     """Pairs of lines of a sheet nearer than the sum of their half widths outside junctions: per pair of layers the conflicts
     and the least gap. segments: sheet, line_id, layer, width and ends. Ends of two segments within `junction` of each other

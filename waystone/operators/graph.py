@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waystone.functions.geo import line_distance
 from waystone.operators.folds import folded
-from waystone.operators.storage import settled, union_all
+from waystone.operators.storage import removed, settled
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -118,20 +118,56 @@ def compatible_links(spans: DataFrame, rounds: int = 64) -> DataFrame:
     other = ends.select("at", "semantic", "grade", *[F.col(c).alias(f"{c}2") for c in ("way", "side", "line", "x", "y")])
     met = ends.join(other, ["at", "semantic", "grade"]).where("way < way2")
     key = F.struct((F.col("line") != F.col("line2")).cast("int").alias("o"), (F.col("x") * F.col("x2") + F.col("y") * F.col("y2")).alias("bend"), "way", "side", "way2", "side2")
-    left = settled(met.select("way", "side", F.col("way2").alias("w2"), F.col("side2").alias("s2"), key.alias("key")))
-    taken = left.where(F.lit(False))
+    return paired(met.select("way", "side", F.col("way2").alias("w2"), F.col("side2").alias("s2"), key.alias("key")), rounds)
+
+
+def paired(candidates: DataFrame, rounds: int = 64) -> DataFrame:
+    """Links between ends (way, side, w2, s2, key: told apart by their order), each end used once, the least key first: way, side, w2,
+    s2, in both directions.
+
+    A candidate that is the first choice of both its ends is taken, then the rest choose anew, which is what taking them in order
+    gives."""
+    left = settled(candidates.select("way", "side", "w2", "s2", "key"))
+    taken = left.where(F.lit(False)).select("way", "side", "w2", "s2")
     for _ in range(rounds):
         if left.isEmpty():
-            one = taken.select("way", "side", "w2", "s2")
-            return one.unionByName(one.select(F.col("w2").alias("way"), F.col("s2").alias("side"), F.col("way").alias("w2"), F.col("side").alias("s2")))
+            return taken.unionByName(taken.select(F.col("w2").alias("way"), F.col("s2").alias("side"), F.col("way").alias("w2"), F.col("side").alias("s2")))
         each = left.select("way", "side", "key").unionByName(left.select(F.col("w2").alias("way"), F.col("s2").alias("side"), "key"))
         first = each.groupBy("way", "side").agg(F.min("key").alias("best"))
         again = first.select(F.col("way").alias("w2"), F.col("side").alias("s2"), F.col("best").alias("best2"))
-        now = settled(left.join(first, ["way", "side"]).join(again, ["w2", "s2"]).where((F.col("key") == F.col("best")) & (F.col("key") == F.col("best2"))).select("way", "side", "w2", "s2", "key"))
+        mutual = (F.col("key") == F.col("best")) & (F.col("key") == F.col("best2"))
+        now = settled(left.join(first, ["way", "side"]).join(again, ["w2", "s2"]).where(mutual).select("way", "side", "w2", "s2"))
         taken = taken.unionByName(now)
         used = now.select("way", "side").unionByName(now.select(F.col("w2").alias("way"), F.col("s2").alias("side")))
-        left = settled(left.join(used, ["way", "side"], "left_anti").join(used.select(F.col("way").alias("w2"), F.col("side").alias("s2")), ["w2", "s2"], "left_anti").select("way", "side", "w2", "s2", "key"))
-    raise RuntimeError("compatible_links: not settled")
+        rest = left.join(used, ["way", "side"], "left_anti").join(used.select(F.col("way").alias("w2"), F.col("side").alias("s2")), ["w2", "s2"], "left_anti")
+        after = settled(rest.select("way", "side", "w2", "s2", "key"))
+        removed(left)
+        left = after
+    raise RuntimeError("paired: not settled")
+
+
+def touching(ends: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of ends of different ways (way, ax, ay, bx, by) that lie within the tolerance of each other: way, side, w2, s2 and key, the
+    nearer first, then by way and side. Ends meet in cells of that size, so none meets an end far away."""
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    side = lambda k, c: ends.select("way", F.lit(k).alias("side"), F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
+    every = side(0, "a").unionByName(side(1, "b")).where("x is not null and y is not null").withColumns({"cx": cell("x"), "cy": cell("y")})
+    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = every.select(F.col("way").alias("w2"), F.col("side").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("c")).select("w2", "s2", "x2", "y2", "c.cx", "c.cy")
+    met = every.join(other, ["cx", "cy"]).where("way < w2").withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).where(F.col("d") <= tolerance)
+    return met.select("way", "side", "w2", "s2", F.struct("d", "way", "side", "w2", "s2").alias("key"))
+
+
+def stitched(ends: DataFrame, tolerance: float) -> DataFrame:
+    """Ways (way, ax, ay, bx, by, m: its length) joined end to end where ends touch within the tolerance, nearest first and each end
+    once: way, run, pos, run_m and place, 1 for the longest run. A gap stays a gap: what doesn't touch is never bridged."""
+    runs = chains(ends.select("way", F.lit(0).alias("a"), F.lit(0).alias("b")), links=paired(touching(ends, tolerance)))
+    placed = runs.join(ends.select("way", "m"), "way")
+    lengths = settled(placed.groupBy("run").agg(F.sum("m").alias("run_m")))
+    from waystone.operators.ranks import global_position
+
+    order = global_position(lengths.withColumn("_o", -F.col("run_m")), ["_o", "run"], "place").select("run", "run_m", "place")
+    return placed.join(order, "run").select("way", "run", "pos", "run_m", "place")
 
 
 def chains(ends: DataFrame, rounds: int = 64, links: DataFrame | None = None) -> DataFrame:
@@ -203,41 +239,6 @@ def reachable_from_itself(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("reachable_from_itself: not settled")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, tolerance: float = 1e-6, rounds: int = 10_000) -> DataFrame:
-    """Least length between pairs (query, source, target) over undirected edges (a, b, m), all pairs at once: query, m (null:
-    not connected) and paths, how many paths have that length within the tolerance.
-
-    A round extends only nodes that came nearer in the round before, and stops a query's nodes beyond its target's distance."""
-    both = settled(edges.select("a", "b", "m").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "m")).where("a <> b").groupBy("a", "b").agg(F.min("m").alias("m")))
-    best = settled(pairs.select("query", F.col("source").alias("node"), F.lit(0.0).alias("d")))
-    front = best
-    for _ in range(rounds):
-        reached = best.join(pairs.select("query", F.col("target").alias("node")), ["query", "node"]).select("query", F.col("d").alias("most"))
-        step = front.join(both, front["node"] == both["a"]).select("query", F.col("b").alias("node"), (F.col("d") + F.col("m")).alias("d")).groupBy("query", "node").agg(F.min("d").alias("d"))
-        step = step.join(reached, "query", "left").where(F.col("most").isNull() | (F.col("d") <= F.col("most"))).select("query", "node", "d")
-        met = step.join(best.withColumnRenamed("d", "old"), ["query", "node"], "left")
-        front = settled(met.where(F.col("old").isNull() | (F.col("d") < F.col("old") - tolerance)).select("query", "node", "d"))
-        if front.isEmpty():
-            break
-        best = settled(best.unionByName(front).groupBy("query", "node").agg(F.min("d").alias("d")))
-    else:
-        raise RuntimeError("shortest_paths: not settled")
-    # count paths backwards from the target over edges that lie on some shortest path
-    at = pairs.select("query", F.col("target").alias("node"), F.lit(1).cast("long").alias("n")).join(best, ["query", "node"])
-    homes = []
-    for _ in range(rounds):
-        homes.append(at.join(pairs.select("query", F.col("source").alias("node")), ["query", "node"], "left_semi").select("query", "n"))
-        prior = at.join(both, at["node"] == both["b"]).select("query", F.col("a").alias("node"), (F.col("d") - F.col("m")).alias("want"), "n")
-        at = settled(prior.join(best, ["query", "node"]).where(F.abs(F.col("d") - F.col("want")) <= tolerance).groupBy("query", "node").agg(F.sum("n").alias("n"), F.first("d").alias("d")))
-        if at.isEmpty():
-            break
-    else:
-        raise RuntimeError("shortest_paths: paths not counted")
-    total = union_all(homes).groupBy("query").agg(F.sum("n").alias("n"))
-    ends = best.join(pairs.select("query", F.col("target").alias("node")), ["query", "node"]).select("query", F.col("d").alias("m"))
-    return pairs.select("query").join(ends, "query", "left").join(total.withColumnRenamed("n", "paths"), "query", "left").select("query", "m", F.coalesce("paths", F.lit(0).cast("long")).alias("paths"))
-
-
 def generalized(points: DataFrame, tolerance: float, track: str = "track_id", rounds: int = 64, protected: str | None = None) -> DataFrame:
     """Line generalisation: of each open span the inner vertex farthest from the line through the span's ends is kept if it is
     farther than the tolerance, and splits the span. All lines' spans are split at once, one level of the recursion a round.
@@ -408,27 +409,3 @@ def laps(members: DataFrame) -> DataFrame:
 
     whole = members.where("a is not null and b is not null").select("relation", "pos", "way", "a", "b", F.coalesce("role", F.lit("")).alias("role"))
     return whole.groupBy("relation").applyInArrow(assemble, f"relation {relation}, ways array<{way}>, closed boolean, method string, findings array<string>")
-
-
-def corridor_legs(edges: DataFrame, nodes: DataFrame, legs: DataFrame, detour: float, snap: float) -> DataFrame:
-    """Legs (query, sx, sy, tx, ty) between anchors over edges (a, b, m) of nodes (id, x, y): each anchor goes to the nearest node
-    within `snap` (ties: least id); m is the shortest way between them, paths how many are as short, and status: accepted,
-    no-anchor, no-path, ambiguous (several shortest) or detour (m above `detour` times the straight line)."""
-    cell = lambda c: F.floor(F.col(c) / snap)
-    held = nodes.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-
-    def anchored(x: str, y: str, name: str) -> DataFrame:
-        around = F.array(*[F.struct((cell(x) + i).alias("cx"), (cell(y) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        spread = legs.select("query", F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(around).alias("c")).select("query", "ax", "ay", "c.cx", "c.cy")
-        d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-        return spread.join(held, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= snap).groupBy("query").agg(F.min(F.struct("d", "id"))["id"].alias(name))
-
-    placed = settled(legs.join(anchored("sx", "sy", "source"), "query", "left").join(anchored("tx", "ty", "target"), "query", "left"))
-    found = shortest_paths(edges, placed.where("source is not null and target is not null").select("query", "source", "target"))
-    straight = F.hypot(F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty"))
-    met = placed.join(found, "query", "left")
-    status = (
-        F.when(F.col("source").isNull() | F.col("target").isNull(), "no-anchor").when(F.col("m").isNull(), "no-path").when(F.col("paths") > 1, "ambiguous")
-        .when(F.col("m") > detour * straight, "detour").otherwise("accepted")
-    )
-    return met.select("query", "source", "target", "m", F.coalesce("paths", F.lit(0)).alias("paths"), status.alias("status"))

@@ -144,3 +144,34 @@ def corridor(edges: DataFrame, legs: DataFrame, limit: int = 4) -> tuple[DataFra
     met = keyed.join(found, "query", "left").join(again, ["corridor", "leg"], "left")
     status = F.when(F.col("m").isNull(), "no-path").when(F.col("paths") > 1, "ambiguous").when(F.col("repeats"), "repeat").otherwise("accepted")
     return met.select("corridor", "leg", "m", F.coalesce("paths", F.lit(0).cast("long")).alias("paths"), status.alias("status")), one
+
+
+def one_of_parallel(edges: DataFrame) -> DataFrame:
+    """Of edges (edge, a, b, m) between the same nodes the shortest one (ties: least edge), whichever way they are drawn."""
+    best = F.min(F.struct("m", "edge", F.struct("a", "b").alias("e"))).alias("x")
+    one = edges.groupBy(F.least("a", "b").alias("_p"), F.greatest("a", "b").alias("_q")).agg(best)
+    return one.select("x.edge", "x.e.a", "x.e.b", "x.m")
+
+
+def corridor_legs(edges: DataFrame, nodes: DataFrame, legs: DataFrame, detour: float, snap: float) -> DataFrame:
+    """Legs (query, sx, sy, tx, ty) between anchors over edges (edge, a, b, m) of nodes (id, x, y): each anchor goes to the nearest node
+    within `snap` (ties: least id); m is the shortest way between them, paths how many are as short, and status: accepted,
+    no-anchor, no-path, ambiguous (several shortest) or detour (m above `detour` times the straight line)."""
+    cell = lambda c: F.floor(F.col(c) / snap)
+    held = nodes.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+
+    def anchored(x: str, y: str, name: str) -> DataFrame:
+        around = F.array(*[F.struct((cell(x) + i).alias("cx"), (cell(y) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        spread = legs.select("query", F.col(x).alias("ax"), F.col(y).alias("ay"), F.explode(around).alias("c")).select("query", "ax", "ay", "c.cx", "c.cy")
+        d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
+        return spread.join(held, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= snap).groupBy("query").agg(F.min(F.struct("d", "id"))["id"].alias(name))
+
+    placed = settled(legs.join(anchored("sx", "sy", "source"), "query", "left").join(anchored("tx", "ty", "target"), "query", "left"))
+    found = shortest_routes(edges, placed.select("query", "source", "target"))[0]
+    straight = F.hypot(F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty"))
+    met = placed.join(found.drop("exhaustive"), "query", "left")
+    status = (
+        F.when(F.col("source").isNull() | F.col("target").isNull(), "no-anchor").when(F.col("m").isNull(), "no-path").when(F.col("paths") > 1, "ambiguous")
+        .when(F.col("m") > detour * straight, "detour").otherwise("accepted")
+    )
+    return met.select("query", "source", "target", "m", F.coalesce("paths", F.lit(0)).alias("paths"), status.alias("status"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waystone.operators.graph import chains
+from waystone.operators.storage import settled
+
 #: Intervals of contours that read well.
 INTERVALS = (5, 10, 20, 25, 50, 100, 200, 250, 500, 1000, 2000)
 
@@ -49,7 +52,8 @@ def level_plan(cells: DataFrame, target: int = 12, most: int = 24) -> DataFrame:
 def contour_segments(cells: DataFrame, levels: DataFrame) -> DataFrame:
     """Marching squares: per 2 x 2 cells and level the segments between interpolated edge points. tile, row, col, level,
     x0, y0, x1, y1 (x along columns). A saddle gives two segments that keep the low corners apart; cells with a missing
-    corner give none."""
+    corner give none. side0, side1: the grid side that each end lies on (row, col and 0 along the row, 1 down the column), which
+    tells equal ends without comparing fractions."""
     right, down = Window.partitionBy("tile", "row").orderBy("col"), Window.partitionBy("tile", "col").orderBy("row")
     square = cells.withColumns({"b": F.lead("z").over(right), "d": F.lead("z").over(down)}).withColumn("c", F.lead("b").over(down))
     full = square.where("z is not null and b is not null and c is not null and d is not null").join(levels.select("tile", F.explode("levels").alias("level")), "tile")
@@ -57,9 +61,10 @@ def contour_segments(cells: DataFrame, levels: DataFrame) -> DataFrame:
     bit = lambda c, k: F.when(F.col(c) >= F.col("level"), k).otherwise(0)
     cut = lambda p, q: (F.col("level") - F.col(p)) / (F.col(q) - F.col(p))
     x, y = F.col("col").cast("double"), F.col("row").cast("double")
-    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
-    top, left = lambda: point(x + cut("z", "b"), y), lambda: point(x, y + cut("z", "d"))
-    bottom, edge = lambda: point(x + cut("d", "c"), y + 1), lambda: point(x + 1, y + cut("b", "c"))
+    side = lambda down, across, kind: F.struct((F.col("row") + down).cast("long").alias("row"), (F.col("col") + across).cast("long").alias("col"), F.lit(kind).alias("kind"))
+    point = lambda px, py, down, across, kind: F.struct(px.alias("x"), py.alias("y"), side(down, across, kind).alias("side"))
+    top, left = lambda: point(x + cut("z", "b"), y, 0, 0, 0), lambda: point(x, y + cut("z", "d"), 0, 0, 1)
+    bottom, edge = lambda: point(x + cut("d", "c"), y + 1, 1, 0, 0), lambda: point(x + 1, y + cut("b", "c"), 0, 1, 1)
     line = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     case = bit("z", 8) + bit("b", 4) + bit("c", 2) + bit("d", 1)
     segments = (
@@ -67,4 +72,31 @@ def contour_segments(cells: DataFrame, levels: DataFrame) -> DataFrame:
         .when(F.col("k").isin(4, 11), F.array(line(top(), edge()))).when(F.col("k").isin(6, 9), F.array(line(top(), bottom()))).when(F.col("k").isin(7, 8), F.array(line(top(), left())))
         .when(F.col("k") == 5, F.array(line(top(), edge()), line(left(), bottom()))).when(F.col("k") == 10, F.array(line(top(), left()), line(bottom(), edge())))
     )
-    return at.withColumn("k", case).withColumn("s", F.explode(segments)).select("tile", "row", "col", "level", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
+    return at.withColumn("k", case).withColumn("s", F.explode(segments)).select("tile", "row", "col", "level", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"), F.col("s.p.side").alias("side0"), F.col("s.q.side").alias("side1"))
+
+
+def contour_paths(segments: DataFrame, across: bool = False) -> DataFrame:
+    """Contours of contour_segments() stitched to lines: tile, level, line (the least segment of it), closed, pos, x, y, a ring ending
+    where it began. Each segment is in one line.
+
+    Two segments go on in each other where they end on one grid side. across: rows and columns number one grid over all tiles, whose
+    borders share their samples, and lines go on from tile to tile (tile: the least one). Pointer jumping orders a line of any length
+    in few rounds; vertices are rows, never one array."""
+    order = Window.partitionBy("tile", "level", "row", "col").orderBy("x0", "y0", "x1", "y1")
+    lead = F.array(*[F.col(c).cast("double") for c in ("tile", "level", "row", "col")], F.row_number().over(order).cast("double"))
+    own = segments.withColumn("way", lead)
+    place = F.lit(None).cast(segments.schema["tile"].dataType) if across else F.col("tile")
+    node = lambda c: F.struct(place.alias("tile"), F.col("level").alias("level"), F.col(c).alias("side"))
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    own = settled(own.select("way", "tile", "level", F.to_json(node("side0")).alias("a"), F.to_json(node("side1")).alias("b"), end("x0", "y0").alias("p"), end("x1", "y1").alias("q")))
+    placed = chains(own.select("way", "a", "b")).join(own, "way")
+    by = Window.partitionBy("run").orderBy("pos")
+    whole = Window.partitionBy("run")
+    after, before = F.lead(F.array("a", "b")).over(by), F.lag(F.array("a", "b")).over(by)
+    turned = F.when(after.isNotNull(), ~F.array_contains(after, F.col("b"))).when(before.isNotNull(), ~F.array_contains(before, F.col("a"))).otherwise(False)
+    ways = placed.withColumn("_t", turned).withColumns({"_u": F.when(F.col("_t"), F.col("b")).otherwise(F.col("a")), "_v": F.when(F.col("_t"), F.col("a")).otherwise(F.col("b"))})
+    ways = ways.withColumns({"_n": F.max("pos").over(whole), "tile": F.min("tile").over(whole), "closed": F.first("_u").over(by) == F.last("_v").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    first, last = F.when(F.col("_t"), F.col("q")).otherwise(F.col("p")), F.when(F.col("_t"), F.col("p")).otherwise(F.col("q"))
+    ends = F.when(F.col("pos") == F.col("_n"), F.array(F.struct(F.col("pos").alias("pos"), first.alias("v")), F.struct((F.col("pos") + 1).alias("pos"), last.alias("v")))).otherwise(F.array(F.struct(F.col("pos").alias("pos"), first.alias("v"))))
+    rows = ways.select("tile", "level", F.array_join(F.transform("run", lambda c: c.cast("long").cast("string")), "/").alias("line"), "closed", F.explode(ends).alias("e"))
+    return rows.select("tile", "level", "line", "closed", "e.pos", "e.v.x", "e.v.y")

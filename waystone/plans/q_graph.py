@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waystone.operators import graph, reconcile
+from waystone.operators import graph, paths, reconcile
 from waystone.operators.ranks import global_position
-from waystone.operators.terrain import contour_segments, level_plan
+from waystone.operators.terrain import contour_paths, contour_segments, level_plan
 from waystone.plans.q_joins import tiles
 from waystone.plans.registry import query
 
@@ -20,14 +20,6 @@ def edges(t):
     return t("fx_way_node").select("way_id", "pos", F.col("node_id").alias("a"), F.lead("node_id").over(by).alias("b")).where("b is not null and a <> b")
 
 
-def whole_edges(t):
-    """edges() of every way, not only of the sparse ones that the view fx_way_node keeps for the SQL's closures."""
-    order = Window.partitionBy("way_id").orderBy("l_linenumber", "node_id", "l_suppkey", "l_quantity", "l_extendedprice")
-    nodes = t("lineitem").withColumnsRenamed({"l_orderkey": "way_id", "l_partkey": "node_id"})
-    ranked = nodes.select("way_id", (F.row_number().over(order) - 1).alias("pos"), F.col("node_id").alias("a"), F.lead("node_id").over(order).alias("b"))
-    return ranked.where("b is not null and a <> b")
-
-
 #: The net: ways of ten orders share twenty nodes of their own, so that components stay small however many there are.
 NET = "edge as (select way_id, pos, node_id as a, lead(node_id) over (partition by way_id order by pos) as b from fx_net_node)"
 SPARSE = "link as (select distinct a, b from edge where b is not null and a <> b union select distinct b, a from edge where b is not null and a <> b), reach as (select a as id, a as r from link union select reach.id, link.b from reach join link on link.a = reach.r), comp as (select id, min(r) as component from reach group by 1)"
@@ -75,9 +67,13 @@ def river_reunion(t):
 
 @query("o8_10_stitched_runs")
 def stitched_runs(t):
+    """Ways whose ends lie on a grid of their own, some a little beside it; tests hold it against plain Python."""
     k = F.col("o_orderkey")
-    ends = t("orders").select(k.alias("way"), (k % 4000).alias("a"), ((k * 7 + 3) % 4000).alias("b"))
-    return graph.chains(ends)
+    off = F.when(k % 5 == 0, 0.4).when(k % 17 == 0, 1.5).otherwise(0.0)
+    at = lambda n: (n * 7.0, n % 100 * 7.0)
+    (ax, ay), (bx, by) = at(k), at(F.floor(k / 50) * 50 + (k * 7 + 3) % 50)
+    ends = t("orders").select(k.alias("way"), (ax + off).alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), F.hypot(ax - bx, ay - by).alias("m"))
+    return graph.stitched(ends, 1.0)
 
 
 @query("o8_12_directed_cycles", """with recursive w as (select p_partkey as way, p_partkey as head, case when p_partkey % 10 = 0 then p_partkey - 9 when p_partkey % 77 = 0 then 0 else p_partkey + 1 end as tail from part),
@@ -93,14 +89,14 @@ def directed_cycles(t):
 
 @query("o8_14_two_core")
 def two_core(t):
-    e = whole_edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
+    e = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
     return graph.two_core(e).select("edge_id")
 
 
 @query("o8_13_lap_ways")
 def lap_ways(t):
     """Ways that are left when leaves are pruned, by connected lap: the last tier of lap assembly."""
-    e = whole_edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
+    e = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge_id"), "a", "b")
     core = graph.two_core(e)
     comp = graph.components(core.select("a", "b"))
     return core.join(comp, F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("ways"), F.countDistinct("a").alias("starts"))
@@ -112,11 +108,33 @@ walk as (select source, target, source as node, 0.0e0 as d from t union select w
 select t.source, t.target, min(d) as m from t left join walk on walk.source = t.source and walk.target = t.target and node = walk.target group by 1, 2""")
 def shortest_paths(t):
     """Shortest ways of a length of up to 20."""
-    e = net_edges(t).select("a", "b", (1.0 + (F.col("a") + F.col("b")) % 7).alias("m"))
+    e, pairs = weighted_net(t)
+    found = paths.shortest_routes(e, pairs)[0].join(pairs, "query")
+    return found.select("source", "target", F.when(F.col("m") <= 20, F.col("m")).alias("m"))
+
+
+def weighted_net(t):
+    """The net's edges, one between any two nodes, and the pairs that are asked for."""
+    e = net_edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge"), "a", "b", (1.0 + (F.col("a") + F.col("b")) % 7).alias("m"))
     q = e.where("a % 4 = 0").select(F.col("a").alias("source"), (F.floor(F.col("a") / 20) * 20 + (F.col("a") * 7 + 3) % 20).alias("target")).distinct().where("source <> target")
     pairs = global_position(q, ["source", "target"], "query").select(F.col("query").cast("long").alias("query"), "source", "target")
-    found = graph.shortest_paths(e, pairs).join(pairs, "query")
-    return found.select("source", "target", F.when(F.col("m") <= 20, F.col("m")).alias("m"))
+    return paths.one_of_parallel(e), pairs
+
+
+@query("o8_15_route_edges")
+def route_edges(t):
+    """The edges of up to four equal shortest routes of each pair, in order; tests hold them against plain Dijkstra."""
+    e, pairs = weighted_net(t)
+    return paths.shortest_routes(e, pairs)[1].join(pairs, "query").drop("query")
+
+
+@query("o8_21_corridor_routes")
+def corridor_routes(t):
+    """Corridors of three legs a way over the whole connected net of parts; legs that repeat an edge are told."""
+    by = Window.partitionBy("way_id").orderBy("pos")
+    chain = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge"), "a", "b", (1.0 + (F.col("a") * 31 + F.col("b") * 17) % 101).alias("m"))
+    legs = t("fx_way_node").where("way_id % 97 = 0").select(F.col("way_id").alias("corridor"), F.col("pos").alias("leg"), F.col("node_id").alias("source"), F.lead("node_id").over(by).alias("target")).where("target is not null and leg < 3")
+    return paths.corridor(paths.one_of_parallel(chain), legs)[0]
 
 
 @query("o8_16_path_walk", f"with {EDGE} select way_id, count(*) as edges, coalesce(sum(case when next is not null and next <> b then 1 else 0 end), 0) = 0 as contiguous from (select *, lead(a) over (partition by way_id order by pos + case when way_id % 7 = 0 and pos = 1 then 5 else 0 end) as next from edge where b is not null) x group by 1")
@@ -133,7 +151,13 @@ def generalized_lines(t):
 
 @query("o8_18_contours")
 def contours(t):
-    return contour_segments(tiles(t), level_plan(tiles(t)))
+    return contour_segments(tiles(t), level_plan(tiles(t))).drop("side0", "side1")
+
+
+@query("o8_18_contour_lines")
+def contour_lines(t):
+    """Contours stitched to open lines and closed rings; tests hold them against plain Python."""
+    return contour_paths(contour_segments(tiles(t), level_plan(tiles(t))))
 
 
 @query("o8_19_route_discovery", """with recursive m as (select distinct relation_id as a, way_id % 900 as b from fx_rel_member), w as (select 0 as id, 0 as depth union select b, depth + 1 from w join m on m.a = w.id where depth < 40)

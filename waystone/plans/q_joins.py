@@ -207,6 +207,20 @@ def coincident_segments(t):
     return coverage.coincident(e, ["pen"])
 
 
+@query("o4_19_retraced_length", """with s as (select l_returnflag as pen, l_suppkey % 4 as way, l_partkey % 40 as x, l_orderkey % 9 as y, l_linenumber as n from lineitem),
+l as (select pen, case when way = 1 then 'v' when way = 2 then 'd' else 'h' end as kind, case way when 1 then x when 2 then y - x else y end as line, case way when 1 then y when 3 then x - n else x end as a, case way when 1 then y + n when 3 then x else x + n end as b, case when way = 2 then sqrt(2.0e0) else 1.0e0 end as unit from s),
+c as (select *, max(b) over (partition by pen, kind, line order by a, b rows between unbounded preceding and 1 preceding) as reach from l)
+select pen, round(sum((b - a) * unit), 4) as drawn, round(sum(greatest(0, b - greatest(a, coalesce(reach, a))) * unit), 4) as distinct_length, round(sum((b - a) * unit) - sum(greatest(0, b - greatest(a, coalesce(reach, a))) * unit), 4) as retraced from c group by 1""")
+def retraced_length(t):
+    """Lines along, up, aslant and back over a small grid, which overlap in part."""
+    way, n = F.col("l_suppkey") % 4, F.col("l_linenumber").cast("double")
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_orderkey") % 9).cast("double")
+    dx, dy = F.when(way == 1, 0.0).when(way == 3, -n).otherwise(n), F.when(way.isin(1, 2), n).otherwise(0.0)
+    legs = t("lineitem").select(F.col("l_returnflag").alias("pen"), x.alias("x0"), y.alias("y0"), (x + dx).alias("x1"), (y + dy).alias("y1"))
+    found = coverage.retraced_length(legs, ["pen"])
+    return found.select("pen", F.round("drawn", 4).alias("drawn"), F.round("distinct", 4).alias("distinct_length"), F.round("retraced", 4).alias("retraced"))
+
+
 @query("o4_21_elevation_precedence", "select feature_id, coalesce(native_ele, case when source_id <> 'src0' then global_ele end) as ele, case when native_ele is not null then 'native' when source_id <> 'src0' then 'global' else 'removed' end as origin from fx_elevation")
 def elevation_precedence(t):
     usable = F.when(F.col("source_id") != "src0", F.col("global_ele"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waystone.functions import tags
-from waystone.operators import coverage, graph, select, tracks
+from waystone.operators import coverage, graph, paths, select, tracks
 from waystone.plans.q_graph import net_edges
 from waystone.plans.q_joins import PLANE, RING, lines, plane, rings, seg_dist, side
 from waystone.plans.registry import query
@@ -112,12 +112,12 @@ def corridor_legs(t):
     e = net_edges(t)
     at = lambda c: (((F.col(c) * 7919) % 10000) / 10000.0, ((F.col(c) * 104729) % 10000) / 10000.0)
     (xa, ya), (xb, yb) = at("a"), at("b")
-    measured = e.select("a", "b", F.hypot(xa - xb, ya - yb).alias("m"))
+    measured = e.select((F.col("way_id") * 10000 + F.col("pos")).alias("edge"), "a", "b", F.hypot(xa - xb, ya - yb).alias("m"))
     x, y = at("id")
     nodes = measured.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", x.alias("x"), y.alias("y"))
     legs = e.groupBy(F.col("way_id").alias("query")).agg(F.min_by("a", "pos").alias("s"), F.max_by("b", "pos").alias("t"))
     (sx, sy), (tx, ty) = at("s"), at("t")
     off = F.when(F.col("query") % 50 == 0, 9.0).otherwise(1e-7)
     legs = legs.select("query", (sx + off).alias("sx"), sy.alias("sy"), tx.alias("tx"), (ty - 1e-7).alias("ty"))
-    found = graph.corridor_legs(measured, nodes, legs, 1.8, 1e-6)
+    found = paths.corridor_legs(paths.one_of_parallel(measured), nodes, legs, 1.8, 1e-6)
     return found.select("query", F.round("m", 6).alias("m"), "paths", "status")
