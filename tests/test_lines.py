@@ -114,3 +114,77 @@ def test_retraced_length(spark):
                     unit[tuple(sorted((a, b)))] = math.hypot(x1 - x0, y1 - y0) / n
         assert abs(got[pen]["drawn"] - drawn) < 1e-6 and abs(got[pen]["distinct"] - sum(unit.values())) < 1e-6
         assert abs(got[pen]["retraced"] - (drawn - sum(unit.values()))) < 1e-6
+
+
+LEG = "sheet int, line_id int, pos int, layer string, width double, source string, x0 double, y0 double, x1 double, y1 double"
+
+
+def sheet_rows(lines):
+    return [(s, i, k, layer, w, source, *map(float, (*p, *q))) for s, i, layer, w, source, points in lines for k, (p, q) in enumerate(zip(points, points[1:], strict=False))]
+
+
+def sampled_gap(a, b, radius, step=0.01):
+    """The distance of two lines outside the discs around their crossings, by samples; None where nothing is left of one."""
+
+    def dense(points):
+        out = []
+        for p, q in zip(points, points[1:], strict=False):
+            n = max(1, int(math.hypot(q[0] - p[0], q[1] - p[1]) / step))
+            out += [(p[0] + (q[0] - p[0]) * k / n, p[1] + (q[1] - p[1]) * k / n) for k in range(n + 1)]
+        return out
+
+    def cross(p, q, r, s):
+        d = (q[0] - p[0]) * (s[1] - r[1]) - (q[1] - p[1]) * (s[0] - r[0])
+        if abs(d) < 1e-12:
+            return None
+        t = ((r[0] - p[0]) * (s[1] - r[1]) - (r[1] - p[1]) * (s[0] - r[0])) / d
+        u = ((r[0] - p[0]) * (q[1] - p[1]) - (r[1] - p[1]) * (q[0] - p[0])) / d
+        return (p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])) if 0 <= t <= 1 and 0 <= u <= 1 else None
+
+    hits = [h for p, q in zip(a, a[1:], strict=False) for r, s in zip(b, b[1:], strict=False) if (h := cross(p, q, r, s))]
+    left = [[p for p in dense(line) if all(math.hypot(p[0] - h[0], p[1] - h[1]) >= radius for h in hits)] for line in (a, b)]
+    return min((math.hypot(p[0] - q[0], p[1] - q[1]) for p in left[0] for q in left[1]), default=None)
+
+
+def test_separation_outside_junctions(spark):
+    lines = [
+        (0, 1, "roads", 0.5, None, [(0, 0), (20, 0)]), (0, 2, "rail", 0.5, None, [(0, 1.9), (20, -2.1)]),  # an acute crossing of 11 degrees
+        (1, 1, "roads", 0.5, None, [(0, 0), (10, 0)]), (1, 2, "rail", 0.5, None, [(0, 0), (4, 0), (4, 9)]),  # a stretch in common from a shared end
+        (2, 1, "roads", 0.5, None, [(0, 0), (10, 0)]), (2, 2, "rail", 0.5, None, [(5, -5), (5, 5)]),  # a plain crossing
+        (3, 1, "roads", 0.5, "way/1", [(0, 0), (10, 0)]), (3, 2, "rail", 0.5, "way/1", [(0, 0.2), (10, 0.2)]),  # one source
+        (4, 1, "roads", 0.5, "way/1", [(0, 0), (10, 0)]), (4, 2, "rail", 0.5, "way/2", [(0, 0.2), (10, 0.2)]),
+        (5, 1, "roads", 0.5, None, [(0, 0), (0.3, 0)]), (5, 2, "rail", 0.5, None, [(0, 0), (0, 0.3)]),  # nothing is left beside the junction
+        (6, 1, "roads", 0.5, None, [(0, 0), (10, 0)]), (6, 2, "rail", 0.5, None, [(0, 0.5), (10, 0.5)]),  # as far apart as they must be
+    ]
+    got = {(r["sheet"], r["a"], r["b"]): r["gap"] for r in coverage.separations(spark.createDataFrame(sheet_rows(lines), LEG), 3.0, 0.5).collect()}
+    assert set(got) == {(0, 1, 2), (1, 1, 2), (4, 1, 2)} and got[1, 1, 2] == 0.0 and abs(got[4, 1, 2] - 0.2) < 1e-9 and 0.15 < got[0, 1, 2] < 0.25
+
+
+def test_separations_equal_samples(spark):
+    rng, lines = random.Random(6), []
+    for sheet in range(12):
+        for i in range(3):
+            points = [(rng.uniform(0, 6), rng.uniform(0, 6))]
+            for _ in range(3):
+                points.append((points[-1][0] + rng.uniform(-3, 3), points[-1][1] + rng.uniform(-3, 3)))
+            lines.append((sheet, i, "ab"[i % 2], 0.4, None, points))
+    got = {(r["sheet"], r["a"], r["b"]): r["gap"] for r in coverage.separations(spark.createDataFrame(sheet_rows(lines), LEG), 2.0, 0.4).collect()}
+    seen = 0
+    for s, i, *_, a in lines:
+        for s2, j, *_, b in lines:
+            if s == s2 and i < j:
+                want = sampled_gap(a, b, 0.8)
+                if want is None or want > 0.44:
+                    assert (s, i, j) not in got
+                elif want < 0.36:
+                    assert abs(got[s, i, j] - want) < 0.03
+                    seen += 1
+    assert seen >= 3
+
+
+def test_crossing_lines_are_close(spark):
+    from waystone.operators import joins
+
+    rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 10.0, 10.0, 0.0), (3, 50.0, 50.0, 60.0, 50.0)]
+    got = joins.close_pairs(spark.createDataFrame(rows, "line_id int, x0 double, y0 double, x1 double, y1 double"), 0.5, 4.0).collect()
+    assert [(r["a"], r["b"], r["gap"]) for r in got] == [(1, 2, 0.0)]

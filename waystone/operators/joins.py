@@ -120,8 +120,8 @@ def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_
 def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:
     """Pairs of different lines (line_id, x0, y0, x1, y1) with ends within a distance of the other's segment: least gap.
 
-    Segments meet in cells of size `cell` (at least the distance); ends decide, as two segments that don't cross are nearest
-    at an end of one."""
+    Segments meet in cells of size `cell` (at least the distance). Two that cross have a gap of 0; others are nearest at an end of
+    one."""
     step = max(cell, distance)
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - distance) / step), F.floor((F.greatest(a, b) + distance) / step))
     cells = F.flatten(F.transform(span(F.col("x0"), F.col("x1")), lambda x: F.transform(span(F.col("y0"), F.col("y1")), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
@@ -130,7 +130,10 @@ def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:
     b = dealt.select("c", *[F.col(c).alias(f"b_{c}") for c in ("line_id", "x0", "y0", "x1", "y1")])
     met = a.join(b, "c").where(F.col("a_line_id") < F.col("b_line_id"))
     gaps = [planar_distance(f"{p}_x{e}", f"{p}_y{e}", *[f"{q}_{c}" for c in ("x0", "y0", "x1", "y1")]) for p, q in ("ab", "ba") for e in (0, 1)]
-    return met.withColumn("gap", F.least(*gaps)).where(F.col("gap") <= distance).groupBy(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b")).agg(F.min("gap").alias("gap"))
+    turn = lambda p, q, e: F.signum((F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{q}_y{e}") - F.col(f"{p}_y0")) - (F.col(f"{p}_y1") - F.col(f"{p}_y0")) * (F.col(f"{q}_x{e}") - F.col(f"{p}_x0")))
+    cross = (turn("a", "b", 0) * turn("a", "b", 1) < 0) & (turn("b", "a", 0) * turn("b", "a", 1) < 0)
+    met = met.withColumn("gap", F.when(cross, 0.0).otherwise(F.least(*gaps)))
+    return met.where(F.col("gap") <= distance).groupBy(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b")).agg(F.min("gap").alias("gap"))
 
 
 def crossings(segments: DataFrame, track: str, cell: float) -> DataFrame:

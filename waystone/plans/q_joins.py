@@ -41,6 +41,10 @@ def seg_dist(px, py, a, b, c, d):
     return f"sqrt(power({px} - {a} - ({f}) * ({c} - {a}), 2) + power({py} - {b} - ({f}) * ({d} - {b}), 2))"
 
 
+def side(p, q, x, y):
+    return f"sign(({p}.x1 - {p}.x0) * ({q}.{y} - {p}.y0) - ({p}.y1 - {p}.y0) * ({q}.{x} - {p}.x0))"
+
+
 def lines(t):
     """The legs of all tracks in the plane."""
     return legs(t).select(F.col("track_id").alias("line_id"), "pos", ((F.col("lon0") + 3) * 1000).alias("x0"), ((F.col("lat0") - 51) * 1000).alias("y0"), ((F.col("lon") + 3) * 1000).alias("x1"), ((F.col("lat") - 51) * 1000).alias("y1"))
@@ -194,7 +198,7 @@ def stage_lineage(t):
     return reconcile.stage_lineage(raw, "way_id", stages, lost).groupBy("status", "highway").agg(F.count("*").alias("n"))
 
 
-@query("o4_17_close_pairs", f"""with {PLANE}, g as (select a.line_id as a, b.line_id as b, least({seg_dist('a.x0', 'a.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('b.x0', 'b.y0', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}, {seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) as gap from line a join line b on a.line_id < b.line_id and floor(a.line_id / 10) = floor(b.line_id / 10))
+@query("o4_17_close_pairs", f"""with {PLANE}, g as (select a.line_id as a, b.line_id as b, case when {side('a', 'b', 'x0', 'y0')} * {side('a', 'b', 'x1', 'y1')} < 0 and {side('b', 'a', 'x0', 'y0')} * {side('b', 'a', 'x1', 'y1')} < 0 then 0 else least({seg_dist('a.x0', 'a.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('a.x1', 'a.y1', 'b.x0', 'b.y0', 'b.x1', 'b.y1')}, {seg_dist('b.x0', 'b.y0', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}, {seg_dist('b.x1', 'b.y1', 'a.x0', 'a.y0', 'a.x1', 'a.y1')}) end as gap from line a join line b on a.line_id < b.line_id and floor(a.line_id / 10) = floor(b.line_id / 10))
 select a, b, round(min(gap), 6) as gap from g where gap <= 0.5 group by 1, 2""")
 def close_pairs(t):
     return joins.close_pairs(plane(t), 0.5, 4.0).select("a", "b", F.round("gap", 6).alias("gap"))
@@ -266,10 +270,6 @@ def reference_distance(t):
     return found.select("line_id", *[F.round(c, 6).alias(c) for c in ("most", "mean", "back", "hausdorff")])
 
 
-def side(p, q, x, y):
-    return f"sign(({p}.x1 - {p}.x0) * ({q}.{y} - {p}.y0) - ({p}.y1 - {p}.y0) * ({q}.{x} - {p}.x0))"
-
-
 @query("o4_28_self_crossings", f"""with {PLANE} select a.line_id as track_id, a.pos as i, b.pos as j from line a join line b on a.line_id = b.line_id and b.pos - a.pos > 1
 where {side('a', 'b', 'x0', 'y0')} * {side('a', 'b', 'x1', 'y1')} < 0 and {side('b', 'a', 'x0', 'y0')} * {side('b', 'a', 'x1', 'y1')} < 0""")
 def self_crossings(t):
@@ -303,5 +303,5 @@ def layer_conflicts(t):
     """Conflicts of the plane's lines by pair of layers, outside junctions; tests hold it against plain Python."""
     k = F.col("line_id")
     p = plane(t).withColumns({"sheet": F.floor(k / 10), "layer": F.when(k % 3 == 0, "roads").when(k % 3 == 1, "water").otherwise("rail"), "width": F.when(k % 3 == 0, 0.3).otherwise(0.5)})
-    found = coverage.close_conflicts(p, 12.0, 0.1, 0.5)
+    found = coverage.close_conflicts(p, 12.0, 0.5)
     return found.select("layer", "other", "conflicts", F.round("least_gap", 6).alias("least_gap"))

@@ -182,6 +182,26 @@ def cif_scan(t):
     return heads.join(each, ["file", "schedule"]).select("uid", S("runs_from").alias("runs_from"), "stp", "calls", "first_depart", "last_arrive")
 
 
+@query("o1_13_cif_rejects", """with r as (select o_custkey % 50 as file, o_orderkey * 8 as base, o_orderkey % 13 as broken from orders),
+k as (select file, base + i as line, case when i = 0 then 'BS' when i = 1 then 'BX' when i = 2 then case when broken = 3 then 'XX' else 'LO' end when i = 3 then 'LI' when i = 4 then case when broken = 5 then 'BX' else 'CR' end when i = 5 then 'LI' else 'LT' end as kind
+ from r, (select unnest(range(0, 7)) as i) q where not (broken = 7 and i = 6) and not (broken = 9 and i = 2)
+ union all select file, -1, 'HD' from r where file % 7 <> 2 group by 1 union all select file, 1000000000, 'ZZ' from r where file % 11 <> 3 group by 1),
+p as (select *, lag(kind) over w as before, row_number() over w as n, count(*) over (partition by file) as total from k window w as (partition by file order by line)),
+q as (select file, line, 'unknown-record' as problem from p where kind = 'XX' union all select file, line, 'no-header' from p where n = 1 and kind <> 'HD' union all select file, line, 'no-trailer' from p where n = total and kind <> 'ZZ'
+ union all select file, line, 'misplaced' from p where (kind = 'BX' and before is distinct from 'BS') or (kind = 'LO' and coalesce(before, '') not in ('BS', 'BX', 'TN')) or (kind = 'LI' and coalesce(before, '') not in ('LO', 'LI', 'CR')) or (kind = 'CR' and coalesce(before, '') not in ('LO', 'LI')) or (kind = 'LT' and coalesce(before, '') not in ('LO', 'LI', 'CR'))
+ union all select file, line, 'unfinished' from p where (kind in ('BS', 'ZZ') and before in ('LO', 'LI', 'CR')) or (n = total and kind in ('LO', 'LI', 'CR')))
+select file, line, problem from q""")
+def cif_rejects(t):
+    """Files of schedules of seven records, some of which are broken; some files lack a header or a trailer."""
+    r = t("orders").select((F.col("o_custkey") % 50).alias("file"), (F.col("o_orderkey") * 8).alias("base"), (F.col("o_orderkey") % 13).alias("broken"))
+    kinds = F.array(F.lit("BS"), F.lit("BX"), F.when(F.col("broken") == 3, "XX").otherwise("LO"), F.lit("LI"), F.when(F.col("broken") == 5, "BX").otherwise("CR"), F.lit("LI"), F.lit("LT"))
+    rows = r.select("file", "base", "broken", F.posexplode(kinds).alias("i", "value")).where("not (broken = 7 and i = 6) and not (broken = 9 and i = 2)")
+    rows = rows.select("file", (F.col("base") + F.col("i")).alias("line"), "value")
+    files = r.select("file").distinct()
+    ends = files.where("file % 7 <> 2").select("file", F.lit(-1).cast("long").alias("line"), F.lit("HD").alias("value")).unionByName(files.where("file % 11 <> 3").select("file", F.lit(1_000_000_000).cast("long").alias("line"), F.lit("ZZ").alias("value")))
+    return readers.cif_rejects(rows.unionByName(ends))
+
+
 @query("o1_14_station_scan", "select p_name as name, 'T' || p_partkey as tiploc, cast((p_size * 10 + 1000 - 1000) * 100 as integer) as easting from part where p_partkey % 9 <> 0")
 def station_scan(t):
     crs = F.when(F.col("p_partkey") % 9 == 0, "A1C").otherwise("ABC")

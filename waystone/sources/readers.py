@@ -260,9 +260,49 @@ def course_relations(found: DataFrame, official: DataFrame, under: float, over:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files: file, line (in the file's own order), value. A file is read whole by one task, as order needs it."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where("value <> ''")
+    """Lines of text files: file, line (from 0, in the file's own order), value; empty lines are counted and left out.
+
+    A file is read in splits by as many tasks as it has; rows of a split come in order, so a line's number is its place in its split
+    and the lines of the splits before. Only one row a split is gathered."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    splits = rows.groupBy("file", "at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "at", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    line = F.col("row") - F.col("first") + F.col("before")
+    return rows.join(splits, ["file", "at"]).where("value <> ''").select("file", line.alias("line"), "value")
+
+
+#: The records of a timetable file, and which of them may come right before each record that has an order.
+CIF_KINDS = ("HD", "TI", "TA", "TD", "AA", "BS", "BX", "TN", "LO", "LI", "CR", "LN", "LT", "ZZ")
+CIF_BEFORE = {"BX": ("BS",), "TN": ("BS", "BX"), "LO": ("BS", "BX", "TN"), "LI": ("LO", "LI", "CR"), "CR": ("LO", "LI"), "LT": ("LO", "LI", "CR")}
+CIF_OPEN = ("LO", "LI", "CR")
+
+
+def cif_rejects(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """What is wrong with the order of records of timetable lines (file, line, value): file, line, problem. unknown-record; no-header
+    and no-trailer (line: the first and last one); misplaced-header; after-trailer; misplaced (a record that may not follow the one
+    before); unfinished (a schedule without its last call, where the next one begins or the file ends).
+
+    A record is judged by the one before it, found in its block of lines or, for a block's first, among the blocks' last records:
+    a file of any size is judged by many tasks."""
+    kind = F.substring("value", 1, 2)
+    rows = lines.select("file", "line", kind.alias("kind"), F.floor(F.col("line") / block).alias("b"))
+    by = Window.partitionBy("file", "b").orderBy("line")
+    blocks = rows.groupBy("file", "b").agg(F.max_by("kind", "line").alias("last"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min(F.when(F.col("kind") == "ZZ", F.col("line"))).alias("zz"))
+    along = Window.partitionBy("file").orderBy("b")
+    ends = F.max("last_line").over(Window.partitionBy("file"))
+    blocks = blocks.select("file", "b", F.lag("last").over(along).alias("earlier"), F.min("zz").over(Window.partitionBy("file")).alias("zz"), F.min("first_line").over(Window.partitionBy("file")).alias("first_line"), ends.alias("last_line"))
+    met = rows.withColumn("before", F.lag("kind").over(by)).join(blocks, ["file", "b"]).withColumn("before", F.coalesce("before", "earlier"))
+    after = F.lit(False)
+    for record, allowed in CIF_BEFORE.items():
+        after = after | ((F.col("kind") == record) & ~F.coalesce(F.col("before").isin(*allowed), F.lit(False)))
+    first, last = F.col("line") == F.col("first_line"), F.col("line") == F.col("last_line")
+    unfinished = F.col("kind").isin("BS", "AA", "ZZ") & F.coalesce(F.col("before").isin(*CIF_OPEN), F.lit(False)) | last & F.col("kind").isin(*CIF_OPEN)
+    problems = F.array_compact(F.array(
+        F.when(~F.col("kind").isin(*CIF_KINDS), "unknown-record"), F.when(first & (F.col("kind") != "HD"), "no-header"), F.when(last & (F.col("kind") != "ZZ"), "no-trailer"),
+        F.when(~first & (F.col("kind") == "HD"), "misplaced-header"), F.when(F.col("line") > F.col("zz"), "after-trailer"), F.when(after, "misplaced"), F.when(unfinished, "unfinished"),
+    ))
+    return met.select("file", "line", F.explode(problems).alias("problem"))
 
 
 def cif_schedules(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
