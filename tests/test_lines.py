@@ -188,3 +188,28 @@ def test_crossing_lines_are_close(spark):
     rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 10.0, 10.0, 0.0), (3, 50.0, 50.0, 60.0, 50.0)]
     got = joins.close_pairs(spark.createDataFrame(rows, "line_id int, x0 double, y0 double, x1 double, y1 double"), 0.5, 4.0).collect()
     assert [(r["a"], r["b"], r["gap"]) for r in got] == [(1, 2, 0.0)]
+
+
+def test_two_core_takes_spurs_whole(spark, monkeypatch):
+    """A net of rings with a spur of 2,000 edges, trees and loops: few tables, and what peeling leaf by leaf leaves."""
+    rng = random.Random(9)
+    edges = [(k, k, k + 1) for k in range(2_000)]
+    n = 30_000
+    edges += [(n + k, n + k, n + (k + 1) % 7) for k in range(7)] + [(n + 7, 0, n)]  # the spur hangs on a ring
+    edges += [(n + 100 + k, n + 100 + k, n + 100 + rng.randrange(k + 1) - (1 if k else 0)) for k in range(1, 20)]  # a tree
+    edges += [(n + 300, n + 500, n + 500), (n + 301, n + 500, n + 501)]  # a loop with a spur
+    edges += [(n + 600 + k, n + 600 + rng.randrange(40), n + 600 + rng.randrange(40)) for k in range(50)]
+    left = list(edges)
+    while True:
+        degree = defaultdict(int)
+        for _, a, b in left:
+            degree[a] += 1
+            degree[b] += 1
+        kept = [e for e in left if degree[e[1]] > 1 and degree[e[2]] > 1]
+        if len(kept) == len(left):
+            break
+        left = kept
+    tables, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: tables.append(1) or settled(df))
+    got = sorted(r["edge_id"] for r in graph.two_core(spark.createDataFrame(edges, "edge_id long, a long, b long")).collect())
+    assert got == sorted(e[0] for e in left) and len(tables) < 250 and n + 300 in got

@@ -55,16 +55,30 @@ def reunited(parts: DataFrame) -> DataFrame:
     return met.groupBy(F.col("least").alias("component")).agg(F.count("*").alias("parts"), (F.countDistinct("wikidata") > 1).alias("conflict"))
 
 
-def two_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Edges (edge_id, a, b) that are left when edges with an end of degree one go, again and again. Each round looks at the
-    ends that lost an edge in the round before."""
+def two_core(edges: DataFrame, rounds: int = 256) -> DataFrame:
+    """Edges (edge_id, a, b) that are left when edges with an end of degree one go, again and again.
+
+    A spur goes whole: edges are strung to chains where exactly two ends meet, and a chain with a loose end is removed in one round,
+    whatever its length; the rounds between take loose edges one by one, as most spurs are short. What remains of a tree shrinks by
+    its outermost chains; a loop (a = b) is its own company."""
     left = settled(edges.select("edge_id", "a", "b"))
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         ends = left.select("edge_id", F.explode(F.array("a", "b")).alias("n"))
-        busy = ends.groupBy("n").agg(F.count("*").alias("d")).where("d >= 2").select("n")
-        after = settled(left.join(busy, F.col("a") == F.col("n"), "left_semi").join(busy, F.col("b") == F.col("n"), "left_semi"))
-        if after.count() == left.count():
-            return after
+        loose = ends.groupBy("n").agg(F.count("*").alias("d"), F.min("edge_id").alias("edge_id")).where("d = 1").select("edge_id").distinct()
+        loose = settled(loose)
+        if loose.isEmpty():
+            removed(loose)
+            return left
+        if turn % 4:  # short spurs and twigs: edge by edge, which takes one table
+            after = settled(left.join(loose, "edge_id", "left_anti"))
+            removed(left, loose)
+            left = after
+            continue
+        runs = chains(left.select(F.col("edge_id").alias("way"), "a", "b")).select(F.col("way").alias("edge_id"), "run")
+        runs = settled(runs)
+        gone = runs.join(loose, "edge_id", "left_semi").select("run").distinct()
+        after = settled(left.join(runs.join(gone, "run", "left_semi").select("edge_id"), "edge_id", "left_anti"))
+        removed(left, loose, runs)
         left = after
     raise RuntimeError("two_core: not settled")
 
