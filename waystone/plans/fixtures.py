@@ -106,6 +106,11 @@ class Inputs:
                 self(table).createOrReplaceTempView(table)
         return self.spark.sql(VIEWS[name])
 
+    def plain_strokes(self) -> DataFrame:
+        """The rows of the view fx_stroke without stroke_id, which costs an exchange of all rows, for queries that don't use it."""
+        lines = self("lineitem")
+        return lines.select(F.col("l_returnflag").alias("layer"), F.col("l_linestatus").alias("pen"), F.col("l_quantity").alias("length_mm"), F.col("l_orderkey").alias("source_ref"))
+
     def strokes(self) -> DataFrame:
         """The rows of the view fx_stroke, numbered without its window over all rows in one task."""
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]

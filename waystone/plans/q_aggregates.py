@@ -35,12 +35,12 @@ def operator_summary(t):
 @query("o5_6_stroke_groups", "select source_ref as group_id, count(*) as strokes, sum(length_mm) as length_mm, sum(length_mm * case pen when 'O' then 0.3 else 0.5 end) as ink, max(stroke_id) as last, string_agg(distinct layer, ',' order by layer) as layers, max(case when layer = 'A' then 1 else 0 end) = 1 as has_a from fx_stroke group by 1")
 def stroke_groups(t):
     nib = F.when(F.col("pen") == "O", 0.3).otherwise(0.5)
-    return rollups.ink_groups(t("fx_stroke"), "source_ref", nib, F.col("layer") == "A").withColumnsRenamed({"source_ref": "group_id", "flagged": "has_a"})
+    return rollups.ink_groups(t.plain_strokes(), "source_ref", nib, F.col("layer") == "A").withColumnsRenamed({"source_ref": "group_id", "flagged": "has_a"})
 
 
 @query("o5_7_layer_summaries", """select layer, cast(sum(case when length_mm >= 25 then 1 else 0 end) as bigint) as retained, cast(sum(case when length_mm < 25 then 1 else 0 end) as bigint) as omitted, sum(case when length_mm >= 25 then length_mm else 0 end) as retained_mm, round(sum(case when length_mm >= 25 then length_mm else 0 end) / nullif(sum(length_mm), 0), 8) as ratio from fx_stroke group by 1""")
 def layer_summaries(t):
-    return rollups.retained(t("fx_stroke"), "layer", "length_mm", F.col("length_mm") >= 25).withColumn("ratio", F.round("ratio", 8))
+    return rollups.retained(t.plain_strokes(), "layer", "length_mm", F.col("length_mm") >= 25).withColumn("ratio", F.round("ratio", 8))
 
 
 @query("o5_8_occupancy", f"""with {PLANE}, c as (select line_id, floor(((x0 - ox) + (x1 - ox)) / 2) as cx, floor((y0 + y1) / 2) as cy, sum(sqrt(power(x1 - x0, 2) + power(y1 - y0, 2))) as ink from line group by 1, 2, 3)
@@ -93,7 +93,7 @@ def path_tags(t):
 
 @query("o5_17_resolution_report", "select layer, max(case pen when 'O' then 0.3 else 0.5 end) as nib, min(length_mm) as least_mm, max(length_mm) * 25.0 as ground_m, string_agg(distinct pen, ',' order by pen) as pens from fx_stroke group by 1")
 def resolution_report(t):
-    return rollups.resolution(t("fx_stroke"), "layer", "pen", F.when(F.col("pen") == "O", 0.3).otherwise(0.5), 25.0)
+    return rollups.resolution(t.plain_strokes(), "layer", "pen", F.when(F.col("pen") == "O", 0.3).otherwise(0.5), 25.0)
 
 
 @query("o5_19_geometry_findings", """select reason, count(*) as n from (select unnest(list_filter([case when ele is null then 'missing-elevation' end, case when lon < -2.9 then 'west-edge' end, case when lat > 53.5 then 'north-edge' end], lambda x: x is not null)) as reason from fx_track_pt) x group by 1""")
@@ -117,7 +117,7 @@ def release_rollup(t):
 @query("o5_22_source_ledger", """with v as (select layer, source_ref from fx_stroke group by 1, 2), e as (select layer, source_ref from fx_stroke where length_mm > 20 group by 1, 2)
 select v.layer, count(*) as visible, count(e.source_ref) as emitted, cast(sum(case when e.source_ref is null and v.source_ref % 2 = 0 then 1 else 0 end) as bigint) as explained, cast(sum(case when e.source_ref is null and v.source_ref % 2 <> 0 then 1 else 0 end) as bigint) as unexplained from v left join e on e.layer = v.layer and e.source_ref = v.source_ref group by 1""")
 def source_ledger(t):
-    return rollups.source_ledger(t("fx_stroke"), "layer", "source_ref", F.col("length_mm") > 20, F.col("source_ref") % 2 == 0)
+    return rollups.source_ledger(t.plain_strokes(), "layer", "source_ref", F.col("length_mm") > 20, F.col("source_ref") % 2 == 0)
 
 
 @query("o5_23_source_coverage", "select source as subject, cast(sum(case when l.quality = 1 then 1 else 0 end) as bigint) as qualified, cast(sum(case when l.quality = 0 then 1 else 0 end) as bigint) as rejected, cast(sum(case when l.quality is null then 1 else 0 end) as bigint) as open, sum(case when l.quality is null then 1 else 0 end) = 0 as complete from documents d left join labels l on l.doc_id = d.doc_id group by 1")

@@ -123,7 +123,7 @@ def score_callback(t):
 @query("o11_3_bucket_callback", "select length_mm >= 25 as bucket, count(*) as strokes, sum(length_mm) as mm from fx_stroke group by 1")
 def bucket_callback(t):
     """The bucket is a column that the caller supplies."""
-    return rollups.bucketed(t("fx_stroke"), F.col("length_mm") >= 25, "length_mm")
+    return rollups.bucketed(t.plain_strokes(), F.col("length_mm") >= 25, "length_mm")
 
 
 @query("o11_4_row_generator", "select p_partkey as id, unnest(range(0, p_size, 10)) as at from part")

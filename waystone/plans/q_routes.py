@@ -91,7 +91,7 @@ def landcover_selection(t):
 
 @query("o7_4_ink_selection")
 def ink_selection(t):
-    g = t("fx_stroke").groupBy(F.floor(F.col("source_ref") / 40).alias("plate"), "layer", F.col("source_ref").alias("group_id")).agg(F.sum("length_mm").alias("ink"), F.count("*").alias("rank"))
+    g = t.plain_strokes().groupBy(F.floor(F.col("source_ref") / 40).alias("plate"), "layer", F.col("source_ref").alias("group_id")).agg(F.sum("length_mm").alias("ink"), F.count("*").alias("rank"))
     one = g.withColumn("group_key", F.concat_ws("/", "layer", F.col("group_id").cast("string")))
     return select.ink_selection(one, "plate", "layer", "group_key", "rank", "ink", 500.0, 0.2)
 

@@ -118,7 +118,7 @@ select sheet, category, source_ref from walk where kept""")
 def detail_budget(t):
     ref = F.col("source_ref")
     category = F.when(F.col("layer") == "A", "local").when(F.col("layer") == "N", "service").otherwise("path")
-    k = t("fx_stroke").groupBy(F.floor(ref / 100).alias("sheet"), category.alias("category"), "source_ref").agg(F.sum("length_mm").alias("length"), F.bool_or((F.col("pen") == "O") & (ref % 25 == 0)).alias("bridge"))
+    k = t.plain_strokes().groupBy(F.floor(ref / 100).alias("sheet"), category.alias("category"), "source_ref").agg(F.sum("length_mm").alias("length"), F.bool_or((F.col("pen") == "O") & (ref % 25 == 0)).alias("bridge"))
     highway = F.when(ref % 4 == 0, "cycleway").when(ref % 4 == 1, "pedestrian").otherwise("track")
     score = select.detail_score(F.col("category"), F.col("length"), (ref % 60).cast("double"), F.lit(60.0), ref % 3 == 0, highway, F.col("bridge"))
     return select.detail_budget(k.withColumn("score", score), "sheet", "category", "source_ref", "length", "score", 20000.0)

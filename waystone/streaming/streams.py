@@ -45,6 +45,34 @@ def change_log_stream(changes: DataFrame) -> DataFrame:
     return changes.groupBy("k").applyInPandasWithState(apply, kind, "there boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def expiring_change_log_stream(changes: DataFrame, at: str, until: str, late: str = "1 day") -> DataFrame:
+    """change_log_stream() of schedules that end: a key's state goes when the watermark (event time `at`, at most `late` behind) passes
+    the latest `until` of its changes, both timestamps. A change to a key after that is judged like one to a key that never was;
+    changes behind the watermark are dropped by the engine."""
+
+    def apply(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        there, end = state.get if state.exists else (False, 0)
+        if end < state.getCurrentWatermarkMs():  # it has ended, though a change came before its time-out
+            there, end = False, 0
+        rows = pd.concat(list(frames)).sort_values("seq")
+        problems = []
+        for op in rows["op"]:
+            problems.append("insert-of-existing" if op == "N" and there else "replace-of-missing" if op == "R" and not there else "delete-of-missing" if op == "D" and not there else None)
+            there = op != "D"
+        last = rows["_until"].max()
+        end = max(end, 0 if pd.isna(last) else int(last))
+        state.update((there, end))
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(problem=problems)[["k", "seq", "op", "payload", "problem"]]
+
+    kind = "k long, seq long, op string, payload double, problem string"
+    timed = changes.withColumn("_until", F.unix_millis(F.col(until).cast("timestamp"))).withWatermark(at, late)
+    return timed.groupBy("k").applyInPandasWithState(apply, kind, "there boolean, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def cleaned_stream(points: DataFrame, metres: float, gap_s: float, late: str = "10 minutes") -> DataFrame:
     """Points of live tracks (track_id, ts, lon, lat) without those within `metres` of the last kept one, unless gap_s have
     passed: an output row (track_id, ts, lon, lat) per kept point. The state of a track is its last kept point, and goes when
