@@ -130,10 +130,10 @@ def route_edges(t):
 
 @query("o8_21_corridor_routes")
 def corridor_routes(t):
-    """Corridors of three legs a way over the whole connected net of parts; legs that repeat an edge are told."""
+    """A corridor a way, a leg between each two of its nodes in order, over the net; legs that repeat an edge are told."""
     by = Window.partitionBy("way_id").orderBy("pos")
-    chain = edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge"), "a", "b", (1.0 + (F.col("a") * 31 + F.col("b") * 17) % 101).alias("m"))
-    legs = t("fx_way_node").where("way_id % 97 = 0").select(F.col("way_id").alias("corridor"), F.col("pos").alias("leg"), F.col("node_id").alias("source"), F.lead("node_id").over(by).alias("target")).where("target is not null and leg < 3")
+    chain = net_edges(t).select((F.col("way_id") * 10000 + F.col("pos")).alias("edge"), "a", "b", (1.0 + (F.col("a") * 31 + F.col("b") * 17) % 101).alias("m"))
+    legs = t("fx_net_node").select(F.col("way_id").alias("corridor"), F.col("pos").alias("leg"), F.col("node_id").alias("source"), F.lead("node_id").over(by).alias("target")).where("target is not null")
     return paths.corridor(paths.one_of_parallel(chain), legs)[0]
 
 
