@@ -75,19 +75,6 @@ def inside_rings(points: DataFrame, rings: DataFrame, id: list[str], buffer: flo
     return placed.join(edges, ["ring_id", "_s"], "left").groupBy(*id).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.coalesce(odd | near, F.lit(False)).alias("inside"))
 
 
-def flanked(samples: DataFrame, banks: DataFrame, width: float) -> DataFrame:
-    """samples (line_id, pos, k, x, y, dx, dy: the line's direction) with flanked: a bank (legs with line_id) within the width
-    on either side of the line."""
-    foot = lambda t: (F.col("x0") + t * (F.col("x1") - F.col("x0")) - F.col("x"), F.col("y0") + t * (F.col("y1") - F.col("y0")) - F.col("y"))
-    size = F.pow(F.col("x1") - F.col("x0"), 2.0) + F.pow(F.col("y1") - F.col("y0"), 2.0)
-    t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / size))).otherwise(0.0)
-    fx, fy = foot(t)
-    side = F.signum(F.col("dx") * fy - F.col("dy") * fx)
-    close = F.hypot(fx, fy) <= width
-    met = samples.join(banks.select("line_id", *ENDS), "line_id", "left").groupBy("line_id", "pos", "k")
-    return met.agg((F.count_if(close & (side > 0)) > 0).alias("_l"), (F.count_if(close & (side < 0)) > 0).alias("_r")).select("line_id", "pos", "k", (F.col("_l") & F.col("_r")).alias("flanked"))
-
-
 def uncovered_runs(samples: DataFrame, least: int = 2) -> DataFrame:
     """Runs of uncovered samples (line_id, at: their order, covered) of `least` or more: line_id, first, last, points. A line
     whose middle is covered keeps what lies before and behind."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waystone.functions import tags
-from waystone.operators import coverage, graph, paths, select, tracks
+from waystone.operators import coverage, covers, graph, paths, select, tracks
 from waystone.plans.q_graph import net_edges
 from waystone.plans.q_joins import PLANE, RING, lines, plane, rings, seg_dist, side
 from waystone.plans.registry import query
@@ -47,6 +47,54 @@ def uncovered_runs(t):
     return coverage.uncovered_runs(covered)
 
 
+#: Where every line is cut by the edges of each third line's ring of its row, what lies between two cuts, and which of it is inside.
+CUTS = f"""{RING}, lg as (select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as m from line), ms as (select *, coalesce(sum(m) over (partition by line_id order by pos rows between unbounded preceding and 1 preceding), 0) as d0 from lg),
+pr as (select l.line_id, l.pos, l.x0, l.y0, l.x1, l.y1, r.ring_id, r.x0 as rx0, r.y0 as ry0, r.x1 as rx1, r.y1 as ry1, (l.x1 - l.x0) * (r.y1 - r.y0) - (l.y1 - l.y0) * (r.x1 - r.x0) as turn
+ from ms l join ring r on r.rel = floor(l.line_id / 10) and r.ring_id % 3 = 0 and r.ring_id <> l.line_id),
+ct as (select line_id, pos, ring_id, ((rx0 - x0) * (ry1 - ry0) - (ry0 - y0) * (rx1 - rx0)) / turn as t, ((rx0 - x0) * (y1 - y0) - (ry0 - y0) * (x1 - x0)) / turn as u from pr where turn <> 0),
+br as (select line_id, pos, ring_id, t from ct where u between 0 and 1 and t > 0 and t < 1 union all select distinct line_id, pos, ring_id, unnest([0.0e0, 1.0e0]) from pr),
+iv as (select * from (select line_id, pos, ring_id, t as t0, lead(t) over (partition by line_id, pos, ring_id order by t) as t1 from br) q where t1 - t0 > 1e-12),
+md as (select i.*, x0 + (t0 + t1) / 2 * (x1 - x0) as x, y0 + (t0 + t1) / 2 * (y1 - y0) as y, d0 + t0 * m as s, d0 + t1 * m as e from iv i join ms using (line_id, pos)),
+cv as (select i.line_id, i.s, i.e from md i join ring r on r.ring_id = i.ring_id group by i.line_id, i.pos, i.ring_id, i.t0, i.s, i.e having sum(case when (r.y1 > y) <> (r.y0 > y) and x < (r.x1 - r.x0) * (y - r.y0) / nullif(r.y1 - r.y0, 0) + r.x0 then 1 else 0 end) % 2 = 1)"""
+
+
+def third_rings(t):
+    """Parts of all lines inside the ring of every third line, its own excepted, and the measured lines."""
+    legs = covers.measured(plane(t))
+    return covers.stretches(covers.inside_parts(legs, rings(t).where("ring_id % 3 = 0"), 8.0, other=True), legs), legs
+
+
+@query("o4_20_visible_stretches", f"""with {CUTS}, ev as (select line_id, s, e from cv union all select line_id, max(d0 + m), max(d0 + m) from ms group by 1),
+g as (select line_id, s, coalesce(max(e) over (partition by line_id order by s, e rows between unbounded preceding and 1 preceding), 0) as start from ev)
+select line_id, cast(row_number() over (partition by line_id order by start) as integer) as part, round(start, 5) as s, round(s, 5) as e from g where s - start > 1e-6""")
+def visible_stretches(t):
+    """What each line shows outside the rings, exact and in order along it."""
+    return covers.visible(*third_rings(t)).select("line_id", "part", F.round("s", 5).alias("s"), F.round("e", 5).alias("e"))
+
+
+@query("o4_20_suppressed_length", f"""with {CUTS}, o as (select *, row_number() over (partition by line_id order by s, e) as k, max(e) over (partition by line_id order by s, e rows between unbounded preceding and 1 preceding) as far from cv),
+c as (select line_id, sum(greatest(0, e - greatest(s, coalesce(far, s)))) as covered from o group by 1), w as (select line_id, sum(m) as length from ms group by 1)
+select line_id, round(length, 5) as length, round(length - coalesce(covered, 0), 5) as shown, round(coalesce(covered, 0), 5) as covered from w left join c using (line_id)""")
+def suppressed_length(t):
+    """How much of each line the rings cover, counted once where they overlap."""
+    return covers.suppressed(*third_rings(t)).select("line_id", *[F.round(c, 5).alias(c) for c in ("length", "shown", "covered")])
+
+
+@query("o4_20_flanked_stretches")
+def flanked_stretches(t):
+    """Every fifth line as a river, the others as banks; held against a plain channel in tests."""
+    p = plane(t)
+    river = covers.measured(p.where("line_id % 5 = 0"))
+    found = covers.flanked_stretches(river, p.where("line_id % 5 <> 0"), 2.0, 8.0)
+    return found.select("line_id", F.round("s", 5).alias("s"), F.round("e", 5).alias("e"))
+
+
+@query("o4_18_thinned_lines")
+def thinned_lines(t):
+    """Longest first, lines that run along kept ones for half their length go; held against plain Python."""
+    return covers.thinned(plane(t).drop("ox"), 0.15, 0.5, 4.0).select("line_id", F.round("length", 6).alias("length"), "dropped")
+
+
 @query("o4_24_host_roads")
 def host_roads(t):
     """Lines most of which lie along their reference are dropped: the line 50 further."""
