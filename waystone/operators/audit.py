@@ -45,14 +45,15 @@ def strict(report: DataFrame) -> DataFrame:
     return report
 
 
-def raw_geometry(elements: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+def raw_geometry(elements: DataFrame, canonical: DataFrame | None = None, nodes_given: bool = True) -> DataFrame:
     """Findings (id, type, reason) on raw elements: type, id, lat, lon, nodes (array of ids), geometry (array of struct(lat, lon)),
     members (array of struct(type, ref, role)). A row per rule that an element breaks:
 
     unknown-type, no-id, repeated-id; no-coordinates and coordinate-range (nodes); too-few-vertices, vertex-missing,
     vertex-range, zero-length and node-count (ways: geometry and nodes of different length); node-missing (a way's node that
     isn't there); no-members, member-type, member-role, member-missing, member-repeated and member-cycle (a relation that
-    leads back to itself) on relations; canonical-changed where canonical (type, id, digest) has another digest of the
+    leads back to itself) on relations. An extract that holds geometry inline and no nodes is told by nodes_given=False: its ways'
+    references can't be followed and none is missing. canonical-changed where canonical (type, id, digest) has another digest of the
     geometry, canonical-lost where it has an element that isn't there.
     """
     from waystone.operators.graph import reachable_from_itself
@@ -85,8 +86,7 @@ def raw_geometry(elements: DataFrame, canonical: DataFrame | None = None) -> Dat
     needs = elements.where(way).select("type", "id", F.explode("nodes").alias("ref")).withColumn("kind", F.lit("node"))
     asks = elements.where(relation).select("type", "id", F.explode("members").alias("m")).select("type", "id", F.col("m.ref").alias("ref"), F.col("m.type").alias("kind"))
     there = once.select(F.col("type").alias("kind"), F.col("id").alias("ref"))
-    nodes_given = there.where("kind = 'node'").limit(1)
-    if not nodes_given.isEmpty():  # an extract without nodes holds geometry inline, and its references can't be followed
+    if nodes_given:
         found.append(report(needs.join(there, ["kind", "ref"], "left_anti"), "node-missing"))
     found.append(report(asks.where("kind in ('way', 'relation')").join(there, ["kind", "ref"], "left_anti"), "member-missing"))
     nested = asks.where("kind = 'relation'").select(F.col("id").alias("a"), F.col("ref").alias("b"))

@@ -4,6 +4,7 @@ shared folder; loops end when nothing changes, or raise when `rounds` don't suff
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -229,28 +230,94 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
     raise RuntimeError("reachable: not settled")
 
 
-def reachable_from_itself(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Nodes (id) on a cycle of directed edges (a, b): what is left when nodes that nothing leads to, or that lead to nothing, go
-    again and again, and that a walk from brings back."""
+def reachable_from_itself(edges: DataFrame) -> DataFrame:
+    """Nodes (id) on a cycle of directed edges (a, b); null ends are no edges, a = b is a cycle of one.
+
+    Nodes that nothing leads to, or that lead to nothing, go. Nodes with one way in and one way out are strung to one edge by
+    pointer jumping, whatever the chain's length, and remember that edge; a ring of such nodes alone is a cycle. Both make room for
+    each other. What then remains is a knot: the greatest id that leads to each node is its colour, what a colour's own node
+    can be reached from within the colour is a component, and components go. No pairs of a cycle are ever written; rounds grow with
+    the logarithm of chains and the steps through a knot's junctions."""
     left = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    for _ in range(rounds):
-        ends = left.select(F.col("a").alias("id")).intersect(left.select(F.col("b").alias("id")))
-        after = settled(left.join(ends, F.col("a") == F.col("id"), "left_semi").join(ends, F.col("b") == F.col("id"), "left_semi"))
-        if after.count() == left.count():
+    ids = left.select(F.col("a").alias("id")).schema
+    held = left.sparkSession.createDataFrame([], "id long, a long, b long").select(*[F.col(c).cast(ids["id"].dataType) for c in ("id", "a", "b")])
+    found, knots = [], []
+    while True:
+        found.append(left.where("a = b").select(F.col("a").alias("id")))
+        led = left.where("a <> b").select(F.col("b").alias("id")).intersect(left.where("a <> b").select(F.col("a").alias("id")))
+        inner = settled(left.where("a <> b").join(led, F.col("a") == F.col("id"), "left_semi").join(led, F.col("b") == F.col("id"), "left_semi"))
+        if inner.isEmpty():
             break
-        left = after
-    else:
-        raise RuntimeError("reachable_from_itself: not settled")
-    walk = left.select(F.col("a").alias("root"), F.col("b").alias("at"))
-    seen = settled(walk.distinct())
-    front = seen
-    for _ in range(rounds):
-        step = front.join(left, F.col("at") == F.col("a")).select("root", F.col("b").alias("at")).distinct()
-        front = settled(step.join(seen, ["root", "at"], "left_anti"))
+        one = inner.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("b").alias("t")).where("n = 1").select("id", "t")
+        one = settled(one.join(inner.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("h")).where("n = 1").select("id", "h"), "id"))
+        if one.isEmpty() and inner.count() == left.count():
+            knot = _knots(inner)
+            knots.append(knot)
+            gone = knot.select("id")
+            left = settled(inner.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
+            continue
+        strung, rings = _strung(one)
+        found.append(rings)
+        put = lambda df: _moved_ends(df.join(rings, F.col("a") == rings["id"], "left_anti"), strung)
+        own = strung.select("id", F.col("h").alias("a"), F.col("t").alias("b"))
+        of_rings = held.join(rings.select(F.col("id").alias("a")), "a", "left_semi").join(rings.select(F.col("id").alias("b")), "b", "left_semi").select("id")
+        found.append(of_rings)
+        held = settled(put(held).unionByName(own))
+        left = settled(put(inner).distinct())
+    found.append(held.where("a = b").select("id"))
+    if knots:
+        label = reduce(DataFrame.unionByName, knots)
+        found.append(label.where("several").select("id"))
+        end = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+        found.append(held.join(end("a"), "a").join(end("b"), "b").where("_a = _b").select("id"))
+    return settled(reduce(DataFrame.unionByName, found).distinct())
+
+
+def _strung(one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, h, t) with one node before and one behind: each with the first nodes that are none of them, and those that only lead
+    round to each other (id). After n doublings a pointer is 2^n steps on, so what hasn't come to an end then never does."""
+    inside = one.select(F.col("id").alias("_id"))
+    at = one.select("id", "h", "t")
+    for _ in range(one.count().bit_length() + 1):
+        far = lambda c: at.select(F.col("id").alias(c), F.col(c).alias(f"_{c}"))
+        after = settled(at.join(far("h"), "h", "left").join(far("t"), "t", "left").select("id", F.coalesce("_h", "h").alias("h"), F.coalesce("_t", "t").alias("t")))
+        open_ = after.join(inside, F.col("t") == F.col("_id"), "left_semi")
+        at = after
+        if open_.isEmpty():
+            break
+    rings = settled(at.join(inside, F.col("t") == F.col("_id"), "left_semi").select("id"))
+    return settled(at.join(rings, "id", "left_anti")), rings
+
+
+def _moved_ends(df: DataFrame, strung: DataFrame) -> DataFrame:
+    """Edges (a, b and more) with ends inside chains moved to the chains' ends."""
+    heads, tails = strung.select(F.col("id").alias("a"), "h"), strung.select(F.col("id").alias("b"), "t")
+    moved = df.join(heads, "a", "left").join(tails, "b", "left")
+    return moved.select(*[F.coalesce("h", "a").alias("a") if c == "a" else F.coalesce("t", "b").alias("b") if c == "b" else F.col(c) for c in df.columns])
+
+
+def _knots(edges: DataFrame) -> DataFrame:
+    """One layer of strongly connected components of edges (a, b) without loops: id, component, several (has more than one node)."""
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    colour = settled(nodes.withColumn("c", F.col("id")))
+    while True:
+        near = edges.join(colour.select(F.col("id").alias("a"), F.col("c").alias("n")), "a").groupBy(F.col("b").alias("id")).agg(F.max("n").alias("n"))
+        after = settled(colour.join(near, "id", "left").select("id", F.greatest("c", "n").alias("c"), (F.coalesce("n", "c") > F.col("c")).alias("new")))
+        colour = after.select("id", "c")
+        if after.where("new").isEmpty():
+            break
+    own = lambda e: colour.select(F.col("id").alias(e), F.col("c").alias(f"c{e}"))
+    within = settled(edges.join(own("a"), "a").join(own("b"), "b").where("ca = cb").select("a", "b"))
+    reached = settled(colour.where("id = c"))
+    front = reached
+    while True:
+        step = within.join(front.select(F.col("id").alias("b"), "c"), "b").select(F.col("a").alias("id"), "c").distinct()
+        front = settled(step.join(reached, "id", "left_anti"))
         if front.isEmpty():
-            return seen.where(F.col("root") == F.col("at")).select(F.col("root").alias("id"))
-        seen = settled(seen.unionByName(front))
-    raise RuntimeError("reachable_from_itself: not settled")
+            break
+        reached = settled(reached.unionByName(front))
+    size = reached.groupBy("c").agg((F.count("*") > 1).alias("several"))
+    return settled(reached.join(size, "c").select("id", F.col("c").alias("component"), "several"))
 
 
 def generalized(points: DataFrame, tolerance: float, track: str = "track_id", rounds: int = 64, protected: str | None = None) -> DataFrame:
