@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.operators.folds import folded
+from waystone.operators.storage import settled, union_all
+
+#: What sums of ink may be over a capacity by rounding.
+INK_NOISE = 1e-9
 
 
 def band(axis: Column, bands: int) -> Column:
@@ -110,3 +116,97 @@ def ink_selection(groups: DataFrame, plate: str, layer: str, key: str, rank: str
     rest = groups.join(seeded, [plate, layer, key], "left_anti").join(spent, plate, "left").withColumn("_used", F.coalesce("_used", F.lit(0.0)))
     more = filled(rest, [plate], key, F.struct((-F.col(rank)).alias("r"), (-F.col(ink)).alias("i"), F.col(key).alias("k")), ink, "_used", capacity)
     return first.select(plate, key, F.lit("reserve").alias("phase")).unionByName(more.select(plate, key, F.lit("fill").alias("phase")))
+
+
+def ink_phases(groups: DataFrame, plate: str, layer: str, key: str, ink: str, rank: str, tile: str, capacity: float, reserves: dict[str, float], roads: list[str], context: list[str]) -> DataFrame:
+    """Which groups a plate's ink buys, in five phases under one capacity: plate, key, phase, ink. key tells a plate's groups apart.
+
+    A layer's groups come by rank (least first), in rounds that take one of each tile, tiles in order, a tile's groups by key; all
+    layers that are not named are one, the last. Groups that don't fit are passed over, and the next ones are tried.
+
+    seed: each layer of `reserves`, in its order, gets its first group that leaves room for the smallest group of every later one.
+    grow: each goes on to its reserve (or all its ink, if that is less), while what later ones can still claim stays free.
+    road: the layers of `roads`, one after the other. context: always the layer that has least ink so far (ties: in order) is
+    served next. late: the rest. Groups without ink given take no part.
+
+    A plate's groups stream by in these orders, three times, with sums as their state; where one layer of the context waits for
+    another, the keys and sizes of its groups are held until then."""
+    named = list(dict.fromkeys([*reserves, *roads, *context]))
+    lane = F.when(F.col(layer).isin(named), F.col(layer)).otherwise("")
+    rows = groups.where(F.col(ink).isNotNull()).select(F.col(plate).alias("plate"), lane.alias("lane"), F.col(key).alias("key"), F.col(ink).cast("double").alias("ink"), F.col(rank).alias("rank"), F.col(tile).alias("tile"))
+    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy("plate", "lane", "rank", "tile").orderBy("key")))
+    rows = settled(rows.withColumn("place", F.row_number().over(Window.partitionBy("plate", "lane").orderBy("rank", "round", "tile"))).select("plate", "lane", "key", "ink", "place"))
+    at = lambda names: F.coalesce(*[F.when(F.col("lane") == name, i) for i, name in enumerate(names)], F.lit(None).cast("int"))
+    key_type = rows.schema["key"].dataType.simpleString()
+    ddl = f"plate {rows.schema['plate'].dataType.simpleString()}, key {key_type}, lane string, ink double"
+
+    share = F.coalesce(*[F.when(F.col("lane") == name, float(most)) for name, most in reserves.items()], F.lit(0.0))
+    fits = F.when(F.col("ink") <= capacity + INK_NOISE, F.col("ink"))
+    facts = rows.where(F.col("lane").isin(list(reserves))).groupBy("plate", "lane").agg(F.sum("ink").alias("all"), F.min(fits).alias("least"), F.coalesce(F.sum(fits), F.lit(0.0)).alias("fit"))
+    facts = facts.withColumns({"r": at(reserves), "asked": F.least("all", share)}).withColumn("claim", F.least("asked", "fit"))
+    later = Window.partitionBy("plate").orderBy("r").rowsBetween(1, Window.unboundedFollowing)
+    facts = settled(facts.withColumn("hold", F.coalesce(F.sum("least").over(later), F.lit(0.0))))
+
+    def seed(state, row):
+        owner, name, size, lane_, r, hold = row
+        if r != state[1] and size <= max(0.0, capacity - state[0] - hold) + INK_NOISE:
+            state[0], state[1] = state[0] + size, r
+            return ((owner, name, lane_, size),)
+        return ()
+
+    first = rows.join(facts.select("plate", "lane", "r", "hold"), ["plate", "lane"]).select("plate", "key", "ink", "lane", "r", "hold", "place")
+    seeds = settled(folded(first, ["plate"], ["r", "place"], lambda row: [0.0, None], seed, ddl, without=("place",)))
+
+    def grow(state, row):
+        owner, name, size, lane_, r, got, asked, hold, _ = row
+        if r != state[1]:
+            state[1:] = [r, max(0.0, capacity - state[0] - hold), got]
+        if state[3] + INK_NOISE < asked and size <= state[2] + INK_NOISE:
+            state[0], state[2], state[3] = state[0] + size, state[2] - size, state[3] + size
+            return ((owner, name, lane_, size),)
+        return ()
+
+    given = facts.join(seeds.select("plate", "lane", F.col("ink").alias("got")), ["plate", "lane"], "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+    given = given.withColumn("hold", F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("claim") - F.col("got"))).over(later), F.lit(0.0)))
+    given = given.withColumn("spent", F.sum("got").over(Window.partitionBy("plate"))).select("plate", "lane", "r", "got", "asked", "hold", "spent")
+    more = rows.join(given, ["plate", "lane"]).join(seeds, ["plate", "key"], "left_anti").select("plate", "key", "ink", "lane", "r", "got", "asked", "hold", "spent", "place")
+    grown = settled(folded(more, ["plate"], ["r", "place"], lambda row: [row[8], None, 0.0, 0.0], grow, ddl, without=("place",)))
+
+    def fill(state, row):
+        owner, name, size, lane_, phase, c, _, _, _ = row
+        out, queues, have, left = [], state[1], state[2], state[3]
+        room = lambda size: size <= max(0.0, capacity - state[0]) + INK_NOISE
+        if phase != 1:
+            if room(size):
+                state[0] += size
+                out.append((owner, name, lane_, size))
+            return out
+        queues[c].append((name, size))
+        left[c] -= 1
+        while waiting := [i for i in range(len(queues)) if queues[i] or left[i]]:
+            i = min(waiting, key=lambda i: (have[i], i))
+            if not queues[i]:
+                break
+            name, size = queues[i].popleft()
+            if room(size):
+                state[0] += size
+                have[i] += size
+                out.append((owner, name, context[i], size))
+        return out
+
+    bought = seeds.unionByName(grown)
+    each = lambda value, kind: F.array(*[F.coalesce(value(F.when(F.col("lane") == name, F.col("ink"))).cast(kind), F.lit(0).cast(kind)) for name in context]).cast(f"array<{kind}>")
+    sums = bought.groupBy("plate").agg(F.sum("ink").alias("spent"), each(F.sum, "double").alias("have"))
+    rest = rows.join(bought, ["plate", "key"], "left_anti")
+    counts = rest.groupBy("plate").agg(each(F.count, "bigint").alias("left"))
+    phase = F.when(F.col("lane").isin(roads), 0).when(F.col("lane").isin(context), 1).otherwise(2)
+    road, ctx = at(roads), F.coalesce(at(context), F.lit(0))
+    rest = rest.join(sums, "plate", "left").join(counts, "plate").withColumns({"phase": phase, "c": ctx})
+    o1 = F.when(F.col("phase") == 0, road).when(F.col("phase") == 1, F.col("place")).otherwise(0)
+    o2 = F.when(F.col("phase") == 1, F.col("c")).otherwise(F.col("place"))
+    ordered = rest.select("plate", "key", "ink", "lane", "phase", "c", F.coalesce("spent", F.lit(0.0)).alias("spent"), "have", "left", o1.alias("o1"), o2.alias("o2"))
+    begin = lambda row: [row[6], [deque() for _ in context], list(row[7] or [0.0] * len(context)), list(row[8])]
+    filled_ = folded(ordered, ["plate"], ["phase", "o1", "o2"], begin, fill, ddl, without=("o1", "o2"))
+    named_phase = F.when(F.col("lane").isin(roads), "road").when(F.col("lane").isin(context), "context").otherwise("late")
+    parts = [seeds.withColumn("phase", F.lit("seed")), grown.withColumn("phase", F.lit("grow")), filled_.withColumn("phase", named_phase)]
+    return union_all([p.select(F.col("plate").alias(plate), F.col("key").alias(key), "phase", "ink") for p in parts])

@@ -144,6 +144,15 @@ def ink_selection(t):
     return select.ink_selection(one, "plate", "layer", "group_key", "rank", "ink", 500.0, 0.2)
 
 
+@query("o7_4_ink_phases")
+def ink_phases(t):
+    """Seeds, reserves, roads, context and late ink of each plate, orders of nine tiles; held against a plain loop."""
+    kind = F.concat("layer", "pen")
+    g = t.plain_strokes().groupBy(F.floor(F.col("source_ref") / 40).alias("plate"), kind.alias("layer"), F.col("source_ref").alias("group_id")).agg(F.sum("length_mm").alias("ink"), F.count("*").alias("rank"))
+    one = g.withColumn("group_key", F.concat_ws("/", "layer", F.col("group_id").cast("string"))).withColumn("tile", F.col("group_id") % 9)
+    return select.ink_phases(one, "plate", "layer", "group_key", "ink", "rank", "tile", 900.0, {"AF": 200.0, "NO": 150.0, "RF": 100.0}, ["AF"], ["NO", "NF"])
+
+
 @query("o8_20_oriented_ways")
 def oriented_ways(t):
     m = t("fx_rel_member").select(F.col("relation_id").alias("relation"), "pos", F.col("way_id").alias("way"), (F.col("way_id") % 40).alias("a"), ((F.col("way_id") * 3 + F.col("pos")) % 40).alias("b"))
