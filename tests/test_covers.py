@@ -80,7 +80,7 @@ def test_parts_near_an_edge(spark):
     pick = lambda: (float(rng.randrange(8)), float(rng.randrange(8)))
     rows = [(i, *pick(), *pick(), *pick(), *pick()) for i in range(400)]  # a grid, so parallel, shared and empty ones come up
     df = spark.createDataFrame(rows, "i long, x0 double, y0 double, x1 double, y1 double, a0 double, b0 double, a1 double, b1 double")
-    got = {r["i"]: r["p"] for r in df.select("i", covers.capsule_part(("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1"), 0.7).alias("p")).collect()}
+    got = {r["i"]: r["p"] for r in covers.with_capsule_part(df, ("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1"), 0.7).selectExpr("i", "part as p").collect()}
     assert sum(p is not None for p in got.values()) > 100
     for i, ax, ay, bx, by, cx, cy, dx, dy in rows:
         want = None if (ax, ay) == (bx, by) else plain_part((ax, ay), (bx, by), (cx, cy), (dx, dy), 0.7)

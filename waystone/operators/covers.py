@@ -25,35 +25,45 @@ def measured(legs: DataFrame) -> DataFrame:
     return sized.withColumn("d0", F.coalesce(F.sum("m").over(before), F.lit(0.0)))
 
 
-def capsule_part(leg: tuple[str, ...], edge: tuple[str, ...], reach: float) -> Column:
-    """struct(t0, t1): the part of a leg (0 to 1) within reach of an edge; null if that is a point or nothing.
+def _stage(df: DataFrame, name: str, values: dict[str, Column]) -> DataFrame:
+    """df with a struct of values, computed once a row: the optimizer pastes no expression from behind a generator into later ones,
+    which would make them too long to compile."""
+    return df.withColumn(name, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def with_capsule_part(df: DataFrame, leg: tuple[str, ...], edge: tuple[str, ...], reach: float) -> DataFrame:
+    """Adds part, struct(t0, t1): the part of a leg (0 to 1) within reach of an edge; null if that is a point or nothing.
 
     What lies within reach of an edge is a rectangle with a disc at each end. It is convex, so a leg has one part in it: from the
     first to the last of its parts in the three."""
     px, py, px1, py1 = map(F.col, leg)
     qx, qy, qx1, qy1 = map(F.col, edge)
-    dx, dy, ex, ey, fx, fy = px1 - px, py1 - py, qx1 - qx, qy1 - qy, px - qx, py - qy
+    c = lambda name: F.col(f"_p.{name}")
+    out = _stage(df, "_p", {"dx": px1 - px, "dy": py1 - py, "ex": qx1 - qx, "ey": qy1 - qy, "fx": px - qx, "fy": py - qy, "gx": px - qx1, "gy": py - qy1})
+    dx, dy, ex, ey, fx, fy, gx, gy = map(c, ("dx", "dy", "ex", "ey", "fx", "fy", "gx", "gy"))
     size, width = dx * dx + dy * dy, ex * ex + ey * ey
-
-    def disc(gx: Column, gy: Column) -> tuple[Column, Column]:
-        half = F.try_divide(-(gx * dx + gy * dy), size)
-        root = half * half - F.try_divide(gx * gx + gy * gy - reach * reach, size)
-        return F.when(root >= 0, half - F.sqrt(root)), F.when(root >= 0, half + F.sqrt(root))
-
-    def slab(at: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        a, b = F.try_divide(low - at, step), F.try_divide(high - at, step)
-        still = F.when((at >= low) & (at <= high), F.lit(math.inf))
-        return F.when(step != 0, F.least(a, b)).otherwise(-still), F.when(step != 0, F.greatest(a, b)).otherwise(still)
-
-    across = slab(ex * fy - ey * fx, ex * dy - ey * dx, -reach * F.sqrt(width), reach * F.sqrt(width))
-    beside = slab(fx * ex + fy * ey, dx * ex + dy * ey, F.lit(0.0), width)
-    known = across[0].isNotNull() & beside[0].isNotNull() & (width > 0)
-    low, high = F.greatest(across[0], beside[0]), F.least(across[1], beside[1])
-    block = F.when(known & (low <= high), low), F.when(known & (low <= high), high)
-    ends = [disc(fx, fy), disc(px - qx1, py - qy1), block]
-    t0, t1 = F.greatest(F.lit(0.0), F.least(*[a for a, _ in ends])), F.least(F.lit(1.0), F.greatest(*[b for _, b in ends]))
-    found = F.least(*[a for a, _ in ends]).isNotNull() & (size > 0) & (t1 - t0 > PART_NOISE)
-    return F.when(found, F.struct(t0.alias("t0"), t1.alias("t1")))
+    first = {"size": size, "width": width, "h0": F.try_divide(-(fx * dx + fy * dy), size), "h1": F.try_divide(-(gx * dx + gy * dy), size)}
+    first |= {"k0": F.try_divide(fx * fx + fy * fy - reach * reach, size), "k1": F.try_divide(gx * gx + gy * gy - reach * reach, size)}
+    first |= {"across": ex * fy - ey * fx, "aside": ex * dy - ey * dx, "along": fx * ex + fy * ey, "ahead": dx * ex + dy * ey}
+    out = _stage(out, "_q", first)
+    c = lambda name: F.col(f"_q.{name}")
+    wide = reach * F.sqrt(c("width"))
+    root = lambda k: F.when(c(f"h{k}") * c(f"h{k}") >= c(f"k{k}"), F.sqrt(c(f"h{k}") * c(f"h{k}") - c(f"k{k}")))
+    out = _stage(out, "_r", {"r0": root(0), "r1": root(1), "a0": F.try_divide(-wide - c("across"), c("aside")), "a1": F.try_divide(wide - c("across"), c("aside")), "b0": F.try_divide(-c("along"), c("ahead")), "b1": F.try_divide(c("width") - c("along"), c("ahead"))})
+    r = lambda name: F.col(f"_r.{name}")
+    level = F.abs(c("across")) <= wide  # a leg along the edge is in its strip for good, or never
+    square = (c("along") >= 0) & (c("along") <= c("width"))
+    low = F.greatest(F.when(c("aside") != 0, F.least(r("a0"), r("a1"))).when(level, -math.inf), F.when(c("ahead") != 0, F.least(r("b0"), r("b1"))).when(square, -math.inf))
+    high = F.least(F.when(c("aside") != 0, F.greatest(r("a0"), r("a1"))).when(level, math.inf), F.when(c("ahead") != 0, F.greatest(r("b0"), r("b1"))).when(square, math.inf))
+    block = (c("width") > 0) & ((c("aside") != 0) | level) & ((c("ahead") != 0) | square)
+    out = _stage(out, "_s", {"low": F.when(block, low), "high": F.when(block, high)})
+    flat = F.col("_s.low") <= F.col("_s.high")
+    t0 = F.least(c("h0") - r("r0"), c("h1") - r("r1"), F.when(flat, F.col("_s.low")))
+    t1 = F.greatest(c("h0") + r("r0"), c("h1") + r("r1"), F.when(flat, F.col("_s.high")))
+    out = _stage(out, "_t", {"t0": t0, "t1": t1})
+    t0, t1 = F.greatest(F.lit(0.0), F.col("_t.t0")), F.least(F.lit(1.0), F.col("_t.t1"))
+    found = F.col("_t.t0").isNotNull() & (c("size") > 0) & (t1 - t0 > PART_NOISE)
+    return out.withColumn("part", F.when(found, F.struct(t0.alias("t0"), t1.alias("t1")))).drop("_p", "_q", "_r", "_s", "_t")
 
 
 def _ring_legs(legs: DataFrame, rings: DataFrame, cell: float, margin: float, other: bool) -> DataFrame:
@@ -94,7 +104,7 @@ def inside_parts(legs: DataFrame, rings: DataFrame, cell: float, buffer: float =
     points = parts.select("line_id", "pos", "ring_id", "t0", "t1", middle("x").alias("x"), middle("y").alias("y"))
     out = inside_rings(points, rings, [*leg, "t0", "t1"]).where("inside").select(*leg, "t0", "t1")
     if buffer > 0:
-        round_ = met.withColumn("part", capsule_part(ENDS, tuple(f"r{c}" for c in ENDS), buffer)).where("part is not null")
+        round_ = with_capsule_part(met, ENDS, tuple(f"r{c}" for c in ENDS), buffer).where("part is not null")
         out = out.unionByName(round_.select(*leg, "part.t0", "part.t1").distinct())
     return out
 
@@ -114,7 +124,7 @@ def near_parts(legs: DataFrame, references: DataFrame, distance: float, cell: fl
         v = [F.col(f"{p}{c}1") - F.col(f"{p}{c}0") for p in ("", "r_") for c in "xy"]
         sizes = F.hypot(v[0], v[1]) * F.hypot(v[2], v[3])
         met = met.where((sizes > 0) & (F.abs(v[0] * v[2] + v[1] * v[3]) + 1e-12 * sizes >= math.cos(math.radians(most_degrees)) * sizes))
-    met = met.withColumn("part", capsule_part(ENDS, tuple(f"r_{c}" for c in ENDS), distance)).where("part is not null")
+    met = with_capsule_part(met, ENDS, tuple(f"r_{c}" for c in ENDS), distance).where("part is not null")
     return met.select("line_id", "pos", F.col("r_line_id").alias("other"), "part.t0", "part.t1").distinct()
 
 
