@@ -265,9 +265,9 @@ def test_readers_open_any_nesting_and_say_what_they_leave_out(spark):
     docs = [(1, json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": nest}]})), (2, json.dumps({"type": "MultiLineString", "coordinates": [line["coordinates"]] * 2})), (3, "broken"), (4, None)]
     found = readers.geojson_lines(spark.createDataFrame(docs, "source long, value string")).collect()
     assert sorted((r["source"], r["line"], r["coordinates"]) for r in found) == [(1, 0, line["coordinates"]), (2, 0, line["coordinates"]), (2, 1, line["coordinates"])]
-    kml = '<k:kml><k:LineString id="a"><k:coordinates>1,2,3 4,5</k:coordinates></k:LineString><LineString><coordinates >6,7</coordinates></LineString></k:kml>'
+    kml = '<k:kml><k:LineString id="a"><k:coordinates>1,2,3 4,5</k:coordinates></k:LineString><LineString><coordinates >6,7</coordinates></LineString><LineString><coordinates >6,7 8,9</coordinates></LineString></k:kml>'  # one position is no line
     points = readers.kml_points(spark.createDataFrame([(1, kml)], "source long, value string")).collect()
-    assert sorted((r["line"], r["pos"], r["lon"], r["lat"], r["ele"]) for r in points) == [(0, 0, 1.0, 2.0, 3.0), (0, 1, 4.0, 5.0, None), (1, 0, 6.0, 7.0, None)]
+    assert sorted((r["line"], r["pos"], r["lon"], r["lat"], r["ele"]) for r in points) == [(0, 0, 1.0, 2.0, 3.0), (0, 1, 4.0, 5.0, None), (2, 0, 6.0, 7.0, None), (2, 1, 8.0, 9.0, None)]
     rows = spark.createDataFrame([("5,r1,3,1.5",), ("x,r1,3,1.5",), ("6,r1,0,",), ("7,r1,2,",)], "value string")
     good, bad = readers.ranking_rows(rows)
     assert sorted(map(tuple, good.collect())) == [(5, "r1", 3, 1.5), (7, "r1", 2, None)] and bad.count() == 2
