@@ -12,8 +12,8 @@ from waystone.operators.folds import folded
 def segmented(points: DataFrame, gap_s: float, track: str = "track_id") -> DataFrame:
     """Adds seg (from 0): a new segment begins after a gap of more than gap_s. points: track, ts, pos."""
     order = Window.partitionBy(track).orderBy("pos")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))
-    return points.withColumn("seg", F.sum(F.when(gap > gap_s, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
+    return points.withColumn("seg", F.sum(F.when(gap > int(gap_s * 1_000_000), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def chainage(points: DataFrame, track: str = "track_id") -> DataFrame:
