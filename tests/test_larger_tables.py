@@ -14,3 +14,9 @@ from waystone.plans import catalog
 def test_a_gap_counts_parts_of_a_second(spark):
     rows = spark.sql("select 1 as track_id, 0 as pos, timestamp '2024-01-01 00:00:00.1' as ts union all select 1, 1, timestamp '2024-01-02 00:00:00.6' union all select 1, 2, timestamp '2024-01-03 00:00:00.6'")
     assert [r["seg"] for r in tracks.segmented(rows, 86400).orderBy("pos").collect()] == [0, 1, 1]
+
+
+def test_neighbours_round_a_lap_take_no_join(spark):
+    rows = [(1, i, 300 * math.cos(i / 5), 200 * math.sin(i / 5)) for i in range(31)]
+    found = tracks.turn_stations(spark.createDataFrame(rows, "lap int, pos int, x double, y double"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0

@@ -174,9 +174,16 @@ def turn_stations(laps: DataFrame, step_m: float = 20.0, window_m: float = 60.0,
     at = legs.where(n1 >= n0).select("*", F.explode(F.sequence(n0, n1)).alias("i"))
     f = (F.col("i") * F.col("step") - F.col("d0")) / F.col("m")
     points = at.select("lap", "i", "count", "step", "length", (F.col("x0") + f * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + f * (F.col("y1") - F.col("y0"))).alias("y"))
-    offset = F.greatest(F.lit(2), F.round(window_m / F.col("step")).cast("int"))
-    near = lambda sign, name: points.select("lap", F.pmod(F.col("i") + sign * offset, F.col("count")).alias("i"), F.struct("x", "y").alias(name))
-    met = points.join(near(1, "p"), ["lap", "i"]).join(near(-1, "q"), ["lap", "i"])
+    offset = F.greatest(F.lit(2), F.round(window_m / F.col("step")).cast("int")) % F.col("count")
+    points = points.withColumn("offset", offset)
+    # a lap's first and last points stand once more behind and before it, so that the sorted lap itself holds a point's neighbours
+    beside = F.array(F.col("i"), F.when(F.col("i") < F.col("offset"), F.col("i") + F.col("count")), F.when(F.col("i") >= F.col("count") - F.col("offset"), F.col("i") - F.col("count")))
+    ringed = points.withColumn("i", F.explode(F.array_compact(beside)))
+    least = min(300 / 16, step_m * 300 / (300 + step_m))  # no step of a lap of 300 m or more is shorter
+    offsets = range(0, max(2, round(window_m / least)) + 1)
+    round_lap = Window.partitionBy("lap").orderBy("i")
+    pick = lambda f: F.coalesce(*[F.when(F.col("offset") == k, f(F.struct("x", "y"), k).over(round_lap)) for k in offsets])
+    met = ringed.withColumns({"p": pick(F.lag), "q": pick(F.lead)}).where((F.col("i") >= 0) & (F.col("i") < F.col("count")))
     turn = F.atan2(F.col("q.y") - F.col("y"), F.col("q.x") - F.col("x")) - F.atan2(F.col("y") - F.col("p.y"), F.col("x") - F.col("p.x"))
     bent = met.select("lap", "length", (F.col("i") * F.col("step")).alias("d"), F.degrees(F.abs(F.atan2(F.sin(turn), F.cos(turn)))).alias("turn")).where(F.col("turn") >= least_degrees)
     packed = bent.groupBy("lap", "length").agg(F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("n"), "d"))).alias("items"))
