@@ -28,3 +28,18 @@ def test_a_ring_s_repeated_edge_is_crossed_twice(spark):
     rings = spark.createDataFrame(ring, "ring_id int, pos int, x0 double, y0 double, x1 double, y1 double")
     legs = spark.createDataFrame([(7, 0, 1, 3.0, 1.0, 5.0, 1.5)], "line_id int, pos int, ring_id int, x0 double, y0 double, x1 double, y1 double")
     assert coverage.features_in_boundary(legs, rings).collect()[0]["crossings"] == 2
+
+
+def lineitem(folder, pairs):
+    names = {"l_orderkey": [k // 2 for k in range(len(pairs))], "l_linenumber": [k % 2 for k in range(len(pairs))], "l_partkey": [a for a, _ in pairs], "l_suppkey": [b for _, b in pairs]}
+    n = len(pairs)
+    pq.write_table(pa.table(names | {"l_quantity": [1.0] * n, "l_extendedprice": [1.0] * n, "l_returnflag": ["A"] * n}), folder / "lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet'")
+    return c
+
+
+def test_edges_of_nodes_beyond_a_million_stay_apart(spark, tmp_path):
+    c = lineitem(tmp_path, [(0, 0)] * 2 + [(1, 0), (2_000_005, 0)] + [(0, 0)] * 22 + [(2, 0), (1_000_005, 0)])
+    name = "o5_5_operator_summary"
+    assert c.execute(catalog.SQL[name]).fetchall() == [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [(1, 2, 2, 2)]

@@ -27,7 +27,7 @@ def timing_inventory(t):
 
 
 @query("o5_5_operator_summary", f"""with {EDGE}, e as (select way_id % 12 as operator, way_id, least(a, b) as p, greatest(a, b) as q, pos from edge where b is not null and a <> b)
-select operator, count(distinct way_id) as relations, count(*) as resolved, count(distinct p * 1000000 + q) as unique_edges from e group by 1""")
+select operator, count(distinct way_id) as relations, count(*) as resolved, count(distinct (p, q)) as unique_edges from e group by 1""")
 def operator_summary(t):
     return rollups.operator_summary(edges(t).withColumn("operator", F.col("way_id") % 12), "operator", "way_id")
 
