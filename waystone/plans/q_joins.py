@@ -149,7 +149,7 @@ def missing_references(t):
     return reconcile.broken_references({"stop": stops, "route": routes}).withColumnsRenamed({"rule": "kind", "broken": "missing"})
 
 
-LEG = f"{CHAIN}, lg as (select track_id, pos, lon as x0, lat as y0, cum_m as d0, lead(lon) over w as x1, lead(lat) over w as y1, lead(cum_m) over w as d1, seg as s0, lead(seg) over w as s1 from cum window w as (partition by track_id order by pos)), leg as (select * from lg where s0 = s1 and d1 > d0)"
+LEG = f"{CHAIN}, lg as (select track_id, pos, lon as x0, lat as y0, cum_m as d0, lead(lon) over w as x1, lead(lat) over w as y1, lead(cum_m) over w as d1, seg as s0, lead(seg) over w as s1, lead(leg_m) over w as m1 from cum window w as (partition by track_id order by pos)), leg as (select * from lg where s0 = s1 and m1 > 0)"
 
 
 @query("o4_12_landmark_reference", f"""with {LEG}, mark as (select track_id, event_id as landmark_id, lon + 0.0005 as lon, lat - 0.0007 as lat from fx_track_pt where pos % 10 = 0),
