@@ -39,6 +39,12 @@ def lineitem(folder, pairs):
     return c
 
 
+def test_pairs_of_keys_beyond_a_million_stay_apart(spark, tmp_path):
+    c = lineitem(tmp_path, [(1, 2_000_005), (2, 1_000_005)])
+    name = "o4_19_coincident_segments"
+    assert c.execute(catalog.SQL[name]).fetchall() == [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [("A", 2, 0)]
+
+
 def test_edges_of_nodes_beyond_a_million_stay_apart(spark, tmp_path):
     c = lineitem(tmp_path, [(0, 0)] * 2 + [(1, 0), (2_000_005, 0)] + [(0, 0)] * 22 + [(2, 0), (1_000_005, 0)])
     name = "o5_5_operator_summary"

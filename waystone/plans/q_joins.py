@@ -205,7 +205,7 @@ def close_pairs(t):
 
 
 @query("o4_19_coincident_segments", """with e as (select l_returnflag as pen, least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_quantity as m from lineitem)
-select pen, count(*) as drawn, cast(count(*) - count(distinct a * 1000000 + b) as bigint) as retraced from e group by 1""")
+select pen, count(*) as drawn, cast(count(*) - count(distinct (a, b)) as bigint) as retraced from e group by 1""")
 def coincident_segments(t):
     e = t("lineitem").select(F.col("l_returnflag").alias("pen"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     return coverage.coincident(e, ["pen"])
