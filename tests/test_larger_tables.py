@@ -49,3 +49,9 @@ def test_edges_of_nodes_beyond_a_million_stay_apart(spark, tmp_path):
     c = lineitem(tmp_path, [(0, 0)] * 2 + [(1, 0), (2_000_005, 0)] + [(0, 0)] * 22 + [(2, 0), (1_000_005, 0)])
     name = "o5_5_operator_summary"
     assert c.execute(catalog.SQL[name]).fetchall() == [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == [(1, 2, 2, 2)]
+
+
+def test_stations_beyond_a_million_keep_their_codes(spark, tmp_path):
+    keys = [1_000_001, 1_000_003, 10_000_015, 7]
+    pq.write_table(pa.table({"p_partkey": keys, "p_name": ["a"] * 4, "p_size": pa.array([1] * 4, pa.int32())}), tmp_path / "part.parquet")
+    assert {r["tiploc"] for r in catalog.QUERIES["o1_14_station_scan"](spark, str(tmp_path)).collect()} == {f"T{k}" for k in keys}

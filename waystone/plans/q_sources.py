@@ -204,10 +204,12 @@ def cif_rejects(t):
 
 @query("o1_14_station_scan", "select p_name as name, 'T' || p_partkey as tiploc, cast((p_size * 10 + 1000 - 1000) * 100 as integer) as easting from part where p_partkey % 9 <> 0")
 def station_scan(t):
+    """A TIPLOC has seven columns, which hold keys beyond 999,999 in base 36 only."""
     crs = F.when(F.col("p_partkey") % 9 == 0, "A1C").otherwise("ABC")
-    line = F.concat(F.lit("A    "), F.rpad("p_name", 26, " "), F.lit("     "), F.rpad(F.concat(F.lit("T"), S("p_partkey")), 7, " "), F.rpad(F.lit("X"), 6, " "), crs, F.lpad((F.col("p_size") * 10 + 10000).cast("string"), 5, "0"), F.lit(" "), F.lit("60500"), F.lit("05 "))
+    line = F.concat(F.lit("A    "), F.rpad("p_name", 26, " "), F.lit("     "), F.rpad(F.concat(F.lit("T"), F.conv(S("p_partkey"), 10, 36)), 7, " "), F.rpad(F.lit("X"), 6, " "), crs, F.lpad((F.col("p_size") * 10 + 10000).cast("string"), 5, "0"), F.lit(" "), F.lit("60500"), F.lit("05 "))
     good, _ = readers.station_records(t("part").select(line.alias("value")))
-    return good.select("name", "tiploc", "easting")
+    key = F.conv(F.substring("tiploc", 2, 6), 36, 10)
+    return good.select("name", F.concat(F.lit("T"), key).alias("tiploc"), "easting")
 
 
 @query("o1_15_stop_scan", "select 'S' || (p_partkey - p_partkey % 2 * case when p_partkey % 10 = 1 then 1 else 0 end) as code from part where p_partkey % 10 not in (0, 1) and p_partkey % 8 <> 0")
