@@ -55,3 +55,10 @@ def test_stations_beyond_a_million_keep_their_codes(spark, tmp_path):
     keys = [1_000_001, 1_000_003, 10_000_015, 7]
     pq.write_table(pa.table({"p_partkey": keys, "p_name": ["a"] * 4, "p_size": pa.array([1] * 4, pa.int32())}), tmp_path / "part.parquet")
     assert {r["tiploc"] for r in catalog.QUERIES["o1_14_station_scan"](spark, str(tmp_path)).collect()} == {f"T{k}" for k in keys}
+
+
+def test_an_offset_is_not_rounded_before_its_use(spark):
+    off = 5.0049997
+    leg = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.01, 0.0, 0.0, 1000.0)], "track_id int, pos int, lon0 double, lat0 double, lon1 double, lat1 double, d0 double, d1 double")
+    mark = spark.createDataFrame([(1, 9, 0.005, math.degrees(off / EARTH_M))], "track_id int, landmark_id int, lon double, lat double")
+    assert math.isclose(joins.linear_reference(mark, leg).collect()[0]["offset_m"], off, abs_tol=1e-8)

@@ -98,7 +98,7 @@ def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_
     A landmark meets the legs of its track in the cells around it. Where none is within reach, the reach grows fourfold, for
     those landmarks alone; what is left after the rounds, far from everything, meets its whole track."""
     along = F.col("d0") + F.col("p.fraction") * (F.col("d1") - F.col("d0"))
-    nearest = F.min(F.struct(F.round("p.distance_m", 6).alias("offset_m"), along.alias("along_m"))).alias("b")
+    nearest = F.min("p.distance_m").alias("offset_m"), F.min(F.struct(F.round("p.distance_m", 6).alias("_o"), along.alias("along_m"))).alias("b")
     ends = ("lon0", "lat0", "lon1", "lat1", "d0", "d1")
     open_, found, reach = landmarks.select(track, "landmark_id", "lon", "lat"), [], reach_m
     projected = segment_projection("lon", "lat", "lon0", "lat0", "lon1", "lat1")
@@ -106,15 +106,15 @@ def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_
         left = open_.withColumn("c", F.explode(around(F.col("lon"), F.col("lat"), reach))).select(track, "landmark_id", "lon", "lat", "c.cx", "c.cy")
         right = legs.withColumn("c", F.explode(segment_cells(F.col("lon0"), F.col("lat0"), F.col("lon1"), F.col("lat1"), reach))).select(track, *ends, "c.cx", "c.cy")
         near = left.join(right, [track, "cx", "cy"]).withColumn("p", projected).where(F.col("p.distance_m") <= reach)
-        best = settled(near.groupBy(track, "landmark_id").agg(nearest))
+        best = settled(near.groupBy(track, "landmark_id").agg(*nearest))
         found.append(best)
         open_ = settled(open_.join(best.select(track, "landmark_id"), [track, "landmark_id"], "left_anti"))
         if open_.isEmpty():
             break
         reach *= 4
     else:
-        found.append(open_.join(legs.select(track, *ends), track).withColumn("p", projected).groupBy(track, "landmark_id").agg(nearest))
-    return union_all(found).select(track, "landmark_id", "b.along_m", "b.offset_m")
+        found.append(open_.join(legs.select(track, *ends), track).withColumn("p", projected).groupBy(track, "landmark_id").agg(*nearest))
+    return union_all(found).select(track, "landmark_id", "b.along_m", "offset_m")
 
 
 def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:

@@ -242,7 +242,7 @@ def cut_edges(legs: DataFrame, cuts: DataFrame, snap_m: float, track: str = "tra
     the cuts at both ends (null at the track's own ends). A point farther than snap_m from its track cuts nothing."""
     from waystone.operators.joins import linear_reference
 
-    placed = linear_reference(cuts.withColumnRenamed("cut_id", "landmark_id"), legs, track).where(F.col("offset_m") <= snap_m)
+    placed = linear_reference(cuts.withColumnRenamed("cut_id", "landmark_id"), legs, track).where(F.round("offset_m", 6) <= snap_m)
     ends = legs.groupBy(track).agg(F.min("d0").alias("a"), F.max("d1").alias("b"))
     at = placed.select(track, F.col("along_m").alias("d"), F.col("landmark_id").alias("cut_id"))
     ends = ends.select(track, F.explode(F.array("a", "b")).alias("d"), F.lit(None).cast(at.schema["cut_id"].dataType).alias("cut_id"))
