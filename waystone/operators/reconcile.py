@@ -93,9 +93,9 @@ def patched(records: DataFrame, patch: DataFrame, key: str, value: str) -> DataF
 
 def alias_identity(records: DataFrame, aliases: DataFrame) -> DataFrame:
     """Records (record, alias) by exact alias of identities (identity, alias): the identity where it is one, else conflict."""
-    n = F.countDistinct("identity")
-    met = records.join(aliases.select("identity", "alias").distinct(), "alias")
-    return met.groupBy("record").agg(F.when(n == 1, F.min("identity")).alias("identity"), (n > 1).alias("conflict"))
+    each = aliases.groupBy("alias").agg(F.min("identity").alias("_low"), F.max("identity").alias("_high"))  # an alias of many identities is one row
+    low, high = F.min("_low"), F.max("_high")
+    return records.join(each, "alias").groupBy("record").agg(F.when(low == high, low).alias("identity"), F.coalesce(low < high, F.lit(False)).alias("conflict"))
 
 
 def numbered_pieces(df: DataFrame, group: list, order: list, label: Column) -> DataFrame:
