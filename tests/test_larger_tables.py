@@ -75,3 +75,18 @@ def test_an_alias_of_many_identities_is_one_row(spark):
     found = reconcile.alias_identity(records, aliases)
     assert sorted(map(tuple, found.collect())) == [(10, 1, False), (11, None, True), (12, None, True), (13, None, False)]
     assert "count(distinct" not in plan(found)
+
+
+def test_the_nearest_of_a_name_is_found_at_any_reach(spark):
+    rng = random.Random(5)
+    place = lambda: (rng.randrange(-40, 40) * 25.0, rng.randrange(-40, 40) * 25.0)
+    left = [(i, rng.choice("ab"), *place()) for i in range(40)] + [(98, None, 0.0, 0.0), (99, "z", 0.0, 0.0)]
+    right = [(c, rng.choice("ab"), *place()) for c in range(30)] + [(90, "a", *left[0][2:]), (80, "a", *left[0][2:])]
+    schema = "string, x double, y double"
+    found = joins.nearest_by_key(spark.createDataFrame(left, f"id int, key {schema}"), spark.createDataFrame(right, f"code int, key {schema}"), "key", 300.0)
+    want = {}
+    for i, key, x, y in left:
+        d = min(((math.hypot(x - u, y - v), c) for c, k, u, v in right if k == key), default=(math.inf, None))
+        want[i] = d[::-1] if d[0] <= 300 else (None, None)
+    assert {r["id"]: (r["code"], r["distance"]) for r in found.collect()} == want
+    assert "hypot" not in plan(found)  # distances are those of near places, found in rounds

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waystone.functions.geo import EARTH_M, crosses_ray, haversine_m, planar_distance, segment_projection
-from waystone.operators.storage import settled, union_all
+from waystone.operators.storage import removed, settled, union_all
 
 #: Latitude within which cells of a radius join are wide enough.
 MAX_LATITUDE = 75.0
@@ -76,11 +76,27 @@ def segment_radius_join(points: DataFrame, segments: DataFrame, metres: float, k
 
 def nearest_by_key(left: DataFrame, right: DataFrame, key: str, limit: float) -> DataFrame:
     """Each left row (id, key, x, y) with the nearest right row (code, key, x, y) of the same key within a limit, ties by
-    code; code and distance are null where there is none."""
-    other = right.select(key, "code", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    met = left.join(other, key).withColumn("distance", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).where(F.col("distance") <= limit)
-    best = met.groupBy("id").agg(F.min(F.struct("distance", "code")).alias("b")).select("id", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
-    return left.select("id").join(best, "id", "left")
+    code; code and distance are null where there is none.
+
+    Rows at one place are asked once. A place meets the cells around it, of a small reach first; where none is within it, the reach
+    grows fourfold for those places alone, so that a name that many rows share meets near rows only."""
+    sites = right.groupBy(key, F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("code").alias("code"))
+    open_, found = settled(left.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y").distinct()), []
+    for reach in (limit / 256, limit / 64, limit / 16, limit / 4, limit):
+        size = reach * (1 + 1e-9) or 1.0  # a little wider, so that rounding parts no pair
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        around = F.array(*[F.struct((cell("x") + i).alias("_cx"), (cell("y") + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = open_.select(key, "x", "y", F.explode(around).alias("c")).select(key, "x", "y", "c.*")
+        met = asked.join(sites.withColumns({"_cx": cell("_x"), "_cy": cell("_y")}), [key, "_cx", "_cy"])
+        met = met.withColumn("distance", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).where(F.col("distance") <= reach)
+        best = settled(met.groupBy(key, "x", "y").agg(F.min(F.struct("distance", "code")).alias("b")))
+        found.append(best)
+        after = settled(open_.join(best, [key, "x", "y"], "left_anti"))
+        removed(open_)
+        open_ = after
+        if open_.isEmpty():
+            break
+    return left.select("id", key, "x", "y").join(union_all(found), [key, "x", "y"], "left").select("id", "b.code", "b.distance")
 
 
 def candidates_by_keys(names: DataFrame, records: DataFrame, cap: int) -> DataFrame:
