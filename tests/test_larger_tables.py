@@ -77,6 +77,20 @@ def test_an_alias_of_many_identities_is_one_row(spark):
     assert "count(distinct" not in plan(found)
 
 
+def test_a_name_meets_the_first_codes_of_a_key_only(spark):
+    rng = random.Random(4)
+    names = [(i, rng.choice("ab"), rng.choice("xy")) for i in range(6)]
+    records = [(rng.choice("st"), c, rng.choice("ab"), rng.choice("xy")) for c in range(40)]
+    want = set()
+    for i, exact, relaxed in names:
+        for source in "st":
+            keys = sorted((0 if r[2] == exact else 1, r[1]) for r in records if r[0] == source and (r[2] == exact or r[3] == relaxed))
+            want |= {(i, source, code, strength) for strength, code in keys[:3]}
+    found = joins.candidates_by_keys(spark.createDataFrame(names, "id int, exact string, relaxed string"), spark.createDataFrame(records, "source string, code int, exact string, relaxed string"), 3)
+    assert {(r["id"], r["source"], r["code"], r["strength"]) for r in found.collect()} == want
+    assert "_n#" in plan(found)  # codes of a key are numbered before names meet them
+
+
 def test_the_nearest_of_a_name_is_found_at_any_reach(spark):
     rng = random.Random(5)
     place = lambda: (rng.randrange(-40, 40) * 25.0, rng.randrange(-40, 40) * 25.0)

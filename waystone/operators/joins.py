@@ -101,8 +101,13 @@ def nearest_by_key(left: DataFrame, right: DataFrame, key: str, limit: float) ->
 
 def candidates_by_keys(names: DataFrame, records: DataFrame, cap: int) -> DataFrame:
     """Records (source, code, exact, relaxed) for names (id, exact, relaxed): by the exact key first, then by the weaker,
-    at most cap of each source; a record found by both counts as exact. id, source, code, strength."""
-    ways = [names.select("id", F.col(k).alias("k")).join(records.select(F.col(k).alias("k"), "source", "code"), "k").select("id", "source", "code", F.lit(i).alias("strength")) for i, k in enumerate(("exact", "relaxed"))]
+    at most cap of each source; a record found by both counts as exact. id, source, code, strength.
+
+    A name takes no more of a key and source than the first cap codes: fewer than cap exact ones leave room for as many of the first cap
+    relaxed ones as there are others. So only these are joined."""
+    first = Window.partitionBy("k", "source").orderBy("code")
+    known = lambda k: records.select(F.col(k).alias("k"), "source", "code").where("k is not null").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap)
+    ways = [names.select("id", F.col(k).alias("k")).join(known(k), "k").select("id", "source", "code", F.lit(i).alias("strength")) for i, k in enumerate(("exact", "relaxed"))]
     found = ways[0].unionByName(ways[1]).groupBy("id", "source", "code").agg(F.min("strength").alias("strength"))
     return found.withColumn("r", F.row_number().over(Window.partitionBy("id", "source").orderBy("strength", "code"))).where(F.col("r") <= cap).drop("r")
 
