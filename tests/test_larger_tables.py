@@ -104,3 +104,12 @@ def test_the_nearest_of_a_name_is_found_at_any_reach(spark):
         want[i] = d[::-1] if d[0] <= 300 else (None, None)
     assert {r["id"]: (r["code"], r["distance"]) for r in found.collect()} == want
     assert "hypot" not in plan(found)  # distances are those of near places, found in rounds
+
+
+def test_points_meet_segments_by_exchange_and_once(spark):
+    points = spark.createDataFrame([(i, i * 0.002, 0.001) for i in range(20)], "point_id int, lon double, lat double")
+    segments = spark.createDataFrame([(j, j * 0.004, 0.0, j * 0.004 + 0.01, 0.0) for j in range(5)], "segment_id int, lon_a double, lat_a double, lon_b double, lat_b double")
+    found = joins.segment_radius_join(points, segments, 500.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    near = lambda i, j: math.hypot(max(j * 0.004 - i * 0.002, 0, i * 0.002 - j * 0.004 - 0.01), 0.001) * math.radians(1) * EARTH_M
+    assert sorted((r["point_id"], r["segment_id"]) for r in found.collect()) == [(i, j) for i in range(20) for j in range(5) if near(i, j) <= 500]

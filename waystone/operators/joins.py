@@ -53,10 +53,10 @@ def radius_join(points: DataFrame, nodes: DataFrame, metres: float, k: int | Non
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("m", "node_id"))).where(F.col("rank") <= k)
 
 
-def segment_cells(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, metres: float) -> Column:
-    """The cells that a segment's bounding box meets, as an array of struct(cx, cy)."""
+def segment_cells(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, metres: float, beside: int = 0) -> Column:
+    """The cells that a segment's bounding box meets, and so many beside them, as an array of struct(cx, cy)."""
     dx, dy = cell_degrees(metres)
-    span = lambda a, b, d: F.sequence(F.floor(F.least(a, b) / d), F.floor(F.greatest(a, b) / d))
+    span = lambda a, b, d: F.sequence(F.floor(F.least(a, b) / d) - beside, F.floor(F.greatest(a, b) / d) + beside)
     xs, ys = span(lon_a, lon_b, dx), span(lat_a, lat_b, dy)
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
@@ -64,10 +64,12 @@ def segment_cells(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, me
 def segment_radius_join(points: DataFrame, segments: DataFrame, metres: float, k: int | None = None) -> DataFrame:
     """Segments (segment_id, lon_a, lat_a, lon_b, lat_b) within a radius of points, with the projected point and fraction.
 
-    Segments are dealt to all cells that their boxes meet, so they should be short against the radius's cell."""
-    left = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(around(F.col("lon"), F.col("lat"), metres)).alias("c")).select("point_id", "plon", "plat", "c.cx", "c.cy")
-    right = segments.select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", F.explode(segment_cells(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), metres)).alias("c")).select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", "c.cx", "c.cy")
-    met = left.join(right, ["cx", "cy"]).drop("cx", "cy").dropDuplicates(["point_id", "segment_id"])
+    Segments are dealt to all cells that their boxes meet and those beside, so they should be short against the radius's cell. A point
+    is in one cell, so a pair meets once; cells are joined by exchange, as dealt rows are more than their size as a table tells."""
+    dx, dy = cell_degrees(metres)
+    left = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.floor(F.col("lon") / dx).alias("cx"), F.floor(F.col("lat") / dy).alias("cy"))
+    right = segments.select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", F.explode(segment_cells(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), metres, 1)).alias("c")).select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", "c.cx", "c.cy")
+    met = left.join(right.hint("merge"), ["cx", "cy"])
     found = met.withColumn("p", segment_projection("plon", "plat", "lon_a", "lat_a", "lon_b", "lat_b")).where(F.col("p.distance_m") <= metres).select("point_id", "segment_id", "p.distance_m", "p.lon", "p.lat", "p.fraction")
     if k is None:
         return found
