@@ -144,14 +144,17 @@ def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:
     """Pairs of different lines (line_id, x0, y0, x1, y1) with ends within a distance of the other's segment: least gap.
 
     Segments meet in cells of size `cell` (at least the distance). Two that cross have a gap of 0; others are nearest at an end of
-    one."""
+    one. A pair is measured in one of the cells that it shares, and only if its boxes are near."""
     step = max(cell, distance)
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - distance) / step), F.floor((F.greatest(a, b) + distance) / step))
     cells = F.flatten(F.transform(span(F.col("x0"), F.col("x1")), lambda x: F.transform(span(F.col("y0"), F.col("y1")), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
     dealt = segments.withColumn("c", F.explode(cells))
     a = dealt.select("c", *[F.col(c).alias(f"a_{c}") for c in ("line_id", "x0", "y0", "x1", "y1")])
     b = dealt.select("c", *[F.col(c).alias(f"b_{c}") for c in ("line_id", "x0", "y0", "x1", "y1")])
-    met = a.join(b, "c").where(F.col("a_line_id") < F.col("b_line_id"))
+    corner = lambda v: F.greatest(*[F.floor((F.least(f"{p}_{v}0", f"{p}_{v}1") - distance) / step) for p in "ab"])
+    apart = lambda v: F.greatest(*[F.least(f"{p}_{v}0", f"{p}_{v}1") for p in "ab"]) - F.least(*[F.greatest(f"{p}_{v}0", f"{p}_{v}1") for p in "ab"])
+    close = (apart("x") <= distance * (1 + 1e-9)) & (apart("y") <= distance * (1 + 1e-9))
+    met = a.join(b, "c").where((F.col("a_line_id") < F.col("b_line_id")) & (F.col("c.cx") == corner("x")) & (F.col("c.cy") == corner("y")) & close)
     gaps = [planar_distance(f"{p}_x{e}", f"{p}_y{e}", *[f"{q}_{c}" for c in ("x0", "y0", "x1", "y1")]) for p, q in ("ab", "ba") for e in (0, 1)]
     turn = lambda p, q, e: F.signum((F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{q}_y{e}") - F.col(f"{p}_y0")) - (F.col(f"{p}_y1") - F.col(f"{p}_y0")) * (F.col(f"{q}_x{e}") - F.col(f"{p}_x0")))
     cross = (turn("a", "b", 0) * turn("a", "b", 1) < 0) & (turn("b", "a", 0) * turn("b", "a", 1) < 0)
