@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from waystone.functions.geo import EARTH_M
-from waystone.operators import coverage, joins, reconcile, tracks
+from waystone.operators import coverage, graph, joins, reconcile, tracks
 from waystone.plans import catalog
 
 
@@ -113,3 +113,40 @@ def test_points_meet_segments_by_exchange_and_once(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     near = lambda i, j: math.hypot(max(j * 0.004 - i * 0.002, 0, i * 0.002 - j * 0.004 - 0.01), 0.001) * math.radians(1) * EARTH_M
     assert sorted((r["point_id"], r["segment_id"]) for r in found.collect()) == [(i, j) for i in range(20) for j in range(5) if near(i, j) <= 500]
+
+
+def united(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = sorted((top(a), top(b)))
+        root[q] = p
+    return {x: top(x) for x in root}
+
+
+def test_components_write_little_more_than_their_edges(spark, monkeypatch):
+    rng = random.Random(6)
+    path = [(i, i + 1) for i in range(600)]
+    star = [(9000, i) for i in range(1000, 1200)]
+    pairs = path + star + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)] + [(1, 1), (7000, 7000), (3, 2), (3, 2)]
+    written, keep = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (lambda out: written.append(out.count()) or out)(keep(df)))
+    edges = spark.createDataFrame([*pairs, (None, 1), (7001, None)], "a int, b int")
+    assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == united(pairs)
+    assert sum(written) < 12 * len(pairs)
+
+
+def test_items_of_a_reference_are_known_by_their_least(spark):
+    rng = random.Random(7)
+    items = [(i, f"r{rng.randrange(60)}") for i in range(80) for _ in range(rng.randrange(1, 3))]
+    first = {}
+    for i, ref in items:
+        first[ref] = min(i, first.get(ref, i))
+    found = graph.grouped_by_reference(spark.createDataFrame([*items, (5000, None)], "item long, ref string"))
+    assert {r["item"]: r["component"] for r in found.collect()} == united((i, first[ref]) for i, ref in items)
+    assert "kind" not in plan(found)
