@@ -150,3 +150,21 @@ def test_items_of_a_reference_are_known_by_their_least(spark):
     found = graph.grouped_by_reference(spark.createDataFrame([*items, (5000, None)], "item long, ref string"))
     assert {r["item"]: r["component"] for r in found.collect()} == united((i, first[ref]) for i, ref in items)
     assert "kind" not in plan(found)
+
+
+def test_chains_write_what_goes_on_only(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = rng.sample(range(10_000), 900)
+    path, ring, alone = ids[:100], ids[100:137], ids[137:]
+    ways = [(w, i, i + 1) for i, w in enumerate(path)] + [(w, 1000 + i, 1000 + (i + 1) % 37) for i, w in enumerate(ring)] + [(w, 5000 + 2 * w, 5001 + 2 * w) for w in alone]
+    ways = [(w, a, b) if rng.random() < 0.5 else (w, b, a) for w, a, b in ways]
+    written, keep = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (lambda out: written.append(out.count()) or out)(keep(df)))
+    found = {r["way"]: (r["run"], r["pos"]) for r in graph.chains(spark.createDataFrame(ways, "way int, a int, b int")).collect()}
+    line = path if path[0] < path[-1] else path[::-1]
+    want = {w: (w, 0) for w in alone} | {w: (min(path), i) for i, w in enumerate(line)}
+    assert {w: found[w] for w in want} == want and len(found) == len(ways)
+    at = ring.index(min(ring))
+    turn = ring[at:] + ring[:at]
+    assert [found[w] for w in turn] in ([(turn[0], i) for i in range(37)], [(turn[0], -i % 37) for i in range(37)])
+    assert max(written) <= 2 * 137
