@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from waystone.functions.geo import EARTH_M
-from waystone.operators import coverage, graph, joins, reconcile, tracks
+from waystone.operators import coverage, graph, joins, reconcile, terrain, tracks
 from waystone.plans import catalog
 
 
@@ -181,3 +181,16 @@ def test_pairs_of_legs_are_no_rows(spark):
     got = {(r["a"], r["b"]): r["gap"] for r in found.collect()}
     whole = {(r["a"], r["b"]): r["gap"] for r in coverage.separations(df, 100.0, 0.2).collect()}  # one cell
     assert got.keys() == whole.keys() and len(got) > 5 and all(math.isclose(got[k], whole[k], abs_tol=1e-9) for k in got)
+
+
+def test_contours_inside_a_block_are_no_links(spark, monkeypatch):
+    rng = random.Random(10)
+    cells = [(t, r, c, rng.randrange(4) + 0.5) for t in range(2) for r in range(15) for c in range(11 * t, 11 * t + 12)]
+    cells = [(t, r, c, 2.5 if c == 11 else z) for t, r, c, z in cells]  # tiles share a column
+    df = spark.createDataFrame(cells, "tile long, row long, col long, z double")
+    segments = terrain.contour_segments(df, spark.createDataFrame([(t, [1, 2, 3]) for t in range(2)], "tile long, levels array<long>")).localCheckpoint()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for across in (False, True):
+        assert rows(terrain.contour_paths(segments, across, 3)) == rows(terrain.contour_paths(segments, across))
+    monkeypatch.setattr(terrain, "chains", lambda *_: 1 / 0)
+    assert terrain.contour_paths(segments).count() > segments.count()

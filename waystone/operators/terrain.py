@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from waystone.operators.graph import chains
 from waystone.operators.storage import settled
@@ -75,28 +80,113 @@ def contour_segments(cells: DataFrame, levels: DataFrame) -> DataFrame:
     return at.withColumn("k", case).withColumn("s", F.explode(segments)).select("tile", "row", "col", "level", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"), F.col("s.p.side").alias("side0"), F.col("s.q.side").alias("side1"))
 
 
-def contour_paths(segments: DataFrame, across: bool = False) -> DataFrame:
+def contour_paths(segments: DataFrame, across: bool = False, block: int = 64) -> DataFrame:
     """Contours of contour_segments() stitched to lines: tile, level, line (the least segment of it), closed, pos, x, y, a ring ending
     where it began. Each segment is in one line.
 
     Two segments go on in each other where they end on one grid side. across: rows and columns number one grid over all tiles, whose
-    borders share their samples, and lines go on from tile to tile (tile: the least one). Pointer jumping orders a line of any length
-    in few rounds; vertices are rows, never one array."""
-    order = Window.partitionBy("tile", "level", "row", "col").orderBy("x0", "y0", "x1", "y1")
-    lead = F.array(*[F.col(c).cast("double") for c in ("tile", "level", "row", "col")], F.row_number().over(order).cast("double"))
-    own = segments.withColumn("way", lead)
+    borders share their samples, and lines go on from tile to tile (tile: the least one). Segments are strung in blocks of so many
+    rows and columns (shifted by half, so that a grid's first edge is no border); only strings that leave their block go on from block to block, by pointer jumping. Vertices are rows, never one
+    array. A line is read from the end whose segment is less, a ring from its least segment in that one's direction."""
+    kind = lambda c: segments.schema[c].dataType.simpleString()
+    columns = f"part array<double>, i int, n int, way array<double>, turned boolean, a string, b string, ring boolean, tile {kind('tile')}, level {kind('level')}, px double, py double, qx double, qy double"
     place = F.lit(None).cast(segments.schema["tile"].dataType) if across else F.col("tile")
-    node = lambda c: F.struct(place.alias("tile"), F.col("level").alias("level"), F.col(c).alias("side"))
-    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    own = settled(own.select("way", "tile", "level", F.to_json(node("side0")).alias("a"), F.to_json(node("side1")).alias("b"), end("x0", "y0").alias("p"), end("x1", "y1").alias("q")))
-    placed = chains(own.select("way", "a", "b")).join(own, "way")
+    own = segments.select(place.alias("_place"), F.floor((F.col("row") + block // 2) / block).alias("_rb"), F.floor((F.col("col") + block // 2) / block).alias("_cb"), "tile", "level", "row", "col", "x0", "y0", "x1", "y1", "side0", "side1")
+    strung = settled(own.groupBy("_place", "_rb", "_cb").applyInArrow(_strung(block, columns), columns))
+    inside = strung.where("a is null and b is null")
+    whole = inside.select(F.col("part").alias("line"), F.col("i").alias("pos"), "n", F.col("ring").alias("closed"), "tile", "level", "px", "py", "qx", "qy")
+    parts = strung.where("(a is not null or b is not null) and i = 0")
+    if not parts.isEmpty():
+        whole = whole.unionByName(_over_blocks(strung.where("a is not null or b is not null"), parts.select(F.col("part").alias("way"), "a", "b", "n")))
+    v = lambda pos, x, y: F.struct(pos.alias("pos"), F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = F.when(F.col("pos") == F.col("n") - 1, F.array(v(F.col("pos"), "px", "py"), v(F.col("pos") + 1, "qx", "qy"))).otherwise(F.array(v(F.col("pos"), "px", "py")))
+    return whole.select("tile", "level", F.array_join(F.transform("line", lambda c: c.cast("long").cast("string")), "/").alias("line"), "closed", F.explode(ends).alias("e")).select("tile", "level", "line", "closed", "e.pos", "e.x", "e.y")
+
+
+def _over_blocks(segments: DataFrame, parts: DataFrame) -> DataFrame:
+    """Strings that leave their block (way, a, b: the grid sides of open ends, n) put together, with the places of their segments."""
+    placed = chains(parts.select("way", "a", "b")).join(parts, "way")
     by = Window.partitionBy("run").orderBy("pos")
-    whole = Window.partitionBy("run")
     after, before = F.lead(F.array("a", "b")).over(by), F.lag(F.array("a", "b")).over(by)
-    turned = F.when(after.isNotNull(), ~F.array_contains(after, F.col("b"))).when(before.isNotNull(), ~F.array_contains(before, F.col("a"))).otherwise(False)
+    meets = lambda other, c: F.coalesce(F.array_contains(F.array_compact(other), F.col(c)), F.lit(False))
+    both = before.isNotNull() & meets(before, "a") & meets(before, "b")  # a ring of two strings
+    turned = F.when(both, F.col("a") == before[0]).when(after.isNotNull(), ~meets(after, "b")).when(before.isNotNull(), ~meets(before, "a")).otherwise(False)
     ways = placed.withColumn("_t", turned).withColumns({"_u": F.when(F.col("_t"), F.col("b")).otherwise(F.col("a")), "_v": F.when(F.col("_t"), F.col("a")).otherwise(F.col("b"))})
-    ways = ways.withColumns({"_n": F.max("pos").over(whole), "tile": F.min("tile").over(whole), "closed": F.first("_u").over(by) == F.last("_v").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    first, last = F.when(F.col("_t"), F.col("q")).otherwise(F.col("p")), F.when(F.col("_t"), F.col("p")).otherwise(F.col("q"))
-    ends = F.when(F.col("pos") == F.col("_n"), F.array(F.struct(F.col("pos").alias("pos"), first.alias("v")), F.struct((F.col("pos") + 1).alias("pos"), last.alias("v")))).otherwise(F.array(F.struct(F.col("pos").alias("pos"), first.alias("v"))))
-    rows = ways.select("tile", "level", F.array_join(F.transform("run", lambda c: c.cast("long").cast("string")), "/").alias("line"), "closed", F.explode(ends).alias("e"))
-    return rows.select("tile", "level", "line", "closed", "e.pos", "e.v.x", "e.v.y")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ways = ways.withColumns({"_from": F.sum("n").over(by) - F.col("n"), "_n": F.sum("n").over(every), "closed": F.coalesce((F.first("_u").over(every) == F.last("_v").over(every)) & (F.count("*").over(every) > 1), F.lit(False))})
+    met = segments.join(ways.select(F.col("way").alias("part"), "run", "_t", "_from", "_n", "closed"), "part")
+    met = settled(met.withColumns({"g": (F.col("_from") + F.when(F.col("_t"), F.col("n") - 1 - F.col("i")).otherwise(F.col("i"))).cast("int"), "turned": F.col("turned") != F.col("_t")}))
+    low = F.min(F.struct("way", "g", "turned"))
+    ends = F.min_by("way", "g").alias("first"), F.max_by("way", "g").alias("last")
+    runs = met.groupBy("run").agg(low.alias("low"), F.min("tile").alias("least"), *ends)
+    rows = met.join(runs, "run")
+    back = F.when(F.col("closed"), F.col("low.turned")).otherwise(F.when(F.col("first") == F.col("last"), F.col("low.turned")).otherwise(F.col("last") < F.col("first")))
+    at = F.when(F.col("closed"), F.pmod(F.when(back, F.col("low.g") - F.col("g")).otherwise(F.col("g") - F.col("low.g")), F.col("_n"))).otherwise(F.when(back, F.col("_n") - 1 - F.col("g")).otherwise(F.col("g")))
+    flip = back != F.col("_t")
+    turn = lambda p, q: F.when(flip, F.col(q)).otherwise(F.col(p))
+    return rows.select(F.col("low.way").alias("line"), at.cast("int").alias("pos"), F.col("_n").cast("int").alias("n"), "closed", F.col("least").alias("tile"), "level", turn("px", "qx").alias("px"), turn("py", "qy").alias("py"), turn("qx", "px").alias("qx"), turn("qy", "py").alias("qy"))
+
+
+def _strung(block: int, columns: str):
+    """Of one block's segments the strings, as rows of segments in order: part (the string's least segment), i of n, turned (read from
+    its end to its start), the grid sides a and b at which the string's first and last segment leave the block, and whether it is a ring."""
+    target = to_arrow_schema(StructType.fromDDL(columns))
+
+    def run(table):
+        c = {k: table[k].to_pylist() for k in ("tile", "level", "row", "col", "x0", "y0", "x1", "y1", "side0", "side1")}
+        seen: dict = {}
+        keys = []
+        for k in sorted(range(len(c["tile"])), key=lambda k: tuple(c[x][k] for x in ("x0", "y0", "x1", "y1"))):
+            cell = (float(c["tile"][k]), float(c["level"][k]), float(c["row"][k]), float(c["col"][k]))
+            seen[cell] = seen.get(cell, 0) + 1
+            keys.append(((*cell, float(seen[cell])), k))
+        keys.sort()
+        way, at = [w for w, _ in keys], [k for _, k in keys]  # segments by number, in the order of their keys
+        side = lambda k, e: tuple(c[f"side{e}"][k][f] for f in ("row", "col", "kind"))
+        ends: dict = {}
+        for w, k in enumerate(at):
+            for e in (0, 1):
+                ends.setdefault((c["level"][k], side(k, e)), []).append((w, e))
+
+        def leaves(r, col, kind):
+            other = (r - 1, col) if kind == 0 else (r, col - 1)
+            return any((p + block // 2) // block != (q + block // 2) // block for p, q in zip((r, col), other, strict=True))
+
+        nxt = {}
+        for (_, s), met in ends.items():
+            if len(met) == 2 and met[0][0] != met[1][0] and not leaves(*s):
+                nxt[met[0]], nxt[met[1]] = met[1], met[0]
+        out, done = [], [False] * len(at)
+
+        def follow(w, e):
+            """Segments from w on, which is left by its end e, each with whether it is turned."""
+            line = [(w, e == 0)]
+            done[w] = True
+            while (go := nxt.get((w, e))) is not None and not done[go[0]]:
+                w, e = go[0], 1 - go[1]
+                done[w] = True
+                line.append((w, e == 0))
+            return line
+
+        def put(line, ring):
+            open_ = lambda w, e: None if not leaves(*side(at[w], e)) else json.dumps([None if table_place is None else str(table_place), str(c["level"][at[w]]), *side(at[w], e)])
+            a = b = None
+            if not ring:
+                a, b = open_(line[0][0], 1 if line[0][1] else 0), open_(line[-1][0], 0 if line[-1][1] else 1)
+            part = way[min(w for w, _ in line)]
+            for i, (w, t) in enumerate(line):
+                k = at[w]
+                p, q = ("1", "0") if t else ("0", "1")
+                out.append((part, i, len(line), way[w], t, a, b, ring, c["tile"][k], c["level"][k], c["x" + p][k], c["y" + p][k], c["x" + q][k], c["y" + q][k]))
+
+        table_place = table["_place"][0].as_py()
+        for w in range(len(at)):  # the end of less key is met first
+            if not done[w] and ((w, 0) not in nxt or (w, 1) not in nxt):
+                put(follow(w, 1 if (w, 0) not in nxt else 0), False)
+        for w in range(len(at)):
+            if not done[w]:
+                put(follow(w, 1), True)
+        cells = list(zip(*out, strict=True)) if out else [()] * len(target)
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cells, target, strict=True)], schema=target)
+
+    return run
