@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from waystone.functions.geo import EARTH_M
+from waystone.functions.geo import EARTH_M, metres
 from waystone.operators import coverage, graph, joins, reconcile, terrain, tracks
 from waystone.plans import catalog
 
@@ -194,3 +194,18 @@ def test_contours_inside_a_block_are_no_links(spark, monkeypatch):
         assert rows(terrain.contour_paths(segments, across, 3)) == rows(terrain.contour_paths(segments, across))
     monkeypatch.setattr(terrain, "chains", lambda *_: 1 / 0)
     assert terrain.contour_paths(segments).count() > segments.count()
+
+
+def test_places_are_measured_once(spark):
+    rng = random.Random(11)
+    spots = [(rng.random() * 0.03, 51 + rng.random() * 0.02) for _ in range(36)]
+    place = lambda: rng.choice(spots)
+    points, nodes = [(i, *place()) for i in range(60)] + [(99, None, 51.0)], [(i, *place()) for i in range(80)] + [(98, 0.0, None)]
+    of = lambda rows, name: spark.createDataFrame(rows, f"{name} int, lon double, lat double")
+    m = {(p, n): metres(x, y, u, v) for p, x, y in points[:-1] for n, u, v in nodes[:-1]}
+    every = joins.radius_join(of(points, "point_id"), of(nodes, "node_id"), 700.0)
+    assert sorted((r["point_id"], r["node_id"]) for r in every.collect()) == sorted(k for k, d in m.items() if d <= 700)
+    near = joins.radius_join(of(points, "point_id"), of(nodes, "node_id"), 700.0, 3)
+    want = [(p, n, i + 1) for p, *_ in points for i, (_, n) in enumerate(sorted((d, n) for (q, n), d in m.items() if q == p and d <= 700)[:3])]
+    assert sorted((r["point_id"], r["node_id"], r["rank"]) for r in near.collect()) == sorted(want)
+    assert all("aggregate [plon" in plan(df) for df in (every, near))  # places of points are told apart before they meet nodes

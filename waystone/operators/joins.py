@@ -40,17 +40,27 @@ def radius_join(points: DataFrame, nodes: DataFrame, metres: float, k: int | Non
     """Nodes within a radius of points (point_id, lon, lat; node_id, lon, lat), the nearest k of each, ties by node_id. within:
     columns that both have and that must agree as well, such as a track.
 
-    Points are dealt to the cells around them and meet nodes in one cell each; dense cells are split by adaptive execution,
-    as the join is a plain equi join. Latitudes beyond MAX_LATITUDE need a smaller radius."""
+    Points and nodes at one place are one row until their distance is known: places of points are dealt to the cells around them and
+    meet places of nodes (the first k nodes of each, if k is given) in one cell each, and only what is found is spread to the points,
+    by exchange. So distances don't grow with copies of a place, and with k neither do rows but by points. Without k, rows are all
+    pairs within the radius. Latitudes beyond MAX_LATITUDE need a smaller radius."""
     dx, dy = cell_degrees(metres)
     same = within or []
-    left = points.select("point_id", *same, F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(around(F.col("lon"), F.col("lat"), metres)).alias("c"))
-    left = left.select("point_id", *same, "plon", "plat", "c.cx", "c.cy")
-    right = nodes.select("node_id", *same, "lon", "lat", F.floor(F.col("lon") / dx).alias("cx"), F.floor(F.col("lat") / dy).alias("cy"))
-    met = left.join(right, [*same, "cx", "cy"]).withColumn("m", haversine_m("plon", "plat", "lon", "lat")).where(F.col("m") <= metres).select("point_id", "node_id", "m")
+    at = [*same, "plon", "plat"]
+    own = points.select("point_id", *same, F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+    left = own.select(*at).distinct().withColumn("c", F.explode(around(F.col("plon"), F.col("plat"), metres))).select(*at, "c.cx", "c.cy")
     if k is None:
-        return met
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("m", "node_id"))).where(F.col("rank") <= k)
+        sites = nodes.select(*same, "lon", "lat").distinct()
+    else:
+        first = F.row_number().over(Window.partitionBy(*same, "lon", "lat").orderBy("node_id"))
+        sites = nodes.select("node_id", *same, "lon", "lat").withColumn("_n", first).where(F.col("_n") <= k).drop("_n")
+    right = sites.withColumns({"cx": F.floor(F.col("lon") / dx), "cy": F.floor(F.col("lat") / dy)})
+    met = left.join(right.hint("merge"), [*same, "cx", "cy"]).withColumn("m", haversine_m("plon", "plat", "lon", "lat")).where(F.col("m") <= metres)
+    if k is None:
+        found = met.select(*at, "lon", "lat", "m").join(nodes.select("node_id", *same, "lon", "lat").hint("merge"), [*same, "lon", "lat"]).select(*at, "node_id", "m")
+        return found.join(own.hint("merge"), at).select("point_id", "node_id", "m")
+    found = met.select(*at, "node_id", "m").withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("m", "node_id"))).where(F.col("rank") <= k)
+    return found.join(own.hint("merge"), at).select("point_id", "node_id", "m", "rank")
 
 
 def segment_cells(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, metres: float, beside: int = 0) -> Column:
