@@ -2,11 +2,14 @@
 
 import math
 import random
+import unicodedata
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from waystone.functions import text
 from waystone.functions.geo import EARTH_M, metres
 from waystone.operators import coverage, graph, joins, reconcile, terrain, tracks
 from waystone.plans import catalog
@@ -218,3 +221,11 @@ def test_points_of_a_span_are_not_spread(spark):
     one, none = found.orderBy("track").collect()
     assert math.isclose(one["area"], 6.0) and math.isclose(one["short_side"], math.sqrt(2)) and one["bearing"] == 45
     assert tuple(none) == (2, None, None, 90)
+
+
+def test_names_are_spread_and_folded_by_character(spark):
+    every = [chr(c) for c in range(0x20, 0x2FFF, 7)] + ["\U0001d400", "ﬁ", "½", "Ł", "\U0001f600", "", "plain"]
+    names = [a + "x" + b + "\n" + b + a for a, b in zip(every, every[5:] + every[:5], strict=True)]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.ascii_fold(F.col("n")).alias("f")).collect()
+    assert all(r["f"] == unicodedata.normalize("NFKD", r["n"]).encode("ascii", "ignore").decode() for r in found)
+    assert catalog.QUERIES["o3_12_name_keys"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1

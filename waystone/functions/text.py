@@ -34,13 +34,16 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def ascii_fold(text: Column) -> Column:
-    """Text by compatibility decomposition (NFKD) in ASCII; what has no ASCII part is left out. JVM functions only."""
+    """Text by compatibility decomposition (NFKD) in ASCII; what has no ASCII part is left out. JVM functions only. Text in ASCII
+    stays as it is, and of other text only characters beyond ASCII are looked up."""
     one, plain, many = _folds()
+    beyond = "[^\\x00-\\x7F]"
     single = F.translate(text, one, plain)
-    parts = F.regexp_extract_all(single, F.lit("(?s)(.)"), 1)
+    parts = F.regexp_extract_all(single, F.lit("(?s)([\\x00-\\x7F]+|.)"), 1)
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    several = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.regexp_replace(F.when(single.rlike("[" + "".join(many) + "]"), several).otherwise(single), "[^\\x00-\\x7F]+", "")
+    several = F.array_join(F.transform(parts, lambda c: F.when(c.rlike(beyond), F.coalesce(F.try_element_at(table, c), F.lit(""))).otherwise(c)), "")
+    return F.when(text.rlike(beyond), several).otherwise(text)
+
 
 
 def name_key(name: Column) -> Column:

@@ -149,7 +149,8 @@ def sql_key(x: str) -> str:
 select code, {sql_key('raw')} as key, trim(regexp_replace({sql_key("regexp_replace(raw, '[ ]*[(][^)]*[)][ ]*', ' ', 'g')")}, '\\b(?:for|via)\\b.*$', '')) as relaxed,
  trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(raw), '&', ' and '), '\\b(?:railway|rail)[ ]+station\\b', ' ', 'g'), '\\bstation\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as station from n""")
 def name_keys(t):
-    n = t("part").select(F.col("p_partkey").alias("code"), F.expr(RAW).alias("raw"))
+    n = t("part").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))  # a small file of much work
+    n = n.select(F.col("p_partkey").alias("code"), F.expr(RAW).alias("raw"))
     return n.select("code", text.name_key(F.col("raw")).alias("key"), text.relaxed_name_key(F.col("raw")).alias("relaxed"), text.station_key(F.col("raw")).alias("station"))
 
 
