@@ -229,3 +229,10 @@ def test_names_are_spread_and_folded_by_character(spark):
     found = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.ascii_fold(F.col("n")).alias("f")).collect()
     assert all(r["f"] == unicodedata.normalize("NFKD", r["n"]).encode("ascii", "ignore").decode() for r in found)
     assert catalog.QUERIES["o3_12_name_keys"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_relations_stream_by(spark):
+    members = [(r, p, 10 * r + p, p, (p + 1) % 3, None) for r in range(40) for p in (2, 0, 1)] + [(99, 0, 7, None, 1, "")]
+    found = graph.laps(spark.createDataFrame(members, "relation int, pos int, way int, a int, b int, role string"))
+    assert "flatmapgroups" not in plan(found)  # no group of Arrow a relation
+    assert sorted(map(tuple, found.collect())) == [(r, [10 * r, 10 * r + 1, 10 * r + 2], True, "order", []) for r in range(40)]
