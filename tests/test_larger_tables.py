@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waystone.functions import text
 from waystone.functions.geo import EARTH_M, metres
-from waystone.operators import coverage, graph, joins, reconcile, terrain, tracks
+from waystone.operators import coverage, graph, joins, ranks, reconcile, select, terrain, tracks
 from waystone.plans import catalog
 
 
@@ -236,3 +236,18 @@ def test_relations_stream_by(spark):
     found = graph.laps(spark.createDataFrame(members, "relation int, pos int, way int, a int, b int, role string"))
     assert "flatmapgroups" not in plan(found)  # no group of Arrow a relation
     assert sorted(map(tuple, found.collect())) == [(r, [10 * r, 10 * r + 1, 10 * r + 2], True, "order", []) for r in range(40)]
+
+
+def test_places_take_no_second_exchange_and_budgets_one_sort(spark):
+    rows = random.Random(12).sample(range(5000), 700)
+    placed = ranks.global_position(spark.createDataFrame([(v,) for v in rows], "v int").repartition(3), ["v"], "place")
+    assert {r["v"]: r["place"] for r in placed.collect()} == {v: i + 1 for i, v in enumerate(sorted(rows))}
+    cut = select.cut_to_budget(placed.withColumn("g", F.col("v") % 3), ["g"], ["v"], "v", 90_000.0, F.col("v") % 7 == 0)
+    shown = lambda df: df._jdf.queryExecution().sparkPlan().toString().lower()
+    assert "window [row_number" not in shown(placed) and shown(cut).count("window [") == 1 + shown(placed).count("window [")
+    kept = {r["v"]: r["kept"] for r in cut.collect()}
+    for g in range(3):
+        own, gone = sorted(v for v in rows if v % 3 == g), 0
+        for v in own:
+            assert kept[v] == (v % 7 == 0 or sum(own) - gone <= 90_000)
+            gone += 0 if v % 7 == 0 else v

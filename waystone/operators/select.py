@@ -88,9 +88,9 @@ def detail_budget(groups: DataFrame, sheet: str, category: str, key: str, length
 
 def cut_to_budget(df: DataFrame, partition: list[str], order: list, size: str, budget: float, protected: Column) -> DataFrame:
     """Drops whole rows, in the order given, until a group's sum is within budget; protected rows never go. Adds kept."""
-    by = Window.partitionBy(*partition)
-    total = F.sum(size).over(by)
-    gone = F.sum(F.when(protected, 0.0).otherwise(F.col(size))).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    by = Window.partitionBy(*partition).orderBy(*order)  # one order for both sums, so that rows are sorted once
+    total = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gone = F.sum(F.when(protected, 0.0).otherwise(F.col(size))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("kept", protected | (total - F.coalesce(gone, F.lit(0.0)) <= budget))
 
 
