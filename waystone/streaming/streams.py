@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,22 +28,30 @@ def change_log(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return standing, changes.withColumn("problem", problem).where("problem is not null").select("k", "seq", "problem")
 
 
-def change_log_stream(changes: DataFrame) -> DataFrame:
-    """The same on a stream, one state row a key: an output row (k, seq, op, payload, problem) per change, in seq order
-    within a micro-batch. What stands is each key's last row that isn't D."""
+def change_log_stream(changes: DataFrame, buckets: int = 1024) -> DataFrame:
+    """The same on a stream: an output row (k, seq, op, payload, problem) per change, in seq order of a key within a micro-batch. What
+    stands is each key's last row that isn't D.
+
+    Keys are dealt to buckets, and the state of a bucket is the keys that are there, so a task calls Python once a bucket and judges
+    its changes together. A bucket's changes of one micro-batch are held at once."""
 
     def apply(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        there = state.get[0] if state.exists else False
-        rows = pd.concat(list(frames)).sort_values("seq")
-        problems = []
-        for op in rows["op"]:
-            problems.append("insert-of-existing" if op == "N" and there else "replace-of-missing" if op == "R" and not there else "delete-of-missing" if op == "D" and not there else None)
-            there = op != "D"
-        state.update((there,))
-        yield rows.assign(problem=problems)[["k", "seq", "op", "payload", "problem"]]
+        held, none = (np.frombuffer(state.get[0], np.int64), state.get[1]) if state.exists else (np.zeros(0, np.int64), False)
+        rows = pd.concat(list(frames)).sort_values(["absent", "k", "seq"], kind="stable", ignore_index=True)
+        k, absent, op = rows["k"].to_numpy(), rows["absent"].to_numpy(), rows["op"]
+        first = np.append(True, (k[1:] != k[:-1]) | (absent[1:] != absent[:-1]))
+        stands = (op != "D").to_numpy()
+        there = np.where(first, np.where(absent, none, np.isin(k, held)), np.append(False, stands[:-1]))
+        problem = np.select([(op == "N") & there, (op == "R") & ~there, (op == "D") & ~there], ["insert-of-existing", "replace-of-missing", "delete-of-missing"], "")
+        last = np.append(first[1:], True)
+        known = last & ~absent
+        state.update((np.union1d(np.setdiff1d(held, k[known]), k[known & stands]).tobytes(), bool(stands[-1]) if absent[-1] else none))
+        yield rows.assign(k=rows["k"].astype("Int64").mask(absent), problem=pd.Series(problem, dtype=object).replace("", None))[["k", "seq", "op", "payload", "problem"]]
 
     kind = "k long, seq long, op string, payload double, problem string"
-    return changes.groupBy("k").applyInPandasWithState(apply, kind, "there boolean", "append", GroupStateTimeout.NoTimeout)
+    k = F.col("k").cast("long")
+    dealt = changes.select(F.pmod(F.xxhash64(k), F.lit(buckets)).alias("_bucket"), F.coalesce(k, F.lit(0).cast("long")).alias("k"), k.isNull().alias("absent"), "seq", "op", "payload")
+    return dealt.groupBy("_bucket").applyInPandasWithState(apply, kind, "there binary, none boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def expiring_change_log_stream(changes: DataFrame, at: str, until: str, late: str = "1 day") -> DataFrame:
