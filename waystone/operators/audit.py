@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waystone.operators.storage import union_all
+from waystone.operators.storage import settled, union_all
 
 
 def findings(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -58,6 +58,7 @@ def raw_geometry(elements: DataFrame, canonical: DataFrame | None = None, nodes_
     """
     from waystone.operators.graph import reachable_from_itself
 
+    elements = settled(elements)  # every rule below reads them
     inside = lambda lat, lon: lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon)
     g, way, node, relation = F.col("geometry"), F.col("type") == "way", F.col("type") == "node", F.col("type") == "relation"
     known = F.coalesce(F.col("type").isin("node", "way", "relation"), F.lit(False))
@@ -80,7 +81,7 @@ def raw_geometry(elements: DataFrame, canonical: DataFrame | None = None, nodes_
         "member-repeated": relation & (F.size(refs) != F.size(F.array_distinct(refs))),
     }
     found = [findings(elements, ["type", "id"], rules)]
-    once = elements.where(known & F.col("id").isNotNull()).groupBy("type", "id").agg(F.count("*").alias("n"))
+    once = settled(elements.where(known & F.col("id").isNotNull()).groupBy("type", "id").agg(F.count("*").alias("n")))
     report = lambda df, reason: df.select("type", "id", F.lit(reason).alias("reason")).distinct()
     found.append(report(once.where("n > 1"), "repeated-id"))
     needs = elements.where(way).select("type", "id", F.explode("nodes").alias("ref")).withColumn("kind", F.lit("node"))
