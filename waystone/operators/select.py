@@ -109,13 +109,32 @@ def filled(df: DataFrame, partition: list[str], key: str, order: Column, size: s
 
 def ink_selection(groups: DataFrame, plate: str, layer: str, key: str, rank: str, ink: str, capacity: float, reserve: float) -> DataFrame:
     """Which groups a plate's ink buys: each layer's reserve (a share of the capacity) is seeded with its largest groups
-    first, then all other groups fill the rest by rank, then size, then key. Adds phase: reserve or fill."""
-    seeded = within_budget(groups, [plate, layer], key, ink, capacity * reserve, 0.0)
-    first = groups.join(seeded, [plate, layer, key], "left_semi")
-    spent = first.groupBy(plate).agg(F.sum(ink).alias("_used"))
-    rest = groups.join(seeded, [plate, layer, key], "left_anti").join(spent, plate, "left").withColumn("_used", F.coalesce("_used", F.lit(0.0)))
-    more = filled(rest, [plate], key, F.struct((-F.col(rank)).alias("r"), (-F.col(ink)).alias("i"), F.col(key).alias("k")), ink, "_used", capacity)
-    return first.select(plate, key, F.lit("reserve").alias("phase")).unionByName(more.select(plate, key, F.lit("fill").alias("phase")))
+    first, then all other groups fill the rest by rank, then size, then key. Adds phase: reserve or fill.
+
+    A layer's groups stream by and are told whether they are seeds; then a plate's do, seeds first, with what is spent so far."""
+    limit = capacity * reserve
+    kind = {c: groups.schema[c].dataType.simpleString() for c in (plate, layer, key, rank)}
+    rows = groups.select(plate, layer, key, rank, F.col(ink).cast("double").alias("_n"), (-F.col(ink)).alias("_o"))
+
+    def seed(state, row):
+        size = row[4]
+        seeded = size is not None and size >= 0.0 and (state[1] or state[0] + size <= limit)
+        if seeded:
+            state[0], state[1] = state[0] + size, False
+        return ((row[0], row[2], row[3], size, seeded),)
+
+    ddl = f"`{plate}` {kind[plate]}, `{key}` {kind[key]}, _rank {kind[rank]}, _n double, _seed boolean"
+    told = folded(rows, [plate, layer], ["_o", key], lambda row: [0.0, True], seed, ddl, without=("_o",))
+
+    def buy(state, row):
+        _, name, size, seeded = row
+        if not seeded and (size is None or state[0] + size > capacity):
+            return ()
+        state[0] += size
+        return ((row[0], name, "reserve" if seeded else "fill"),)
+
+    told = told.select(plate, key, "_n", "_seed", (-F.col("_rank")).alias("_r"), (-F.col("_n")).alias("_i"))
+    return folded(told, [plate], [F.desc("_seed"), "_r", "_i", key], lambda row: [0.0], buy, f"`{plate}` {kind[plate]}, `{key}` {kind[key]}, phase string", without=("_r", "_i"))
 
 
 def ink_phases(groups: DataFrame, plate: str, layer: str, key: str, ink: str, rank: str, tile: str, capacity: float, reserves: dict[str, float], roads: list[str], context: list[str]) -> DataFrame:
