@@ -119,6 +119,32 @@ def test_points_meet_segments_by_exchange_and_once(spark):
     assert sorted((r["point_id"], r["segment_id"]) for r in found.collect()) == [(i, j) for i in range(20) for j in range(5) if near(i, j) <= 500]
 
 
+def test_copies_of_a_place_share_its_distances_to_segments(spark, monkeypatch):
+    """700 points at one place and 600 segments at another have one distance to measure, far or near; nothing of the pairs is lost."""
+    near, far = [(i, 0.0, 0.001) for i in range(700)] + [(None, 0.0, 0.001)], [(1000 + i, 0.0, 0.006) for i in range(700)]
+    others = [(2000 + i, 0.0005 * i, 0.003) for i in range(5)]
+    legs = [(j, 0.0, 0.0, 0.01, 0.0) for j in range(600)] + [(900, -0.001, 0.0, -0.001, 0.0), (901, None, 0.0, 0.0, 0.0), (902, -0.001, 0.004, 0.0, 0.004)]
+    points = spark.createDataFrame(near + far + others, "point_id int, lon double, lat double")
+    segments = spark.createDataFrame(legs, "segment_id int, lon_a double, lat_a double, lon_b double, lat_b double")
+    count, project = spark.sparkContext.accumulator(0), joins.segment_projection
+    counted = F.udf(lambda m: count.add(1) or m, "double")
+    monkeypatch.setattr(joins, "segment_projection", lambda *c: project(*c).withField("distance_m", counted(project(*c)["distance_m"])))
+    found = joins.segment_radius_join(points, segments, 500.0, values={"m": F.round("p.distance_m", 3)})
+    got = [tuple(r) for r in found.collect()]
+    assert count.value < 1000
+
+    def apart(p, s):
+        (_, x, y), (_, a, b, c, d) = p, s
+        scale = math.cos(math.radians(y))
+        return math.hypot(max(min(a, c) - x, x - max(a, c), 0) * scale, y - b) * math.radians(1) * EARTH_M  # all segments lie level
+
+    want = {(p[0], s[0]): apart(p, s) for p in near + far + others for s in legs if s[1] is not None and apart(p, s) <= 500}
+    assert len(got) == len(want) and all(abs(m - want[i, j]) < 0.01 for i, j, m in got) and (None, 5) in want and (1000, 902) in want
+    ranked = joins.segment_radius_join(points, segments, 500.0, 3).collect()
+    first = {p[0]: sorted((round(m, 3), j) for (i, j), m in want.items() if i == p[0])[:3] for p in [near[0], near[-1], far[0], *others]}
+    assert {(r["point_id"], r["rank"]): r["segment_id"] for r in ranked if r["point_id"] in first} == {(i, n + 1): j for i, v in first.items() for n, (_, j) in enumerate(v)}
+
+
 def united(pairs):
     root = {}
 

@@ -12,6 +12,8 @@ from waystone.operators.storage import removed, settled, union_all
 
 #: Latitude within which cells of a radius join are wide enough.
 MAX_LATITUDE = 75.0
+#: Ids of one place that a row holds at most.
+IDS = 512
 
 
 def edges_of(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,19 +73,38 @@ def segment_cells(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, me
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def segment_radius_join(points: DataFrame, segments: DataFrame, metres: float, k: int | None = None) -> DataFrame:
-    """Segments (segment_id, lon_a, lat_a, lon_b, lat_b) within a radius of points, with the projected point and fraction.
+def _by_place(rows: DataFrame, id: str, at: list[str], most: int | None = None) -> DataFrame:
+    """Places (columns at) with the ids of their rows (the first `most` of them, if given): part 0, 1, .. of a place holds up to IDS."""
+    n = F.row_number().over(Window.partitionBy(*at).orderBy(id)) - 1
+    placed = rows.dropna(subset=at).withColumn("_n", n)
+    kept = placed if most is None else placed.where(F.col("_n") < most)
+    return settled(kept.groupBy(*at, F.floor(F.col("_n") / IDS).cast("int").alias("part")).agg(F.collect_list(F.struct(id)).alias(f"{id}s")))
 
-    Segments are dealt to all cells that their boxes meet and those beside, so they should be short against the radius's cell. A point
-    is in one cell, so a pair meets once; cells are joined by exchange, as dealt rows are more than their size as a table tells."""
+
+def segment_radius_join(points: DataFrame, segments: DataFrame, metres: float, k: int | None = None, values: dict[str, Column] | None = None) -> DataFrame:
+    """Segments (segment_id, lon_a, lat_a, lon_b, lat_b) within a radius of points, with the projected point and fraction. values: what
+    to give of the projection p (distance_m, lon, lat, fraction) instead, computed once for a place and a segment's place.
+
+    Points at one place are one row until their distance is known, and so are segments at one; then the ids of both are spread, held in
+    arrays of up to IDS. So distances don't grow with copies of a place; without k, rows are all pairs within the radius. Places of
+    segments are dealt to all cells that their boxes meet and those beside, so they should be short against the radius's cell. A point
+    is in one cell, so a pair meets once; all is joined by exchange, as dealt rows are more than their size as a table tells."""
     dx, dy = cell_degrees(metres)
-    left = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.floor(F.col("lon") / dx).alias("cx"), F.floor(F.col("lat") / dy).alias("cy"))
-    right = segments.select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", F.explode(segment_cells(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"), metres, 1)).alias("c")).select("segment_id", "lon_a", "lat_a", "lon_b", "lat_b", "c.cx", "c.cy")
-    met = left.join(right.hint("merge"), ["cx", "cy"])
-    found = met.withColumn("p", segment_projection("plon", "plat", "lon_a", "lat_a", "lon_b", "lat_b")).where(F.col("p.distance_m") <= metres).select("point_id", "segment_id", "p.distance_m", "p.lon", "p.lat", "p.fraction")
+    at, leg = ["plon", "plat"], ["lon_a", "lat_a", "lon_b", "lat_b"]
+    own = _by_place(points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat")), "point_id", at)
+    drawn = _by_place(segments.select("segment_id", *leg), "segment_id", leg, k)
+    left = own.where("part = 0").select(*at, F.floor(F.col("plon") / dx).alias("cx"), F.floor(F.col("plat") / dy).alias("cy"))
+    right = drawn.where("part = 0").select(*leg, F.explode(segment_cells(*map(F.col, leg), metres, 1)).alias("c")).select(*leg, "c.cx", "c.cy")
+    met = left.join(right.hint("merge"), ["cx", "cy"]).withColumn("p", segment_projection(*at, *leg)).where(F.col("p.distance_m") <= metres)
+    given = values or {c: F.col(f"p.{c}") for c in ("distance_m", "lon", "lat", "fraction")}
+    found = met.select(*at, *leg, F.col("p.distance_m").alias("_m"), *[v.alias(c) for c, v in given.items()])
+    spread = lambda df, id: df.withColumn("_i", F.explode(f"{id}s")).drop(f"{id}s", "part").withColumn(id, F.col(f"_i.{id}")).drop("_i")
     if k is None:
-        return found
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("distance_m", "segment_id"))).where(F.col("rank") <= k)
+        met = found.join(own.drop("part").hint("merge"), at).join(drawn.drop("part").hint("merge"), leg)
+        return spread(spread(met, "point_id"), "segment_id").select("point_id", "segment_id", *given)
+    each = spread(found.join(drawn.hint("merge"), leg), "segment_id")
+    first = each.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("_m", "segment_id"))).where(F.col("rank") <= k)
+    return spread(first.join(own.hint("merge"), at), "point_id").select("point_id", "segment_id", *given, "rank")
 
 
 def nearest_by_key(left: DataFrame, right: DataFrame, key: str, limit: float) -> DataFrame:

@@ -108,7 +108,7 @@ select point_id, segment_id, round(sqrt(power(ax + f * (bx - ax), 2) + power(ay
 def segments_in_radius(t):
     segments = legs(t).select((F.col("track_id") * 1000 + F.col("pos")).alias("segment_id"), F.col("lon0").alias("lon_a"), F.col("lat0").alias("lat_a"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     points = t("fx_node").select(F.col("node_id").alias("point_id"), "lon", "lat")
-    return joins.segment_radius_join(points, segments, 500.0).select("point_id", "segment_id", F.round("distance_m", 2).alias("distance_m"))
+    return joins.segment_radius_join(points, segments, 500.0, values={"distance_m": F.round("p.distance_m", 2)})
 
 
 @query("o4_7_name_and_distance", """with m as (select s.station_id, a.code, sqrt(power(s.easting - a.easting, 2) + power(s.northing - a.northing, 2)) as d from fx_station s join fx_authority a on upper(s.name) || ' Railway Station' = a.name),
