@@ -1,5 +1,6 @@
 """Small cases of what larger tables brought up: keys beyond a million, gaps of part seconds, repeated edges, sums of rounding."""
 
+import hashlib
 import math
 import random
 import unicodedata
@@ -7,12 +8,14 @@ import unicodedata
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from waystone.functions import text
 from waystone.functions.geo import EARTH_M, metres
 from waystone.operators import audit, coverage, graph, joins, ranks, reconcile, select, terrain, tracks
 from waystone.plans import catalog
+from waystone.sources import readers
 from waystone.streaming import streams
 
 
@@ -333,3 +336,36 @@ def test_ink_is_selected_without_a_join(spark):
                 spent += ink
                 want.append((plate, key, "fill"))
     assert sorted(map(tuple, got.collect())) == sorted(want) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_of_over_two_gigabytes_streams_by(spark, tmp_path):
+    """Spark reads no such file whole; its bytes, all zero here, take no disk."""
+    size = 2**31 + 12_345
+    with open(tmp_path / "long.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "short.bin").write_bytes(b"abc")
+    sha, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        sha.update(block)
+    sha.update(bytes(size % (1 << 20)))
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha"]) for r in readers.artifacts(spark, str(tmp_path)).collect()}
+    assert got == {"long.bin": (size, sha.hexdigest()), "short.bin": (3, hashlib.sha256(b"abc").hexdigest())}
+
+
+def test_pieces_of_files_are_whole(spark, tmp_path, monkeypatch):
+    """Files of any length and name by pieces of 1,000 bytes; one that is cut meanwhile raises."""
+    monkeypatch.setattr(readers, "WHOLE", 1500)
+    monkeypatch.setattr(readers, "PIECE", 1000)
+    rng = random.Random(6)
+    want = {}
+    for name, size in {"a": 1, "b": 1500, "c": 1501, "d": 2000, "e,f.gz": 123_457, "g{h,i} [j]?%20*": 5000, "k/l": 70_999, "k/m^n é": 1999}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(rng.randbytes(size))
+        want[name] = (size, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest())
+    found = readers.artifacts(spark, str(tmp_path))
+    assert {r["path"].split(f"{tmp_path}/", 1)[1]: (r["length"], r["sha"]) for r in found.collect()} == want
+    with open(tmp_path / "k/l", "r+b") as f:
+        f.truncate(30_500)
+    with pytest.raises(Exception, match="pieces of 70"):
+        found.collect()
+    assert spark.sparkContext._jsc.sc().conf().get("spark.files.ignoreCorruptFiles", "false") == "false"

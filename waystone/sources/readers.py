@@ -4,6 +4,11 @@ table or a null, never an exception in a task."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+from pyspark import RDD
+from pyspark.serializers import NoOpSerializer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from waystone.operators.ranks import running_count
 from waystone.operators.storage import settled, union_all
 from waystone.operators.tracks import verification
 
+#: Bytes of a file that is read whole at most, and of a piece of a longer one.
+WHOLE, PIECE = 1 << 24, 1 << 18
 POINT = "struct<lat:double,lon:double>"
 ELEMENT = f"struct<type:string,id:bigint,version:int,timestamp:string,tags:map<string,string>,nodes:array<bigint>,geometry:array<{POINT}>,members:array<struct<type:string,ref:bigint,role:string>>>"
 TRACK_POINT = "struct<_lat:double,_lon:double,ele:double,time:string>"
@@ -375,9 +382,59 @@ def checksum_list(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def artifacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a path with size and SHA-256."""
+    """Files below a path with size and SHA-256. A file of more than WHOLE bytes streams through a task by pieces and is never held
+    whole, whatever its size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha"))
+    long_ = files.where(F.col("length") > WHOLE).select("path", "length").collect()
+    whole = files.where(F.col("length") <= WHOLE).select("path", "length", F.sha2("content", 256).alias("sha"))
+    if not long_:
+        return whole
+    streams = spark.sparkContext.union([_digest(spark, r["path"], r["length"]) for r in long_])
+    return whole.unionByName(spark.createDataFrame(streams, "path string, length long, sha string"))
+
+
+def _digest(spark: SparkSession, path: str, length: int):
+    """An RDD of one row, (path, length, SHA-256), of a file that passes by in pieces of one length, which a task reads in order.
+
+    Readers of such pieces fail at a shorter last one, so they are told to end there; the driver reads that piece alone. A file of
+    which more or less passed by than its length says raises. What a name's ending says of compression is passed over."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    hadoop, settings = jvm.org.apache.hadoop.conf.Configuration(context._jsc.hadoopConfiguration()), context._jsc.sc().conf()
+    hadoop.set("mapreduce.input.fileinputformat.split.minsize", str(1 << 60))
+    place, pieces = jvm.org.apache.hadoop.fs.Path(path), length // PIECE
+    stream = place.getFileSystem(hadoop).open(place)
+    try:
+        stream.seek(pieces * PIECE)
+        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length - pieces * PIECE))
+    finally:
+        stream.close()
+    only = re.sub(r"([\\*?\[\]{}^])", r"\\\1", path).replace(",", r"{\,}")  # a pattern, or several by commas, else
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop).getCodec(place)
+    key = "spark.files.ignoreCorruptFiles"
+    held = settings.get(key, "false")
+    try:
+        settings.set(key, "true")
+        if codec is None:
+            records = RDD(context._jsc.sc().binaryRecords(only, PIECE, hadoop).toJavaRDD(), context, NoOpSerializer())
+        else:  # which the faster reader refuses
+            plain = {"io.compression.codecs": jvm.org.apache.hadoop.io.compress.PassthroughCodec.CLASSNAME, jvm.org.apache.hadoop.io.compress.PassthroughCodec.OPT_EXTENSION: codec.getDefaultExtension()}
+            plain |= {"fixedlengthinputformat.record.length": str(PIECE), "mapreduce.input.fileinputformat.split.minsize": str(1 << 60)}
+            names = ("org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
+            records = context.newAPIHadoopFile(only, *names, conf=plain).values()
+    finally:
+        settings.set(key, held)
+
+    def digest(parts):
+        sha, n = hashlib.sha256(), 0
+        for part in parts:
+            sha.update(part)
+            n += 1
+        if n != pieces:
+            raise OSError(f"{path}: {n} pieces of {pieces} were read")
+        sha.update(tail)
+        return [(path, length, sha.hexdigest())]
+
+    return records.mapPartitions(digest)
 
 
 def html_facts(pages: DataFrame) -> DataFrame:
