@@ -338,6 +338,42 @@ def test_ink_is_selected_without_a_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_of_segments_are_never_rows(spark, monkeypatch, kind):
+    """Lines over several squares, of any length, some touching, some of one point; blocks of few pairs. Against every pair."""
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    rng = random.Random(17)
+    name = str if kind == "string" else int
+    rows = []
+    for k in range(60):
+        x, y = rng.uniform(-70, 70), rng.uniform(-10, 40)
+        for _ in range(rng.randrange(1, 6)):
+            u, v = x + rng.uniform(-1, 1) * rng.choice((0, 1, 4, 30)), y + rng.uniform(-1, 1) * rng.choice((0, 1, 4))
+            rows.append((name(k), x, y, u, v))
+            x, y = u, v
+    rows += [(name(100), 0.0, 0.0, 4.0, 0.0), (name(101), 4.0, 0.0, 8.0, 0.0), (name(102), 2.0, 0.5, 2.0, 3.0), (name(103), 2.0, -0.500001, 2.0, -3.0), (None, 0.0, 0.0, 1.0, 1.0), (name(104), None, 0.0, 1.0, 1.0)]
+    found = joins.close_pairs(spark.createDataFrame(rows, f"line_id {kind}, x0 double, y0 double, x1 double, y1 double"), 0.5, 4.0)
+    assert "join" not in plan(found)
+
+    def apart(x, y, a, b, c, d):
+        size = (c - a) ** 2 + (d - b) ** 2
+        t = min(1.0, max(0.0, ((x - a) * (c - a) + (y - b) * (d - b)) / size)) if size else 0.0
+        return math.hypot(x - a - t * (c - a), y - b - t * (d - b))
+
+    turn = lambda p, x, y: (p[2] - p[0]) * (y - p[1]) - (p[3] - p[1]) * (x - p[0])
+    want = {}
+    whole = [r for r in rows if None not in r]
+    for a, *p in whole:
+        for b, *q in whole:
+            if a < b:
+                crossed = turn(p, *q[:2]) * turn(p, *q[2:]) < 0 and turn(q, *p[:2]) * turn(q, *p[2:]) < 0
+                gap = 0.0 if crossed else min(apart(*p[:2], *q), apart(*p[2:], *q), apart(*q[:2], *p), apart(*q[2:], *p))
+                want[a, b] = min(gap, want.get((a, b), math.inf))
+    got = {(r["a"], r["b"]): r["gap"] for r in found.collect()}
+    near = {k: v for k, v in want.items() if v <= 0.5}
+    assert got.keys() == near.keys() and all(abs(got[k] - v) < 1e-9 for k, v in near.items()) and len(set(near.values())) > 5
+
+
 def test_a_file_of_over_two_gigabytes_streams_by(spark, tmp_path):
     """Spark reads no such file whole; its bytes, all zero here, take no disk."""
     size = 2**31 + 12_345

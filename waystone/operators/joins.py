@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from waystone.functions.geo import EARTH_M, crosses_ray, haversine_m, planar_distance, segment_projection
 from waystone.operators.storage import removed, settled, union_all
@@ -14,6 +19,8 @@ from waystone.operators.storage import removed, settled, union_all
 MAX_LATITUDE = 75.0
 #: Ids of one place that a row holds at most.
 IDS = 512
+#: Cells on a side of the square that a task measures at once, and pairs of segments that it holds.
+SIDE, PAIRS = 8, 1 << 18
 
 
 def edges_of(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,23 +181,84 @@ def linear_reference(landmarks: DataFrame, legs: DataFrame, track: str = "track_
 def close_pairs(segments: DataFrame, distance: float, cell: float) -> DataFrame:
     """Pairs of different lines (line_id, x0, y0, x1, y1) with ends within a distance of the other's segment: least gap.
 
-    Segments meet in cells of size `cell` (at least the distance). Two that cross have a gap of 0; others are nearest at an end of
-    one. A pair is measured in one of the cells that it shares, and only if its boxes are near."""
-    step = max(cell, distance)
+    Two that cross have a gap of 0; others are nearest at an end of one. Segments are dealt to squares of SIDE cells of size `cell` (at
+    least the distance) in whose reach their boxes are. A square's segments are swept along x, at most PAIRS pairs with boxes near at
+    once, so pairs of segments are never rows; lines that cross there are not measured further. A pair is met in one of the squares
+    that it shares."""
+    step = SIDE * max(cell, distance)
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - distance) / step), F.floor((F.greatest(a, b) + distance) / step))
-    cells = F.flatten(F.transform(span(F.col("x0"), F.col("x1")), lambda x: F.transform(span(F.col("y0"), F.col("y1")), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-    dealt = segments.withColumn("c", F.explode(cells))
-    a = dealt.select("c", *[F.col(c).alias(f"a_{c}") for c in ("line_id", "x0", "y0", "x1", "y1")])
-    b = dealt.select("c", *[F.col(c).alias(f"b_{c}") for c in ("line_id", "x0", "y0", "x1", "y1")])
-    corner = lambda v: F.greatest(*[F.floor((F.least(f"{p}_{v}0", f"{p}_{v}1") - distance) / step) for p in "ab"])
-    apart = lambda v: F.greatest(*[F.least(f"{p}_{v}0", f"{p}_{v}1") for p in "ab"]) - F.least(*[F.greatest(f"{p}_{v}0", f"{p}_{v}1") for p in "ab"])
-    close = (apart("x") <= distance * (1 + 1e-9)) & (apart("y") <= distance * (1 + 1e-9))
-    met = a.join(b, "c").where((F.col("a_line_id") < F.col("b_line_id")) & (F.col("c.cx") == corner("x")) & (F.col("c.cy") == corner("y")) & close)
-    gaps = [planar_distance(f"{p}_x{e}", f"{p}_y{e}", *[f"{q}_{c}" for c in ("x0", "y0", "x1", "y1")]) for p, q in ("ab", "ba") for e in (0, 1)]
-    turn = lambda p, q, e: F.signum((F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{q}_y{e}") - F.col(f"{p}_y0")) - (F.col(f"{p}_y1") - F.col(f"{p}_y0")) * (F.col(f"{q}_x{e}") - F.col(f"{p}_x0")))
-    cross = (turn("a", "b", 0) * turn("a", "b", 1) < 0) & (turn("b", "a", 0) * turn("b", "a", 1) < 0)
-    met = met.withColumn("gap", F.when(cross, 0.0).otherwise(F.least(*gaps)))
-    return met.where(F.col("gap") <= distance).groupBy(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b")).agg(F.min("gap").alias("gap"))
+    cells = F.flatten(F.transform(span("x0", "x1"), lambda x: F.transform(span("y0", "y1"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    own = segments.where("line_id is not null").select("line_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    kind = own.schema["line_id"].dataType.simpleString()
+    columns = f"a {kind}, b {kind}, gap double"
+    found = own.withColumn("c", F.explode(cells)).select(*own.columns, "c.cx", "c.cy").groupBy("cx", "cy").applyInArrow(_square_gaps(distance, step, columns), columns)
+    return found.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+
+
+def _square_gaps(distance: float, step: float, columns: str):
+    """Of one square's segments the least gap of each two lines within the distance."""
+    target, reach = to_arrow_schema(StructType.fromDDL(columns)), distance * (1 + 1e-9)
+
+    def run(key, table):
+        cx, cy = (k.as_py() for k in key)
+        ids = table["line_id"].combine_chunks()
+        names = ids.unique()
+        names = names.take(pc.array_sort_indices(names))
+        line = pc.index_in(ids, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.stack([table[c].to_numpy() for c in ("x0", "y0", "x1", "y1")])
+        order = np.argsort(np.minimum(ends[0], ends[2]), kind="stable")
+        line, ends = line[order], ends[:, order]
+        (w, s), (e, n) = np.minimum(ends[:2], ends[2:]), np.maximum(ends[:2], ends[2:])
+        left, low = np.floor((w - distance) / step), np.floor((s - distance) / step)
+        after = np.searchsorted(w, e + reach, side="right") - np.arange(len(w)) - 1  # those that start later, but not beyond it
+        sums = np.concatenate([[0], np.cumsum(after)])
+        known, found, p = np.empty(0, np.int64), [], 0
+        while p < len(w):
+            q = max(p + 1, int(np.searchsorted(sums, sums[p] + PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(p, q), after[p:q])
+            j = i + 1 + np.arange(len(i)) - np.repeat(sums[p:q] - sums[p], after[p:q])
+            p = q
+            near = (line[i] != line[j]) & (s[j] - n[i] <= reach) & (s[i] - n[j] <= reach)
+            i, j = i[near], j[near]
+            here = (np.maximum(left[i], left[j]) == cx) & (np.maximum(low[i], low[j]) == cy)
+            i, j = i[here], j[here]
+            pair = np.minimum(line[i], line[j]) * len(names) + np.maximum(line[i], line[j])
+            for every in (16, 1):  # most lines that cross do so in a few of their pairs; these are left out of the second look
+                open_ = np.nonzero(~np.isin(pair, known))[0]
+                some = open_[::every]
+                known = np.union1d(known, pair[some[_cross(ends[:, i[some]], ends[:, j[some]])]])
+            open_ = ~np.isin(pair, known)
+            i, j, pair = ends[:, i[open_]], ends[:, j[open_]], pair[open_]
+            gap = np.minimum.reduce([_distances(u[c], u[c + 1], v) for u, v in ((i, j), (j, i)) for c in (0, 2)])
+            close = gap <= distance
+            found.append(_least(pair[close], gap[close]))
+        pairs, gaps = _least(np.concatenate([known, *[f[0] for f in found]]), np.concatenate([np.zeros(len(known)), *[f[1] for f in found]]))
+        cells = names.take(pa.array(pairs // len(names))), names.take(pa.array(pairs % len(names))), pa.array(gaps)
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cells, target, strict=True)], schema=target)
+
+    return run
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments (x0, y0, x1, y1) cross properly."""
+    turn = lambda p, q, e: np.sign((p[2] - p[0]) * (q[e + 1] - p[1]) - (p[3] - p[1]) * (q[e] - p[0]))
+    return (turn(a, b, 0) * turn(a, b, 2) < 0) & (turn(b, a, 0) * turn(b, a, 2) < 0)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """planar_distance() of points from segments."""
+    dx, dy = s[2] - s[0], s[3] - s[1]
+    size = dx * dx + dy * dy
+    t = np.clip(((x - s[0]) * dx + (y - s[1]) * dy) / np.where(size > 0, size, 1.0), 0.0, 1.0)
+    return np.hypot(x - s[0] - t * dx, y - s[1] - t * dy)
+
+
+def _least(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, each once, and the least value of each."""
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    first = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    return key[first], value[first]
 
 
 def crossings(segments: DataFrame, track: str, cell: float) -> DataFrame:
